@@ -98,3 +98,48 @@ def mix(h: np.ndarray) -> np.ndarray:
 def remainder_of_id(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n: the fold of a row. Null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def annotate(
+    df: DataFrame,
+    text_col: str,
+    keep: list[str],
+    extra: str,
+    compute: Callable[[list[bytes | None]], list[pa.Array]],
+    slice_bytes: int = 8 << 20,
+) -> DataFrame:
+    """The columns ``keep`` of ``df`` as c0, c1, ... and the columns ``extra`` (a DDL string) that ``compute`` makes
+    of the UTF-8 texts of a slice. Numbered names cannot clash with whatever ``df`` calls its columns."""
+    numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    within = f"c{keep.index(text_col)}" if text_col in keep else "text"
+    wide = df.select(*numbered, *([] if text_col in keep else [quoted(text_col).cast("binary").alias("text")]))
+    kept = [f for f in wide.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), extra])
+    names = [f.name for f in kept]
+
+    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = compute(batch.column(batch.schema.get_field_index(within)).cast(pa.binary()).to_pylist())
+        columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name in names]
+        return pa.RecordBatch.from_arrays([*columns, *made], names=[*names, *extra_names])
+
+    extra_names = [x.strip().split()[0] for x in _top_level(extra)]
+    return map_batches(wide, schema, batch_of, slice_bytes)
+
+
+def _top_level(ddl: str) -> list[str]:
+    parts, depth, last = [], 0, 0
+    for i, c in enumerate(ddl):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            parts.append(ddl[last:i])
+            last = i + 1
+    return [*parts, ddl[last:]]
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns c0, c1, ... under their own names again; whatever else is there goes."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

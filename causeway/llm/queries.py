@@ -7,16 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import simhash
-from causeway.llm.common import table
+from causeway.llm import decontaminate, langid, lm_scoring, pii, quality_rules, sentencepiece_fst, simhash, token_counts, toxicity, warc
+from causeway.llm.common import remainder_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_section(token_counts.count(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), labels)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder_of_id("doc_id", 3)
+    network = langid.fit(docs.where(fold != 1))
+    out = langid.predict(docs, network, ["doc_id"])
+    return out.select(F.col("c0").alias("doc_id"), (remainder_of_id("c0", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder_of_id("doc_id", 5) != 0))
+    out = toxicity.score(docs, model, ["doc_id"])
+    return out.select(
+        F.col("c0").alias("doc_id"), (remainder_of_id("c0", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
+    )
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_fst.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select(F.col("c0").alias("doc_id"), "n_tokens", "n_byte_tokens", "ids", "round_trip")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op9_simhash": op9_simhash}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    wanted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    target, background = lm_scoring.fit(docs, wanted)
+    return lm_scoring.score(docs, target, background, ["doc_id"]).select(F.col("c0").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_quality_rules, op3_warc, op4_language_id, op5_toxicity, op6_sentencepiece, op7_decontaminate, op8_pii, op9_simhash, op10_lm_scoring)
+}
 ORACLE_SQL: dict[str, str] = {}
