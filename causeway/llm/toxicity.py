@@ -111,7 +111,7 @@ def _sample(labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(word, n1, n0) over ``rows(text, y)``."""
+    """(word, n1, n0) over ``rows(text, y)``: the texts of either label that hold the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
@@ -125,7 +125,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both[int(y == 1)].update(tokens(text))
+                both[int(y == 1)].update(set(tokens(text)))
                 if len(both[0]) + len(both[1]) > FLUSH:
                     yield flush()
         if both[0] or both[1]:
@@ -174,8 +174,8 @@ def fit(
     label_col: str = "toxic",
     toxic_docs: int = 10_000,
     clean_docs: int = 20_000,
-    prior: float = 0.1,
-    least_z: float = 2.5,
+    prior: float = 0.5,
+    least_z: float = 3.0,
     most_words: int = 20_000,
     gap: float = 0.25,
     expected: float = 0.05,
@@ -185,6 +185,7 @@ def fit(
     known = one_label(labels, id_col, label_col)
     picked = _sample(known, toxic_docs, clean_docs)  # bounded by toxic_docs + clean_docs rows of 12 bytes
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])  # copies would make their rare words look typical
     counts = _counts(rows).persist()
     try:
         total = counts.agg(F.sum("n1"), F.sum("n0")).first()
