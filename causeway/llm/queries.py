@@ -74,4 +74,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_token_counts, op2_quality_rules, op3_warc, op4_language_id, op5_toxicity, op6_sentencepiece, op7_decontaminate, op8_pii, op9_simhash, op10_lm_scoring)
 }
-ORACLE_SQL: dict[str, str] = {}
+

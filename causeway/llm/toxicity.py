@@ -174,8 +174,8 @@ def fit(
     label_col: str = "toxic",
     toxic_docs: int = 10_000,
     clean_docs: int = 20_000,
-    prior: float = 0.5,
-    least_z: float = 3.0,
+    prior: float = 0.2,
+    least_z: float = 2.75,
     most_words: int = 20_000,
     gap: float = 0.25,
     expected: float = 0.05,
