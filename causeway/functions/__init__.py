@@ -1 +1 @@
-
+"""Column builders: no Python runs per row."""

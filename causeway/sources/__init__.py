@@ -1 +1 @@
-
+"""Readers, writers, validation, merging and migration of graph, task and result files."""

@@ -1 +1 @@
-
+"""Incremental ingestion of edges."""
