@@ -58,14 +58,14 @@ QUALITY = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'null') AS stratum, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 win AS (SELECT r, k, [w[k], w[k + 1], w[k + 2]] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM t WHERE len(w) >= 3)),
 twice AS (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 3)) AS p FROM win JOIN twice USING (r, g)) GROUP BY r),
 m AS (
   SELECT t.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
-    CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines,
@@ -84,7 +84,7 @@ k AS (
   FROM cut c LEFT JOIN lab l ON l.stratum = c.stratum AND l.rule = c.rule AND l.step > c.c GROUP BY ALL),
 p AS (
   SELECT stratum, rule, c, n, b, k, kb, CASE WHEN k >= n THEN 1.0 ELSE
-    list_sum(list_transform(range(0, k + 1), i -> exp(lgamma((n + 1)::DOUBLE) - lgamma((i + 1)::DOUBLE) - lgamma((n - i + 1)::DOUBLE) + i * ln(risk) + (n - i) * ln(1 - risk)))) END <= level AS fine
+    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma((n + 1)::DOUBLE) - lgamma((i + 1)::DOUBLE) - lgamma((n - i + 1)::DOUBLE) + i * ln(risk) + (n - i) * ln(1 - risk)))) END <= level AS fine
   FROM k, lev),
 ok AS (SELECT *, bool_and(fine) OVER (PARTITION BY stratum, rule ORDER BY c DESC) AS certified, kb::DOUBLE / b - k::DOUBLE / n AS gain FROM p),
 best AS (SELECT stratum, rule, arg_max(c, [round(gain, 11), c]) AS c FROM ok WHERE certified AND gain > 0.01 + 1e-12 GROUP BY stratum, rule),
