@@ -112,7 +112,8 @@ def required_layers_by_words(question: Column) -> Column:
 def path_layers(path: Column, lexicon: dict[str, list[str]] = lx.NODE_KEYWORDS) -> Column:
     """The nodes of a path by layer, in path order."""
     of = lambda x: F.coalesce(node_layer(x, lexicon), F.lit("Unknown"))
-    return F.struct(*[F.filter(path, lambda x, n=name: of(x) == n).alias(name) for name in [*lx.LAYERS, "Unknown"]])
+    own = lambda name: F.filter(path, lambda x: of(x) == name).alias(name)
+    return F.struct(*[own(name) for name in [*lx.LAYERS, "Unknown"]])
 
 
 def layers_covered(path: Column, lexicon: dict[str, list[str]] = lx.NODE_KEYWORDS) -> Column:

@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 from causeway.functions.text import contains_any
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the session names; one of our own only where none is named."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="causeway-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def last_wins(edges: DataFrame, order: str = "ord") -> DataFrame:
     """One row per (src, dst): the one that comes last by ``order``."""
     by = Window.partitionBy("src", "dst").orderBy(F.desc(order))
@@ -76,15 +86,17 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops:
     steps = pairs(edges)
     targets = ends.select(*keys, F.col("label").alias("last")).distinct()
     # alive[h]: (keys, node) from which an end is at most h hops away
+    # each set and each frontier is read by several later steps, so each is kept, not computed again by each of them
+    targets, steps = kept(targets), kept(steps)
     alive = [targets.select(*keys, F.col("last").alias("node"))]
     for _ in range(max_hops - 1):
         back = alive[-1].join(steps, F.col("node") == F.col("dst")).select(*keys, F.col("src").alias("node"))
-        alive.append(alive[-1].union(back).distinct())
+        alive.append(kept(alive[-1].union(back).distinct()))
     now = starts.select(*keys, F.array("label").alias("path"), F.col("label").alias("last")).distinct()
     found = []
     for hop in range(max_hops):
         near = alive[max_hops - 1 - hop].withColumnRenamed("node", "dst")
-        now = (
+        now = kept(
             now.join(steps, F.col("last") == F.col("src"))
             .where(~F.array_contains("path", F.col("dst")))
             .join(near, [*keys, "dst"], "left_semi")
@@ -138,39 +150,29 @@ def paths_for_query(edges: DataFrame, words: list[str], direction: str = "forwar
     return simple_paths(graph, keyword_match(labels, words), ends, max_hops)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; one of our own only where none is named."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="causeway-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(src, dst) for every dst that can be reached from src by one or more edges; from ``starts(label)`` only if
     given. A frontier loop: each round joins only the pairs found in the last one."""
     steps = edges.select("src", "dst").distinct()
     first = steps if starts is None else steps.join(starts.select(F.col("label").alias("src")), "src", "left_semi")
-    known = frontier = _kept(first)
+    known = frontier = kept(first)
     while not frontier.isEmpty():
         onward = frontier.select("src", F.col("dst").alias("via")).join(steps.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
-        frontier = _kept(onward.join(known, ["src", "dst"], "left_anti"))
-        known = _kept(known.union(frontier))
+        frontier = kept(onward.join(known, ["src", "dst"], "left_anti"))
+        known = known.union(frontier)
     return known
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(label, component): the smallest label that is connected to each, whatever the edges' direction."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    now = _kept(nodes(edges).select("label", F.col("label").alias("component")))
+    now = kept(nodes(edges).select("label", F.col("label").alias("component")))
     while True:
         near = both.join(now.withColumnRenamed("label", "src"), "src").groupBy("dst").agg(F.min("component").alias("near"))
         step = now.join(near, now.label == near.dst, "left").select("label", F.least("component", F.coalesce("near", "component")).alias("component"))
         # jump: the component of one's component
         jumped = step.join(step.select(F.col("label").alias("component"), F.col("component").alias("far")), "component", "left")
-        after = _kept(jumped.select("label", F.least("component", F.coalesce("far", "component")).alias("component")))
+        after = kept(jumped.select("label", F.least("component", F.coalesce("far", "component")).alias("component")))
         if after.join(now, ["label", "component"], "left_anti").isEmpty():
             return after
         now = after
@@ -187,18 +189,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def peel(edges: DataFrame) -> DataFrame:
     """(label, level) of the nodes that Kahn's peeling removes: the longest path to a node from a root, in edges.
     Nodes on or behind a cycle stay out."""
-    left = _kept(edges.select("src", "dst").distinct())
+    left = kept(edges.select("src", "dst").distinct())
     everyone = nodes(edges)
     level = 0
     layer = everyone.join(left.select(F.col("dst").alias("label")), "label", "left_anti")
-    done = _kept(layer.withColumn("level", F.lit(0)))
+    done = kept(layer.withColumn("level", F.lit(0)))
     front = done.select("label")
     while not front.isEmpty():
         level += 1
-        after = _kept(left.join(front.withColumnRenamed("label", "src"), "src", "left_anti"))
+        after = kept(left.join(front.withColumnRenamed("label", "src"), "src", "left_anti"))
         freed = left.join(front.withColumnRenamed("label", "src"), "src", "left_semi").select(F.col("dst").alias("label")).distinct()
-        front = _kept(freed.join(after.select(F.col("dst").alias("label")), "label", "left_anti"))
-        done = _kept(done.union(front.withColumn("level", F.lit(level))))
+        front = kept(freed.join(after.select(F.col("dst").alias("label")), "label", "left_anti"))
+        done = done.union(front.withColumn("level", F.lit(level)))
         left = after
     return done
 

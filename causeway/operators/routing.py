@@ -43,9 +43,9 @@ def route(questions: DataFrame, edges: DataFrame, vectors_of: DataFrame | None =
     hashed default is used. Inverse routing walks the reversed edges from property words to roots."""
     walked = edges if direction == "forward" else graph.reverse(edges)
     labels = graph.nodes(edges)
-    ends = _ends(edges, questions, direction)
+    ends = graph.kept(_ends(edges, questions, direction))
     starts = graph.keyword_match_join(labels, question_words(questions))
-    direct = graph.first_paths(graph.simple_paths(walked, starts, ends, max_hops, ["query_id"]), max_paths, ["query_id"])
+    direct = graph.kept(graph.first_paths(graph.simple_paths(walked, starts, ends, max_hops, ["query_id"]), max_paths, ["query_id"]))
     open_ = questions.join(direct.select("query_id").distinct(), "query_id", "left_anti")
 
     near_side = graph.roots(edges) if direction == "forward" else graph.leaves(edges)
@@ -55,7 +55,7 @@ def route(questions: DataFrame, edges: DataFrame, vectors_of: DataFrame | None =
         question_vectors = question_text(questions).select("query_id", vectors.hashed_embedding(F.col("text")).alias("qvec"))
     candidates = vectors_of.join(near_side, "label", "left_semi")
     nearest = vectors.top_k(question_vectors.join(open_.select("query_id"), "query_id", "left_semi"), candidates, 1).where(F.col("score") > threshold)
-    similar = nearest.select("query_id", F.col("label").alias("similar_node"), F.col("score").alias("similarity"))
+    similar = graph.kept(nearest.select("query_id", F.col("label").alias("similar_node"), F.col("score").alias("similarity")))
     analogous = graph.first_paths(
         graph.simple_paths(walked, similar.select("query_id", F.col("similar_node").alias("label")), ends, max_hops, ["query_id"]), max_paths, ["query_id"]
     )
@@ -63,10 +63,11 @@ def route(questions: DataFrame, edges: DataFrame, vectors_of: DataFrame | None =
     two = gather(analogous, 2).join(similar, "query_id", "left")
     one = gather(direct, 1).select("query_id", "tier", "paths", F.lit(None).cast("string").alias("similar_node"), F.lit(None).cast("double").alias("similarity"))
     decided = one.unionByName(two)
-    return questions.select("query_id").join(decided, "query_id", "left").select(
+    out = questions.select("query_id").join(decided, "query_id", "left").select(
         "query_id", F.coalesce("tier", F.lit(3)).alias("tier"), "similar_node", F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         F.coalesce("paths", F.expr("cast(array() as array<string>)")).alias("paths"),
     )
+    return graph.kept(out)
 
 
 def mechanisms_of(decisions: DataFrame, edges: DataFrame, direction: str = "forward") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.graph import kept
+
 #: Words by which the layers of the derived graphs are told.
 LEXICON = {"Processing": ["nation"], "Structure": ["brand"], "Property": ["urgent", "high", "medium", "low", "specified"]}
 
@@ -34,7 +36,8 @@ def psp_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
         F.when(F.col("c") % 2 == 0, F.concat(F.lit("returned share of "), F.col("c"))).otherwise("").alias("mechanism"),
     )
     by = Window.partitionBy("src", "psp_type").orderBy(F.desc("confidence"), "dst")
-    return edges.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most).drop("n").withColumn("affected_property", F.col("dst")).withColumn("material", F.lit("supply"))
+    out = edges.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most).drop("n").withColumn("affected_property", F.col("dst")).withColumn("material", F.lit("supply"))
+    return kept(out)  # a graph is walked many times; it is built once
 
 
 PSP = """
@@ -59,7 +62,7 @@ def event_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
     moves = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", state.alias("src")).withColumn("dst", F.lead("src").over(by_user))
     counts = moves.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     by = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return counts.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most).select("src", "dst", "n")
+    return kept(counts.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most).select("src", "dst", "n"))
 
 
 EVENTS = """
@@ -74,7 +77,7 @@ ev AS (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src OR
 def cooccur_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide and shallow: part type to brand to the first word of the part's name."""
     parts = table(spark, sf_dir, "part").select("p_type", "p_brand", F.substring_index("p_name", " ", 1).alias("word"))
-    return parts.select(F.inline(F.array(F.struct(F.col("p_type").alias("src"), F.col("p_brand").alias("dst")), F.struct(F.col("p_brand"), F.col("word"))))).distinct()
+    return kept(parts.select(F.inline(F.array(F.struct(F.col("p_type").alias("src"), F.col("p_brand").alias("dst")), F.struct(F.col("p_brand").alias("src"), F.col("word").alias("dst"))))).distinct())
 
 
 COOCCUR = """
