@@ -6,7 +6,7 @@ WARC = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (
   SELECT page_id, payload_bytes, h,
-    array_to_string(list_transform(range(0, 32), i ->
+    array_to_string(list_transform(range(0, 32), lambda i:
       substr({_BASE32}, 1 + ((('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::BIGINT, 1)), '') AS payload_digest
   FROM p),
 g AS (SELECT h, max(page_id) AS largest FROM p GROUP BY h)
