@@ -13,6 +13,7 @@ memory of a worker is bounded whatever the benchmark holds.
 
 from __future__ import annotations
 
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -183,7 +184,7 @@ def find_hits(
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         sent = spark.sparkContext.broadcast([(r.item, bytes(r.text) if r.text is not None else None) for r in mine.collect()])
         passed = [f"c{i}" for i in range(len(keep))] + ["text", "spans", "items"] if block else []
-        now = _one_pass(now, text_col if not block else "text", passed or columns, sent, f"{id(sent)}-{block}", window, gram, blocks > 1, block, len(keep))
+        now = _one_pass(now, text_col if not block else "text", passed or columns, sent, uuid.uuid4().hex, window, gram, blocks > 1, block, len(keep))
         if blocks > 1:
             now = written(now, "decontaminate")
     return now.drop("text")
