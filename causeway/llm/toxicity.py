@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
 Tokens get log-odds between toxic and clean labelled documents under an informative Dirichlet prior (the sample's
-own word shares, with a mass of ``prior`` times the toxic tokens); those significantly above zero form the lexicon,
-all other tokens score ``-gap``. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a document.
+own word shares, with a mass of ``prior`` times the toxic counts; a text counts once for each of its words, and equal
+texts once). Those significantly above zero, and above ``least_log_odds``, form the lexicon: common words that lean a
+little to one side would add up where a text repeats them. All other tokens score ``-gap``. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a document.
 Scores of maximal segments of random text follow an extreme-value law with P(S >= x) ~ K n exp(-lambda x); lambda
 is the positive root of E[exp(lambda s)] = 1 over the clean documents' tokens. A segment is a passage if its expected
 number by chance is below ``expected``; a document's evidence adds up the passages' lambda S - ln(K n), and a
@@ -176,6 +177,7 @@ def fit(
     clean_docs: int = 20_000,
     prior: float = 0.2,
     least_z: float = 2.75,
+    least_log_odds: float = 1.5,
     most_words: int = 20_000,
     gap: float = 0.25,
     expected: float = 0.05,
@@ -196,14 +198,14 @@ def fit(
         share = (F.col("n1") + F.col("n0")) * (mass / (n1 + n0))
         delta = F.log((F.col("n1") + share) / (n1 + mass)) - F.log((F.col("n0") + share) / (n0 + mass))
         z = delta / F.sqrt(1 / (F.col("n1") + share) + 1 / (F.col("n0") + share))
-        top = counts.select("word", "n0", delta.alias("delta"), z.alias("z"), share.alias("a")).where(F.col("z") >= least_z)
+        top = counts.select("word", "n0", delta.alias("delta"), z.alias("z"), share.alias("a")).where((F.col("z") >= least_z) & (F.col("delta") >= least_log_odds))
         top = top.orderBy(F.desc("z"), "word").limit(most_words).collect()
     finally:
         counts.unpersist()
-    model = Model({bytes(r.word): r.delta for r in top if r.delta > 0}, gap, expected=expected)
+    model = Model({bytes(r.word): r.delta for r in top}, gap, expected=expected)
     if not model.lexicon:
         return model
-    share0 = [(r.delta, (r.n0 + r.a) / (n0 + mass)) for r in top if r.delta > 0]
+    share0 = [(r.delta, (r.n0 + r.a) / (n0 + mass)) for r in top]
     rest = 1 - sum(p for _, p in share0)
     scores = [*share0, (-gap, rest)]
     if sum(s * p for s, p in scores) < 0:
