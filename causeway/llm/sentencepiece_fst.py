@@ -10,8 +10,8 @@ constraint on neighbours: a sequence of pieces is the model's encoding if and on
 and encoded alone, give those two pieces back. That is a bigram acceptor, and composing it in leaves one path; the
 state of the composition is (position, last piece).
 
-No piece holds a mark after another character, nor a line end, so inputs are composed piecewise between those
-places (checked when a model is compiled) and pieces that recur are looked up.
+Where no piece holds two neighbours, an input can be cut between them and composed part by part (``cuts``, worked
+out when a model is compiled); parts that recur are looked up.
 """
 
 from __future__ import annotations
@@ -98,21 +98,29 @@ class Transducer:
             self.table.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode() if kind in (NORMAL, USER_DEFINED) else b"")
         self.byte_ids = np.array(sorted(i for i, k in enumerate(self.kinds) if k == BYTE), np.int32)
         self.fallback = len(self.byte_ids) == 256
-        self.trie: dict = {}
+        self.trie: list = [{}, None]  # children, and the piece that ends here
         for piece, i in self.ids.items():
             node = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = i
         least = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.unknown_cost = UNKNOWN_PENALTY - least
-        apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        lines = not any("\n" in p for p in self.ids)
-        self.parts = re.compile((f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+") if apart else "(?s).+")
+        self.parts = re.compile(self.cuts())
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def cuts(self) -> str:
+        """A pattern of the parts that can be composed on their own: a text is cut where no piece holds the two
+        neighbours, which are a mark after another character, a line end, and a letter beside an ASCII sign."""
+        if any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p for p in self.ids):
+            return "(?s).+"
+        beside = {c for p in self.ids for a, b in zip(p, p[1:]) for c, other in ((a, b), (b, a)) if other.isalpha()}
+        signs = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in beside))
+        whole = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+        return f"{MARK}*[^\\W\\d_]++(?=[{signs}{MARK}\n]|\\Z)|{MARK}*[{signs}]++(?=[^\\W\\d_]|[{MARK}\n]|\\Z)|{whole}" if signs else whole
+
     # normaliser
 
     def normalise(self, text: str) -> str:
@@ -128,15 +136,15 @@ class Transducer:
         """(end, piece, cost) of the arcs that leave a position; piece -1 is byte fallback of one character."""
         found, node, single = [], self.trie, False
         for end in range(at, len(text)):
-            node = node.get(text[end])
+            node = node[0].get(text[end])
             if node is None:
                 break
-            piece = node.get("")
+            piece = node[1]
             if piece is not None:
                 found.append((end + 1, piece, -self.scores[piece] if self.model == UNIGRAM else 1.0))
                 single |= end == at
         if not single:
-            found.append((at + 1, -1, self.unknown_cost))
+            found.insert(0, (at + 1, -1, self.unknown_cost))
         return found
 
     # the bigram acceptor of BPE models
@@ -156,8 +164,6 @@ class Transducer:
         return parts
 
     def follows(self, last: int, piece: int) -> bool:
-        if self.model == UNIGRAM or last == -1 and piece == -1:
-            return True
         key = (last, piece)
         found = self.pairs.get(key)
         if found is None:
@@ -171,30 +177,64 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Ids of the shortest path through the composition with a normalised text."""
-        states: list[dict] = [{} for _ in range(len(text) + 1)]
-        states[0][-1] = (0.0, None)
-        for at in range(len(text)):
-            here = states[at]
-            if not here:
-                continue
-            for end, piece, cost in self.arcs(text, at):
-                there = states[end]
-                for last, (so_far, _) in here.items():
-                    if self.follows(last, piece):
-                        key = piece if self.model == BPE else 0
-                        if key not in there or so_far + cost < there[key][0]:
-                            there[key] = (so_far + cost, (at, last, piece))
-        key = min(states[-1], key=lambda p: states[-1][p][0])
-        out, at = [], len(text)
-        while at:
-            at, key, piece = states[at][key][1]
+        return self.emitted(text, self.only_path(text) if self.model == BPE else self.least_path(text))
+
+    def emitted(self, text: str, steps: list[tuple[int, int]]) -> list[int]:
+        """The output side of a path of (start, piece): piece ids, and bytes where no piece covers a character."""
+        out = []
+        for at, piece in steps:
             if piece >= 0:
                 out.append(piece)
             elif self.fallback:
-                out += [self.bytes[b] for b in reversed(text[at].encode())]
+                out += [self.bytes[b] for b in text[at].encode()]
             else:
                 out.append(self.unknown)
-        return out[::-1]
+        return out
+
+    def only_path(self, text: str) -> list[tuple[int, int]]:
+        """The path of a BPE model. The composition accepts one path only, so the first that is found is the shortest;
+        it is looked for depth first, longest pieces first, and a state (position, last piece) that led nowhere is not
+        entered again, so the search is linear in the text."""
+        n, known, pairs = len(text), {}, self.pairs
+        steps: list[tuple[int, int]] = []
+        tried = [0]
+        dead: set[tuple[int, int]] = set()
+        at, last = 0, -1
+        while at < n:
+            arcs = known.get(at)
+            if arcs is None:
+                arcs = known[at] = self.arcs(text, at)[::-1]
+            for k in range(tried[-1], len(arcs)):
+                end, piece, _ = arcs[k]
+                fits = pairs.get((last, piece))
+                if (fits if fits is not None else self.follows(last, piece)) and (not dead or (end, piece) not in dead):
+                    tried[-1] = k + 1
+                    steps.append((at, piece))
+                    tried.append(0)
+                    at, last = end, piece
+                    break
+            else:
+                if not steps:
+                    raise ValueError("the model accepts no path")
+                dead.add((at, last))
+                tried.pop()
+                at, _ = steps.pop()
+                last = steps[-1][1] if steps else -1
+        return steps
+
+    def least_path(self, text: str) -> list[tuple[int, int]]:
+        """The path of a unigram model: costs of pieces add up, each position keeps its least."""
+        best: list[tuple[float, int, int] | None] = [(0.0, 0, 0), *[None] * len(text)]  # cost, start and piece of the last arc
+        for at in range(len(text)):
+            if best[at] is not None:
+                for end, piece, cost in self.arcs(text, at):
+                    if best[end] is None or best[at][0] + cost < best[end][0]:
+                        best[end] = (best[at][0] + cost, at, piece)
+        steps, at = [], len(text)
+        while at:
+            _, at, piece = best[at]
+            steps.append((at, piece))
+        return steps[::-1]
 
     def packed(self, part: str) -> bytes:
         """The ids of a part as little-endian 32-bit integers."""
