@@ -5,12 +5,12 @@ one of ``CLASSES`` classes, and p(w | v) = p(class of w | class of v) * p(w | cl
 and sum to one exactly. The target's counts come from all documents labelled as wanted, the background's from all
 documents; background counts are scaled to the target's size so that smoothing weighs the same in both.
 
-The tables have a fixed size whatever the corpus holds, so they can be sent to the workers, and no word or document
-is dropped. Counting adds up dense blocks: each task sums its partition in arrays and hands over one row per block,
+The tables have a fixed size whatever the corpus holds, so they can be sent to the workers; words that share a type
+share its counts. Counting adds up dense blocks: each task sums its partition in arrays and hands over one row per block,
 which Spark sums by block; the rows of a block come from all tasks but are added as they arrive.
 
 A document's score is the mean over its tokens of target loss minus background loss, in nats: the lower, the more
-like the target.
+like the target. No registered query uses these models: ``word_bigrams`` counts real words and pairs.
 """
 
 from __future__ import annotations

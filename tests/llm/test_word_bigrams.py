@@ -1,0 +1,73 @@
+"""Word bigram scores against plain Python counts of words and pairs."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from causeway.llm import word_bigrams
+from causeway.llm.queries import op10_lm_scoring
+
+
+def by_hand(rows, wanted, beta=0.1, kappa=20.0):
+    words = [(i, t.encode().split() if t else []) for i, t in rows]
+
+    def counted(chosen):
+        one, two, before = Counter(), Counter(), Counter()
+        for _, own in chosen:
+            for v, w in zip([None, *own], own):
+                one[w] += 1
+                two[v, w] += 1
+                before[v] += 1
+        return one, two, before, sum(one.values())
+
+    everything, target = counted(words), counted([x for x in words if x[0] in wanted])
+    vocabulary = len(everything[0])
+
+    def loss(own, counts, scale):
+        one, two, before, total = counts
+        out = 0.0
+        for v, w in zip([None, *own], own):
+            alone = (one[w] * scale + beta) / (total * scale + beta * vocabulary)
+            out -= math.log((two[v, w] * scale + kappa * alone) / (before[v] * scale + kappa))
+        return out / len(own)
+
+    scale = target[3] / max(1, everything[3])
+    return [(len(own), loss(own, target, 1.0), loss(own, everything, scale)) if own else (0, None, None) for _, own in words]
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 200, 8 << 20])
+@pytest.mark.parametrize("wanted", [[0, 1, 1, None, 77, 9, 12], []])
+def test_scores_by_hand(spark, chunk_bytes, wanted):
+    rng = random.Random(4)
+    texts = ["a b a b c", "a b", None, "", "x y z " * 500, "a b", " \n ", "é 漢字 é", "a"]
+    texts += [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    rows = list(enumerate(texts)) + [(1, "a b"), (None, "a c")]
+    docs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n long, doc_id long, text string").withColumn("target", F.lit("clash")).withColumn("id", F.lit("clash"))
+    found = word_bigrams.score(docs, spark.createDataFrame([(i,) for i in wanted], "id long"), ["n", "target"], chunk_bytes=chunk_bytes)
+    got = {r.c0: r for r in found.collect()}
+    assert len(got) == len(rows)
+    for n, want in enumerate(by_hand(rows, {i for i in wanted if i is not None})):
+        r = got[n]
+        assert r.c1 == "clash" and r.n_tokens == want[0]
+        if want[0]:
+            assert abs(r.target_loss - want[1]) < 1e-9 and abs(r.background_loss - want[2]) < 1e-9 and abs(r.score - (want[1] - want[2])) < 1e-9
+        else:
+            assert (r.target_loss, r.background_loss, r.score) == (None, None, None)
+
+
+def test_query_tells_all_words_apart(spark, tmp_path):
+    """With more words than 2^17 some shared a count before; now a word that only wanted documents hold is always theirs."""
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{i // 2 * 400 + k}" for k in range(400))) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op10_lm_scoring(spark, str(tmp_path)).collect()}
+    for i, want in enumerate(by_hand(rows, set(range(1, 800, 2)))):
+        assert abs(got[i].target_loss - want[1]) < 1e-9 and abs(got[i].background_loss - want[2]) < 1e-9
+
+
+def test_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert word_bigrams.score(empty, spark.createDataFrame([], "id long"), ["doc_id"]).count() == 0
