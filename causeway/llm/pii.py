@@ -8,7 +8,8 @@ from a prior score that a checksum raises and nearby context words raise further
 Positions come from splitting a text by the pattern: the pieces between matches and the matches themselves
 alternate, so running sums of their lengths are the offsets. Patterns use possessive quantifiers and start only
 where a run of their first class starts, or where the last match ended, which leaves the matches as they are and
-keeps the search linear and without recursion on very long texts.
+keeps the search linear and without recursion on very long texts. Where the end of a span cannot be told by a pattern
+(an IBAN and the capitals after it), the pattern is a look-ahead that proposes starts, and every end is tried.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ class Kind:
     bonus: float = 0.0
     #: SQL over the text ``t`` that is false only where the pattern cannot match.
     hint: str = "true"
+    #: SQL over a proposal ``m`` that gives the length of its span, null if none. The pattern is then empty but for a
+    #: look-ahead whose first group is the proposal and one character more; a space ends the text.
+    ends: str = ""
 
 
 def _start(chars: str) -> str:
@@ -44,9 +48,21 @@ def _start(chars: str) -> str:
 DIGITS = "regexp_replace(m, '[^0-9]', '')"
 #: Letters count 10 to 35; the first four characters go to the end.
 MOD97 = (
-    "aggregate(filter(split(concat(substr(regexp_replace(m, '[^0-9A-Z]', ''), 5), substr(m, 1, 4)), ''), c -> c <> ''), 0, "
+    "aggregate(filter(split(concat(substr(regexp_replace({0}, '[^0-9A-Z]', ''), 5), substr({0}, 1, 4)), ''), c -> c <> ''), 0, "
     "(r, c) -> cast(if(ascii(c) < 65, r * 10 + ascii(c) - 48, r * 100 + ascii(c) - 55) % 97 as int)) = 1"
 )
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+#: Of all ends at which a proposal is a whole number with a right checksum, that of the country's length, else the last.
+IBAN_END = (
+    "array_max(transform(filter(sequence(15, length(m) - 1), e -> substr(m, e, 1) <> ' ' and not substr(m, e + 1, 1) rlike '[A-Za-z0-9]' and "
+    + MOD97.format("substr(m, 1, e)")
+    + f"), e -> named_struct('known', contains('{IBAN_LENGTHS}', concat(substr(m, 1, 2), cast(length(replace(substr(m, 1, e), ' ', '')) as string))), 'e', e))).e"
+)
 LOCAL = "A-Za-z0-9._%+-"
 BASE = (
     Kind("email", _start(LOCAL) + rf"[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true", hint="contains(t, '@')"),
@@ -55,9 +71,9 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 9 and 15", hint="contains(t, '+')"),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", MOD97, 0.7, r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b", 0.2),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?s:.)))", "true", 0.7, r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b", 0.2, ends=IBAN_END),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(m, 1, 3) not in ('000', '666') and substr(m, 1, 1) <> '9' and substr(m, 5, 2) <> '00' and right(m, 4) <> '0000'", 0.4, r"(?i)\b(?:ssn|social|security|national id|ausweis|identit[ée])\b", 0.4),
-    Kind("secret", r"(?i)\b(?:password|passwd|api[_-]?key|secret|token)[=:][^\s]{6,200}+", "true", 0.6, r"(?i)\b(?:login|user|key|access)\b", 0.2),
+    Kind("secret", r"(?i)\b(?:password|passwd|api[_-]?key|secret|token)[=:][^\s]{6,}+", "true", 0.6, r"(?i)\b(?:login|user|key|access)\b", 0.2),
 )
 KINDS = BASE + ADDED
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,score:double>"
@@ -79,14 +95,25 @@ def find(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KIND
     for rank, kind in enumerate(kinds):
         pattern, hint = _quoted_sql(kind.pattern), kind.hint.replace("(t,", "(__pii_t,")
         found, gaps, spans = f"__pii_m{rank}", f"__pii_g{rank}", f"__pii_s{rank}"
-        now = now.withColumn(found, F.expr(f"if({hint}, regexp_extract_all(__pii_t, {pattern}, 0), cast(array() as array<string>))"))
-        now = now.withColumn(gaps, F.expr(f"if(size({found}) > 0, split(__pii_t, {pattern}, -1), cast(array() as array<string>))"))
+        # an empty match at the very start would leave no gap before it
+        text, group = ("concat(' ', __pii_t, ' ')", 1) if kind.ends else ("__pii_t", 0)
+        now = now.withColumn(found, F.expr(f"if({hint}, regexp_extract_all({text}, {pattern}, {group}), cast(array() as array<string>))"))
+        now = now.withColumn(gaps, F.expr(f"if(size({found}) > 0, split({text}, {pattern}, -1), cast(array() as array<string>))"))
         # running offset over gap, match, gap, match ...; only matches that pass are kept
         step = (
             f"aggregate({found}, named_struct('at', 0L, 'i', 0, 'got', cast(array() as array<struct<start:bigint,end:bigint,m:string>>)), (s, m) -> "
             f"named_struct('at', s.at + length({gaps}[s.i]) + length(m), 'i', s.i + 1, 'got', if({kind.valid}, "
             f"array_append(s.got, named_struct('start', s.at + length({gaps}[s.i]), 'end', s.at + length({gaps}[s.i]) + length(m), 'm', m)), s.got)), s -> s.got)"
         )
+        if kind.ends:  # proposals may overlap: the first that holds counts
+            step = (
+                f"aggregate(transform({found}, m -> named_struct('m', m, 'n', {kind.ends})), "
+                "named_struct('at', -1L, 'i', 0, 'till', 0L, 'got', cast(array() as array<struct<start:bigint,end:bigint,m:string>>)), (s, x) -> "
+                f"named_struct('at', s.at + length({gaps}[s.i]), 'i', s.i + 1, "
+                f"'till', if(x.n is not null and s.at + length({gaps}[s.i]) >= s.till, s.at + length({gaps}[s.i]) + x.n, s.till), "
+                f"'got', if(x.n is not null and s.at + length({gaps}[s.i]) >= s.till, array_append(s.got, named_struct('start', s.at + length({gaps}[s.i]), "
+                f"'end', s.at + length({gaps}[s.i]) + x.n, 'm', substr(x.m, 1, x.n))), s.got)), s -> s.got)"
+            )
         now = now.withColumn(spans, F.expr(f"if(size({found}) > 0, {step}, cast(array() as array<struct<start:bigint,end:bigint,m:string>>))"))
         score = f"{kind.score}D"
         if kind.context:
