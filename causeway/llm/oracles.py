@@ -1,5 +1,7 @@
 """DuckDB SQL of the rows of the queries that SQL can express."""
 
+from causeway.llm.pii import IBAN_LENGTHS
+
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 
 WARC = f"""
@@ -98,4 +100,71 @@ o AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM o
 """
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op3_warc": WARC, "op7_decontaminate": DECONTAMINATE}
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"(list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS}), CAST(i + 1 AS BIGINT), 1)::INTEGER ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + substr(reverse({_DIGITS}), CAST(i + 1 AS BIGINT), 1)::INTEGER] END)) % 10 = 0)"
+_KEYS = (
+    "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}"
+    "|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+)
+_SECRET = (
+    "(?i)\\b(?:[A-Za-z0-9]{1,20}[_-]){0,3}(?:password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret|token)[\"'']?[\\x20\\t]{0,4}(?:=>|:=|[=:])[\\x20\\t]{0,4}"
+    "(?:\"[^\"\\n]{6,}\"|''[^''\\n]{6,}''|[^\\x20\\x09-\\x0D]{6,})"
+)
+def _near(words: str) -> str:
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{words})(?:$|[^\p{{L}}\p{{N}}_])"
+
+
+_NUMBERS = _near("isbn|order|invoice|serial|part")
+#: (kind, pattern, test of a match m, score, words nearby that raise it, by how much, words that lower it, by how much, least score)
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.8, _near("e-?mail|mail|contact|write|reply"), 0.1, "^$", 0.0, 0.0),
+    ("ip", r"[0-9]+(?:\.[0-9]+){3}", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right('000' || x, 3) AS INTEGER) > 255)) = 0", 0.6,
+     _near("ip|host|server|address|ping|client"), 0.2, _near("version|release|section|chapter|build"), 0.3, 0.0),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}", 0.7, _near("card|credit|visa|mastercard|amex|payment"), 0.2, _NUMBERS, 0.3, 0.0),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 0.6, _near("phone|call|tel|mobile|fax"), 0.2, "^$", 0.0, 0.0),
+    ("iban", "", "", 0.7, _near("iban|bank|account|konto|compte|cuenta"), 0.2, "^$", 0.0, 0.5),
+    # a run of digits and hyphens that is an id as a whole
+    ("national_id", r"[0-9-]+", r"regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND right(m, 4) <> '0000'", 0.4,
+     _near("ssn|social|security|national id|ausweis|identit[ée]"), 0.4, _NUMBERS, 0.3, 0.5),
+    ("secret", _SECRET, r"regexp_matches(m, '^[^=:]*(?:=>|:=|[=:])(?:[^\x20\t>=]|[\x20\t]+[\"'']|[\x20\t]+.*[0-9])')", 0.6, _near("login|user|key|access|auth"), 0.2, "^$", 0.0, 0.5),
+    ("key", _KEYS, "true", 0.9, "^$", 0.0, "^$", 0.0, 0.5),
+]
+#: Matches and the pieces between them alternate, so sums of their lengths are the positions.
+_MATCHES = "\nUNION ALL ".join(
+    f"SELECT r, {k} AS rank, pos, pos + length(m) AS till FROM (SELECT r, m[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS pos "
+    f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d))) WHERE {valid}"
+    for k, (name, pattern, valid, *_) in enumerate(_KINDS) if pattern
+)
+_IBAN_NUMBER = "list_reduce(list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c: CAST(CASE WHEN ascii(c) < 65 THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT)), lambda a, x: ((CASE WHEN x > 9 THEN 100 ELSE 10 END) * a + x) % 97)"
+_SCORED = "\nUNION ALL ".join(
+    f"SELECT r, rank, pos, till, '{name}' AS kind, round({score} + CASE WHEN regexp_matches(near, '{words}') THEN {more} ELSE 0 END - CASE WHEN regexp_matches(near, '{against}') THEN {less} ELSE 0 END, 3) AS score, {least} AS least FROM n WHERE rank = {k}"
+    for k, (name, _, _, score, words, more, against, less, least) in enumerate(_KINDS)
+)
+#: An IBAN starts wherever its pattern does and ends at its country's length, else at the last end that has a right
+#: checksum; of overlapping ones the first counts.
+PII = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+cand AS (
+  SELECT r, pos, regexp_extract(substr(t || ' ', pos + 1), '^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}') AS p, t FROM (
+    SELECT r, t, unnest(range(0, length(t) - 14)) AS pos FROM d WHERE regexp_matches(t, '[A-Z]{{2}}[0-9]{{2}}\x20?[A-Z0-9]'))
+  WHERE NOT regexp_matches(substr(t, pos, CASE WHEN pos > 0 THEN 1 ELSE 0 END), '[A-Za-z0-9]') AND regexp_matches(substr(t, pos + 1, 4), '^[A-Z]{{2}}[0-9]{{2}}$')),
+cut AS (SELECT r, pos, e, substr(p, 1, e) AS piece, replace(substr(p, 1, e), ' ', '') AS bare, substr(t || ' ', pos + e + 1, 1) AS after FROM (SELECT *, unnest(range(15, length(p) + 1)) AS e FROM cand WHERE p <> '')),
+fit AS (
+  SELECT r, pos, max(CASE WHEN contains('@LENGTHS@', bare[1:2] || length(bare)) THEN 1000 ELSE 0 END + e) % 1000 AS e FROM cut
+  WHERE right(piece, 1) <> ' ' AND NOT regexp_matches(after, '^[A-Za-z0-9]$') AND {_IBAN_NUMBER} = 1 GROUP BY r, pos),
+numbered AS (SELECT r, pos, pos + e AS till, row_number() OVER (PARTITION BY r ORDER BY pos) AS k FROM fit),
+walk(r, k, pos, till, good) AS (
+  SELECT r, k, pos, till, true FROM numbered WHERE k = 1
+  UNION ALL SELECT n.r, n.k, n.pos, CASE WHEN n.pos >= w.till THEN n.till ELSE w.till END, n.pos >= w.till FROM walk w JOIN numbered n ON n.r = w.r AND n.k = w.k + 1),
+m AS (SELECT r, 4 AS rank, pos, till FROM walk WHERE good UNION ALL {_MATCHES}),
+n AS (SELECT m.*, substr(t, greatest(1, pos + 1 - 40)::BIGINT, (pos - greatest(0, pos - 40))::BIGINT) || ' ' || substr(t, (till + 1)::BIGINT, 40) AS near FROM m JOIN d USING (r)),
+s AS (SELECT *, kind || ':' || pos::BIGINT || ':' || till::BIGINT AS said FROM ({_SCORED}) WHERE score >= least),
+o AS (
+  SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    coalesce(string_agg(said, ',' ORDER BY pos, rank) FILTER (rank < 4), '') AS base, string_agg(said, ',' ORDER BY pos, rank) AS spans, string_agg(CAST(CAST(score AS DECIMAL(4, 2)) AS VARCHAR), ',' ORDER BY pos, rank) AS scores FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN o USING (r)
+""".replace("@LENGTHS@", IBAN_LENGTHS)
+
+ORACLE_SQL = {"op2_quality_rules": QUALITY, "op3_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op8_pii": PII}

@@ -1,9 +1,10 @@
 """Personal data by regular expressions, checksums and context words, in Catalyst expressions only.
 
 Each kind has a pattern that proposes spans, leftmost and without overlap, and a validator: digit counts, octet
-ranges, Luhn, mod 97. A proposal that fails is dropped. The base kinds need no more than that. Added kinds start
-from a prior score that a checksum raises and nearby context words raise further; they are reported from
-``threshold`` on. Spans are counted in code points, end exclusive.
+ranges, Luhn, mod 97, the look of a key. A proposal that fails is dropped. Each kind has a score to start from, higher
+where a checksum confirms it; words nearby that speak for a kind raise it, words against it lower it. Added kinds are
+reported from ``threshold`` on; base kinds are reported whatever their score, which comes along with each span.
+Spans are counted in code points, end exclusive.
 
 Positions come from splitting a text by the pattern: the pieces between matches and the matches themselves
 alternate, so running sums of their lengths are the offsets. Patterns use possessive quantifiers and start only
@@ -28,10 +29,14 @@ class Kind:
     pattern: str
     #: SQL over the matched string ``m``
     valid: str
-    #: Score of a valid match without context, and what context words add.
+    #: Score of a valid match without context; words nearby that raise it by ``bonus``, and that lower it by ``malus``.
     score: float = 1.0
     context: str = ""
     bonus: float = 0.0
+    against: str = ""
+    malus: float = 0.0
+    #: Whether it is reported whatever its score.
+    base: bool = False
     #: SQL over the text ``t`` that is false only where the pattern cannot match.
     hint: str = "true"
     #: SQL over a proposal ``m`` that gives the length of its span, null if none. The pattern is then empty but for a
@@ -45,6 +50,11 @@ def _start(chars: str) -> str:
     return rf"(?:\G|(?<![{chars}]))"
 
 
+def _words(alternatives: str) -> str:
+    """One of some words, in any case, between characters that are no letters, digits or underscores."""
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{alternatives})(?:$|[^\p{{L}}\p{{N}}_])"
+
+
 DIGITS = "regexp_replace(m, '[^0-9]', '')"
 #: Letters count 10 to 35; the first four characters go to the end.
 MOD97 = (
@@ -64,64 +74,94 @@ IBAN_END = (
     + f"), e -> named_struct('known', contains('{IBAN_LENGTHS}', concat(substr(m, 1, 2), cast(length(replace(substr(m, 1, e), ' ', '')) as string))), 'e', e))).e"
 )
 LOCAL = "A-Za-z0-9._%+-"
+VERSIONS = _words("version|release|section|chapter|build")
+NUMBERS = _words("isbn|order|invoice|serial|part")
 BASE = (
-    Kind("email", _start(LOCAL) + rf"[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true", hint="contains(t, '@')"),
-    Kind("ip", _start("0-9") + r"[0-9]++(?:\.[0-9]++){3}", "forall(split(m, '[.]'), x -> length(ltrim('0', x)) <= 3 and cast(right(concat('000', x), 3) as int) <= 255)"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", f"length({DIGITS}) between 12 and 19 and luhn_check({DIGITS})"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 9 and 15", hint="contains(t, '+')"),
+    Kind("email", _start(LOCAL) + rf"[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true", 0.8, _words("e-?mail|mail|contact|write|reply"), 0.1, hint="contains(t, '@')", base=True),
+    Kind("ip", _start("0-9") + r"[0-9]++(?:\.[0-9]++){3}", "forall(split(m, '[.]'), x -> length(ltrim('0', x)) <= 3 and cast(right(concat('000', x), 3) as int) <= 255)", 0.6, _words("ip|host|server|address|ping|client"), 0.2, VERSIONS, 0.3, base=True),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", f"length({DIGITS}) between 12 and 19 and luhn_check({DIGITS})", 0.7, _words("card|credit|visa|mastercard|amex|payment"), 0.2, NUMBERS, 0.3, base=True),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 9 and 15", 0.6, _words("phone|call|tel|mobile|fax"), 0.2, hint="contains(t, '+')", base=True),
+)
+#: Names of settings that hold a secret, and what may stand between a name and its value.
+SECRET_NAMES = "password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret|token"
+SECRET = (
+    rf"(?i)(?<![A-Za-z0-9_])(?:[A-Za-z0-9]{{1,20}}[_-]){{0,3}}(?:{SECRET_NAMES})[\"']?[\x20\t]{{0,4}}(?:=>|:=|[=:])[\x20\t]{{0,4}}"
+    r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\x20\x09-\x0D]{6,}+)"
+)
+#: A value set off by spaces and without quotes may be prose: it must hold a digit.
+SECRET_VALID = r"""m rlike '^[^=:]*(=>|:=|[=:])([^\\x20\\t>=]|[\\x20\\t]+["\\x27]|[\\x20\\t]+.*[0-9])'"""
+#: The public formats of keys that need no name beside them.
+KEY = (
+    r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,20}PRIVATE KEY-----"
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?s:.)))", "true", 0.7, r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b", 0.2, ends=IBAN_END),
-    Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(m, 1, 3) not in ('000', '666') and substr(m, 1, 1) <> '9' and substr(m, 5, 2) <> '00' and right(m, 4) <> '0000'", 0.4, r"(?i)\b(?:ssn|social|security|national id|ausweis|identit[ée])\b", 0.4),
-    Kind("secret", r"(?i)\b(?:password|passwd|api[_-]?key|secret|token)[=:][^\s]{6,}+", "true", 0.6, r"(?i)\b(?:login|user|key|access)\b", 0.2),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?s:.)))", "true", 0.7, _words("iban|bank|account|konto|compte|cuenta"), 0.2, ends=IBAN_END),
+    Kind(
+        "national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substr(m, 1, 3) not in ('000', '666') and substr(m, 1, 1) <> '9' and substr(m, 5, 2) <> '00' and right(m, 4) <> '0000'",
+        0.4, _words("ssn|social|security|national id|ausweis|identit[ée]"), 0.4, NUMBERS, 0.3,
+    ),
+    Kind("secret", SECRET, SECRET_VALID, 0.6, _words("login|user|key|access|auth"), 0.2, hint=r"""t rlike '(?i)(pass|pwd|key|secret|token)[a-z]{0,6}["\\x27]?[\\x20\\t]{0,4}[=:]'"""),
+    Kind("key", KEY, "true", 0.9, hint="t rlike 'AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|PRIVATE KEY'"),
 )
 KINDS = BASE + ADDED
-SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,score:double>"
 
 
 def _quoted_sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.5, near: int = 40, out: str = "spans") -> DataFrame:
-    """``docs`` with an array column ``out`` of (start, rank, kind, end, score), ordered by start and then kind.
-
-    A null text is empty. Only columns whose names start with ``__pii`` are made on the way; such names are refused.
-    """
-    if clash := [c for c in docs.columns if c.startswith("__pii") or c == out]:
-        raise ValueError(f"columns in the way: {clash}")
-    now = docs.withColumn("__pii_t", F.coalesce(quoted(text_col).cast("string"), F.lit("")))
+def _found(now: DataFrame, text: str, kinds: tuple[Kind, ...], threshold: float, near: int) -> DataFrame:
+    """``now``, whose columns are c0, c1, ..., with its spans as ``__spans``; ``text`` is one of them."""
+    own = now.columns
+    now = now.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    none = "cast(array() as array<struct<start:bigint,end:bigint,m:string>>)"
     made = []
     for rank, kind in enumerate(kinds):
-        pattern, hint = _quoted_sql(kind.pattern), kind.hint.replace("(t,", "(__pii_t,")
-        found, gaps, spans = f"__pii_m{rank}", f"__pii_g{rank}", f"__pii_s{rank}"
+        pattern, hint = _quoted_sql(kind.pattern), kind.hint.replace("(t,", "(__t,").replace("t rlike", "__t rlike")
+        found, gaps, spans = f"__m{rank}", f"__g{rank}", f"__s{rank}"
         # an empty match at the very start would leave no gap before it
-        text, group = ("concat(' ', __pii_t, ' ')", 1) if kind.ends else ("__pii_t", 0)
-        now = now.withColumn(found, F.expr(f"if({hint}, regexp_extract_all({text}, {pattern}, {group}), cast(array() as array<string>))"))
-        now = now.withColumn(gaps, F.expr(f"if(size({found}) > 0, split({text}, {pattern}, -1), cast(array() as array<string>))"))
+        within, group = ("concat(' ', __t, ' ')", 1) if kind.ends else ("__t", 0)
+        now = now.withColumn(found, F.expr(f"if({hint}, regexp_extract_all({within}, {pattern}, {group}), cast(array() as array<string>))"))
+        now = now.withColumn(gaps, F.expr(f"if(size({found}) > 0, split({within}, {pattern}, -1), cast(array() as array<string>))"))
         # running offset over gap, match, gap, match ...; only matches that pass are kept
         step = (
-            f"aggregate({found}, named_struct('at', 0L, 'i', 0, 'got', cast(array() as array<struct<start:bigint,end:bigint,m:string>>)), (s, m) -> "
+            f"aggregate({found}, named_struct('at', 0L, 'i', 0, 'got', {none}), (s, m) -> "
             f"named_struct('at', s.at + length({gaps}[s.i]) + length(m), 'i', s.i + 1, 'got', if({kind.valid}, "
             f"array_append(s.got, named_struct('start', s.at + length({gaps}[s.i]), 'end', s.at + length({gaps}[s.i]) + length(m), 'm', m)), s.got)), s -> s.got)"
         )
         if kind.ends:  # proposals may overlap: the first that holds counts
             step = (
                 f"aggregate(transform({found}, m -> named_struct('m', m, 'n', {kind.ends})), "
-                "named_struct('at', -1L, 'i', 0, 'till', 0L, 'got', cast(array() as array<struct<start:bigint,end:bigint,m:string>>)), (s, x) -> "
+                f"named_struct('at', -1L, 'i', 0, 'till', 0L, 'got', {none}), (s, x) -> "
                 f"named_struct('at', s.at + length({gaps}[s.i]), 'i', s.i + 1, "
                 f"'till', if(x.n is not null and s.at + length({gaps}[s.i]) >= s.till, s.at + length({gaps}[s.i]) + x.n, s.till), "
                 f"'got', if(x.n is not null and s.at + length({gaps}[s.i]) >= s.till, array_append(s.got, named_struct('start', s.at + length({gaps}[s.i]), "
                 f"'end', s.at + length({gaps}[s.i]) + x.n, 'm', substr(x.m, 1, x.n))), s.got)), s -> s.got)"
             )
-        now = now.withColumn(spans, F.expr(f"if(size({found}) > 0, {step}, cast(array() as array<struct<start:bigint,end:bigint,m:string>>))"))
+        now = now.withColumn(spans, F.expr(f"if(size({found}) > 0, {step}, {none})"))
+        around = f"concat(substr(__t, cast(greatest(1, x.start + 1 - {near}) as int), cast(x.start - greatest(0, x.start - {near}) as int)), ' ', substr(__t, cast(x.end + 1 as int), {near}))"
         score = f"{kind.score}D"
-        if kind.context:
-            around = f"concat(substr(__pii_t, cast(greatest(1, x.start + 1 - {near}) as int), cast(x.start - greatest(0, x.start - {near}) as int)), ' ', substr(__pii_t, cast(x.end + 1 as int), {near}))"
-            score = f"{kind.score}D + if({around} rlike {_quoted_sql(kind.context)}, {kind.bonus}D, 0D)"
-        made.append(f"transform({spans}, x -> named_struct('start', x.start, 'rank', {rank}, 'kind', '{kind.name}', 'end', x.end, 'score', {score}))")
-    everything = f"array_sort(filter(concat({', '.join(made)}), x -> x.score >= {threshold}D))"
-    return now.select(*[quoted(c) for c in docs.columns], F.expr(everything).alias(out))
+        for words, weight in ((kind.context, kind.bonus), (kind.against, -kind.malus)):
+            score += f" + if({around} rlike {_quoted_sql(words)}, {weight}D, 0D)" if words else ""
+        rated = f"transform({spans}, x -> named_struct('start', x.start, 'rank', {rank}, 'kind', '{kind.name}', 'end', x.end, 'score', round({score}, 3)))"
+        made.append(rated if kind.base else f"filter({rated}, x -> x.score >= {threshold}D)")
+    return now.select(*own, F.expr(f"array_sort(concat({', '.join(made)}))").alias("__spans"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns as c0, c1, ...: nothing made on the way can clash with them."""
+    return docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def find(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.5, near: int = 40, out: str = "spans") -> DataFrame:
+    """``docs`` with an array column ``out`` of (start, rank, kind, end, score), ordered by start and then kind.
+
+    Null and empty texts have no spans; an empty table gives an empty one; repeated rows each keep theirs. A column that
+    is already called ``out`` is replaced; any other name, whatever it is, stays as it was."""
+    found = _found(_numbered(docs), f"c{docs.columns.index(text_col)}", kinds, threshold, near)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != out]
+    return found.select(*kept, F.col("__spans").alias(out))
 
 
 def as_text(spans: str, kinds: tuple[Kind, ...] = KINDS) -> Column:
@@ -131,33 +171,40 @@ def as_text(spans: str, kinds: tuple[Kind, ...] = KINDS) -> Column:
 
 
 def report(found: DataFrame, id_col: str = "doc_id", spans: str = "spans") -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, all spans and their scores, one row for each of ``found``.
+
+    No spans: counts of 0, the digest of the empty string, empty strings."""
     counts = [F.expr(f"cast(size(filter({spans}, x -> x.kind = '{k.name}')) as long)").alias(f"n_{k.name}") for k in BASE]
-    return found.select(quoted(id_col).alias("doc_id"), *counts, F.sha2(as_text(spans, BASE).cast("binary"), 256).alias("base_sha256"), as_text(spans).alias("spans"))
+    scores = F.expr(f"array_join(transform({spans}, x -> cast(cast(x.score as decimal(4,2)) as string)), ',')")
+    return found.select(quoted(id_col).alias("doc_id"), *counts, F.sha2(as_text(spans, BASE).cast("binary"), 256).alias("base_sha256"), as_text(spans).alias("spans"), scores.alias("scores"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.5, near: int = 40) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in square brackets; overlapping spans are replaced
-    at once, under the name of the first. ``length_col``, if there, becomes the new length of changed texts; nulls stay."""
-    found = find(docs, text_col, out="__found", **options)
+    at once, under the name of the first. ``length_col``, if there, becomes the new length of changed texts.
+
+    Null texts stay null and empty ones empty; repeated rows are each redacted; an empty table stays empty; other
+    columns, whatever their names, stay as they were."""
+    text = f"c{docs.columns.index(text_col)}"
+    found = _found(_numbered(docs), text, kinds, threshold, near)
     merged = F.expr(
-        "aggregate(__found, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (d, x) -> if(size(d) > 0 and d[size(d) - 1].end > x.start, "
+        "aggregate(__spans, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (d, x) -> if(size(d) > 0 and d[size(d) - 1].end > x.start, "
         "concat(slice(d, 1, size(d) - 1), array(named_struct('start', d[size(d) - 1].start, 'end', greatest(d[size(d) - 1].end, x.end), 'kind', d[size(d) - 1].kind))), "
         "array_append(d, named_struct('start', x.start, 'end', x.end, 'kind', x.kind))))"
     )
     found = found.withColumn("__merged", merged)
-    t = "`" + text_col.replace("`", "``") + "`"
     pieces = (
         f"aggregate(__merged, named_struct('at', 0L, 'out', cast(array() as array<string>)), (s, x) -> named_struct('at', x.end, 'out', "
-        f"concat(s.out, array(substr({t}, cast(s.at + 1 as int), cast(x.start - s.at as int)), concat('[', upper(x.kind), ']')))), "
-        f"s -> concat(array_join(s.out, ''), substr({t}, cast(s.at + 1 as int))))"
+        f"concat(s.out, array(substr({text}, cast(s.at + 1 as int), cast(x.start - s.at as int)), concat('[', upper(x.kind), ']')))), "
+        f"s -> concat(array_join(s.out, ''), substr({text}, cast(s.at + 1 as int))))"
     )
-    found = found.withColumn("__text", F.expr(f"if(size(__merged) > 0, {pieces}, {t})"))
+    found = found.withColumn("__new", F.expr(f"if(size(__merged) > 0, {pieces}, {text})"))
     columns = []
-    for c in docs.columns:
+    for i, c in enumerate(docs.columns):
         if c == text_col:
-            columns.append(F.col("__text").alias(c))
+            columns.append(F.col("__new").alias(c))
         elif c == length_col:
-            columns.append(F.when(F.size("__merged") > 0, F.length("__text").cast(docs.schema[c].dataType)).otherwise(quoted(c)).alias(c))
+            columns.append(F.when(F.size("__merged") > 0, F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(f"c{i}")).alias(c))
         else:
-            columns.append(quoted(c))
+            columns.append(F.col(f"c{i}").alias(c))
     return found.select(*columns)
