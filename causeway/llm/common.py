@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` of the session names it.
 
-    Only where that is unset (local runs and tests) a temporary folder is made and set.
+    Only where that is unset and the session is local (as in tests) a temporary folder is made and set; on a cluster
+    that would be a folder of the driver alone, so there an unset one is an error.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="causeway-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
 
 
+#: Schemes of Hadoop's file systems, and how pyarrow calls the same store.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def for_workers(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI that workers can open without Spark (``open_store``): the scheme that Hadoop takes for it,
+    under pyarrow's name. A store that pyarrow does not know is refused here, before any task runs."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    scheme, _, rest = whole.partition(":")
+    if scheme not in SCHEMES:
+        raise ValueError(f"workers cannot write to {whole}: its scheme is none of {sorted(SCHEMES)}")
+    return f"{SCHEMES[scheme]}://" + rest.removeprefix("//")
+
+
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path of a URI made by ``for_workers``."""
+    return pafs.FileSystem.from_uri(uri)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/causeway/{name}-{uuid.uuid4().hex}"
@@ -48,22 +73,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, is read again by several consumers, and
-    survives lost executors."""
+    survives lost executors. ``free`` removes it; else it goes when the driver ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
-def text_bytes(column: str = "text") -> Column:
-    return F.col(column).cast("binary")
+def free(*tables: DataFrame) -> None:
+    """Removes ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def map_batches(

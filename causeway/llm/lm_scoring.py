@@ -1,145 +1,252 @@
-"""Cross-entropy difference between a target and a background language model.
+"""Cross-entropy difference between two word bigram models whose counts grow with the corpus.
 
-Both are class bigram models over one vocabulary: a word is one of ``WORDS`` types by its CRC-32, a type belongs to
-one of ``CLASSES`` classes, and p(w | v) = p(class of w | class of v) * p(w | class of w). Both factors are smoothed
-and sum to one exactly. The target's counts come from all documents labelled as wanted, the background's from all
-documents; background counts are scaled to the target's size so that smoothing weighs the same in both.
+Words are runs without ASCII white space, as written. Both models share one vocabulary, the words of all documents:
 
-The tables have a fixed size whatever the corpus holds, so they can be sent to the workers; words that share a type
-share its counts. Counting adds up dense blocks: each task sums its partition in arrays and hands over one row per block,
-which Spark sums by block; the rows of a block come from all tasks but are added as they arrive.
+    p(w) = (c(w) + beta) / (N + beta * V)        p(w | v) = (c(v, w) + kappa * p(w)) / (c(v, .) + kappa)
+
+and both sum to one exactly. The target's counts come from the documents named as wanted, the background's from all
+documents, scaled to the target's size so that smoothing weighs the same in both. No word, pair or document is dropped.
+
+A document never scores itself: what it has put into either model is taken out again before it is scored, so a wanted
+document is measured by the other wanted ones, like one that was never named. Copies of it do count.
+
+Documents are written in chunks of about ``chunk_bytes``. Counts are summed within a chunk before they are shuffled: a
+chunk sorts the keys of its words and of its pairs of neighbours, cuts them at the edges of as many ranges as there are
+chunks, and hands over one packed row per range. Keys are spread evenly by their hash and a common one comes at most
+once from each chunk, so a range is about the size of a chunk. Each range adds up its chunks' counts and answers each
+chunk with the totals of the keys it sent, in their order; there the documents are scored. Nothing is broadcast.
+
+Keys are 64-bit hashes of words and of pairs, one bit of which tells the two apart. Among 10^9 distinct keys 0.1 pairs
+are expected to be equal by chance.
 
 A document's score is the mean over its tokens of target loss minus background loss, in nats: the lower, the more
-like the target. No registered query uses these models: ``word_bigrams`` counts real words and pairs.
+like the target.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import annotate, quoted
+from causeway.llm.common import for_workers, mix, new_folder, open_store, quoted, written
+
+SCORES = "n_tokens long, in_target boolean, target_loss double, background_loss double, score double"
 
-WORDS = 1 << 17
-CLASSES = 1 << 10
-START = CLASSES  # the context of a text's first word
-CELLS = WORDS + (CLASSES + 1) * CLASSES
-WIDE = 64
-SLICE = 8 << 20
-SCORES = "n_tokens long, target_loss double, background_loss double, score double"
+START = np.uint64(0x9E3779B97F4A7C15)  # what a text's first word follows
+ODD = np.uint64(0xD6E8FEB86659FD93)
+ONE = np.uint64(1)
+CHUNKS_PER_TASK = 4
+CODEC = pa.Codec("zstd", 1)
+PACKED = "range int, chunk long, size int, data binary"
+COUNTS = 4  # of a key: in all documents, in the target, and how often it ends a text of either
 
 
-def types_of(text: bytes | None) -> np.ndarray:
-    """The word types of a text: words are runs without ASCII white space, as written."""
+def words_of(text: bytes | None) -> np.ndarray:
+    """The hashes of a text's words."""
     words = text.split() if text else []
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) % WORDS
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def cells_of(types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token, the cell of its type and the cell of its class after the class before."""
-    own = types % CLASSES
-    before = np.concatenate([[START], own[:-1]])
-    return types, WORDS + before * CLASSES + own
+def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, its own key (odd) and the key of it after the word before (even)."""
+    before = np.concatenate([[START], words[:-1]])
+    return mix(words) | ONE, mix(before * ODD + words) & ~ONE
 
 
-def count(texts: DataFrame) -> np.ndarray:
-    """(2, CELLS) counts over ``texts(text, target)``: all texts, and those with ``target``."""
-    names = ["side", "block", *[f"n{i}" for i in range(WIDE)]]
-    schema = "side int, block int, " + ", ".join(f"n{i} long" for i in range(WIDE))
+def _write_chunks(docs: DataFrame, keep: list[str], id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """(file, chunk, pos, id, n) per row of ``docs``; the files hold the columns ``keep`` as c0, c1, ... and the text."""
+    folder = for_workers(docs.sparkSession, new_folder(docs.sparkSession, "lm-chunks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, CELLS), np.int64)
-        any_rows = False
+        files, base = open_store(folder)
+        files.create_dir(base, recursive=True)
+        part, made = TaskContext.get().partitionId(), 0
+
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal made
+            whole = pa.Table.from_batches(held)
+            name = f"{uuid.uuid4().hex}.arrow"
+            with files.open_output_stream(f"{base}/{name}") as sink:
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(whole)
+            n = [len(t.split()) if t else 0 for t in whole.column("text").to_pylist()]
+            rows = whole.num_rows
+            columns = [pa.array([f"{folder}/{name}"] * rows), pa.array(np.full(rows, (part << 24) + made)), pa.array(np.arange(rows, dtype=np.int32)), whole.column("id").combine_chunks(), pa.array(n, pa.int64())]
+            made += 1
+            return pa.RecordBatch.from_arrays(columns, names=["file", "chunk", "pos", "id", "n"])
+
+        held, size = [], 0
         for batch in batches:
-            any_rows |= batch.num_rows > 0
-            step = max(1, int(batch.num_rows * min(1.0, SLICE / max(1, batch.nbytes))))
+            step = max(1, int(batch.num_rows * min(1.0, chunk_bytes / 8 / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                found = [[], []]
-                for text, target in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if text:
-                        cells = np.concatenate(cells_of(types_of(text)))
-                        found[0].append(cells)
-                        if target:
-                            found[1].append(cells)
-                for side in range(2):
-                    if found[side]:
-                        sums[side] += np.bincount(np.concatenate(found[side]), minlength=CELLS)
-        if any_rows:
-            for side in range(2):
-                rows = sums[side].reshape(-1, WIDE)
-                live = np.flatnonzero(rows.any(axis=1))
-                for at in range(0, len(live), 4096):
-                    some = live[at : at + 4096]
-                    own = np.ascontiguousarray(rows[some].T)
-                    columns = [pa.array(np.full(len(some), side, np.int32)), pa.array(some.astype(np.int32)), *[pa.array(x) for x in own]]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    made = texts.select(F.col("text"), F.col("target")).mapInArrow(run, schema)
-    total = made.groupBy("side", "block").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(WIDE)])
-    table = total.toArrow()  # at most 2 * CELLS / WIDE rows
-    sums = np.zeros((2, CELLS // WIDE, WIDE), np.int64)
-    if table.num_rows:
-        values = np.stack([table.column(f"n{i}").to_numpy() for i in range(WIDE)], 1)
-        sums[table.column("side").to_numpy(), table.column("block").to_numpy()] = values
-    return sums.reshape(2, CELLS)
-
-
-@dataclass
-class Model:
-    """Losses (negative log-probabilities) by type within its class, and by class after class."""
-
-    word: np.ndarray
-    step: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray, beta: float, kappa: float) -> Model:
-        words, steps = counts[:WORDS].astype(float), counts[WORDS:].astype(float).reshape(CLASSES + 1, CLASSES)
-        by_class = np.bincount(np.arange(WORDS) % CLASSES, weights=words, minlength=CLASSES)
-        within = (words + beta) / (by_class[np.arange(WORDS) % CLASSES] + beta * WORDS / CLASSES)
-        alone = (by_class + beta) / (by_class.sum() + beta * CLASSES)
-        after = (steps + kappa * alone) / (steps.sum(axis=1, keepdims=True) + kappa)
-        return cls((-np.log(within)).astype(np.float32), (-np.log(after)).astype(np.float32).ravel())
-
-    def losses(self, types: np.ndarray) -> np.ndarray:
-        word, step = cells_of(types)
-        return self.word[word] + self.step[step - WORDS]
-
-
-def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", beta: float = 0.1, kappa: float = 20.0) -> tuple[Model, Model]:
-    """(target, background). ``wanted(id)`` names the target documents; null and repeated ids do not matter.
-
-    Without any target text the target model is its smoothing alone. The documents meet ``wanted`` in a hash join by
-    id whose build side is the ids."""
+                held.append(batch.slice(at, step))
+                size += held[-1].nbytes
+                if size >= chunk_bytes:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    wide = docs.select(*numbered, quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text"))
+    return written(wide.mapInArrow(run, "file string, chunk long, pos int, id long, n long"), "lm-rows")
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """A matrix of 64-bit integers, its bytes ordered by significance so that small numbers take little room."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(rows).view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1))
+    return CODEC.compress(planes, asbytes=True)
+
+
+def unpack(data: bytes, rows: int, size: int) -> np.ndarray:
+    planes = np.frombuffer(CODEC.decompress(data, rows * size * 8, asbytes=True), np.uint8).reshape(rows, 8, size)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(rows, size)
+
+
+class Chunk:
+    """The documents of one file and the counts of its keys, within the chunk as long as no totals are put in."""
+
+    def __init__(self, file: str, wanted: list[int]):
+        files, path = open_store(file)
+        with files.open_input_stream(path) as source:
+            self.table = pa.ipc.open_stream(source).read_all()
+        words = [words_of(t) for t in self.table.column("text").to_pylist()]
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.wanted = np.zeros(len(words), bool)
+        self.wanted[wanted] = True
+        own, pair = zip(*map(keys_of, words))
+        own, pair = np.concatenate(own), np.concatenate(pair)
+        self.keys, inverse = np.unique(np.concatenate([own, pair]), return_inverse=True)
+        self.own, self.pair = inverse[: len(own)], inverse[len(own) :]
+        mine = np.repeat(self.wanted, self.lengths)
+        in_target = np.flatnonzero(mine)
+        size = len(self.keys)
+        self.last = np.cumsum(self.lengths)[self.lengths > 0] - 1
+        count = lambda at: np.bincount(at, minlength=size).astype(np.int64)
+        self.all, self.target = count(inverse), count(np.concatenate([self.own[in_target], self.pair[in_target]]))
+        self.all_ends, self.target_ends = count(self.own[self.last]), count(self.own[self.last[mine[self.last]]])
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.stack([self.all, self.target, self.all_ends, self.target_ends])
+
+    def put(self, totals: np.ndarray) -> None:
+        self.all, self.target, self.all_ends, self.target_ends = totals
+
+    def within(self, at: np.ndarray) -> np.ndarray:
+        """Of each token, how often its document has the key ``at`` of it."""
+        document = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        _, inverse, n = np.unique(document * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return n[inverse]
+
+    def own_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token in its document: how often its word is there, its pair, and its word with another behind it."""
+        words = self.within(self.own)
+        last = np.repeat(self.own[self.last], self.lengths[self.lengths > 0])  # the document's last word
+        return words, self.within(self.pair), words - (self.own == last)
+
+    def losses(self, n: np.ndarray, ends: np.ndarray, own: tuple, out: np.ndarray, starts: int, tokens: int, vocabulary: int, scale: np.ndarray, beta: float, kappa: float) -> np.ndarray:
+        """Per token, under the model whose counts are ``scale`` times ``n``, without what the documents ``out`` have of
+        their ``own_counts`` in it."""
+        words, pairs, followed = own
+        less = np.repeat(out, self.lengths)
+        follows = (n - ends)[self.own] - followed * less
+        context = np.concatenate([[starts], follows[:-1]])
+        first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        context[first] = starts - out[self.lengths > 0]
+        left = np.repeat(tokens - self.lengths * out, self.lengths)
+        scale = np.repeat(scale, self.lengths)
+        alone = ((n[self.own] - words * less) * scale + beta) / (left * scale + beta * vocabulary)
+        return -np.log(((n[self.pair] - pairs * less) * scale + kappa * alone) / (context * scale + kappa))
+
+
+def score(
+    docs: DataFrame, wanted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", beta: float = 0.1, kappa: float = 20.0, chunk_bytes: int = 8 << 20
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` as c0, c1, ... with SCORES. ``wanted(id)`` names the target documents; null and
+    repeated ids there do not matter, and a document without an id is never one of them. Null texts and texts without a
+    word have no tokens, and losses and score are null; repeated rows are each counted and scored, as copies of each
+    other. Without any target text the target model is smoothing alone. An empty table gives an empty result."""
     ids = wanted.where("id is not null").select(F.col("id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text"))
-    flagged = rows.join(ids.hint("shuffle_hash"), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    everything, target = count(flagged)
-    scale = target[:WORDS].sum() / max(1, everything[:WORDS].sum())
-    return Model.of(target, beta, kappa), Model.of(everything * scale, beta, kappa)
-
-
-def score(docs: DataFrame, target: Model, background: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` as c0, c1, ... with SCORES. Null texts and texts without a word have no
-    tokens, and losses and score are null; repeated rows are each scored."""
-    sent = docs.sparkSession.sparkContext.broadcast((target, background))
-
-    def compute(texts):
-        models, rows = sent.value, []
-        for text in texts:
-            types = types_of(text)
-            if len(types):
-                losses = [m.losses(types) for m in models]
-                rows.append((len(types), *(float(x.mean(dtype=np.float64)) for x in losses), float((losses[0] - losses[1]).mean(dtype=np.float64))))
-            else:
-                rows.append((0, None, None, None))
-        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-
-    return annotate(docs, text_col, keep, SCORES, compute)
+    rows = _write_chunks(docs, keep, id_col, text_col, chunk_bytes)
+    named = rows.where("id is not null").join(ids, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    flagged = named.unionByName(rows.where("id is null").withColumn("target", F.lit(False)))  # null ids would all meet in one task
+    mine = F.col("target").cast("long")
+    chunks = flagged.groupBy("chunk", "file").agg(
+        F.collect_list(F.when(F.col("target"), F.col("pos"))).alias("wanted"),
+        F.sum("n").alias("tokens"),
+        F.sum(F.col("n") * mine).alias("target_tokens"),
+        F.count_if(F.col("n") > 0).alias("starts"),
+        F.sum((F.col("n") > 0).cast("long") * mine).alias("target_starts"),
+    )
+    chunks = written(chunks, "lm-index")
+    sizes = chunks.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "target_tokens", "starts", "target_starts")]).first()
+    n_chunks, tokens, target_tokens, starts, target_starts = sizes
+    totals = written(_totals(chunks, n_chunks), "lm-totals")
+    vocabulary = totals.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+
+    wide = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    kept = [f.name for f in wide.schema.fields]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields), SCORES])
+
+    def compute(left: pa.Table, right: pa.Table) -> pa.Table:
+        (file,), (places,) = left.column("file").to_pylist(), left.column("wanted").to_pylist()
+        chunk = Chunk(file, places)
+        answers = sorted(zip(*(right.column(c).to_pylist() for c in ("range", "size", "data"))))
+        chunk.put(np.concatenate([np.empty((COUNTS, 0), np.int64), *[unpack(data, COUNTS, size) for _, size, data in answers]], axis=1))
+        n, none, own = chunk.lengths, chunk.lengths == 0, chunk.own_counts()
+        mine, everyone = chunk.wanted.astype(np.int64), np.ones(len(chunk.lengths), np.int64)
+        scale = (target_tokens - n * mine) / np.maximum(1, tokens - n)
+        target = chunk.losses(chunk.target, chunk.target_ends, own, mine, target_starts, target_tokens, vocabulary, np.ones(len(n)), beta, kappa)
+        background = chunk.losses(chunk.all, chunk.all_ends, own, everyone, starts, tokens, vocabulary, scale, beta, kappa)
+        text = np.repeat(np.arange(len(n)), n)
+        means = [np.bincount(text, x, len(n)) / np.maximum(n, 1) for x in (target, background, target - background)]
+        made = [pa.array(n), pa.array(chunk.wanted), *[pa.array(x, pa.float64(), mask=none) for x in means]]
+        names = [x.split()[0] for x in SCORES.split(", ")]
+        return pa.Table.from_arrays([*[chunk.table.column(c) for c in kept], *made], names=[*kept, *names])
+
+    return chunks.select("chunk", "file", "wanted").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(compute, schema)
+
+
+def _totals(chunks: DataFrame, n_chunks: int) -> DataFrame:
+    """PACKED counts of all chunks for the keys of each chunk and range, and ``words``: how many distinct words the
+    range holds, on one row of each range."""
+    edges = np.array([(i << 64) // n_chunks for i in range(1, n_chunks)], np.uint64)
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, file, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "file", "wanted"))):
+                chunk = Chunk(file, places)
+                counts, cuts = chunk.counts, [0, *np.searchsorted(chunk.keys, edges).tolist(), len(chunk.keys)]
+                rows = []
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a < b:
+                        gaps = np.diff(chunk.keys[a:b], prepend=np.uint64(0)).view(np.int64)
+                        rows.append((i, number, b - a, pack(np.concatenate([gaps[None], counts[:, a:b]]))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def add(group: pa.Table) -> pa.Table:
+        numbers, sizes = group.column("chunk").to_pylist(), group.column("size").to_pylist()
+        parts = [unpack(data, 1 + COUNTS, size) for data, size in zip(group.column("data").to_pylist(), sizes)]
+        keys = np.concatenate([np.cumsum(p[0].view(np.uint64)) for p in parts])
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        totals = np.zeros((COUNTS, len(distinct)), np.int64)
+        for p, a in zip(parts, np.cumsum([0, *sizes])):
+            totals[:, inverse[a : a + p.shape[1]]] += p[1:]  # a chunk names a key once
+        answers = [pack(totals[:, inverse[a : a + n]]) for a, n in zip(np.cumsum([0, *sizes]), sizes)]
+        words = [int((distinct & ONE).sum()), *[0] * (len(sizes) - 1)]
+        columns = [group.column("range"), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), pa.array(answers, pa.binary()), pa.array(words, pa.int64())]
+        return pa.Table.from_arrays(columns, names=[*names, "words"])
+
+    sent = chunks.select("chunk", "file", "wanted").repartition(max(1, -(-n_chunks // CHUNKS_PER_TASK))).mapInArrow(send, PACKED)
+    return sent.groupBy("range").applyInArrow(add, PACKED + ", words long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontaminate, langid, pii, quality_rules, sentencepiece_fst, simhash, token_counts, toxicity, warc, word_bigrams
+from causeway.llm import decontaminate, langid, lm_scoring, pii, quality_rules, sentencepiece_fst, simhash, token_counts, toxicity, warc
 from causeway.llm.common import remainder_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     wanted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return word_bigrams.score(docs, wanted, ["doc_id"]).select(F.col("c0").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+    return lm_scoring.score(docs, wanted, ["doc_id"]).select(F.col("c0").alias("doc_id"), "n_tokens", "in_target", "target_loss", "background_loss", "score")
 
 
 QUERIES: dict[str, Query] = {

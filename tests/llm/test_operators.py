@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.llm import decontaminate, langid, lm_scoring, pii, quality_rules, sentencepiece_fst, token_counts, toxicity, warc
+from causeway.llm import decontaminate, langid, pii, quality_rules, sentencepiece_fst, token_counts, toxicity, warc
 
 EMPTY = "doc_id long, text string, lang string"
 
@@ -382,69 +382,3 @@ def test_unigram_weights_give_the_cheapest_path():
 
             cost = sum(pieces[machine.pieces[i]] for i in machine.encode(text))
             assert abs(cost - best(norm)) < 1e-5 and machine.decode(machine.encode(text)) == text
-
-
-# language-model scoring
-
-
-def test_lm_scores_by_hand(spark):
-    rows = [(0, "a b a b c"), (1, "a b"), (2, None), (3, ""), (4, "x y z " * 5000), (5, "a b"), (6, " \n ")]
-    docs = documents(spark, rows, target="clash", id="clash", score="clash")
-    wanted = spark.createDataFrame([(0,), (1,), (1,), (None,), (77,)], "id long")
-    target, background = lm_scoring.fit(docs, wanted, beta=0.1, kappa=20.0)
-    got = {r.c0: r for r in lm_scoring.score(docs, target, background, ["doc_id"]).collect()}
-
-    def model(chosen, scale):
-        types = [lm_scoring.types_of(t.encode() if t else None) for i, t in rows if i in chosen]
-        word, step, by_class = {}, {}, {}
-        for own in types:
-            last = lm_scoring.START
-            for w in own.tolist():
-                c = w % lm_scoring.CLASSES
-                word[w], by_class[c], step[last, c] = word.get(w, 0) + scale, by_class.get(c, 0) + scale, step.get((last, c), 0) + scale
-                last = c
-        total = sum(by_class.values())
-        after = {}
-        for (a, _), k in step.items():
-            after[a] = after.get(a, 0) + k
-
-        def loss(text):
-            out, last = [], lm_scoring.START
-            for w in lm_scoring.types_of(text.encode()).tolist():
-                c = w % lm_scoring.CLASSES
-                within = (word.get(w, 0) + 0.1) / (by_class.get(c, 0) + 0.1 * lm_scoring.WORDS / lm_scoring.CLASSES)
-                alone = (by_class.get(c, 0) + 0.1) / (total + 0.1 * lm_scoring.CLASSES)
-                out.append(-math.log(within) - math.log((step.get((last, c), 0) + 20 * alone) / (after.get(last, 0) + 20)))
-                last = c
-            return sum(out) / len(out)
-
-        return loss, total
-
-    mine, n_target = model({0, 1}, 1.0)
-    _, n_all = model({i for i, _ in rows}, 1.0)
-    other, _ = model({i for i, _ in rows}, n_target / n_all)
-    for i, text in rows:
-        if text and text.strip():
-            assert abs(got[i].target_loss - mine(text)) < 1e-4 and abs(got[i].background_loss - other(text)) < 1e-4
-            assert abs(got[i].score - (mine(text) - other(text))) < 1e-4
-        else:
-            assert (got[i].n_tokens, got[i].score) == (0, None)
-    assert got[0].score < got[4].score
-
-
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    counts = np.zeros(lm_scoring.CELLS, np.int64)
-    for _ in range(50):
-        np.add.at(counts, np.concatenate(lm_scoring.cells_of(rng.integers(0, lm_scoring.WORDS, 200))), 1)
-    model = lm_scoring.Model.of(counts, 0.1, 20.0)
-    for before in (0, 5, lm_scoring.START):
-        step = np.exp(-model.step.reshape(-1, lm_scoring.CLASSES)[before].astype(float))
-        word = np.exp(-model.word.astype(float))
-        assert abs((word * step[np.arange(lm_scoring.WORDS) % lm_scoring.CLASSES]).sum() - 1) < 1e-4
-
-
-def test_lm_of_nothing(spark):
-    empty = spark.createDataFrame([], EMPTY)
-    target, background = lm_scoring.fit(empty, spark.createDataFrame([], "id long"))
-    assert lm_scoring.score(empty, target, background, ["doc_id"]).count() == 0
