@@ -1,23 +1,28 @@
 """Benchmark decontamination by winnowing.
 
-A text is lower-cased in A-Z and cut into words of ASCII letters, digits and non-ASCII characters. Of each run of
-``window`` words, the minimum hash among its ``gram``-word shingles is its fingerprint; benchmark and documents are
-fingerprinted alike, so equal runs have equal fingerprints, and every shared span of at least ``window`` words is
-met. A met fingerprint is extended to the whole run and compared word by word; all words of equal runs are hit.
-A benchmark item of fewer words is one run of its own length, winnowed with a window of one shingle.
-
-The benchmark is the build side. Its size is measured first; up to ``block_bytes`` of text it is sent to the
-workers at once, and a larger one is cut into blocks of about that size, each joined in a pass of its own, so the
-memory of a worker is bounded whatever the benchmark holds.
+A text is lower-cased in A-Z and cut into words of ASCII letters, digits and non-ASCII characters. Its shingles of
+``gram`` words are hashed, and of each run of ``window`` words only the shingle of least hash (of equals the last) is
+kept: about two of every seven are. Which one that is depends on the run alone, so a run that a document shares with a
+benchmark item leaves the same fingerprint on both sides, and every shared span of ``window`` words or more is met.
+An item of fewer words is one run of its own length, with itself as its only shingle.
+
+Both sides' fingerprints are joined by Spark. Each carries the words around it that a run through it may hold; a met
+pair is extended word by word to both sides, and where the common words make up a run, all of them are hit. What a
+document's fingerprint carries is its own, so no text is read twice, whatever the benchmark's size.
+
+Documents are read once. A Bloom filter of the benchmark's fingerprints, of ``most_bits`` bits at most, goes to the
+workers; only fingerprints that pass it leave them. A larger benchmark makes the filter pass more, never less, and the
+join is Spark's to choose: it sends the benchmark's table to the workers only where its size is below Spark's own
+threshold. Rows without a fingerprint that passes take part in no shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,132 +32,105 @@ from causeway.llm.common import annotate, mix, quoted, restored, written
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-SPANS = "n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+#: A fingerprint: its hash, the length of the runs it stands for, where its shingle starts, the shingle, and the words
+#: before (nearest first) and after it.
+PRINT = "struct<fp:long,span:int,pos:int,gram:binary,before:array<binary>,after:array<binary>>"
+PROBES = 4
+BITS_PER_PRINT = 64
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n word ids."""
-    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+def shingle_hashes(words: np.ndarray, n: int, span: int) -> np.ndarray:
+    """A 64-bit hash of each run of n word hashes, another for each ``span``."""
+    h = np.full(max(0, len(words) - n + 1), span, np.uint64)
     for j in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + len(h)]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(h)]
     return mix(h)
 
 
-class Runs:
-    """The distinct runs of one length among the benchmark's items."""
-
-    def __init__(self, length: int, gram: int, items: list[tuple[str | None, np.ndarray]]):
-        self.length, self.gram = length, gram
-        rows = [np.lib.stride_tricks.sliding_window_view(ids, length) for _, ids in items]
-        owners = np.repeat(np.arange(len(items)), [len(r) for r in rows])
-        runs, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        order = np.lexsort((owners, which.ravel()))
-        which, owners = which.ravel()[order], owners[order]
-        bounds = np.searchsorted(which, np.arange(len(runs) + 1))
-        shared: dict[tuple, tuple] = {}  # runs of the same items share one tuple
-        self.owners = []
-        for a, b in zip(bounds, bounds[1:]):
-            own = tuple(sorted({items[i][0] for i in owners[a:b].tolist() if items[i][0] is not None}))
-            self.owners.append(shared.setdefault(own, own))
-        hashes = np.array([_gram_hashes(r, length)[0] for r in runs], np.uint64)
-        by = np.argsort(hashes, kind="stable")
-        self.hashes, self.runs, self.at = hashes[by], runs[by], by
-        self.prints = np.unique(np.concatenate([self.fingerprints(ids) for _, ids in items]))
-
-    def fingerprints(self, ids: np.ndarray) -> np.ndarray:
-        """The minimum shingle hash of each run of ``length`` words."""
-        h = _gram_hashes(ids, self.gram)
-        least = h[: max(0, len(ids) - self.length + 1)]
-        for j in range(1, self.length - self.gram + 1):
-            least = np.minimum(least, h[j : j + len(least)])
-        return least
-
-    def find(self, ids: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of runs that are among the benchmark's, and which. ``unknown``: running count of words with id 0."""
-        n = self.length
-        none = np.zeros(0, np.int64)
-        if len(ids) < n:
-            return none, none
-        met = np.flatnonzero(unknown[n:] == unknown[:-n])
-        if not len(met):
-            return none, none
-        met = met[_among(self.fingerprints(ids)[met], self.prints)]
-        if not len(met):
-            return none, none
-        whole = _gram_hashes(ids, n)[met]
-        lo, hi = np.searchsorted(self.hashes, whole, "left"), np.searchsorted(self.hashes, whole, "right")
-        starts, which = [], []
-        for step in range(int((hi - lo).max(initial=0))):  # more than one only where 64-bit hashes collide
-            live = lo + step < hi
-            at, s = lo[live] + step, met[live]
-            same = (ids[s[:, None] + np.arange(n)] == self.runs[at]).all(axis=1)
-            starts.append(s[same])
-            which.append(self.at[at[same]])
-        return (np.concatenate(starts), np.concatenate(which)) if starts else (none, none)
-
-
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(ordered, values)
-    at[at == len(ordered)] = 0
-    return ordered[at] == values
-
-
-class Benchmark:
-    """Fingerprints and runs of the items of one block."""
-
-    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int, gram: int):
-        self.vocabulary: dict[bytes, int] = {}
-        known = self.vocabulary
-        by_length: dict[int, list] = {}
-        for item, text in items:
-            words = words_of(text)
-            if words:
-                ids = np.array([known.setdefault(w, len(known) + 1) for w in words], np.uint64)
-                by_length.setdefault(min(window, len(words)), []).append((item, ids))
-        self.runs = [Runs(n, gram if n == window else n, own) for n, own in sorted(by_length.items())]
-
-    def scan(self, texts: list[bytes | None]) -> list[tuple[int, list, list]]:
-        """Per text: its words, the merged spans of hit words, the items of its hit runs."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            own = words_of(text)
-            counts.append(len(own))
-            words += own
-            words.append(b"")  # no run crosses texts
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        first = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])
-        edge = np.zeros(len(ids) + 1, np.int64)
-        owners: dict[int, set] = {}
-        for runs in self.runs:
-            starts, which = runs.find(ids, unknown)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + runs.length, -1)
-            doc = np.searchsorted(first, starts, "right") - 1
-            for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist() if len(starts) else []:
-                owners.setdefault(d, set()).add(runs.owners[w])
-        spans: dict[int, list] = {}
-        hit = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]]))
-        for s, e in zip(np.flatnonzero(hit == 1).tolist(), np.flatnonzero(hit == -1).tolist()):
-            d = int(np.searchsorted(first, s, "right")) - 1
-            spans.setdefault(d, []).append({"s": s - int(first[d]), "e": e - int(first[d])})
-        return [(n, spans.get(d, []), sorted(set().union(*owners[d])) if d in owners else []) for d, n in enumerate(counts)]
-
-
-_BUILT: dict[str, Benchmark] = {}
-
-
-def _built(sent, key: str, window: int, gram: int) -> Benchmark:
-    """The block's index, made once in each worker process."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Benchmark(sent.value, window, gram)
-    return _BUILT[key]
+def selected(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Of each run of ``width`` hashes from one of ``starts`` on, where the least is, of equals the last; each once."""
+    if not len(starts):
+        return starts
+    least, at = hashes[starts], starts.copy()
+    for j in range(1, width):
+        here = hashes[starts + j]
+        better = here <= least
+        least = np.where(better, here, least)
+        at[better] = starts[better] + j
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]  # they never go back within a text
+
+
+class Bloom:
+    """Membership of 64-bit hashes: never a wrong no."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.bits = table, np.uint64(len(table) * 64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which of ``h`` may be members."""
+        live = np.arange(len(h))
+        for j in range(PROBES if len(self.table) else 0):
+            own = h[live]
+            at = ((own & np.uint64(0xFFFFFFFF)) + np.uint64(j) * (own >> np.uint64(32))) % self.bits
+            live = live[(self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+        return live if len(self.table) else live[:0]
+
+
+def bloom_of(prints: DataFrame, most_bits: int) -> Bloom:
+    """The filter of ``prints(fp)``; the driver gets one row per 64 bits of it, ``most_bits`` / 64 at most."""
+    n = prints.agg(F.count("*")).first()[0]
+    if not n:
+        return Bloom(np.zeros(0, np.uint64))
+    bits = 64
+    while bits < min(n * BITS_PER_PRINT, most_bits):
+        bits *= 2
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    at = prints.select(F.explode(F.array(*[F.pmod(low + j * high, F.lit(bits)) for j in range(PROBES)])).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("w")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("w").to_numpy().view(np.uint64)
+    return Bloom(table)
+
+
+def prints_of(texts: list[bytes | None], window: int, gram: int, spans: list[int] | None, bloom: Bloom | None) -> tuple[list[int], list[list[dict]]]:
+    """Numbers of words and fingerprints of each text. ``spans``: the run lengths to look for (``window``, and those of
+    short items); None for a benchmark, whose texts each have the one that fits."""
+    words: list[bytes] = []
+    counts = []
+    for text in texts:
+        own = words_of(text)
+        counts.append(len(own))
+        words += own
+    n = np.array(counts, np.int64)
+    ends = np.cumsum(n)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    left = np.repeat(ends, n) - np.arange(len(words))  # words from each on to the end of its text
+    length = np.repeat(n, n)
+    found: list[list[dict]] = [[] for _ in texts]
+    for span in sorted(set(np.minimum(n[n > 0], window).tolist())) if spans is None else spans:
+        k = gram if span == window else span
+        h = shingle_hashes(hashes, k, span)
+        fits = left >= span if spans is not None else (left >= span) & (np.minimum(length, window) == span)
+        at = selected(h, np.flatnonzero(fits), span - k + 1)
+        if bloom is not None:
+            at = at[bloom.has(h[at])]
+        reach = span - k
+        for p, d in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist()):
+            first, end = int(ends[d] - n[d]), int(ends[d])
+            found[d].append({
+                "fp": int(h[p].view(np.int64)), "span": span, "pos": p - first, "gram": b" ".join(words[p : p + k]),
+                "before": words[max(first, p - reach) : p][::-1], "after": words[p + k : min(end, p + k + reach)],
+            })
+    return counts, found
+
+
+_KIND = pa.list_(pa.struct([("fp", pa.int64()), ("span", pa.int32()), ("pos", pa.int32()), ("gram", pa.binary()), ("before", pa.list_(pa.binary())), ("after", pa.list_(pa.binary()))]))
+#: How many words two lists have in common from their start on.
+_COMMON = "coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), false), 0) - 1, least(size({a}), size({b})))"
 
 
 def find_hits(
@@ -164,62 +142,63 @@ def find_hits(
     item_text_col: str = "text",
     window: int = 10,
     gram: int = 5,
-    block_bytes: int = 16 << 20,
+    most_bits: int = 1 << 28,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` as c0, c1, ... with n_words, spans (hit word ranges, end exclusive, merged)
     and items (ids of items with occurring runs, as strings).
 
-    Null and empty texts have no words, on either side. Repeated items count once; an item without an id marks hits
-    but is not listed. An empty benchmark hits nothing; an empty table gives an empty result.
+    Null and empty texts have no words, on either side. Repeated rows are each looked at; repeated items count once; an
+    item without an id marks hits but is not listed. An empty benchmark hits nothing; an empty table gives an empty
+    result. Columns of ``docs`` may have any names.
     """
     if not 1 <= gram <= window:
         raise ValueError("a shingle must fit into the window")
+    if most_bits < 64:
+        raise ValueError("the filter needs 64 bits")
     spark = docs.sparkSession
-    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(item_text_col).cast("binary").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block_bytes))
-    now = docs
-    columns = keep
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast([(r.item, bytes(r.text) if r.text is not None else None) for r in mine.collect()])
-        passed = [f"c{i}" for i in range(len(keep))] + ["text", "spans", "items"] if block else []
-        now = _one_pass(now, text_col if not block else "text", passed or columns, sent, uuid.uuid4().hex, window, gram, blocks > 1, block, len(keep))
-        if blocks > 1:
-            now = written(now, "decontaminate")
-    return now.drop("text")
-
-
-def _one_pass(now, text_col, columns, sent, key, window, gram, carry, block, n_keep) -> DataFrame:
-    """One block against all documents. With ``carry``, the text and what earlier blocks found go along."""
-
-    def compute(texts):
-        found = _built(sent, key, window, gram).scan(texts)
-        kinds = [pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())]
-        return [pa.array([f[i] for f in found], kinds[i]) for i in range(3)]
-
-    take = [*columns, text_col] if carry and not block and text_col not in columns else columns
-    out = annotate(now, text_col, take, SPANS, compute)
-    if not carry:
-        return out
-    own = [F.col(f"c{i}") for i in range(n_keep)]
-    text = F.col(f"c{take.index(text_col)}").alias("text")
-    if not block:
-        return out.select(*own, text, "n_words", "spans", "items")
-    before_spans, before_items = F.col(f"c{take.index('spans')}"), F.col(f"c{take.index('items')}")
-    ordered = F.array_sort(F.concat(before_spans, F.col("spans")))
+
+    def of_items(texts):
+        return [pa.array(prints_of(texts, window, gram, None, None)[1], _KIND)]
+
+    items = benchmark.select(quoted(item_col).cast("string").alias("item"), quoted(item_text_col).alias("text"))
+    known = annotate(items, "text", ["item"], f"prints array<{PRINT}>", of_items).select(F.col("c0").alias("item"), F.inline("prints")).drop("pos").distinct()
+    known = written(known, "benchmark-prints")
+    spans = sorted(r.span for r in known.select("span").distinct().collect())  # ``window`` of them at most
+    bloom = bloom_of(known.select("fp").distinct(), most_bits)
+    sent = spark.sparkContext.broadcast(bloom.table)
+
+    def of_docs(texts):
+        counts, found = prints_of(texts, window, gram, spans, Bloom(sent.value))
+        return [pa.array(counts, pa.int64()), pa.array(found, _KIND), pa.array([uuid.uuid4().hex if f else None for f in found], pa.string())]
+
+    marked = written(annotate(docs, text_col, keep, f"n_words long, prints array<{PRINT}>, row string", of_docs), "document-prints")
+    own = [f"c{i}" for i in range(len(keep))]
+    plain = marked.where("row is null").select(*own, "n_words", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    some = marked.where("row is not null")
+    ours = some.select("row", F.inline("prints"))
+    theirs = known.select("fp", "item", F.col("gram").alias("their_gram"), F.col("before").alias("their_before"), F.col("after").alias("their_after"))
+    met = ours.join(theirs, "fp").where("gram = their_gram").select(
+        "row", "item", "span", "pos",
+        F.expr(_COMMON.format(a="before", b="their_before")).alias("back"), F.expr(_COMMON.format(a="after", b="their_after")).alias("on"), F.when(F.col("span") == window, gram).otherwise(F.col("span")).alias("k"),
+    )
+    hits = met.where("back + k + on >= span").select("row", "item", (F.col("pos") - F.col("back")).cast("long").alias("s"), (F.col("pos") + F.col("k") + F.col("on")).cast("long").alias("e"))
+    # of a document, at most its words and the benchmark's items
+    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("found"), F.collect_set("item").alias("items"))
     merged = F.aggregate(
-        ordered,
-        F.expr("cast(array() as array<struct<s:long,e:long>>)"),
+        F.col("found"),
+        F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
         lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["e"] >= x["s"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(done, F.lit(-1))["e"], x["e"]).alias("e"))))
         ).otherwise(F.concat(done, F.array(x))),
     )
-    return out.select(*own, text, "n_words", merged.alias("spans"), F.array_union(before_items, "items").alias("items"))
+    by_row = by_row.select("row", merged.alias("spans"), F.array_sort("items").alias("items"))
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)")).alias(c)
+    looked = some.drop("prints").join(by_row, "row", "left").select(*own, "n_words", none("spans", "struct<s:bigint,e:bigint>"), none("items", "string"))
+    return plain.unionByName(looked)
 
 
 def report(hits: DataFrame, id_col: str = "c0") -> DataFrame:
-    """Counts per document of what ``find_hits`` found."""
+    """Counts per document of what ``find_hits`` found: one row for each of ``hits``, zeros where nothing was."""
     return hits.select(
         F.col(id_col).alias("doc_id"),
         "n_words",
@@ -231,6 +210,7 @@ def report(hits: DataFrame, id_col: str = "c0") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated rows."""
+    """``docs`` without the contaminated rows. Null and empty texts stay, repeated rows stay or go together, all
+    columns keep their names and values; an empty table stays empty."""
     hits = find_hits(docs, benchmark, docs.columns, **options)
     return restored(hits.where(F.size("spans") == 0), docs.columns)

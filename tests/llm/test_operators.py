@@ -128,18 +128,35 @@ def contamination_case():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 700])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("most_bits", [1 << 28, 64])  # a filter of 64 bits passes nearly everything
+def test_decontamination(spark, most_bits):
     docs, items = contamination_case()
     df = documents(spark, docs, spans="clash", items="clash", c0="clash")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.report(decontaminate.find_hits(df, bench, ["doc_id"], block_bytes=block_bytes)).collect()
+    got = decontaminate.report(decontaminate.find_hits(df, bench, ["doc_id"], most_bits=most_bits)).collect()
     assert sorted(map(tuple, got)) == sorted(brute.contaminated(docs, items))
-    clean = decontaminate.keep_clean(df, bench, block_bytes=block_bytes)
+    clean = decontaminate.keep_clean(df, bench, most_bits=most_bits)
     assert clean.columns == df.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d[0] for d in brute.contaminated(docs, items) if not d[5])
 
 
+def test_fingerprints_are_few_and_meet_every_shared_run():
+    rng = random.Random(3)
+    for words in (40, 5000):
+        pool = [f"w{i}" for i in range(words)]
+        a, b = ([rng.choice(pool) for _ in range(3000)] for _ in range(2))
+        for at in range(0, 2900, 97):
+            n = rng.randrange(10, 16)
+            b[at : at + n] = a[at + 50 : at + 50 + n]
+        of = lambda w: decontaminate.prints_of([" ".join(w).encode()], 10, 5, [10], None)[1][0]
+        mine, theirs = of(a), {p["fp"] for p in of(b)}
+        assert len(mine) < 0.36 * len(a)
+        at = [p["pos"] for p in mine if p["fp"] in theirs]
+        shared = {tuple(b[i : i + 10]) for i in range(len(b) - 9)}
+        runs = [i for i in range(len(a) - 9) if tuple(a[i : i + 10]) in shared]
+        assert len(runs) > 60 and all(any(i <= p <= i + 5 for p in at) for i in runs)
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = contamination_case()
     bench = spark.createDataFrame([], "item_id long, text string")
