@@ -12,7 +12,7 @@ document is measured by the other wanted ones, like one that was never named. Co
 
 Documents are written in chunks of about ``chunk_bytes``. Counts are summed within a chunk before they are shuffled: a
 chunk sorts the keys of its words and of its pairs of neighbours, cuts them at the edges of as many ranges as there are
-chunks, and hands over one packed row per range. Keys are spread evenly by their hash and a common one comes at most
+chunks, and hands over one packed row for each range that it has keys of. Keys are spread evenly by their hash and a common one comes at most
 once from each chunk, so a range is about the size of a chunk. Each range adds up its chunks' counts and answers each
 chunk with the totals of the keys it sent, in their order; there the documents are scored. Nothing is broadcast.
 
@@ -168,7 +168,7 @@ class Chunk:
 
 
 def score(
-    docs: DataFrame, wanted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", beta: float = 0.1, kappa: float = 20.0, chunk_bytes: int = 8 << 20
+    docs: DataFrame, wanted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", beta: float = 0.1, kappa: float = 20.0, chunk_bytes: int = 4 << 20
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` as c0, c1, ... with SCORES. ``wanted(id)`` names the target documents; null and
     repeated ids there do not matter, and a document without an id is never one of them. Null texts and texts without a
@@ -218,7 +218,6 @@ def score(
 def _totals(chunks: DataFrame, n_chunks: int) -> DataFrame:
     """PACKED counts of all chunks for the keys of each chunk and range, and ``words``: how many distinct words the
     range holds, on one row of each range."""
-    edges = np.array([(i << 64) // n_chunks for i in range(1, n_chunks)], np.uint64)
     names = [x.split()[0] for x in PACKED.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -226,12 +225,15 @@ def _totals(chunks: DataFrame, n_chunks: int) -> DataFrame:
         for batch in batches:
             for number, file, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "file", "wanted"))):
                 chunk = Chunk(file, places)
-                counts, cuts = chunk.counts, [0, *np.searchsorted(chunk.keys, edges).tolist(), len(chunk.keys)]
+                if not len(chunk.keys):
+                    continue
+                counts = chunk.counts
+                at = (chunk.keys >> np.uint64(32)) * np.uint64(n_chunks) >> np.uint64(32)  # of each key its range, in order
+                cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
                 rows = []
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if a < b:
-                        gaps = np.diff(chunk.keys[a:b], prepend=np.uint64(0)).view(np.int64)
-                        rows.append((i, number, b - a, pack(np.concatenate([gaps[None], counts[:, a:b]]))))
+                for a, b in zip(cuts, cuts[1:]):  # the ranges that the chunk has keys of, no more than it has keys
+                    gaps = np.diff(chunk.keys[a:b], prepend=np.uint64(0)).view(np.int64)
+                    rows.append((int(at[a]), number, b - a, pack(np.concatenate([gaps[None], counts[:, a:b]]))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
