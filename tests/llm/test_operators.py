@@ -399,3 +399,48 @@ def test_unigram_weights_give_the_cheapest_path():
 
             cost = sum(pieces[machine.pieces[i]] for i in machine.encode(text))
             assert abs(cost - best(norm)) < 1e-5 and machine.decode(machine.encode(text)) == text
+
+
+def test_batches_take_the_paths_of_single_parts():
+    machine = sentencepiece_fst.Transducer(open(sentencepiece_fst.MODEL, "rb").read())
+    rng = random.Random(7)
+    parts = sorted({"".join(rng.choice("▁abcdefghinorstu.,é漢😀ßЖ019A") for _ in range(rng.randrange(1, 40))) for _ in range(3000)})
+    for _ in range(2):  # with and without known pairs
+        assert machine.least_paths(parts) == [np.array(machine.least_path(p), "<i4").tobytes() for p in parts]
+
+
+def test_normaliser_equals_the_library():
+    import sentencepiece
+
+    rng = random.Random(12)
+    signs = ["a", "Ｋ", " ", "\u3000", "㍿", "½", "é", "e\u0301", "ﬁ", "\t", "ｶﾞ", "①", "\u200b", "漢", "…", "ǆ", "\u00ad"]
+    for rule in ("nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf", "identity"):
+        library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+        spec = next(dict(sentencepiece_fst._fields(v)) for f, v in sentencepiece_fst._fields(library.serialized_model_proto()) if f == 3)
+        own = sentencepiece_fst.Normaliser(sentencepiece_fst.character_map(spec.get(2, b"")), bool(spec.get(3, 1)), bool(spec.get(4, 1)))
+        for _ in range(400):
+            text = "".join(rng.choice(signs) for _ in range(rng.randrange(20)))
+            assert own(text) == library.normalize(text), (rule, text)
+
+
+def test_user_defined_pieces_are_arcs_of_their_own():
+    import struct
+
+    import sentencepiece
+
+    def piece(text):
+        own = text.encode()
+        own = bytes([1 << 3 | 2, len(own)]) + own + bytes([2 << 3 | 5]) + struct.pack("<f", 0.0) + bytes([3 << 3, 4])
+        return bytes([1 << 3 | 2, len(own)]) + own
+
+    model = open(sentencepiece_fst.MODEL, "rb").read() + piece("<tag>") + piece("<tag>x") + piece("zqz")
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_fst.Transducer(model)
+    for text in ("a <tag> going", "<tag><tag>xy", "szqz<tag", "", "zqz", "kzqzing zqz<tag>x <tag>"):
+        assert machine.encode(text).tolist() == library.encode(text), text
+        assert machine.decode(machine.encode(text)) == text
+
+
+def test_repeated_rows_and_any_names_are_encoded(spark):
+    docs = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text")], "doc_id long, text string").withColumn("c0", F.lit(1)).withColumn("ids", F.lit(2))
+    got = sentencepiece_fst.encode(docs, ["doc_id", "c0", "ids", "text"]).collect()
+    assert len(got) == 3 and len({tuple(r["ids"]) for r in got}) == 1 and all((r.c1, r.c2, r.c3) == (1, 2, "same text") for r in got)
