@@ -1,32 +1,39 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens get log-odds between toxic and clean labelled documents under an informative Dirichlet prior (the sample's
-own word shares, with a mass of ``prior`` times the toxic counts; a text counts once for each of its words, and equal
-texts once). Those significantly above zero, and above ``least_log_odds``, form the lexicon: common words that lean a
-little to one side would add up where a text repeats them. All other tokens score ``-gap``. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a document.
-Scores of maximal segments of random text follow an extreme-value law with P(S >= x) ~ K n exp(-lambda x); lambda
-is the positive root of E[exp(lambda s)] = 1 over the clean documents' tokens. A segment is a passage if its expected
-number by chance is below ``expected``; a document's evidence adds up the passages' lambda S - ln(K n), and a
-logistic curve fitted on the labelled sample turns evidence into a score.
-
-Fitting reads at most ``toxic_docs`` and ``clean_docs`` labelled documents, those with the smallest id hashes; the
-scan reads every text whole.
+Every token has a log-odds between toxic and clean labelled documents under an informative Dirichlet prior (the
+sample's own word shares, with a mass of ``prior`` times the toxic documents on either side; a document counts once
+for each of its words, and equal texts once). Estimates are shrunken by how uncertain they are, tau2 / (tau2 +
+variance), and they are hierarchical: a word's own log-odds is shrunken towards that of its longest prefix, and so on
+down to four bytes, so that a word which the sample lacks is scored by its family. Log-odds under ``least`` in size
+are noise and count as 0. A positive score is divided by the square root of k at the word's k-th occurrence in a
+text, since words repeat themselves. From each token's score ``drift`` is taken, the price of making a passage longer.
+
+A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a document. Scores of maximal segments of clean
+text follow an extreme-value law: of n tokens, K n exp(-lambda S) segments of score S or more are expected by chance.
+Both constants come from clean documents that the scoring model has not seen: the sample is dealt into ``FOLDS``,
+each scored by the counts of the others. lambda is that of the exceedances over a high score, at most the positive
+root of E[exp(lambda s)] = 1 over the tokens; K is the number of such segments a token, brought to that score. A
+segment is a passage if its expected number by chance is below ``expected``; a document's evidence adds up the
+passages' lambda S - ln(K n), and a logistic curve, fitted on the same unseen documents, turns it into a score.
+
+Fitting reads at most ``toxic_docs`` and ``clean_docs`` labelled documents, those with the smallest id hashes, and
+uses all their words; the scan reads every text whole.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import annotate, quoted, restored
+from causeway.llm.common import annotate, free, quoted, restored, written
 
 #: ASCII letters in lower case, digits, apostrophes and bytes of non-ASCII characters make words.
 WORD_BYTES = bytes(
@@ -34,60 +41,91 @@ WORD_BYTES = bytes(
 )
 PASSAGES = "evidence double, passages array<struct<first:int,last:int,score:double>>"
 FLUSH = 1 << 19
+PREFIXES = (4, 5, 6, 7, 8)
+FOLDS = 3
+#: A feature whose estimate would keep less than this of itself is not told from its family.
+LEAST_WEIGHT = 0.1
+CACHE = 300_000
+#: Bins of token scores, a twentieth wide, from -20 on.
+BINS = 801
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def family(word: bytes) -> list[bytes]:
+    """A word's prefixes, the shortest first, and the word."""
+    return [*(word[:n] for n in PREFIXES if len(word) > n), word]
+
+
 @dataclass
 class Model:
-    lexicon: dict[bytes, float] = field(default_factory=dict)
-    gap: float = 0.25
+    #: (log-odds, weight) of words and prefixes
+    features: dict[bytes, tuple[float, float]] = field(default_factory=dict)
+    drift: float = 1.5
+    least: float = 0.5
     rate: float = 1.0  # lambda
     k: float = 1.0
     expected: float = 0.05
     intercept: float = -20.0
     slope: float = 0.0
 
-    def scan(self, texts: list[bytes | None]) -> list[tuple[float, list[dict]]]:
+    def log_odds(self, word: bytes) -> float:
+        found = 0.0
+        for name in family(word):
+            known = self.features.get(name)
+            if known is not None:
+                found += known[1] * (known[0] - found)
+        return found if abs(found) >= self.least else 0.0
+
+    def token_scores(self, texts: list[bytes | None], cache: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all texts' tokens, one text after the other, and where each text starts. ``cache`` holds words'
+        log-odds from call to call."""
+        own = [tokens(t) for t in texts]
+        if len(cache) > CACHE:
+            cache.clear()
+        for w in set().union(*own).difference(cache):
+            cache[w] = self.log_odds(w)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        scores = np.fromiter((s for x in own for s in map(cache.__getitem__, x)), np.float64, int(first[-1]))
+        for d, words in enumerate(own):
+            a, b = first[d], first[d + 1]
+            times: Counter = Counter()
+            for p in np.flatnonzero(scores[a:b] > self.drift).tolist():
+                times[words[p]] += 1
+                scores[a + p] /= math.sqrt(times[words[p]])
+        return scores - self.drift, first
+
+    def passages(self, found: list[tuple[int, int, float]], n: int) -> tuple[float, list[dict]]:
+        """Evidence and passages of a text of n tokens with these maximal segments; without any there is no evidence, and
+        less in a long text, which chance alone would have given some."""
+        floor = math.log(self.k * max(n, 1))
+        rated = sorted(((self.rate * s - floor, a, b, s) for a, b, s in found), reverse=True)
+        passed = [x for x in rated if x[0] > -math.log(self.expected)]
+        evidence = (rated[0][0] if rated else -max(0.0, floor)) + sum(x[0] for x in passed[1:])
+        return evidence, [{"first": a, "last": b, "score": s} for a, b, s in sorted(x[1:] for x in passed)]
+
+    def scan(self, texts: list[bytes | None], cache: dict[bytes, float]) -> list[tuple[float, list[dict]]]:
         """Evidence and passages of each text."""
-        words: list[bytes] = []
-        lengths = []
-        for text in texts:
-            own = tokens(text)
-            lengths.append(len(own))
-            words += own
-        scores = np.fromiter(map(self.lexicon.get, words, repeat(0.0)), np.float64, len(words))
-        first = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
-        hits = np.flatnonzero(scores)
-        cut = np.searchsorted(hits, first)
-        out = []
-        for d, n in enumerate(lengths):
-            at = hits[cut[d] : cut[d + 1]]
-            found = segments((at - first[d]).tolist(), scores[at].tolist(), self.gap)
-            floor = math.log(self.k * max(n, 1))
-            rated = sorted(((self.rate * s - floor, a, b, s) for a, b, s in found), reverse=True)
-            best = rated[0][0] if rated else -floor
-            passed = [x for x in rated if x[0] > -math.log(self.expected)]
-            evidence = best + sum(x[0] for x in passed[1:])
-            out.append((evidence, [{"first": a, "last": b, "score": s} for a, b, s in sorted(x[1:] for x in passed)]))
-        return out
-
-
-def segments(at: list[int], scores: list[float], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) of a token sequence in which the tokens ``at`` have the
-    positive ``scores`` and all others ``-gap``. Linear in the number of positive tokens.
+        scores, first = self.token_scores(texts, cache)
+        return [self.passages(segments(scores[a:b]), int(b - a)) for a, b in zip(first, first[1:])]
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of a sequence of token scores. Linear: running totals stand for
+    the tokens between positive ones.
 
     The candidates are kept on a stack with the running total left and right of each; a new one that reaches a new
     high over an earlier one's left total swallows everything from there on.
     """
     stack: list[list] = []  # first, last, total before, total after, index of the nearest earlier one with a smaller left total
-    total, last = 0.0, -1
-    for p, s in zip(at, scores):
-        total -= gap * (p - last - 1)
-        left, right, start = total, total + s, p
-        total, last = right, p
+    at = np.flatnonzero(scores > 0)
+    if not len(at):
+        return []
+    totals = np.concatenate([[0.0], np.cumsum(scores)])
+    for p, left, right in zip(at.tolist(), totals[at].tolist(), totals[at + 1].tolist()):
+        start = p
         j = len(stack) - 1
         while True:
             while j >= 0 and stack[j][2] >= left:
@@ -111,31 +149,6 @@ def _sample(labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
     return pick(labels.where("y = 1"), toxic_docs).unionByName(pick(labels.where("y <> 1"), clean_docs))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(word, n1, n0) over ``rows(text, y)``: the texts of either label that hold the word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
-
-        def flush() -> pa.RecordBatch:
-            words = list(both[0].keys() | both[1].keys())
-            columns = [pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in reversed(both))]
-            for c in both:
-                c.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "n1", "n0"])
-
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both[int(y == 1)].update(set(tokens(text)))
-                if len(both[0]) + len(both[1]) > FLUSH:
-                    yield flush()
-        if both[0] or both[1]:
-            yield flush()
-
-    made = rows.select(F.col("text"), F.col("y")).mapInArrow(run, "word binary, n1 long, n0 long")
-    return made.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-
 def _root(scores: list[tuple[float, float]]) -> float:
     """The positive root of E[exp(x s)] = 1 for (score, share) pairs of mean below zero."""
     value = lambda x: sum(p * math.exp(min(700.0, x * s)) for s, p in scores) - 1
@@ -148,18 +161,23 @@ def _root(scores: list[tuple[float, float]]) -> float:
     return high
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a small ridge on the slope."""
-    design, beta = np.stack([np.ones_like(x), x], 1), np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (w * (y - p)) - np.array([0, 0.01]) * beta
-        curve = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag([1e-9, 0.01])
-        step = np.linalg.solve(curve, slope)
-        beta = beta + np.clip(step, -2, 2)
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
+    """Intercept and slope by Newton steps, each halved until the loss falls, with a small ridge on the slope."""
+    mean, spread = x.mean(), max(float(x.std()), 1e-9)
+    design, beta = np.stack([np.ones_like(x), (x - mean) / spread], 1), np.zeros(2)
+    keep = np.array([1e-9, ridge])
+    loss = lambda b: float((w * np.logaddexp(0, np.where(y > 0, -1, 1) * (design @ b))).sum() + (keep * b * b).sum() / 2)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+        down = design.T @ (w * (y - p)) - keep * beta
+        curve = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag(keep + 1e-9)
+        step, now = np.linalg.solve(curve, down), loss(beta)
+        while loss(beta + step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    return float(beta[0] - beta[1] * mean / spread), float(beta[1] / spread)
 
 
 def squashed(evidence: float | np.ndarray) -> float | np.ndarray:
@@ -167,6 +185,71 @@ def squashed(evidence: float | np.ndarray) -> float | np.ndarray:
     return np.sign(evidence) * np.log1p(np.abs(evidence))
 
 
+SIDES = [(fold, y) for fold in range(FOLDS) for y in (0, 1)]
+COUNTS = [f"n{fold}{y}" for fold, y in SIDES]
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(word, COUNTS) over ``rows(text, y, fold)``: the texts of each fold and label that hold a word or a prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {side: Counter() for side in SIDES}
+
+        def flush() -> pa.RecordBatch:
+            words = list(set().union(*held.values()))
+            columns = [pa.array(words, pa.binary()), *(pa.array([held[side][w] for w in words], pa.int64()) for side in SIDES)]
+            for c in held.values():
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", *COUNTS])
+
+        for batch in batches:
+            for text, y, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                held[fold, int(y == 1)].update({f for w in set(tokens(text)) for f in family(w)})
+                if sum(map(len, held.values())) > FLUSH:
+                    yield flush()
+        if any(held.values()):
+            yield flush()
+
+    made = rows.select("text", "y", "fold").mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    return made.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def estimates(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, prior: float, tau2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of features that ``y1`` of ``n1`` toxic and ``y0`` of ``n0`` clean texts hold, and how much of it to keep."""
+    mass = prior * n1
+    share = (y1 + y0) * (mass / (n1 + n0))
+    delta = np.log((y1 + share) / (n1 + mass)) - np.log((y0 + share) / (n0 + mass))
+    return delta, tau2 / (tau2 + 1 / (y1 + share) + 1 / (y0 + share))
+
+
+def tail(found: np.ndarray, n_tokens: int, bins: np.ndarray) -> tuple[float, float]:
+    """lambda and K of clean texts' maximal segments ``found``; ``bins`` counts their tokens by score. Without any segment
+    lambda is 1, that of plain log-odds, and K is one segment in all of the text."""
+    if not len(found):
+        return 1.0, 1 / max(1, n_tokens)
+    levels, live = (np.arange(BINS) / 20 - 20), bins > 0
+    shares = list(zip(levels[live].tolist(), (bins[live] / bins.sum()).tolist()))
+    rate = _root(shares) if shares and sum(s * p for s, p in shares) < 0 else 1.0
+    ordered = np.sort(found)[::-1]
+    least = float(ordered[min(len(ordered) - 1, max(10, len(ordered) // 200))])
+    beyond = ordered[ordered >= least]
+    over = float((beyond - least).mean())
+    rate = min(rate, 1 / over) if over > 0 else rate
+    return rate, len(beyond) / n_tokens * math.exp(min(700.0, rate * least))
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def _cache(key: str) -> dict[bytes, float]:
+    """A worker's cache of the model called ``key``; an older model's goes."""
+    if key not in _CACHES:
+        if len(_CACHES) >= FOLDS:
+            _CACHES.clear()
+        _CACHES[key] = {}
+    return _CACHES[key]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -176,61 +259,89 @@ def fit(
     toxic_docs: int = 10_000,
     clean_docs: int = 20_000,
     prior: float = 0.2,
-    least_z: float = 2.75,
-    least_log_odds: float = 1.5,
-    most_words: int = 20_000,
-    gap: float = 0.25,
+    tau2: float = 3.0,
+    least: float = 0.5,
+    drift: float = 1.5,
     expected: float = 0.05,
 ) -> Model:
     """The model of ``labels`` (rows to learn from only). Without toxic or without clean labelled texts nothing can
-    be learnt: all scores are then 0."""
+    be learnt: all scores are then 0. Null ids and labels do not count, and of several labels of an id the largest does;
+    null and empty texts have no words; repeated texts count once a label; other columns are not read."""
     known = one_label(labels, id_col, label_col)
     picked = _sample(known, toxic_docs, clean_docs)  # bounded by toxic_docs + clean_docs rows of 12 bytes
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "id")
     rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])  # copies would make their rare words look typical
-    counts = _counts(rows).persist()
-    try:
-        total = counts.agg(F.sum("n1"), F.sum("n0")).first()
-        n1, n0 = (int(x or 0) for x in total)
-        if not n1 or not n0:
-            return Model()
-        mass = prior * n1
-        share = (F.col("n1") + F.col("n0")) * (mass / (n1 + n0))
-        delta = F.log((F.col("n1") + share) / (n1 + mass)) - F.log((F.col("n0") + share) / (n0 + mass))
-        z = delta / F.sqrt(1 / (F.col("n1") + share) + 1 / (F.col("n0") + share))
-        top = counts.select("word", "n0", delta.alias("delta"), z.alias("z"), share.alias("a")).where((F.col("z") >= least_z) & (F.col("delta") >= least_log_odds))
-        top = top.orderBy(F.desc("z"), "word").limit(most_words).collect()
-    finally:
-        counts.unpersist()
-    model = Model({bytes(r.word): r.delta for r in top}, gap, expected=expected)
-    if not model.lexicon:
+    rows = written(rows.select("text", (F.col("y") == 1).cast("int").alias("y"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
+    sizes = {(r.fold, r.y): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    n = np.array([sizes.get(side, 0) for side in SIDES], np.int64)
+    toxic = np.array([y for _, y in SIDES], bool)
+    model = Model(drift=drift, least=least, expected=expected)
+    if not n[toxic].sum() or not n[~toxic].sum():
         return model
-    share0 = [(r.delta, (r.n0 + r.a) / (n0 + mass)) for r in top]
-    rest = 1 - sum(p for _, p in share0)
-    scores = [*share0, (-gap, rest)]
-    if sum(s * p for s, p in scores) < 0:
-        model.rate = _root(scores)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def compute(texts):
-        return [pa.array([e for e, _ in sent.value.scan(texts)], pa.float64())]
-
-    scored = annotate(rows, "text", ["y"], "evidence double", compute).toPandas()  # one number per sampled document
-    sizes = {r.y: r.n for r in known.groupBy((F.col("y") == 1).alias("y")).agg(F.count("*").alias("n")).collect()}
-    y = (scored["c0"] == 1).to_numpy()
-    weight = np.where(y, sizes.get(True, 0) / max(1, y.sum()), sizes.get(False, 0) / max(1, (~y).sum()))
-    model.intercept, model.slope = _logistic(squashed(scored["evidence"].to_numpy()), y.astype(float), weight / weight.mean())
+    counts = written(_counts(rows), "toxicity-counts")
+    n1, n0, mass = int(n[toxic].sum()), int(n[~toxic].sum()), prior * int(n[toxic].sum())
+    y1, y0 = (sum((F.col(c) for c, (_, y) in zip(COUNTS, SIDES) if y == own), F.lit(0)) for own in (1, 0))
+    share = (y1 + y0) * (mass / (n1 + n0))
+    firm = 1 / (y1 + share) + 1 / (y0 + share) <= tau2 * (1 / LEAST_WEIGHT - 1)
+    table = counts.where(firm).toArrow()  # features of the sampled documents; singletons are not among them
+    names = table.column("word").to_pylist()
+    held = np.stack([table.column(c).to_numpy() for c in COUNTS], 1) if names else np.zeros((0, len(SIDES)), np.int64)
+
+    def learnt(without: int | None) -> dict[bytes, tuple[float, float]]:
+        use = np.array([fold != without for fold, _ in SIDES])
+        a, b = int(n[use & toxic].sum()), int(n[use & ~toxic].sum())
+        if not a or not b:
+            return {}
+        y1, y0 = held[:, use & toxic].sum(1), held[:, use & ~toxic].sum(1)
+        live = np.flatnonzero(y1 + y0)
+        delta, weight = estimates(y1[live], y0[live], a, b, prior, tau2)
+        some = np.flatnonzero(weight >= LEAST_WEIGHT)
+        return dict(zip([names[i] for i in live[some].tolist()], zip(delta[some].tolist(), weight[some].tolist())))
+
+    sent = docs.sparkSession.sparkContext.broadcast([Model(learnt(k), drift, least) for k in range(FOLDS)])
+    key = uuid.uuid4().hex
+
+    def unseen(batch: list[bytes | None], folds: list[int], ys: list[int]) -> list[pa.Array]:
+        n_tokens, found, bins = [0] * len(batch), [[] for _ in batch], np.zeros(BINS, np.int64)
+        for k in range(FOLDS):
+            own = [i for i, f in enumerate(folds) if f == k]
+            scores, first = sent.value[k].token_scores([batch[i] for i in own], _cache(f"{key}{k}"))
+            for i, a, b in zip(own, first, first[1:]):
+                n_tokens[i], found[i] = int(b - a), [s for *_, s in segments(scores[a:b])]
+                if not ys[i]:
+                    bins += np.bincount(np.clip(np.round((scores[a:b] + 20) * 20), 0, BINS - 1).astype(np.int64), minlength=BINS)
+        return [pa.array(n_tokens, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array([bins.tolist()] + [None] * (len(batch) - 1), pa.list_(pa.int64()))]
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts, ys, folds = (batch.column(i).to_pylist() for i in range(3))
+                yield pa.RecordBatch.from_arrays([batch.column(1), *unseen(texts, folds, ys)], names=["y", "n", "found", "bins"])
+
+    seen = rows.mapInArrow(of_batches, "y int, n long, found array<double>, bins array<long>").toPandas()  # numbers of the sampled documents only
+    free(counts, rows)
+    clean = seen["y"] == 0
+    bins = np.sum([b for b in seen["bins"] if b is not None], axis=0)
+    model.rate, model.k = tail(np.array([s for x in seen["found"][clean] for s in x]), int(seen["n"][clean].sum()), np.asarray(bins))
+    evidence = np.array([model.passages([(0, 0, s) for s in x], m)[0] for x, m in zip(seen["found"], seen["n"])])
+    model.features = learnt(None)
+    totals = {r.y: r.n for r in known.groupBy((F.col("y") == 1).alias("y")).agg(F.count("*").alias("n")).collect()}
+    y = (~clean).to_numpy()
+    weight = np.where(y, totals.get(True, 0) / max(1, y.sum()), totals.get(False, 0) / max(1, (~y).sum()))
+    model.intercept, model.slope = _logistic(squashed(evidence), y.astype(float), weight / weight.mean())
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` as c0, c1, ... with evidence, passages (token ranges) and score.
 
-    Null and empty texts have no tokens and score as texts without evidence; repeated rows are each scored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    Null and empty texts have no tokens and score as texts without evidence; repeated rows are each scored; an empty
+    table gives an empty result; columns of ``docs`` may have any names."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def compute(texts):
-        found = sent.value.scan(texts)
+        found = sent.value.scan(texts, _cache(key))
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
         return [pa.array([e for e, _ in found], pa.float64()), pa.array([p for _, p in found], kind)]
 
@@ -240,6 +351,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more. Null and empty texts stay, repeated rows stay or go
+    together, all columns keep their names and values; an empty table stays empty."""
     model = fit(docs, labels, text_col=text_col, **options)
     return restored(score(docs, model, docs.columns, text_col).where(F.col("score") < threshold), docs.columns)

@@ -216,14 +216,8 @@ def all_segments(scores):
 def test_segments_by_definition():
     rng = random.Random(4)
     for _ in range(300):
-        n = rng.randrange(1, 30)
-        at = sorted(rng.sample(range(n), rng.randrange(n + 1)))
-        own = [rng.choice([0.7, 1.3, 3.1, 5.9]) + rng.random() for _ in at]
-        scores = [-0.9] * n
-        for p, s in zip(at, own):
-            scores[p] = s
-        got = toxicity.segments(at, own, 0.9)
-        want = all_segments(scores)
+        scores = [rng.choice([-0.9, -0.9, -0.3, 0.7, 1.3, 3.1, 5.9]) + rng.random() / 4 for _ in range(rng.randrange(30))]
+        got, want = toxicity.segments(np.array(scores)), all_segments(scores)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
@@ -255,6 +249,77 @@ def test_toxicity_is_learnt(spark):
     assert clean.columns == docs.columns and clean.where("doc_id = 8").count() == 0 and clean.where("doc_id = 9000").count() == 1
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Every score again from the model's numbers: log-odds, burst discount, segments by their definition, law, curve."""
+    import re
+
+    rows, labels = toxic_case(120)
+    rows += [(500, None), (501, ""), (502, "scum scum scum VILE idiots word1 word2 scum"), (502, "scum"), (503, "idiotic"), (504, "..., !!"), (505, "é漢 scum-vile 'x'")]
+    docs = documents(spark, rows, y="clash", passages="clash")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 0 < model.k and 0 < model.rate < 100 and model.slope > 0
+
+    def by_hand(text):
+        words = [w.encode() for w in re.findall(r"[A-Za-z0-9'\x80-\U0010ffff]+", text or "")]
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+        scores = []
+        for i, w in enumerate(words):
+            own = 0.0
+            for f in [w[:n] for n in (4, 5, 6, 7, 8) if n < len(w)] + [w]:
+                if f in model.features:
+                    delta, weight = model.features[f]
+                    own = (1 - weight) * own + weight * delta
+            own = 0.0 if abs(own) < 0.5 else own
+            scores.append((own / math.sqrt(1 + words[:i].count(w)) if own > 1.5 else own) - 1.5)
+        rated = sorted((model.rate * s - math.log(model.k * len(words)) for *_, s in all_segments(scores)), reverse=True)
+        evidence = rated[0] + sum(e for e in rated[1:] if math.exp(-e) < 0.05) if rated else min(0.0, -math.log(model.k * max(1, len(words))))
+        bent = math.copysign(math.log1p(abs(evidence)), evidence)
+        return evidence, 1 / (1 + math.exp(-model.intercept - model.slope * bent)), sum(math.exp(-e) < 0.05 for e in rated)
+
+    got = {(r.c0, r.c1): r for r in toxicity.score(docs, model, ["doc_id", "text"]).collect()}
+    for i, t in rows:
+        r, (evidence, score, n) = got[i, t], by_hand(t)
+        assert abs(r.evidence - evidence) < 1e-6 and abs(r.score - score) < 1e-6 and len(r.passages) == n, t
+
+
+def test_toxicity_estimates_by_hand(spark):
+    """Counts, log-odds and weights of the model from plain counts; no word is left out for there being many."""
+    rows, labels = toxic_case(120)
+    rows += [(900, rows[8][1])]  # a copy counts once
+    labels += [(900, 1)]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    y = dict(labels)
+    texts = {(t, y[i]) for i, t in rows}
+    n1, n0 = (sum(own == k for _, own in texts) for k in (1, 0))
+    has = lambda t: {f for w in toxicity.tokens(t.encode()) for f in [w, *(w[:n] for n in range(4, 9) if n < len(w))]}
+    features = [(has(t), own) for t, own in texts]
+    seen = 0
+    for f in set().union(*(h for h, _ in features)):
+        a, b = (sum(f in h for h, own in features if own == k) for k in (1, 0))
+        share = (a + b) * 0.2 * n1 / (n1 + n0)
+        variance = 1 / (a + share) + 1 / (b + share)
+        weight = 3 / (3 + variance)
+        assert (f in model.features) == (weight >= 0.1) or abs(weight - 0.1) < 1e-9
+        if f in model.features:
+            delta = math.log((a + share) / (1.2 * n1)) - math.log((b + share) / (n0 + 0.2 * n1))
+            assert np.allclose(model.features[f], (delta, weight))
+            seen += 1
+    assert seen > 200
+
+
+def test_extreme_value_constants():
+    """From segments drawn from a law with known constants."""
+    rng = np.random.default_rng(5)
+    rate, tokens = 1.7, 2_000_000
+    found = rng.exponential(1 / rate, 40_000)
+    bins = np.zeros(toxicity.BINS, np.int64)
+    bins[[(20 - 2) * 20, (20 + 1) * 20]] = [999_999, 1]  # a root far above
+    got, k = toxicity.tail(found, tokens, bins)
+    assert abs(got - rate) < 0.3
+    x = 4.0
+    assert 0.7 < k * tokens * math.exp(-got * x) / (len(found) * math.exp(-rate * x)) < 1.4
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
