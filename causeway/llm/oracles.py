@@ -55,7 +55,7 @@ _STEPS = "\nUNION ALL ".join(
 )
 _NAMES = "[" + ", ".join(f"'{r[0]}'" for r in _RULES) + "]"
 
-#: A cutoff counts as certified while all more lenient ones are; -step turns "small is bad" into "large is bad".
+#: A level counts as certified while all more lenient ones are; -step turns "small is bad" into "large is bad".
 QUALITY = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(lang, 'null') AS stratum, coalesce(text, '') AS text,
@@ -75,24 +75,34 @@ m AS (
   FROM t LEFT JOIN rep USING (r)),
 s AS ({_STEPS}),
 good AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-lab AS (SELECT s.stratum, s.rule, CASE WHEN low THEN -step ELSE step END AS step, g.good = 1 AS good FROM s JOIN m USING (r) JOIN good g ON g.doc_id = m.doc_id),
-tot AS (
-  SELECT stratum, rule, min(step) AS lo, max(step) AS hi, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS b
-  FROM lab GROUP BY stratum, rule),
-lev AS (SELECT 0.05::DOUBLE / (count(DISTINCT stratum) * {len(_RULES)}) AS level, 0.02::DOUBLE / {len(_RULES)} AS risk FROM lab),
-cut AS (SELECT *, unnest(range(lo, hi + 1)) AS c FROM tot WHERE n > 0 AND b > 0),
+sd AS (SELECT r, stratum, rule, CASE WHEN low THEN -step ELSE step END AS step FROM s),
+lab AS (
+  SELECT sd.*, g.good = 1 AS good, ('0x' || substr(md5(CAST(m.doc_id AS VARCHAR)), 1, 4))::INTEGER % 10 < 3 AS learn
+  FROM sd JOIN m USING (r) JOIN good g ON g.doc_id = m.doc_id),
+tot AS (SELECT stratum, rule, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS b FROM lab WHERE learn GROUP BY stratum, rule),
+at_step AS (SELECT stratum, rule, step, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM lab WHERE learn GROUP BY stratum, rule, step),
+odds AS (
+  SELECT a.stratum, a.rule, a.step, ln((sum(a.b) OVER w + 0.5::DOUBLE) / (t.b + 1)) - ln((sum(a.g) OVER w + 0.5::DOUBLE) / (t.n + 1)) AS odds
+  FROM at_step a JOIN tot t USING (stratum, rule) WINDOW w AS (PARTITION BY a.stratum, a.rule ORDER BY a.step DESC)),
+lv AS (
+  SELECT stratum, rule, step, CAST(least(60, greatest(0, floor(10 * max(odds) OVER (PARTITION BY stratum, rule ORDER BY step) + 1e-9))) AS INTEGER) AS level FROM odds),
+dl AS (SELECT sd.r, sd.stratum, sd.rule, coalesce(max(lv.level), 0) AS level FROM sd LEFT JOIN lv ON lv.stratum = sd.stratum AND lv.rule = sd.rule AND lv.step <= sd.step GROUP BY ALL),
+held AS (SELECT r, stratum, good FROM lab WHERE NOT learn AND rule = 0 AND stratum IN (SELECT stratum FROM tot)),
+top AS (SELECT h.stratum, h.r, h.good, max(dl.level) AS level FROM held h JOIN dl USING (r) GROUP BY ALL),
+lev AS (SELECT 0.05::DOUBLE / count(DISTINCT stratum) AS level, 0.02::DOUBLE AS risk FROM lab),
+cut AS (SELECT stratum, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS b, unnest(range(0, 61)) AS c FROM top GROUP BY stratum),
 k AS (
-  SELECT c.stratum, c.rule, c.c, c.n, c.b, count(*) FILTER (l.good) AS k, count(l.step) FILTER (NOT l.good) AS kb
-  FROM cut c LEFT JOIN lab l ON l.stratum = c.stratum AND l.rule = c.rule AND l.step > c.c GROUP BY ALL),
+  SELECT c.stratum, c.c, c.n, c.b, count(*) FILTER (t.good) AS k, count(t.r) FILTER (NOT t.good) AS kb
+  FROM cut c LEFT JOIN top t ON t.stratum = c.stratum AND t.level > c.c WHERE c.n > 0 AND c.b > 0 GROUP BY ALL),
 p AS (
-  SELECT stratum, rule, c, n, b, k, kb, CASE WHEN k >= n THEN 1.0 ELSE
+  SELECT stratum, c, n, b, k, kb, CASE WHEN k >= n THEN 1.0 ELSE
     list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma((n + 1)::DOUBLE) - lgamma((i + 1)::DOUBLE) - lgamma((n - i + 1)::DOUBLE) + i * ln(risk) + (n - i) * ln(1 - risk)))) END <= level AS fine
   FROM k, lev),
-ok AS (SELECT *, bool_and(fine) OVER (PARTITION BY stratum, rule ORDER BY c DESC) AS certified, kb::DOUBLE / b - k::DOUBLE / n AS gain FROM p),
-best AS (SELECT stratum, rule, arg_max(c, [round(gain, 11), c]) AS c FROM ok WHERE certified AND gain > 0.01 + 1e-12 GROUP BY stratum, rule),
+ok AS (SELECT *, bool_and(fine) OVER (PARTITION BY stratum ORDER BY c DESC) AS certified, kb::DOUBLE / b - k::DOUBLE / n AS gain FROM p),
+best AS (SELECT stratum, arg_max(c, [round(gain, 11), c]) AS c FROM ok WHERE certified AND gain > 0.01 + 1e-12 GROUP BY stratum),
 failed AS (
-  SELECT r, string_agg({_NAMES}[s.rule + 1], ',' ORDER BY s.rule) AS said
-  FROM s JOIN best USING (stratum, rule) WHERE CASE WHEN low THEN -step ELSE step END > best.c GROUP BY r),
+  SELECT r, string_agg({_NAMES}[dl.rule + 1], ',' ORDER BY dl.rule) AS said
+  FROM dl JOIN best USING (stratum) WHERE dl.level > best.c GROUP BY r),
 o AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(said, '') AS failed_rules
