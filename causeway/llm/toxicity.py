@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,10 +42,10 @@ WORD_BYTES = bytes(
 )
 PASSAGES = "evidence double, passages array<struct<first:int,last:int,score:double>>"
 FLUSH = 1 << 19
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (4, 6, 8)
 FOLDS = 3
-#: A feature whose estimate would keep less than this of itself is not told from its family.
-LEAST_WEIGHT = 0.1
+#: A feature counts where it keeps this much of its own estimate, or where what it keeps is no noise by itself.
+FIRM_WEIGHT = 0.5
 CACHE = 300_000
 #: Bins of token scores, a twentieth wide, from -20 on.
 BINS = 801
@@ -61,8 +62,10 @@ def family(word: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    #: (log-odds, weight) of words and prefixes
-    features: dict[bytes, tuple[float, float]] = field(default_factory=dict)
+    #: places of words and prefixes in the two arrays; models of one fit share the places, and a weight of 0 means none
+    places: dict[bytes, int] = field(default_factory=dict)
+    deltas: array = field(default_factory=lambda: array("d"))
+    weights: array = field(default_factory=lambda: array("d"))
     drift: float = 1.5
     least: float = 0.5
     rate: float = 1.0  # lambda
@@ -74,9 +77,9 @@ class Model:
     def log_odds(self, word: bytes) -> float:
         found = 0.0
         for name in family(word):
-            known = self.features.get(name)
-            if known is not None:
-                found += known[1] * (known[0] - found)
+            at = self.places.get(name)
+            if at is not None:
+                found += self.weights[at] * (self.deltas[at] - found)
         return found if abs(found) >= self.least else 0.0
 
     def token_scores(self, texts: list[bytes | None], cache: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +259,8 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    toxic_docs: int = 10_000,
-    clean_docs: int = 20_000,
+    toxic_docs: int = 4_000,
+    clean_docs: int = 8_000,
     prior: float = 0.2,
     tau2: float = 3.0,
     least: float = 0.5,
@@ -275,31 +278,32 @@ def fit(
     sizes = {(r.fold, r.y): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
     n = np.array([sizes.get(side, 0) for side in SIDES], np.int64)
     toxic = np.array([y for _, y in SIDES], bool)
-    model = Model(drift=drift, least=least, expected=expected)
     if not n[toxic].sum() or not n[~toxic].sum():
-        return model
+        return Model(drift=drift, least=least, expected=expected)
 
     counts = written(_counts(rows), "toxicity-counts")
     n1, n0, mass = int(n[toxic].sum()), int(n[~toxic].sum()), prior * int(n[toxic].sum())
     y1, y0 = (sum((F.col(c) for c, (_, y) in zip(COUNTS, SIDES) if y == own), F.lit(0)) for own in (1, 0))
     share = (y1 + y0) * (mass / (n1 + n0))
-    firm = 1 / (y1 + share) + 1 / (y0 + share) <= tau2 * (1 / LEAST_WEIGHT - 1)
-    table = counts.where(firm).toArrow()  # features of the sampled documents; singletons are not among them
+    weight = tau2 / (tau2 + 1 / (y1 + share) + 1 / (y0 + share))
+    delta = F.log((y1 + share) / (n1 + mass)) - F.log((y0 + share) / (n0 + mass))
+    table = counts.where((weight >= FIRM_WEIGHT) | (weight * F.abs(delta) >= least)).toArrow()  # of the sampled documents
     names = table.column("word").to_pylist()
+    places = {w: i for i, w in enumerate(names)}
     held = np.stack([table.column(c).to_numpy() for c in COUNTS], 1) if names else np.zeros((0, len(SIDES)), np.int64)
 
-    def learnt(without: int | None) -> dict[bytes, tuple[float, float]]:
+    def learnt(without: int | None) -> Model:
         use = np.array([fold != without for fold, _ in SIDES])
         a, b = int(n[use & toxic].sum()), int(n[use & ~toxic].sum())
-        if not a or not b:
-            return {}
-        y1, y0 = held[:, use & toxic].sum(1), held[:, use & ~toxic].sum(1)
-        live = np.flatnonzero(y1 + y0)
-        delta, weight = estimates(y1[live], y0[live], a, b, prior, tau2)
-        some = np.flatnonzero(weight >= LEAST_WEIGHT)
-        return dict(zip([names[i] for i in live[some].tolist()], zip(delta[some].tolist(), weight[some].tolist())))
-
-    sent = docs.sparkSession.sparkContext.broadcast([Model(learnt(k), drift, least) for k in range(FOLDS)])
+        delta, weight = np.zeros(len(names)), np.zeros(len(names))
+        if a and b:
+            y1, y0 = held[:, use & toxic].sum(1), held[:, use & ~toxic].sum(1)
+            live = np.flatnonzero(y1 + y0)
+            delta[live], weight[live] = estimates(y1[live], y0[live], a, b, prior, tau2)
+        return Model(places, array("d", delta), array("d", weight), drift, least, expected=expected)
+
+    del table
+    sent = docs.sparkSession.sparkContext.broadcast([learnt(k) for k in range(FOLDS)])
     key = uuid.uuid4().hex
 
     def unseen(batch: list[bytes | None], folds: list[int], ys: list[int]) -> list[pa.Array]:
@@ -321,11 +325,11 @@ def fit(
 
     seen = rows.mapInArrow(of_batches, "y int, n long, found array<double>, bins array<long>").toPandas()  # numbers of the sampled documents only
     free(counts, rows)
-    clean = seen["y"] == 0
+    sent.destroy()
+    model, clean = learnt(None), seen["y"] == 0
     bins = np.sum([b for b in seen["bins"] if b is not None], axis=0)
     model.rate, model.k = tail(np.array([s for x in seen["found"][clean] for s in x]), int(seen["n"][clean].sum()), np.asarray(bins))
     evidence = np.array([model.passages([(0, 0, s) for s in x], m)[0] for x, m in zip(seen["found"], seen["n"])])
-    model.features = learnt(None)
     totals = {r.y: r.n for r in known.groupBy((F.col("y") == 1).alias("y")).agg(F.count("*").alias("n")).collect()}
     y = (~clean).to_numpy()
     weight = np.where(y, totals.get(True, 0) / max(1, y.sum()), totals.get(False, 0) / max(1, (~y).sum()))
