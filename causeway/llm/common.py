@@ -92,6 +92,13 @@ def free(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def slices(batch: pa.RecordBatch, slice_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``slice_bytes``, one row at least."""
+    step = max(1, int(batch.num_rows * min(1.0, slice_bytes / max(1, batch.nbytes))))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def map_batches(
     df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], slice_bytes: int = 8 << 20
 ) -> DataFrame:
@@ -100,12 +107,8 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            step = max(1, int(rows * min(1.0, slice_bytes / max(1, batch.nbytes))))
-            for start in range(0, rows, step):
-                out = function(batch.slice(start, step))
+            for part in slices(batch, slice_bytes):
+                out = function(part)
                 if out is not None and out.num_rows:
                     yield out
 

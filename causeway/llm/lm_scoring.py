@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import for_workers, mix, new_folder, open_store, quoted, written
+from causeway.llm.common import for_workers, mix, new_folder, open_store, quoted, slices, written
 
 SCORES = "n_tokens long, in_target boolean, target_loss double, background_loss double, score double"
 
@@ -84,10 +84,9 @@ def _write_chunks(docs: DataFrame, keep: list[str], id_col: str, text_col: str,
 
         held, size = [], 0
         for batch in batches:
-            step = max(1, int(batch.num_rows * min(1.0, chunk_bytes / 8 / max(1, batch.nbytes))))
-            for at in range(0, batch.num_rows, step):
-                held.append(batch.slice(at, step))
-                size += held[-1].nbytes
+            for part_of in slices(batch, chunk_bytes // 8):
+                held.append(part_of)
+                size += part_of.nbytes
                 if size >= chunk_bytes:
                     yield flush(held)
                     held, size = [], 0

@@ -1,8 +1,9 @@
 """WARC archives: write with an index first, then read selected records by coalesced byte ranges.
 
-Writing: payload digests are grouped (a count and a largest id per digest, pre-aggregated on the map side), each row
-learns from its digest's group whether it is the response or a revisit, and each task writes its rows as gzip
-members of one archive file in the shared folder. What it returns is the index: file, offset, length, URL, digest
+Writing: payload digests are grouped (a count and a largest id per digest, pre-aggregated on the map side), and those
+that come more than once are written down; each row learns from them whether it is the response or a revisit (Spark
+sends that table to the workers if it is small, else joins by shuffle), and each task writes its rows as gzip members
+of one archive file in the shared folder. What it returns is the index: file, offset, length, URL, digest
 and record id of each record. The index is written by Spark's own committer, so it names only files of attempts
 that succeeded; a file left by a lost attempt is never read.
 
@@ -21,11 +22,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import new_folder, quoted, written
+from causeway.llm.common import for_workers, new_folder, open_store, quoted, slices, written
 
 INDEX = "file string, offset long, length long, url string, payload_digest string, record_id string, page_id long, record_type string, refers_to long"
 RECORD = (
@@ -88,15 +88,15 @@ def parse_record(data: bytes) -> dict:
 
 
 def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): refers_to is null for responses. Of equal payloads of at least
-    ``least_bytes`` bytes the row with the largest id is the response."""
+    """(page_id, url, payload, refers_to, revisit): refers_to is null for responses. Of equal payloads of at least
+    ``least_bytes`` bytes the row with the largest id is the response; a group without any id has only responses."""
     payload = F.coalesce(quoted(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     slim = pages.select(quoted(id_col).cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("digest"))
-    first = slim.groupBy("digest").agg(F.max("page_id").alias("largest"))
-    joined = rows.join(first.hint("shuffle_hash"), "digest")
-    own = (F.octet_length("payload") < least_bytes) | F.col("page_id").eqNullSafe(F.col("largest"))
+    again = slim.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = rows.join(written(again, "warc-repeated"), "digest", "left")
+    own = F.col("largest").isNull() | (F.octet_length("payload") < least_bytes) | F.col("page_id").eqNullSafe(F.col("largest"))
     return joined.select("page_id", "url", "payload", F.when(~own, F.col("largest")).alias("refers_to"), (~own).alias("revisit"))
 
 
@@ -104,18 +104,19 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     """Archives of ``pages`` in the shared folder; returns the index, one row per page.
 
     A null payload is empty. A null URL gives a record without target URI. Of repeated rows with the largest id each
-    is a response; a group without any id has only responses. An empty table gives an empty index.
+    is a response; a group without any id has only responses. An empty table gives an empty index; other columns are
+    not read, whatever their names.
     """
     spark = pages.sparkSession
-    folder = new_folder(spark, "warc")
+    folder = for_workers(spark, new_folder(spark, "warc"))
     prepared = with_roles(pages, id_col, url_col, payload_col, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pafs.FileSystem.from_uri(folder)
+        files, base = open_store(folder)
         files.create_dir(base, recursive=True)
         out, name, offset = None, "", 0
         try:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 rows = []
                 for page_id, url, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None:  # a name of its own for each attempt
@@ -144,7 +145,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
 
 
 def read(index: DataFrame, payload: bool = True, most_gap: int = 64 << 10, most_read: int = 8 << 20, parts: int | None = None) -> DataFrame:
-    """RECORD per row of ``index`` (any selection of its rows): sorted byte ranges, neighbours read at once."""
+    """RECORD per row of ``index`` (any selection of its rows): sorted byte ranges, neighbours read at once. A row of the
+    index that is named twice is read twice; an empty index gives an empty result."""
     spark = index.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
@@ -159,7 +161,7 @@ def read(index: DataFrame, payload: bool = True, most_gap: int = 64 << 10, most_
                 for old in opened.values():
                     old.close()
                 opened.clear()
-                files, path = pafs.FileSystem.from_uri(file)
+                files, path = open_store(file)
                 opened[file] = files.open_input_file(path)
             start, end = run_of[0][0], max(a + n for a, n in run_of)
             data = opened[file].read_at(end - start, start)
