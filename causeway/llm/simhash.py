@@ -12,15 +12,16 @@ most) are linked to the smallest. Either way no link between different texts is
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import map_batches, written
+from causeway.llm.common import free, map_batches, quoted, written
 
 BITS = 64
 SEED = 42
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text"))
     return map_batches(slim, "id long, fp long", batch_of)
 
 
@@ -82,7 +83,7 @@ def links(distinct: DataFrame, blocks: int = 5, distance: int = 2, bucket: int =
         F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])),
     )
     sizes = filed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(filed.join(sizes, ["c", "k"]), "simhash-blocks")
+    shared = written(filed.join(sizes, ["c", "k"]), "simhash-blocks")  # hot blocks are split by Spark's skew join: equal rows have met before
 
     near = f"bit_count(x ^ y) <= {distance}"
     pairs = (
@@ -125,9 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until the edges are a star forest. Each step is two joins and
     aggregations with partial sums, written to the shared folder; the driver sees only a count and a checksum.
     """
-    spark = edges.sparkSession
-    now = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "star")
-    before = None
+    now, before = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "star"), None
     while True:
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == before:
@@ -141,7 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lower, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        now = written(small.distinct(), "star")
+        older, now = now, written(small.distinct(), "star")
+        free(older)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).distinct()
 
@@ -165,34 +165,33 @@ def _labels(marked: DataFrame, blocks: int, distance: int, bucket: int) -> DataF
     rooted = written(components(links(least.select("fp"), blocks, distance, bucket)), "simhash-roots")
     known = least.join(rooted, least.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = written(known, "simhash-known")
+    free(least, rooted)
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return known.join(names, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (of several equal rows, one).
+    """``docs`` with one row of each component: the one with the smallest id (of several such rows, any one).
 
-    Components are found as in ``near_duplicates``; the kept row carries all its columns.
+    Components are found as in ``near_duplicates``, so null and empty texts are one component; a null id is kept only
+    where a component has no other. The kept row carries all its columns, whatever their names; an empty table stays empty.
     """
     shingle = options.get("shingle", 3)
     columns = docs.columns
-    numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
-    text_at = f"c{columns.index(text_col)}"
-    id_at = f"c{columns.index(id_col)}"
-    wide = docs.select(*numbered)
+    wide = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    text_at, id_at = f"c{columns.index(text_col)}", f"c{columns.index(id_col)}"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema.fields)
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(batch.schema.get_field_index(text_at)).cast(pa.binary()).to_pylist()
         values = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, "fp"])
+        part = uuid.uuid4().hex
+        rows = [f"{part}{i}" for i in range(batch.num_rows)]  # a name of its own for each row
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array(rows)], names=[*batch.schema.names, "fp", "row"])
 
-    marked = written(map_batches(wide, schema + ", fp long", batch_of), "simhash-rows")
-    id_key = F.coalesce(F.col(id_at).cast("string"), F.lit("null"))
-    marked = marked.withColumn("id_key", id_key)
-    slim = marked.select(F.col(id_at).cast("long").alias("id"), "id_key", "fp")
+    marked = written(map_batches(wide, schema + ", fp long, row string", batch_of), "simhash-rows")
+    slim = marked.select(F.col(id_at).cast("long").alias("id"), "fp", "row")
     label = _labels(slim, options.get("blocks", 5), options.get("distance", 2), options.get("bucket", 128))
-    winners = slim.join(label, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "id_key")).alias("w")).select("w.*")
-    first = Window.partitionBy("fp", "id_key").orderBy(F.lit(0))  # the join's own partitioning; only repeated rows meet here
-    kept = marked.join(winners, ["fp", "id_key"]).withColumn("row", F.row_number().over(first)).where("row = 1")
+    first = slim.join(label, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("w")).select(F.col("w.row").alias("row"))
+    kept = marked.join(written(first, "simhash-kept"), "row", "left_semi")  # by row, so that no key is hot
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -83,3 +83,18 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(want)
     assert all(r.text == dict(rows)[r.doc_id] for r in kept.collect())
+
+
+def test_long_texts_repeats_and_clashing_names(spark):
+    long = " ".join(f"w{i % 977}" for i in range(150_000))
+    rows = [(3, long), (4, long.upper()), (4, long.upper()), (1, "other words here"), (2, None), (7, ""), (None, "x y z"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("fp", "row", "c0", "a`b", "component_id"):
+        docs = docs.withColumn(name, F.lit("own"))
+    found = simhash.near_duplicates(docs).collect()
+    want = {(i, c) for i, _, c in [(3, 0, 3), (4, 0, 3), (None, 0, 3), (1, 0, 1), (2, 0, 2), (7, 0, 2)]} | {(None, None)}
+    assert {(r.id, r.component_id) for r in found} == want and len(found) == len(rows)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "3", "None"] and all(r["a`b"] == r.row == r.fp == "own" for r in got)
