@@ -179,7 +179,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def predict(docs: DataFrame, network: Network, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` as c0, c1, ... with lang_pred and score, over whole texts.
 
-    Null texts and texts without a letter are ``und`` with score 0; repeated rows are each predicted."""
+    Null texts and texts without a letter are ``und`` with score 0; repeated rows are each predicted; an empty table
+    gives an empty result; columns of ``docs`` may have any names."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def compute(texts):

@@ -9,6 +9,7 @@ byte) or ``last``. Sections cover the text, so that their counts add up to the d
 from __future__ import annotations
 
 import base64
+import hashlib
 from pathlib import Path
 
 import numpy as np
@@ -107,21 +108,21 @@ def count_sections(text: bytes | None, encoder: Encoder, rule: str = "most") ->
     return len(token_ends), [{"start": a, "end": b, "n_tokens": c, "n_crossing": x} for a, b, c, x in zip(starts, ends, counts.tolist(), crossing.tolist())]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[str, bytes], Encoder] = {}
 
 
 def count(docs: DataFrame, keep: list[str], text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN, rule: str = "most") -> DataFrame:
     """The columns ``keep`` of ``docs`` as c0, c1, ... with n_tokens and the sections (lines) of each text.
 
     Null and empty texts have no tokens and no sections; an empty line is a section of its line end; repeated rows
-    are each counted. The vocabulary file is read on the driver and sent to the workers (1 MB).
+    are each counted; an empty table gives an empty result; columns of ``docs`` may have any names. The vocabulary file is read on the driver and sent to the workers (1 MB).
     """
     sent = docs.sparkSession.sparkContext.broadcast(Path(ranks).read_bytes())
     if len(sent.value) > 64 << 20:
         raise ValueError("a vocabulary of over 64 MB is not one for this encoder")
 
     def compute(texts):
-        key = hash(sent.value)
+        key = (pattern, hashlib.sha256(sent.value).digest())
         if key not in _ENCODERS:
             _ENCODERS[key] = Encoder(sent.value, pattern)
         made = [count_sections(t, _ENCODERS[key], rule) for t in texts]
@@ -132,7 +133,7 @@ def count(docs: DataFrame, keep: list[str], text_col: str = "text", ranks: str =
 
 
 def by_section(counted: DataFrame) -> DataFrame:
-    """One row per section, numbered from 0."""
+    """One row per section, numbered from 0; a text without sections has no row."""
     return counted.select("c0", "n_tokens", F.posexplode("sections").alias("section", "s")).select(
         F.col("c0").alias("doc_id"), "section", F.col("s.start"), F.col("s.end"), F.col("s.n_tokens").alias("n_tokens"), F.col("s.n_crossing").alias("n_crossing"), F.col("n_tokens").alias("n_doc_tokens")
     )

@@ -14,28 +14,33 @@ from causeway.llm.common import remainder_of_id, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; learnt from labels outside the held-out fold."""
+    """Documents that score below 0.5; learnt from labels outside the held-out fold. Null and empty texts stay; repeated
+    rows stay or go together; extra columns stay; an empty table stays empty; without labels nothing goes."""
     labels = table(spark, sf_dir, "labels")
     return toxicity.keep_clean(docs, labels.where(remainder_of_id("doc_id", 5) != 0))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates. Null and empty texts are one group; of repeated
+    rows one stays; a null id stays only where its group has no other; extra columns stay; an empty table stays empty."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage."""
+    """Documents without any benchmark passage. Null and empty texts stay; repeated rows stay or go together; extra columns
+    stay; with an empty benchmark, or on an empty table, nothing goes."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind in square brackets and ``n_chars`` brought up to date."""
+    """All documents, personal data replaced by its kind in square brackets and ``n_chars`` brought up to date. Null texts
+    stay null and empty ones empty; repeated rows are each redacted; extra columns of any name stay as they were."""
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as piece ids."""
+    """All documents as piece ids, with id, language and source. Null and empty texts have no ids; repeated rows are each
+    encoded; other columns are left behind; an empty table gives an empty result."""
     out = sentencepiece_fst.encode(docs, ["doc_id", "lang", "source"])
     names = [F.col(f"c{i}").alias(c) for i, c in enumerate(("doc_id", "lang", "source"))]
     return out.select(*names, "n_tokens", "n_byte_tokens", "ids", "round_trip")

@@ -415,6 +415,32 @@ def test_network_gradient_descends_and_windows_are_all_seen():
     assert len(padded) == -(-len(text) // langid.LENGTH)
 
 
+def test_language_scores_by_hand(spark):
+    """Every window, filter and position by loops; logits weighted by the windows' bytes."""
+    network = langid.fit(spark.createDataFrame(language_case(60), EMPTY), docs_per_language=20, epochs=2)
+    rows = [(0, "aeiou"), (1, "жщы bcd " * 40), (2, "bcdfg" * 26 + "a"), (3, "x" * 128), (3, "x" * 128), (None, "ж"), (4, "1 2"), (5, "é")]
+    docs = documents(spark, rows, lang_pred="clash", score="clash")
+    got = {(r.c0, r.c1): r for r in langid.predict(docs, network, ["doc_id", "text"]).collect()}
+    step, wide, n_filters = langid.EMBEDDING, max(langid.WIDTHS), langid.FILTERS
+    for i, text in rows:
+        if not any(c.isalpha() for c in text):
+            assert (got[i, text].lang_pred, got[i, text].score) == ("und", 0.0)
+            continue
+        data, total = text.encode(), np.zeros(len(network.languages))
+        for at in range(0, len(data), langid.LENGTH):
+            window = data[at : at + langid.LENGTH]
+            seen = [network.embedding[b].astype(float) for b in window.ljust(langid.LENGTH, b"\0")]
+            hidden = []
+            for f in range(n_filters * len(langid.WIDTHS)):
+                width = langid.WIDTHS[f // n_filters]
+                sums = [sum(float(seen[p + k] @ network.filters[k * step : (k + 1) * step, f]) for k in range(width)) for p in range(langid.LENGTH - wide + 1)]
+                hidden.append(max(0.0, max(sums) + float(network.bias[f])))
+            total += len(window) * (np.array(hidden) @ network.out + network.out_bias)
+        odds = np.exp(total / len(data) - (total / len(data)).max())
+        best = int(odds.argmax())
+        assert got[i, text].lang_pred == network.languages[best] and abs(got[i, text].score - odds[best] / odds.sum()) < 1e-4
+
+
 def test_no_language(spark):
     network = langid.fit(spark.createDataFrame([], EMPTY))
     docs = spark.createDataFrame([(1, "abc", "en")], EMPTY)
@@ -447,6 +473,8 @@ def by_hand(text, encoder, rule):
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
+    same = token_counts.count(documents(spark, [(1, "a b\nc"), (1, "a b\nc"), (None, "a b\nc")]), ["doc_id"], rule=rule).collect()
+    assert len(same) == 3 and len({str(r.sections) for r in same}) == 1  # repeated rows and null ids
     rows = list(enumerate([*texts(), "a\n\n\n b\n\n", "\n" * 50, "ends\n", "é\n漢\n😀"]))
     encoder = token_counts.Encoder(open(token_counts.RANKS, "rb").read())
     counted = token_counts.count(documents(spark, rows, n_tokens="clash", sections="clash"), ["doc_id"], rule=rule)
