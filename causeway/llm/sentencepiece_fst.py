@@ -44,10 +44,12 @@ UNKNOWN_PENALTY = 10.0
 ENCODED = "n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean"
 #: Parts that are kept from batch to batch; parts up to this length go through the tables; most cells of a table,
 #: and most pairs of neighbours that are kept.
-CACHE = 300_000
+CACHE = 150_000
 SHORT = 48
 MOST_CELLS = 1 << 25
-MOST_PAIRS = 1 << 20
+MOST_PAIRS = 1 << 19
+#: Text whose parts a task holds at once.
+SLICE = 2 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -155,7 +157,7 @@ class Tables:
             return
         self.piece = np.array([ids.get(p, -1) if len(p) > 1 else -1 for p in number], np.int32)
         self.row = np.array([row.get(p, len(row)) for p in number], np.int32)
-        self.onward = np.zeros((len(row) + 1, len(chars) + 1), np.int32)  # 0: nowhere, as no arc leads to the root
+        self.onward = np.zeros((len(row) + 1, len(chars) + 1), np.uint16 if len(number) < 1 << 16 else np.int32)  # 0: nowhere, as no arc leads to the root
         for p, i in number.items():
             if p:
                 self.onward[row[p[:-1]], self.classes[ord(p[-1])]] = i
@@ -439,4 +441,4 @@ def encode(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
         return [pa.array(counts, pa.int64()), pa.array(of_bytes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(back, pa.bool_())]
 
-    return annotate(docs, text_col, keep, ENCODED, compute)
+    return annotate(docs, text_col, keep, ENCODED, compute, SLICE)

@@ -46,7 +46,7 @@ PREFIXES = (4, 6, 8)
 FOLDS = 3
 #: A feature counts where it keeps this much of its own estimate, or where what it keeps is no noise by itself.
 FIRM_WEIGHT = 0.5
-CACHE = 300_000
+CACHE = 100_000
 #: Bins of token scores, a twentieth wide, from -20 on.
 BINS = 801
 
