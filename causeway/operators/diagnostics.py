@@ -90,21 +90,27 @@ def diversity(vecs: DataFrame) -> DataFrame:
     return length.join(own).select(F.col("n").alias("n_nodes"), F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("avg_similarity"), F.round(F.when(F.col("n") > 1, 1 - mean).otherwise(0.0), 6).alias("diversity_score"))
 
 
-def source_diversity(vecs: DataFrame) -> DataFrame:
-    """One row: as ``diversity`` over n (n - 1) ordered pairs, for the few texts of one answer."""
-    unit = vecs.select(vectors.normalised(F.col("vec")).alias("u"))
-    sums = unit.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"))
-    length = sums.agg(F.sum(F.col("s") * F.col("s")).alias("all_pairs"))
-    own = unit.agg(F.count("*").alias("n"))
+def source_diversity(vecs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row for each group of ``keys`` (or one in all): as ``diversity`` over n (n - 1) ordered pairs, for the texts
+    of one answer. Groups are summed position by position, so none is collected."""
+    keys = keys or []
+    unit = vecs.select(*keys, vectors.normalised(F.col("vec")).alias("u"))
+    sums = unit.select(*keys, F.posexplode("u").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("s"))
+    length = sums.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("all_pairs"))
+    own = unit.groupBy(*keys).agg(F.count("*").alias("n"))
     mean = (F.col("all_pairs") - F.col("n")) / (F.col("n") * (F.col("n") - 1) + 1e-9)
-    return length.join(own).select(F.round(F.when(F.col("n") > 1, 1 - F.least(mean, F.lit(1.0))).otherwise(0.0), 6).alias("source_diversity"))
+    both = length.join(own, keys) if keys else length.join(own)
+    return both.select(*keys, F.round(F.when(F.col("n") > 1, 1 - F.least(mean, F.lit(1.0))).otherwise(0.0), 6).alias("source_diversity"))
 
 
 def pair_extremes(vecs: DataFrame, of: DataFrame, most: int = 5) -> DataFrame:
-    """The most and the least similar pairs between a stated query set ``of(label, vec)`` and all of ``vecs``."""
+    """The most and the least similar pairs between a stated query set ``of(label, vec)`` and all other rows of ``vecs``;
+    a pair of two queries counts once, from the smaller one."""
     a = of.select(F.col("label").alias("a"), vectors.normalised(F.col("vec")).alias("u"))
     b = vecs.select(F.col("label").alias("b"), vectors.normalised(F.col("vec")).alias("v"))
-    scored = b.join(F.broadcast(a) if vectors._small(of.withColumnRenamed("label", "query_id")) else a, F.col("a") < F.col("b")).select("a", "b", F.round(vectors.dot(F.col("u"), F.col("v")), 6).alias("score"))
+    b = b.join(of.select(F.col("label").alias("b")).distinct().withColumn("asked", F.lit(True)), "b", "left")
+    met = (F.col("a") != F.col("b")) & (F.col("asked").isNull() | (F.col("a") < F.col("b")))
+    scored = b.join(F.broadcast(a) if vectors._small(of.withColumnRenamed("label", "query_id")) else a, met).select("a", "b", F.round(vectors.dot(F.col("u"), F.col("v")), 6).alias("score"))
     top = scored.orderBy(F.desc("score"), "a", "b").limit(most).withColumn("side", F.lit("most"))
     return top.union(scored.orderBy("score", "a", "b").limit(most).withColumn("side", F.lit("least")))
 

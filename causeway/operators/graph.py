@@ -7,21 +7,29 @@ semi-join.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.functions.text import contains_any
+from causeway.functions import lexicons as lx
+from causeway.functions.text import contains_any, node_layer
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; one of our own only where none is named."""
+    """A reliable checkpoint in the folder that the session names. Only a local session that names none gets one of its
+    own: on a cluster that would be a folder of the driver alone."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="causeway-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="causeway-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -53,9 +61,30 @@ def keyword_match(labels: DataFrame, words: list[str], skip_empty: bool = False)
     return labels.where(contains_any(F.col("label"), own))
 
 
+MOST_SHORT = 10_000
+
+
 def keyword_match_join(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(query_id, label) for ``words(query_id, word)``: the batch form of ``keyword_match``."""
-    return labels.join(words.where("word is not null and word <> ''"), F.lower("label").contains(F.lower("word"))).select("query_id", "label").distinct()
+    """(query_id, label) for ``words(query_id, word)``: the batch form of ``keyword_match``. Null and empty words match
+    nothing.
+
+    Words meet labels through an index of three-letter pieces: a word is looked up under that piece of it which the
+    fewest labels hold, and the match is then verified, so no word meets all labels. Words of one or two letters, which
+    have no piece, are few by their nature; they are sent to the labels, in their number checked."""
+    low = labels.select("label", F.lower("label").alias("low")).distinct()
+    asked = words.where("word is not null and word <> ''").select("query_id", F.lower("word").alias("word")).distinct()
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    index = low.where(F.length("low") >= 3).select("label", "low", F.explode(pieces(F.col("low"))).alias("piece"))
+    sizes = index.groupBy("piece").agg(F.count("*").alias("n"))
+    distinct = asked.select("word").distinct()
+    own = distinct.where(F.length("word") >= 3).select("word", F.explode(pieces(F.col("word"))).alias("piece"))
+    rarest = own.join(sizes, "piece").groupBy("word").agg(F.min(F.struct("n", "piece")).alias("r")).select("word", F.col("r.piece").alias("piece"))
+    met = index.join(rarest, "piece").where(F.contains("low", "word")).select("word", "label")
+    short = distinct.where(F.length("word") < 3)
+    few = short.limit(MOST_SHORT + 1).count()
+    if few:
+        met = met.union(low.join(F.broadcast(short) if few <= MOST_SHORT else short, F.contains("low", "word")).select("word", "label"))
+    return asked.join(met, "word").select("query_id", "label").distinct()
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -77,20 +106,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("label").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.count("*").alias("degree"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops: int = 4, keys: list[str] | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops: int = 4, keys: list[str] | None = None, enough: int | None = None) -> DataFrame:
     """(keys, path) of all simple paths of one to ``max_hops`` edges from a start to another end.
 
-    ``starts`` and ``ends`` hold ``label`` and the ``keys`` (say a query id); a path belongs to one key. An end may
-    also lie inside a path to another end."""
+    ``starts`` hold ``label`` and the ``keys`` (say a query id); a path belongs to one key. ``ends`` hold ``label`` and
+    the keys, or ``label`` alone where all keys share them. An end may also lie inside a path to another end. Where only
+    the shortest paths of each key are wanted, keys that have ``enough`` after a hop are not walked further."""
     keys = keys or []
+    shared = [k for k in keys if k in ends.columns]
     steps = pairs(edges)
-    targets = ends.select(*keys, F.col("label").alias("last")).distinct()
-    # alive[h]: (keys, node) from which an end is at most h hops away
     # each set and each frontier is read by several later steps, so each is kept, not computed again by each of them
-    targets, steps = kept(targets), kept(steps)
-    alive = [targets.select(*keys, F.col("last").alias("node"))]
+    targets, steps = kept(ends.select(*shared, F.col("label").alias("last")).distinct()), kept(steps)
+    # alive[h]: (keys, node) from which an end is at most h hops away
+    alive = [targets.select(*shared, F.col("last").alias("node"))]
     for _ in range(max_hops - 1):
-        back = alive[-1].join(steps, F.col("node") == F.col("dst")).select(*keys, F.col("src").alias("node"))
+        back = alive[-1].join(steps, F.col("node") == F.col("dst")).select(*shared, F.col("src").alias("node"))
         alive.append(kept(alive[-1].union(back).distinct()))
     now = starts.select(*keys, F.array("label").alias("path"), F.col("label").alias("last")).distinct()
     found = []
@@ -99,31 +129,42 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops:
         now = kept(
             now.join(steps, F.col("last") == F.col("src"))
             .where(~F.array_contains("path", F.col("dst")))
-            .join(near, [*keys, "dst"], "left_semi")
+            .join(near, [*shared, "dst"], "left_semi")
             .select(*keys, F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"))
         )
-        found.append(now.join(targets, [*keys, "last"], "left_semi").select(*keys, "path"))
+        found.append(now.join(targets, [*shared, "last"], "left_semi").select(*keys, "path"))
+        if enough is not None and hop + 1 < max_hops:
+            counts = reduce(DataFrame.union, found).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+            if keys:
+                now = now.join(counts.select(*keys), keys, "left_anti")
+            elif not counts.isEmpty():
+                break
     return reduce(DataFrame.union, found)
 
 
 def paths_recursive(edges: DataFrame, max_hops: int = 4) -> DataFrame:
-    """All simple paths by a recursive query: the SQL form, for deep hops."""
-    pairs(edges).createOrReplaceTempView("__steps")
-    return edges.sparkSession.sql(
+    """All simple paths by a recursive query: the SQL form, for deep hops on small graphs (Spark bounds the rows of a
+    recursion by ``spark.sql.cteRecursionRowLimit``, and fails beyond)."""
+    view = f"steps_{uuid.uuid4().hex}"
+    pairs(edges).createOrReplaceTempView(view)
+    out = edges.sparkSession.sql(
         f"""WITH RECURSIVE w AS (
-              SELECT array(src, dst) AS path, dst AS last, 1 AS hops FROM __steps
+              SELECT array(src, dst) AS path, dst AS last, 1 AS hops FROM {view}
               UNION ALL
-              SELECT array_append(path, s.dst), s.dst, hops + 1 FROM w JOIN __steps s ON s.src = w.last
+              SELECT array_append(path, s.dst), s.dst, hops + 1 FROM w JOIN {view} s ON s.src = w.last
               WHERE hops < {int(max_hops)} AND NOT array_contains(path, s.dst))
             SELECT path FROM w"""
     )
+    edges.sparkSession.catalog.dropTempView(view)  # the plan holds what it needs
+    return out
 
 
-def find_psp_paths(edges: DataFrame, start_words: list[str], end_words: list[str], max_hops: int = 4, reversed_: bool = False) -> DataFrame:
-    """Simple paths between nodes that match start and end words; on the reversed edges if asked."""
+def find_psp_paths(edges: DataFrame, start_words: list[str], end_words: list[str], max_hops: int = 4, reversed_: bool = False, enough: int | None = None) -> DataFrame:
+    """Simple paths between nodes that match start and end words; on the reversed edges if asked; ``enough`` as in
+    ``simple_paths``."""
     graph = reverse(edges) if reversed_ else edges
     labels = nodes(graph)
-    return simple_paths(graph, keyword_match(labels, start_words), keyword_match(labels, end_words), max_hops)
+    return simple_paths(graph, keyword_match(labels, start_words), keyword_match(labels, end_words), max_hops, enough=enough)
 
 
 def first_paths(paths: DataFrame, most: int = 10, keys: list[str] | None = None) -> DataFrame:
@@ -179,11 +220,44 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(label, component): the smallest label among those that reach a node and are reached from it."""
-    reach = closure(edges)
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    least = mutual.groupBy(F.col("src").alias("label")).agg(F.min("dst").alias("least"))
-    return nodes(edges).join(least, "label", "left").select("label", F.least("label", F.coalesce("least", "label")).alias("component"))
+    """(label, component): the smallest label among those that reach a node and are reached from it.
+
+    By colours: nodes without a way in or out are components of their own and are trimmed; each other node takes the
+    smallest label that reaches it; the nodes of a colour that reach its owner are the owner's component. These go, and
+    what is left starts again. Every step is a join on the edges that are left; no pair of nodes is made."""
+    everyone = nodes(edges)
+    left = kept(pairs(edges))
+    done: list[DataFrame] = []  # (label, component)
+    while not left.isEmpty():
+        while True:
+            inner = left.select(F.col("dst").alias("label")).intersect(left.select(F.col("src").alias("label")))
+            after = kept(left.join(inner.withColumnRenamed("label", "src"), "src", "left_semi").join(inner.withColumnRenamed("label", "dst"), "dst", "left_semi"))
+            if after.count() == left.count():
+                break
+            left = after
+        if left.isEmpty():
+            break
+        colours = kept(nodes(left).select("label", F.col("label").alias("colour")))
+        while True:
+            near = left.join(colours, left.src == colours.label).groupBy("dst").agg(F.min("colour").alias("near"))
+            after = kept(colours.join(near, colours.label == near.dst, "left").select("label", F.least("colour", F.coalesce("near", "colour")).alias("colour")))
+            if after.join(colours, ["label", "colour"], "left_anti").isEmpty():
+                break
+            colours = after
+        ends = colours.withColumnRenamed("label", "dst").withColumnRenamed("colour", "to")
+        inside = kept(left.join(colours.withColumnRenamed("label", "src"), "src").join(ends, "dst").where(F.col("colour") == F.col("to")).select("src", "dst", "colour"))
+        back = front = kept(colours.where(F.col("label") == F.col("colour")).select("label", "colour"))
+        while not front.isEmpty():
+            onward = inside.join(front.select(F.col("label").alias("dst")), "dst").select(F.col("src").alias("label"), "colour").distinct()
+            front = kept(onward.join(back, ["label", "colour"], "left_anti"))
+            back = back.union(front)
+        back = kept(back)
+        done.append(back.select("label", F.col("colour").alias("component")))
+        gone = back.select("label")
+        left = kept(left.join(gone.withColumnRenamed("label", "src"), "src", "left_anti").join(gone.withColumnRenamed("label", "dst"), "dst", "left_anti"))
+    if not done:
+        return everyone.select("label", F.col("label").alias("component"))
+    return everyone.join(reduce(DataFrame.union, done), "label", "left").select("label", F.coalesce("component", "label").alias("component"))
 
 
 def peel(edges: DataFrame) -> DataFrame:
@@ -205,15 +279,16 @@ def peel(edges: DataFrame) -> DataFrame:
     return done
 
 
-def is_dag(edges: DataFrame) -> DataFrame:
+def is_dag(edges: DataFrame, peeled: DataFrame | None = None) -> DataFrame:
     """One row: whether no cycle is left after peeling."""
-    return nodes(edges).agg(F.count("*").alias("n")).join(peel(edges).agg(F.count("*").alias("m"))).select((F.col("n") == F.col("m")).alias("is_dag"))
+    peeled = peel(edges) if peeled is None else peeled
+    return nodes(edges).agg(F.count("*").alias("n")).join(peeled.agg(F.count("*").alias("m"))).select((F.col("n") == F.col("m")).alias("is_dag"))
 
 
-def longest_path(edges: DataFrame) -> DataFrame:
+def longest_path(edges: DataFrame, peeled: DataFrame | None = None) -> DataFrame:
     """One row: nodes on the longest path; 0 for a graph with a cycle."""
-    peeled = peel(edges).agg(F.count("*").alias("m"), F.max("level").alias("top"))
-    return nodes(edges).agg(F.count("*").alias("n")).join(peeled).select(F.when(F.col("n") == F.col("m"), F.coalesce("top", F.lit(-1)) + 1).otherwise(0).cast("long").alias("longest_path"))
+    levels = (peel(edges) if peeled is None else peeled).agg(F.count("*").alias("m"), F.max("level").alias("top"))
+    return nodes(edges).agg(F.count("*").alias("n")).join(levels).select(F.when(F.col("n") == F.col("m"), F.coalesce("top", F.lit(-1)) + 1).otherwise(0).cast("long").alias("longest_path"))
 
 
 def density(edges: DataFrame) -> DataFrame:
@@ -282,18 +357,38 @@ def filtered(edges: DataFrame, material: str | None = None, types: list[str] | N
     return out if types is None else out.where(F.col("psp_type").isin(types))
 
 
+def active(edges: DataFrame, layers: list[str] | None = None, lexicon: dict[str, list[str]] = lx.NODE_KEYWORDS) -> DataFrame:
+    """(label, layer, degree) of the nodes that shown edges touch, of some layers or all: the nodes of an explorer."""
+    out = degrees(edges).select("label", node_layer(F.col("label"), lexicon).alias("layer"), "degree")
+    return out if layers is None else out.where(F.col("layer").isin(layers))
+
+
 def reachable_pairs(edges: DataFrame, claims: DataFrame) -> DataFrame:
-    """Claims (claim_id, source, target) with whether any node matching the source reaches any matching the target."""
+    """Claims (claim_id, source, target) with whether any node matching the source reaches any matching the target, or
+    is one itself. Null and empty names match nothing.
+
+    The walk starts from the claims' nodes and goes on for a claim until it is verified or has nowhere to go."""
     labels = nodes(edges)
-    a = labels.join(claims, F.lower("label").contains(F.lower("source"))).select("claim_id", F.col("label").alias("src"))
-    b = labels.join(claims, F.lower("label").contains(F.lower("target"))).select("claim_id", F.col("label").alias("dst"))
-    same = a.join(b, (a.claim_id == b.claim_id) & (a.src == b.dst)).select(a.claim_id)
-    hit = a.join(closure(edges), "src").join(b, ["claim_id", "dst"]).select("claim_id").union(same).distinct().withColumn("verified", F.lit(True))
-    return claims.join(hit, "claim_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+    match = lambda c: keyword_match_join(labels, claims.select(F.col("claim_id").alias("query_id"), F.col(c).alias("word"))).withColumnRenamed("query_id", "claim_id")
+    steps = kept(pairs(edges))
+    ends = kept(match("target"))
+    seen = front = kept(match("source"))
+    verified = kept(front.join(ends, ["claim_id", "label"], "left_semi").select("claim_id").distinct())
+    front = front.join(verified, "claim_id", "left_anti")
+    while not front.isEmpty():
+        onward = front.select("claim_id", F.col("label").alias("src")).join(steps, "src").select("claim_id", F.col("dst").alias("label")).distinct()
+        front = kept(onward.join(seen, ["claim_id", "label"], "left_anti"))
+        seen = seen.union(front)
+        new = kept(front.join(ends, ["claim_id", "label"], "left_semi").select("claim_id").distinct())
+        verified = verified.union(new)
+        front = front.join(new, "claim_id", "left_anti")
+    flags = verified.distinct().withColumn("verified", F.lit(True))
+    return claims.join(flags, "claim_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 
 def stats(edges: DataFrame) -> DataFrame:
     """One row of counts, degrees, density, components and acyclicity."""
+    peeled = kept(peel(edges))
     d = degrees(edges)
     base = d.agg(
         F.count("*").alias("n_nodes"), F.round(F.avg("degree"), 9).alias("avg_degree"), F.max("n_in").alias("max_in"), F.max("n_out").alias("max_out"),
@@ -301,4 +396,12 @@ def stats(edges: DataFrame) -> DataFrame:
         F.sum(F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), 1).otherwise(0)).alias("n_intermediate"),
     )
     count_of = lambda c, name: c.agg(F.count_distinct("component").alias(name))
-    return base.join(density(edges).drop("n_nodes")).join(is_dag(edges)).join(count_of(weak_components(edges), "n_weak")).join(count_of(strong_components(edges), "n_strong")).join(longest_path(edges))
+    acyclic = peeled.count() == d.count()  # then each node is a strong component of its own
+    strong = nodes(edges).select(F.col("label").alias("component")) if acyclic else strong_components(edges)
+    return base.join(density(edges).drop("n_nodes")).join(is_dag(edges, peeled)).join(count_of(weak_components(edges), "n_weak")).join(count_of(strong, "n_strong")).join(longest_path(edges, peeled))
+
+
+def samples(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(side, label): the first ``most`` roots, leaves and nodes in between, by label: what a report shows of each."""
+    parts = [f(edges).orderBy("label").limit(most).select(F.lit(name).alias("side"), "label") for name, f in (("root", roots), ("leaf", leaves), ("between", intermediates))]
+    return reduce(DataFrame.union, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.functions import lexicons as lx
@@ -42,19 +43,24 @@ def cosine_topk(spark, sf):
     return vectors.top_k(_asked(vecs), vecs, 5)
 
 
-@register("nearest_node", v.with_sql(_E, f"SELECT q.vec_id AS query_id, n.label, coalesce(n.score, 0.0) AS score FROM em q LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rn FROM (SELECT q.vec_id AS query_id, c.vec_id AS label, round({_COS}, 6) AS score FROM em q, em c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0)) WHERE rn = 1) n ON n.query_id = q.vec_id WHERE q.vec_id % 50 = 0"))
+@register("nearest_node", v.with_sql(_E, f"SELECT q.vec_id AS query_id, n.label, coalesce(n.score, 0.0) AS score FROM em q LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rn FROM (SELECT q.vec_id AS query_id, c.vec_id AS label, round({_COS}, 6) AS score FROM em q, em c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)) WHERE rn = 1) n ON n.query_id = q.vec_id WHERE q.vec_id % 50 = 0"))
 def nearest_node(spark, sf):
+    """The nearest other row of each query."""
     vecs = _vectors(spark, sf)
     asked = _asked(vecs)
-    best = vectors.top_k(asked, vecs.where("label % 50 <> 0"), 1)
+    best = vectors.top_k(asked, vecs, 2).where("query_id <> label")
+    by = Window.partitionBy("query_id").orderBy("rank")  # two rows at most
+    best = best.withColumn("k", F.row_number().over(by)).where("k = 1")
     return asked.select("query_id").join(best, "query_id", "left").select("query_id", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-@register("embedding_distance", v.with_sql(_E, "SELECT c.vec_id, round(1 - list_cosine_similarity(c.vec, q.vec), 6) AS distance FROM em c, em q WHERE q.vec_id = 0"))
+@register("embedding_distance", v.with_sql(_E, "SELECT q.vec_id AS query_id, c.vec_id, round(1 - list_cosine_similarity(c.vec, q.vec), 6) AS distance FROM em c, em q WHERE q.vec_id % 50 = 0"))
 def embedding_distance(spark, sf):
+    """The distance of every row from each of the stated queries."""
     vecs = _vectors(spark, sf)
-    first = vecs.where("label = 0").select(F.col("vec").alias("q"))
-    return vecs.join(first).select(F.col("label").alias("vec_id"), F.round(vectors.distance(F.col("vec"), F.col("q")), 6).alias("distance"))
+    asked = _asked(vecs)
+    pairs = vecs.join(F.broadcast(asked) if vectors._small(asked) else asked)
+    return pairs.select("query_id", F.col("label").alias("vec_id"), F.round(vectors.distance(F.col("vec"), F.col("qvec")), 6).alias("distance"))
 
 
 @register("l2_normalize", v.with_sql(_E, "SELECT vec_id, round(list_sum(list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y))))), 6) AS total, len(vec) AS size FROM em"))
@@ -68,12 +74,16 @@ def diversity(spark, sf):
     return diagnostics.diversity(_vectors(spark, sf))
 
 
-@register("source_diversity", v.with_sql(_E, "five AS (SELECT * FROM em WHERE vec_id < 5)", f"SELECT round(1 - least((sum({_COS}) - 5) / (5 * 4 + 1e-9), 1.0), 6) AS source_diversity FROM five q, five c"))
+@register("source_diversity", v.with_sql(
+    "em AS (SELECT label AS grp, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)",
+    f"SELECT q.grp, round(1 - least((sum({_COS}) - sqrt(count(*))) / (count(*) - sqrt(count(*)) + 1e-9), 1.0), 6) AS source_diversity FROM em q JOIN em c USING (grp) GROUP BY q.grp"))
 def source_diversity(spark, sf):
-    return diagnostics.source_diversity(_vectors(spark, sf).where("label < 5"))
+    """Of each group of vectors."""
+    vecs = v.table(spark, sf, "embeddings").select(F.col("label").alias("grp"), F.col("embedding").alias("vec"))
+    return diagnostics.source_diversity(vecs, ["grp"])
 
 
-_PAIRS = f"pr AS (SELECT q.vec_id AS a, c.vec_id AS b, round({_COS}, 6) AS score FROM em q, em c WHERE q.vec_id % 50 = 0 AND q.vec_id < c.vec_id)"
+_PAIRS = f"pr AS (SELECT q.vec_id AS a, c.vec_id AS b, round({_COS}, 6) AS score FROM em q, em c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND (c.vec_id % 50 <> 0 OR q.vec_id < c.vec_id))"
 
 
 @register("pair_extremes", v.with_sql(_E, _PAIRS, "SELECT * FROM (SELECT *, 'most' AS side FROM pr ORDER BY score DESC, a, b LIMIT 5) UNION ALL SELECT * FROM (SELECT *, 'least' AS side FROM pr ORDER BY score, a, b LIMIT 5)"))
@@ -144,7 +154,7 @@ def type_rollup(spark, sf):
     return v.psp_edges(spark, sf).rollup("psp_type", "material").agg(F.count("*").alias("n"))
 
 
-@register("graph_report", v.with_sql(v.PSP, v.nodes_sql("psp"), v.walks_sql("psp"), _COVER_SQL, _COVERED, f"s AS ({_SUMMARY})", "SELECT 'Graph report' || chr(10) || 'nodes: ' || (SELECT count(*) FROM nodes) || chr(10) || 'edges: ' || (SELECT count(*) FROM psp) || chr(10) || 'acyclic: true' || chr(10) || 'mechanism coverage: ' || (SELECT round(avg(CASE WHEN length(trim(mechanism)) = 0 THEN 0.0 ELSE 1.0 END), 6) FROM psp) || chr(10) || 'coverage rate: ' || coverage_rate AS report FROM s"))
+@register("graph_report", v.with_sql(v.PSP, v.nodes_sql("psp"), v.walks_sql("psp"), _COVER_SQL, _COVERED, f"s AS ({_SUMMARY})", "SELECT 'Graph report' || chr(10) || 'nodes: ' || (SELECT count(*) FROM nodes) || chr(10) || 'edges: ' || (SELECT count(*) FROM psp) || chr(10) || 'acyclic: ' || (SELECT count(*) = 0 FROM w JOIN steps ON steps.src = last AND steps.dst = path[1]) || chr(10) || 'mechanism coverage: ' || (SELECT round(avg(CASE WHEN length(trim(mechanism)) = 0 THEN 0.0 ELSE 1.0 END), 6) FROM psp) || chr(10) || 'coverage rate: ' || coverage_rate AS report FROM s"))
 def graph_report(spark, sf):
     edges = v.psp_edges(spark, sf)
     return diagnostics.report(graph.stats(edges), diagnostics.content(edges), diagnostics.coverage_summary(_cover(spark, sf)))
@@ -219,10 +229,11 @@ _LIT = ["the heat of", "and with"]
 @register("lit_search", v.with_sql(
     v.PAPERS, "words(query, word) AS (VALUES ('the heat of', 'the'), ('the heat of', 'heat'), ('and with', 'and'), ('and with', 'with'))",
     "tok AS (SELECT title, citations, ord, unnest(list_distinct(regexp_split_to_array(lower(abstract), '\\s+'))) AS word FROM pap)",
-    "met AS (SELECT query, title, citations FROM tok JOIN words USING (word) GROUP BY query, title, citations)", "SELECT query, title, citations, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY citations DESC, title) AS rn FROM met) WHERE rn <= 3"))
+    "met AS (SELECT DISTINCT query, title, citations, ord FROM tok JOIN words USING (word))", "SELECT query, ord, citations, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY citations DESC, title, ord) AS rn FROM met) WHERE rn <= 3"))
 def lit_search(spark, sf):
+    """The three most cited papers of each query: a top list."""
     asked = spark.createDataFrame([(q,) for q in _LIT], "query string")
-    return records.LiteratureSource.from_table(v.papers(spark, sf), asked).select("query", "title", "citations", "rank")
+    return records.LiteratureSource.from_table(v.papers(spark, sf), asked).select("query", "ord", "citations", "rank")
 
 
 _METHODS = [("Base", "llm", 0.34, 980.0), ("Naive", "kg", 0.32, 1240.0), ("Core", "kg", 0.41, 1410.0), ("Full", "full", 0.51, None), ("Search", "full", None, 1500.0)]

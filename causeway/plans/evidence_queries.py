@@ -53,12 +53,11 @@ _SCORES = f"""scored AS (
   FROM pe LEFT JOIN psp e ON e.src = pe.src AND e.dst = pe.dst GROUP BY pe.path, pe.text)"""
 
 
-@register("rank_paths", v.with_sql(v.PSP, _PATHS, _STEPS, _SCORES, "SELECT text AS path, round(0.35 * confidence + 0.30 * richness + 0.35 * coverage, 6) AS score FROM scored ORDER BY 2 DESC, 1 LIMIT 50"))
+@register("rank_paths", v.with_sql(v.PSP, _PATHS, _STEPS, _SCORES, "SELECT text AS path, round(0.35 * confidence + 0.30 * richness + 0.35 * coverage, 6) AS score FROM scored"))
 def rank_paths(spark, sf):
-    """The fifty best paths: a top list, so its limit is the feature."""
     edges, paths = _paths(spark, sf)
     ranked = evidence.rank_paths(paths, edges, lexicon=v.LEXICON)
-    return ranked.select(evidence.text_of().alias("path"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path").limit(50)
+    return ranked.select(evidence.text_of().alias("path"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "path")
 
 
 @register("path_score_details", v.with_sql(v.PSP, _PATHS, _STEPS, _SCORES, "SELECT text AS path, round(confidence, 6) AS confidence, round(richness, 6) AS richness, round(coverage, 6) AS coverage FROM scored"))
@@ -379,9 +378,11 @@ def kv_pairs(spark, sf):
 _WORDLIST = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> ''))"
 
 
-@register("entailment_overlap", v.with_sql(v.PAPERS, f"t AS (SELECT ord, {_WORDLIST.format('title')} AS c, {_WORDLIST.format('right(abstract, 400)')} AS e FROM pap)", "SELECT ord, CAST(len(list_intersect(c, e)) AS DOUBLE) / greatest(len(c), 1) > 0.4 AS entailed FROM t"))
+@register("entailment_overlap", v.with_sql(v.PAPERS, f"t AS (SELECT ord, {_WORDLIST.format('title')} AS c, {_WORDLIST.format('substr(abstract, length(title) + 1)')} AS e FROM pap)", "SELECT ord, CAST(len(list_intersect(c, e)) AS DOUBLE) / greatest(len(c), 1) > 0.4 AS entailed FROM t"))
 def entailment_overlap(spark, sf):
-    return v.papers(spark, sf).select("ord", tx.overlap_entails(F.col("title"), F.right("abstract", F.lit(400))).alias("entailed"))
+    """Whether the rest of a paper has the words of its title."""
+    rest = F.expr("substr(abstract, length(title) + 1)")
+    return v.papers(spark, sf).select("ord", tx.overlap_entails(F.col("title"), rest).alias("entailed"))
 
 
 @register("atomic_claims", v.with_sql(
@@ -392,9 +393,9 @@ def atomic_claims(spark, sf):
     return claims.groupBy("ord").agg(F.count("*").alias("n_claims"), F.sum(F.length("claim")).alias("n_chars"))
 
 
-@register("key_terms", v.with_sql(v.PAPERS, f"SELECT ord, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z][a-z0-9_-]{{2,}}')), lambda x: NOT list_contains({quoted(tx.STOPWORDS)}, x))), ',') AS terms FROM pap"))
+@register("key_terms", v.with_sql(v.PAPERS, f"SELECT ord, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(abstract), '[a-z][a-z0-9_-]{{2,}}')), lambda x: NOT list_contains({quoted(tx.STOPWORDS)}, x))), ',') AS terms FROM pap"))
 def key_terms(spark, sf):
-    return v.papers(spark, sf).select("ord", F.array_join(tx.key_terms(F.col("title")), ",").alias("terms"))
+    return v.papers(spark, sf).select("ord", F.array_join(tx.key_terms(F.col("abstract")), ",").alias("terms"))
 
 
 _STEPSAID = [(0, "high heat causes growth and growth leads to grains"), (1, "no verb here"), (2, "x enables y, z produces w")]
@@ -454,12 +455,12 @@ _DECIDED = "SELECT query_id, tier, similar_node, similarity, array_to_string(pat
 
 @register("route_forward", _route_sql("forward", _DECIDED))
 def route_forward(spark, sf):
-    return _route(spark, sf, "forward")[2].withColumn("paths", F.array_join("paths", "; "))
+    return _route(spark, sf, "forward")[2].withColumn("paths", routing.paths_text("paths", "; "))
 
 
 @register("route_inverse", _route_sql("inverse", _DECIDED))
 def route_inverse(spark, sf):
-    return _route(spark, sf, "inverse")[2].withColumn("paths", F.array_join("paths", "; "))
+    return _route(spark, sf, "inverse")[2].withColumn("paths", routing.paths_text("paths", "; "))
 
 
 @register("tier_distribution", _route_sql("forward", "SELECT 'forward' AS direction, tier, count(*) AS n, round(CAST(count(*) AS DOUBLE) / 4, 6) AS share FROM decided GROUP BY tier"))
@@ -484,19 +485,72 @@ def cot_confidence(spark, sf):
     return routing.cot_steps(_route(spark, sf, "forward")[2], papers)
 
 
-@register("naive_paths", v.with_sql(v.PSP, _WALK, "p AS (SELECT array_to_string(path, ' -> ') AS text FROM w WHERE contains(lower(path[1]), 'nation_2') AND contains(lower(last), 'medium'))", "SELECT CAST(count(*) AS INTEGER) AS n_paths, string_agg('Path ' || rn || ': ' || text, chr(10) ORDER BY rn) AS context FROM (SELECT text, row_number() OVER (ORDER BY text) AS rn FROM p)"))
+@register("naive_paths", v.with_sql(
+    v.PSP, v.nodes_sql("psp"), _WALK, _RTEXT, _RSQL,
+    "p AS (SELECT DISTINCT query_id, array_to_string(path, ' -> ') AS text FROM rq JOIN w ON contains(lower(path[1]), lower(word)) WHERE contains(lower(last), 'medium') OR contains(lower(last), 'high'))",
+    "SELECT query_id, count(text) AS n_paths, coalesce(string_agg(text, chr(10) ORDER BY text), '') AS context FROM rt LEFT JOIN p USING (query_id) GROUP BY query_id"))
 def naive_paths(spark, sf):
-    return routing.naive(v.psp_edges(spark, sf), ["nation_2"], properties=["medium"])
+    questions = spark.createDataFrame(_R, "query_id int, params map<string,string>")
+    found = routing.naive(questions, v.psp_edges(spark, sf), properties=["medium", "high"])
+    return found.select("query_id", F.size("paths").cast("long").alias("n_paths"), routing.paths_text().alias("context"))
+
+
+@register("naive_inverse", v.with_sql(
+    v.PSP, _WALK, "iq(query_id, word) AS (VALUES (0, 'urgent'), (1, 'brand#2'))",
+    "a AS (SELECT DISTINCT query_id, 0 AS part, path FROM iq JOIN w ON contains(lower(path[1]), word) WHERE contains(lower(last), 'nation_1') OR contains(lower(last), 'high') UNION ALL SELECT DISTINCT query_id, 1, path FROM iq JOIN w ON contains(lower(last), word) WHERE contains(lower(path[1]), 'nation_1') OR contains(lower(path[1]), 'high'))",
+    "SELECT query_id, CAST(part AS INTEGER) AS part, array_to_string(path, ' -> ') AS path FROM a"))
+def naive_inverse(spark, sf):
+    """Both ways between the questions' words and condition words, repeats kept."""
+    questions = spark.createDataFrame([(0, {"p": "urgent"}), (1, {"p": "Brand#2"}), (2, {"p": "zzz"})], "query_id int, params map<string,string>")
+    return routing.naive_paths(questions, v.psp_edges(spark, sf), "inverse", conditions=["nation_1", "high"]).select("query_id", "part", evidence.text_of().alias("path"))
+
+
+_MECHANISMS = """ms AS (
+  SELECT query_id, string_agg(mechanism, chr(10) ORDER BY n, step) AS said FROM (
+    SELECT query_id, n, step, src, dst FROM (SELECT query_id, n, p[i] AS src, p[i + 1] AS dst, i AS step FROM (SELECT query_id, n, p, unnest(range(1, len(p))) AS i FROM (SELECT query_id, n, string_split(paths[n], ' -> ') AS p FROM (SELECT query_id, paths, unnest(range(1, len(paths) + 1)) AS n FROM decided)))))
+  JOIN psp USING (src, dst) WHERE length(trim(mechanism)) > 0 GROUP BY query_id)"""
+_SAID = "sd(query_id, said) AS (VALUES (0, 'a=NATION_3'), (1, 'a=zzzz'), (2, 'a=, b='), (3, 'm=Brand#1, x=nation_2'))"
+
 
+def _prompt_sql(direction):
+    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("%s", "' || {} || '") + "'"
+    texts = {k: quote(routing.TEMPLATES[direction, k]) for k in (1, 2, 3)}
+    one = texts[1].format("s.said", "array_to_string(paths, chr(10))", "coalesce(ms.said, '')")
+    two = texts[2].format("s.said", "similar_node", "similarity", "paths[1]", "coalesce(ms.said, '')") if direction == "forward" else "''"
+    three = texts[3].format("s.said")
+    return f"CASE tier WHEN 1 THEN {one} WHEN 2 THEN {two} ELSE {three} END AS prompt, {three} AS fallback"
 
-@register("prompts")
+
+_PROMPTS = _route_sql("forward", "@").replace("\n@", f",\n{_MECHANISMS},\n{_SAID},\npr AS (SELECT d.query_id, d.tier, {_prompt_sql('forward')}, d.paths FROM decided d JOIN sd s USING (query_id) LEFT JOIN ms USING (query_id))\n@")
+
+
+@register("prompts", _PROMPTS.replace("@", "SELECT query_id, tier, prompt, fallback FROM pr"))
 def prompts(spark, sf):
     edges, questions, decided = _route(spark, sf, "forward")
     return routing.prompts(questions, decided, routing.mechanisms_of(decided, edges))
 
 
-@register("responses")
+class Fussy:
+    """Answers in JSON with a fence around; has nothing to say to prompts with evidence but for those of NATION_3, and to
+    empty parameters fails altogether."""
+
+    def __call__(self, prompts):
+        out = []
+        for p in prompts:
+            if "a=, b=" in p:
+                raise RuntimeError("down")
+            fine = "NATION_3" in p or "Causal paths" not in p and "Closest" not in p
+            out.append('Sure: ```json\n{"confidence": 0.75, "reasoning": "because"}\n```' if fine else "I would rather not say")
+        return out
+
+
+@register("responses", _PROMPTS.replace(
+    "@", """SELECT query_id, CASE WHEN query_id = 2 OR contains(prompt, 'NATION_3') THEN tier ELSE 3 END AS tier, CASE WHEN query_id = 2 THEN 0.0::DOUBLE ELSE 0.75::DOUBLE END AS confidence,
+  CASE WHEN query_id = 2 THEN 'error' WHEN contains(prompt, 'NATION_3') THEN 'tier_' || tier ELSE 'tier_3' END AS reasoning_type, CAST(len(paths) AS INTEGER) AS kg_paths_used, array_to_string(paths, '; ') AS paths,
+  CASE WHEN query_id <> 2 THEN '{"confidence": 0.75, "reasoning": "because"}' END AS response, query_id <> 2 AND NOT contains(prompt, 'NATION_3') AND tier < 3 AS demoted FROM pr"""))
 def responses(spark, sf):
+    """Answers by a backend that fails at times: demoted to tier 3, or error rows."""
     edges, questions, decided = _route(spark, sf, "forward")
     prompted = routing.prompts(questions, decided, routing.mechanisms_of(decided, edges))
-    return routing.results(routing.respond(prompted), decided).withColumn("paths", F.array_join("paths", "; "))
+    out = routing.results(routing.respond(prompted, Fussy(), 2, routing.at_once), decided)
+    return out.drop("latency_ms").withColumn("paths", routing.paths_text("paths", "; "))

@@ -78,14 +78,15 @@ def paths_reverse(spark, sf):
 
 @register("paths_limited", v.with_sql(v.PSP, _WALK, f"SELECT {_TEXT} FROM w WHERE {_ENDS} ORDER BY hops, array_to_string(path, ' -> ') LIMIT 10"))
 def paths_limited(spark, sf):
-    return graph.first_paths(graph.find_psp_paths(v.psp_edges(spark, sf), ["nation_1"], ["urgent"]), 10).select(text_of().alias("path"))
+    return graph.first_paths(graph.find_psp_paths(v.psp_edges(spark, sf), ["nation_1"], ["urgent"], enough=10), 10).select(text_of().alias("path"))
 
 
-@register("paths_cyclic", v.with_sql(v.EVENTS, v.walks_sql("ev"), f"SELECT {_TEXT} FROM w"))
+@register("paths_cyclic", v.with_sql(v.EVENTS, v.walks_sql("ev", 3), f"SELECT {_TEXT} FROM w"))
 def paths_cyclic(spark, sf):
+    """All simple paths of up to three hops between any two states."""
     edges = v.event_edges(spark, sf)
     labels = graph.nodes(edges)
-    return graph.simple_paths(edges, labels, labels).select(text_of().alias("path"))
+    return graph.simple_paths(edges, labels, labels, 3).select(text_of().alias("path"))
 
 
 @register("paths_recursive", v.with_sql(v.EVENTS, v.walks_sql("ev", 3), f"SELECT {_TEXT} FROM w"))
@@ -193,16 +194,62 @@ def cycles(spark, sf):
     return graph.cycles(v.event_edges(spark, sf), 4).select(text_of().alias("path"))
 
 
-@register("graph_stats", v.with_sql(
-    v.PSP, v.nodes_sql("psp"), _DEGREES.format("psp"), _WALK, "both_ways AS (SELECT src, dst FROM psp UNION SELECT dst, src FROM psp)", v.closure_sql("both_ways"),
-    """SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT round(avg(degree), 9) FROM deg) AS avg_degree, (SELECT max(n_in) FROM deg) AS max_in, (SELECT max(n_out) FROM deg) AS max_out,
+def _stats_sql(view, *more):
+    """Everything worked out: acyclicity and strong components from reachability, the longest path from walks."""
+    return v.with_sql(
+        *more, v.nodes_sql(view), _DEGREES.format(view), v.walks_sql(view), v.closure_sql(view), f"both_ways AS (SELECT src, dst FROM {view} UNION SELECT dst, src FROM {view})", v.closure_sql("both_ways").replace("reach", "near"),
+        "mutual AS (SELECT a.src, min(a.dst) AS least FROM reach a JOIN reach b ON a.dst = b.src AND a.src = b.dst GROUP BY a.src)",
+        f"""SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT round(avg(degree), 9) FROM deg) AS avg_degree, (SELECT max(n_in) FROM deg) AS max_in, (SELECT max(n_out) FROM deg) AS max_out,
   (SELECT count(*) FROM deg WHERE n_in = 0) AS n_roots, (SELECT count(*) FROM deg WHERE n_out = 0) AS n_leaves, (SELECT count(*) FROM deg WHERE n_in > 0 AND n_out > 0) AS n_intermediate,
-  (SELECT count(*) FROM psp) AS n_edges, (SELECT round(CAST((SELECT count(*) FROM psp) AS DOUBLE) / (count(*) * (count(*) - 1)), 9) FROM nodes) AS density, true AS is_dag,
-  (SELECT count(DISTINCT c) FROM (SELECT src, min(dst) AS c FROM reach GROUP BY src)) AS n_weak, (SELECT count(*) FROM nodes) AS n_strong, (SELECT CAST(max(len(path)) AS BIGINT) FROM w) AS longest_path"""))
+  (SELECT count(*) FROM {view}) AS n_edges, (SELECT round(CAST((SELECT count(*) FROM {view}) AS DOUBLE) / (count(*) * (count(*) - 1)), 9) FROM nodes) AS density,
+  (SELECT count(*) = 0 FROM reach WHERE src = dst) AS is_dag, (SELECT count(DISTINCT c) FROM (SELECT src, min(dst) AS c FROM near GROUP BY src)) AS n_weak,
+  (SELECT count(DISTINCT least(label, coalesce(least, label))) FROM nodes LEFT JOIN mutual ON label = src) AS n_strong,
+  CASE WHEN (SELECT count(*) = 0 FROM reach WHERE src = dst) THEN (SELECT CAST(max(len(path)) AS BIGINT) FROM w) ELSE 0 END AS longest_path""",
+    )
+
+
+@register("graph_stats", _stats_sql("psp", v.PSP))
 def graph_stats(spark, sf):
     return graph.stats(v.psp_edges(spark, sf))
 
 
+#: Three cycles joined by one-way edges, tails at both ends, and two nodes that only meet each other's ends.
+_RINGS = "rings AS (SELECT DISTINCT 'r' || (n_regionkey) || '_' || (n_nationkey // 5) AS src, 'r' || n_regionkey || '_' || ((n_nationkey // 5 + 1) % 5) AS dst FROM nation UNION SELECT DISTINCT 'r' || r_regionkey || '_0', 'r' || (r_regionkey + 1) || '_0' FROM region WHERE r_regionkey < 3 UNION SELECT r_name, 'r0_0' FROM region)"
+
+
+def _rings(spark, sf):
+    nation, region = v.table(spark, sf, "nation"), v.table(spark, sf, "region")
+    name = lambda a, b: F.concat(F.lit("r"), a.cast("string"), F.lit("_"), b.cast("string"))
+    key, k = F.col("n_regionkey"), F.col("r_regionkey")
+    ring = nation.select(name(key, F.expr("n_nationkey div 5")).alias("src"), name(key, F.expr("(n_nationkey div 5 + 1) % 5")).alias("dst"))
+    bridge = region.where("r_regionkey < 3").select(name(k, F.lit(0)), name(k + 1, F.lit(0)))
+    return ring.union(bridge).union(region.select("r_name", F.lit("r0_0"))).distinct()
+
+
+@register("graph_stats_cyclic", _stats_sql("rings", _RINGS).replace(v.walks_sql("rings"), v.walks_sql("rings", 1)))
+def graph_stats_cyclic(spark, sf):
+    """A graph with cycles, bridges between them and tails: components differ from nodes and from one."""
+    return graph.stats(_rings(spark, sf))
+
+
+@register("scc_members", v.with_sql(_RINGS, v.nodes_sql("rings"), v.closure_sql("rings"), "SELECT label, least(label, coalesce((SELECT min(a.dst) FROM reach a JOIN reach b ON a.dst = b.src AND a.src = b.dst WHERE a.src = label), label)) AS component FROM nodes"))
+def scc_members(spark, sf):
+    return graph.strong_components(_rings(spark, sf))
+
+
+@register("active_nodes", v.with_sql(v.PSP, "shown AS (SELECT * FROM psp WHERE confidence >= 0.32)", _DEGREES.format("shown"), f"SELECT label, {v.layer_sql('label')} AS layer, degree FROM deg WHERE {v.layer_sql('label')} IN ('Processing', 'Structure')"))
+def active_nodes(spark, sf):
+    return graph.active(graph.filtered(v.psp_edges(spark, sf), least_confidence=0.32), ["Processing", "Structure"], v.LEXICON)
+
+
+@register("node_samples", v.with_sql(
+    v.PSP, v.nodes_sql("psp"), "sides AS (SELECT 'root' AS side, label FROM nodes WHERE label NOT IN (SELECT dst FROM psp) UNION ALL SELECT 'leaf', label FROM nodes WHERE label NOT IN (SELECT src FROM psp) UNION ALL SELECT 'between', label FROM nodes WHERE label IN (SELECT src FROM psp) AND label IN (SELECT dst FROM psp))",
+    "SELECT side, label FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY label) AS rn FROM sides) WHERE rn <= 10"))
+def node_samples(spark, sf):
+    """Ten of each side: what the report shows."""
+    return graph.samples(v.psp_edges(spark, sf))
+
+
 @register("edge_filter", v.with_sql(v.PSP, "SELECT src, dst, round(confidence, 6) AS confidence FROM psp WHERE confidence >= 0.35 AND material = 'supply' AND psp_type IN ('Processing_to_Structure', 'Structure_to_Property')"))
 def edge_filter(spark, sf):
     return graph.filtered(v.psp_edges(spark, sf), "supply", ["Processing_to_Structure", "Structure_to_Property"], 0.35).select("src", "dst", F.round("confidence", 6).alias("confidence"))

@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def psp_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
+def psp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supply graph: nation to brand to order priority, and nation to priority as a shortcut. Confidence is the share
-    of returned lines; of each source and type the ``most`` surest edges are kept.
+    of returned lines.
 
     One scan of the lines; the three groupings are one aggregation over grouping sets."""
     t = lambda n: table(spark, sf_dir, n)
@@ -35,8 +35,7 @@ def psp_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
         F.when(n.isNull(), b).otherwise(n).alias("src"), F.when(o.isNull(), b).otherwise(o).alias("dst"), kind.alias("psp_type"), (F.col("k") / F.col("c")).alias("confidence"),
         F.when(F.col("c") % 2 == 0, F.concat(F.lit("returned share of "), F.col("c"))).otherwise("").alias("mechanism"),
     )
-    by = Window.partitionBy("src", "psp_type").orderBy(F.desc("confidence"), "dst")
-    out = edges.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most).drop("n").withColumn("affected_property", F.col("dst")).withColumn("material", F.lit("supply"))
+    out = edges.withColumn("affected_property", F.col("dst")).withColumn("material", F.lit("supply"))
     return kept(out)  # a graph is walked many times; it is built once
 
 
@@ -49,28 +48,24 @@ psp_all AS (
   UNION ALL SELECT b, o, 'Structure_to_Property', count(*), sum(r) FROM psp_raw GROUP BY b, o
   UNION ALL SELECT n, o, 'Processing_to_Property', count(*), sum(r) FROM psp_raw GROUP BY n, o),
 psp AS (
-  SELECT src, dst, psp_type, confidence, mechanism, dst AS affected_property, 'supply' AS material FROM (
-    SELECT *, CAST(k AS DOUBLE) / c AS confidence, CASE WHEN c % 2 = 0 THEN 'returned share of ' || c ELSE '' END AS mechanism,
-      row_number() OVER (PARTITION BY src, psp_type ORDER BY CAST(k AS DOUBLE) / c DESC, dst) AS rn FROM psp_all) WHERE rn <= 3)
+  SELECT src, dst, psp_type, CAST(k AS DOUBLE) / c AS confidence, CASE WHEN c % 2 = 0 THEN 'returned share of ' || c ELSE '' END AS mechanism, dst AS affected_property, 'supply' AS material FROM psp_all)
 """
 
 
-def event_edges(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """Transition graph of users' states, cyclic: the ``most`` most frequent next states of each."""
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transition graph of users' states, cyclic: each state and the next ones, with their number."""
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     state = F.concat("event_type", F.lit("_"), F.col("event_id") % 4)
     moves = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", state.alias("src")).withColumn("dst", F.lead("src").over(by_user))
     counts = moves.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return kept(counts.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= most).select("src", "dst", "n"))
+    return kept(counts)
 
 
 EVENTS = """
 ev_moves AS (
   SELECT src, lead(src) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst
   FROM (SELECT user_id, ts, event_id, event_type || '_' || (event_id % 4) AS src FROM events)),
-ev_n AS (SELECT src, dst, count(*) AS n FROM ev_moves WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
-ev AS (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM ev_n) WHERE rn <= 3)
+ev AS (SELECT src, dst, count(*) AS n FROM ev_moves WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)
 """
 
 
@@ -141,11 +136,11 @@ RESULTS = "res AS (SELECT o_orderkey AS task_id, o_orderpriority AS model, o_ord
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as literature."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.left("text", F.lit(40)).alias("title"), F.col("n_chars").alias("citations"), "source", F.col("text").alias("abstract"))
+    """Documents as literature; the first line is the title, the whole text the abstract."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.substring_index("text", "\n", 1).alias("title"), F.col("n_chars").alias("citations"), "source", F.col("text").alias("abstract"))
 
 
-PAPERS = "pap AS (SELECT doc_id AS ord, left(text, 40) AS title, n_chars AS citations, source, text AS abstract FROM documents)"
+PAPERS = "pap AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title, n_chars AS citations, source, text AS abstract FROM documents)"
 
 
 def label_vector(label: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,10 +62,27 @@ def read(spark: SparkSession, path: str, legacy: bool = False) -> DataFrame:
 
 def write(edges: DataFrame, path: str) -> None:
     """One JSON object per edge, under names that ``read_records`` and ``normalise`` take back."""
-    edges.select(
+    _records(edges).write.mode("overwrite").json(path)
+
+
+def _records(edges: DataFrame) -> DataFrame:
+    return edges.select(
         F.col("src").alias("cause_parameter"), F.col("dst").alias("effect_on_doping"), F.col("src").alias("source"), F.col("dst").alias("target"), "psp_type", "relation", "material", "affected_property",
-        F.col("mechanism").alias("mechanism_quote"), F.col("mechanism").alias("evidence_text"), "source_file", "source_doi", "confidence", "curation", "relationship_id", "ord",
-    ).write.mode("overwrite").json(path)
+        F.col("mechanism").alias("mechanism_quote"), F.col("mechanism").alias("evidence_text"), "source_file", "source_doi", "confidence", F.col("confidence").cast("string").alias("confidence_level"), "curation", "relationship_id", "ord",
+    )
+
+
+def write_file(edges: DataFrame, path: str, **header: str) -> None:
+    """One JSON document as ``read_raw`` takes it: a header with the counts, and the relationships by position. It is
+    written line by line from one sorted partition, since it is one document; large graphs are for ``write``."""
+    n = edges.count()
+    head = json.dumps({**header, "total_relationships": n}, ensure_ascii=False)[:-1] + ', "causal_relationships": ['
+    lines = _records(edges).select("ord", F.to_json(F.struct("*")).alias("value"))
+    last = Window.partitionBy(F.lit(0)).orderBy("ord", "value")  # the one document's order
+    body = lines.select("ord", F.concat("value", F.when(F.row_number().over(last) < n, F.lit(",")).otherwise("")).alias("value"))
+    ends = edges.sparkSession.createDataFrame([(-1, 0, head), (1, 0, "]}")], "part int, ord long, value string")
+    whole = ends.union(body.select(F.lit(0), "ord", "value"))
+    whole.coalesce(1).sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").text(path)
 
 
 def read_records(spark: SparkSession, path: str, legacy: bool = False) -> DataFrame:
@@ -86,6 +104,27 @@ def is_valid(raw: DataFrame) -> bool:
     return bool(row[0]) and not row[1]
 
 
+def validate(spark: SparkSession, path: str) -> tuple[bool, dict[str, int | str]]:
+    """Whether a graph file is sound, and its counts: a missing file, text that is no JSON, no relationships and missing
+    required fields are errors; types and confidences out of range are warnings."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+        broken = text.where(F.try_parse_json("value").isNull()).count()
+    except Exception as e:  # noqa: BLE001 - what cannot be read is a finding
+        return False, {"error": f"not readable: {type(e).__name__}"}
+    if broken:
+        return False, {"error": "not JSON"}
+    row = problems(read_raw(spark, path)).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_errors"), F.lit(0)).alias("errors"), F.count_if("bad_type").alias("types"), F.count_if("bad_confidence").alias("confidences")).first()
+    if not row.n:
+        return False, {"error": "no relationships"}
+    return not row.errors, {"relationships": row.n, "errors": row.errors, "warnings": row.types + row.confidences}
+
+
+def resolve(path: str | None, default: str) -> str:
+    """The graph file that is meant: the given one, or ``default``."""
+    return path or default
+
+
 MERGE_KEYS = ("source", "relation", "target", "material")
 
 
@@ -113,10 +152,32 @@ def pick(edges: DataFrame, material: str = "", source_contains: str = "", eviden
     return edges.withColumn("wish", wish).orderBy("wish", "ord").limit(1)
 
 
-def pick_each_type(edges: DataFrame, most: int = 2) -> DataFrame:
-    """The first rows of each type, those with evidence before others."""
-    by = Window.partitionBy("psp_type").orderBy(F.desc(F.length(F.trim("mechanism")) > 0), "ord")
-    return edges.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+def merge_files(spark: SparkSession, primary: str, secondary: str, out: str, deduplicate: bool = True) -> int:
+    """Two graph files as one, with a header; how many relationships it has."""
+    parts = [read_raw(spark, p) for p in (primary, secondary)]
+    rows = merge(*parts, deduplicate=deduplicate)
+    ordered = rows.withColumn("ord", F.col("part") * F.lit(1 << 40) + F.col("ord")).drop("part")
+    edges = normalise(ordered, unique=False)
+    write_file(edges, out, description="merged")
+    return edges.count()
+
+
+def pick_each_type(edges: DataFrame, most: int = 2, material: str = "", source_contains: str = "") -> DataFrame:
+    """The first rows of each type, those that meet the wishes of ``pick`` before others; one of each id."""
+    m, s = (F.col("material") == material) if material else F.lit(True), F.lower("src").contains(source_contains.lower())
+    wish = F.when(m & s & (F.length(F.trim("mechanism")) > 0), 0).when(m & s, 1).when(s, 2).otherwise(3)
+    by = Window.partitionBy("psp_type").orderBy(wish, "ord")
+    one = Window.partitionBy("relationship_id").orderBy("ord")
+    distinct = edges.withColumn("k", F.when(F.col("relationship_id").isNull(), 1).otherwise(F.row_number().over(one))).where("k = 1").drop("k")
+    return distinct.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+
+
+def migrate_file(spark: SparkSession, path: str, full: str, tiny: str) -> dict[str, DataFrame]:
+    """A legacy file as a typed one and a small sample of each type; what they hold by type, material and confidence."""
+    edges = last_wins(migrate(read_raw(spark, path)))
+    write_file(edges, full, description="migrated")
+    write_file(pick_each_type(edges), tiny, description="sample")
+    return {c: counts(edges, c) for c in ("psp_type", "material", "confidence")}
 
 
 def counts(edges: DataFrame, column: str, most: int | None = None) -> DataFrame:
@@ -133,7 +194,3 @@ def to_graphml(edges: DataFrame, path: str) -> None:
         for r in edges.select("src", "dst").toLocalIterator():
             out.write(f"<edge source={quoteattr(r.src)} target={quoteattr(r.dst)}/>\n")
         out.write("</graph></graphml>\n")
-
-
-def value_or(c: Column, other: str) -> Column:
-    return F.coalesce(c, F.lit(other))

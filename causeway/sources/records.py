@@ -41,18 +41,31 @@ def to_json(df: DataFrame, keep_nulls: bool = False) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, by: str | None = None) -> None:
-    """CSV and JSON beside each other, by a column's values if given."""
-    for kind in ("csv", "json"):
-        writer = df.write.mode("overwrite").option("header", True)
+    """CSV and JSON beside each other, by a column's values if given. Columns that CSV has no form for go as JSON text."""
+    plain = df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema.fields])
+    for kind, rows in (("csv", plain), ("json", df)):
+        writer = rows.write.mode("overwrite").option("header", True)
         (writer.partitionBy(by) if by else writer).format(kind).save(f"{path}/{kind}")
 
 
+def write_by_task(df: DataFrame, path: str, task: str = "task_name") -> None:
+    """Results of each task in a folder of its own, and all of them together."""
+    write_results(df, f"{path}/by_task", task)
+    write_results(df, f"{path}/combined")
+
+
+def counts_by_name(df: DataFrame, names: list[str], id_col: str = "task_id") -> DataFrame:
+    """(task, n): how many ids hold each name, in one pass; a name that none holds has 0."""
+    sums = df.agg(*[F.count_if(F.col(id_col).cast("string").contains(n)).alias(f"n{i}") for i, n in enumerate(names)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("task"), F.col(f"n{i}").alias("n")) for i, n in enumerate(names)])))
+
+
 class LiteratureSource:
     """Papers by a search function (query, n) -> list of dicts, run on the workers with one call per query.
 
     A failed search gives no papers. Offline, ``from_table`` searches a table instead."""
 
-    FIELDS = "title string, abstract string, url string, year int, citations long, source string"
+    FIELDS = "title string, abstract string, url string, year int, citations long, authors array<string>, source string"
 
     def __init__(self, search: Callable[[str, int], list[dict]]):
         self.search = search
@@ -76,11 +89,14 @@ class LiteratureSource:
 
     @staticmethod
     def from_table(papers: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
-        """(query, rank, title, citations) of the papers whose text holds a word of the query, most cited first."""
+        """(query, rank, ord, title, citations, abstract) of the ``papers(ord, title, citations, abstract)`` whose abstract
+        holds a word of the query of three letters or more, most cited first, ties by title and ord. Papers of equal title
+        and citations are papers of their own."""
         from pyspark.sql import Window
 
         words = queries.select("query", F.explode(F.split(F.lower("query"), r"\s+")).alias("word")).where(F.length("word") > 2).distinct()
-        tokens = papers.select("*", F.explode(F.array_distinct(F.split(F.lower("abstract"), r"\s+"))).alias("word"))
-        met = tokens.join(words, "word").groupBy("query", "title", "citations").agg(F.count("*").alias("n_words"))
-        by = Window.partitionBy("query").orderBy(F.desc("citations"), "title")
-        return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+        tokens = papers.select("ord", "title", "citations", F.explode(F.array_distinct(F.split(F.lower("abstract"), r"\s+"))).alias("word"))
+        met = tokens.join(words, "word").select("query", "ord", "title", "citations").distinct()
+        by = Window.partitionBy("query").orderBy(F.desc("citations"), "title", "ord")
+        top = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+        return top.join(papers.select("ord", "abstract"), "ord").select("query", "rank", "ord", "title", "citations", "abstract")

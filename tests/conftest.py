@@ -7,7 +7,8 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+TESTS = str(Path(__file__).resolve().parent)  # where the workers find what tests send them
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + TESTS + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")

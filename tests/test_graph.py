@@ -114,15 +114,15 @@ def test_literature_failures_are_empty(spark):
 
 def test_responses_that_fail_become_error_rows(spark):
     prompted = spark.createDataFrame([(1, 1, "p"), (2, 3, "q")], "query_id int, tier int, prompt string")
-    decided = spark.createDataFrame([(1, ["a -> b"]), (2, [])], "query_id int, paths array<string>")
+    decided = spark.createDataFrame([(1, [["a", "b"]]), (2, [])], "query_id int, paths array<array<string>>")
 
     class Broken:
         def __call__(self, prompts):
-            if prompts == ["q"]:
+            if "q" in prompts:
                 raise RuntimeError("down")
-            return ['{"confidence": 0.9}']
+            return ['{"confidence": 0.9}'] * len(prompts)
 
-    got = {r.query_id: (r.confidence, r.reasoning_type, r.kg_paths_used) for r in routing.results(routing.respond(prompted, Broken()), decided).collect()}
+    got = {r.query_id: (r.confidence, r.reasoning_type, r.kg_paths_used) for r in routing.results(routing.respond(prompted, Broken(), pause=routing.at_once), decided).collect()}
     assert got == {1: (0.9, "tier_1", 1), 2: (0.0, "error", 0)}
 
 
@@ -158,3 +158,126 @@ def test_stream_gives_the_batch_table(spark, tmp_path):
         query.stop()
     got = spark.read.parquet(str(tmp_path / "table" / "v1"))
     assert sorted(map(str, got.collect())) == sorted(map(str, kg.normalise(raw).select(*got.columns).collect()))
+
+
+def test_words_meet_labels_through_the_index(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcé% ") for _ in range(rng.randrange(0, 9))) for _ in range(150)]
+    words = ["".join(rng.choice("ABCé% ") for _ in range(rng.randrange(0, 6))) for _ in range(80)] + [None, "", "a", "abcabcabcabc"]
+    labels = spark.createDataFrame([(n,) for n in names], "label string")
+    got = {(r.query_id, r.label) for r in graph.keyword_match_join(labels, spark.createDataFrame([(i % 20, w) for i, w in enumerate(words)], "query_id int, word string")).collect()}
+    assert got == {(i % 20, n) for i, w in enumerate(words) if w for n in names if w.lower() in n.lower()}
+
+
+def test_first_paths_stop_early(spark):
+    edges = [(f"a{i}", f"b{j}") for i in range(3) for j in range(4)] + [(f"b{j}", f"c{k}") for j in range(4) for k in range(4)] + [(f"c{k}", "end") for k in range(4)] + [("a0", "end"), ("b1", "end")]
+    df = frame(spark, edges)
+    starts = spark.createDataFrame([(0, "a0"), (1, "a1"), (2, "c0")], "query_id int, label string")
+    ends = spark.createDataFrame([("end",), ("c3",)], "label string")
+    for most in (1, 2, 5, 100):
+        whole, short = (graph.first_paths(graph.simple_paths(df, starts, ends, 4, ["query_id"], enough=e), most, ["query_id"]) for e in (None, most))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, short.collect()))
+
+
+def test_components_of_a_larger_graph(spark):
+    """Against Tarjan's algorithm: cycles of many sizes, bridges, tails, self-loops."""
+    import random
+
+    rng = random.Random(8)
+    edges, at = set(), 0
+    for _ in range(60):
+        n = rng.randrange(1, 12)
+        ring = [f"n{at + i:05}" for i in range(n)]
+        edges |= {(ring[i], ring[(i + 1) % n]) for i in range(n)}
+        at += n
+    names = [f"n{i:05}" for i in range(at)]
+    for _ in range(80):
+        a, b = sorted(rng.sample(names, 2))
+        edges.add((a, b))
+    index, low, stack, on, out, count = {}, {}, [], set(), {}, 0
+    follow = {}
+    for a, b in edges:
+        follow.setdefault(a, []).append(b)
+
+    def go(v):
+        nonlocal count
+        index[v] = low[v] = count
+        count += 1
+        stack.append(v)
+        on.add(v)
+        for w in follow.get(v, []):
+            if w not in index:
+                go(w)
+                low[v] = min(low[v], low[w])
+            elif w in on:
+                low[v] = min(low[v], index[w])
+        if low[v] == index[v]:
+            own = []
+            while True:
+                w = stack.pop()
+                on.discard(w)
+                own.append(w)
+                if w == v:
+                    break
+            out.update({w: min(own) for w in own})
+
+    for v in names:
+        if v not in index:
+            go(v)
+    got = {r.label: r.component for r in graph.strong_components(frame(spark, edges)).collect()}
+    assert got == {v: c for v, c in out.items() if v in got} and len(got) == len({x for e in edges for x in e})
+
+
+def test_claims_walk_from_their_own_nodes(spark):
+    df = frame(spark, [("heat", "grain size"), ("grain size", "mobility"), ("x", "y"), ("y", "x")])
+    claims = spark.createDataFrame([(0, "HEAT", "mobil"), (1, "mobility", "heat"), (2, "grain", "size"), (3, "x", "x"), (4, "y", "z"), (5, None, "x"), (6, "", "x")], "claim_id int, source string, target string")
+    got = {r.claim_id: r.verified for r in graph.reachable_pairs(df, claims).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: False, 5: False, 6: False}
+
+
+def test_pairs_with_smaller_ids_count(spark):
+    from causeway.operators import diagnostics
+
+    rows = [(49, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [-1.0, 0.1])]
+    vecs = spark.createDataFrame(rows, "label int, vec array<double>")
+    got = [(r.a, r.b, r.score) for r in diagnostics.pair_extremes(vecs, vecs.where("label % 50 = 0"), 1).orderBy("side").collect()]
+    assert got[1] == (50, 49, 1.0) and got[0][:2] == (50, 3)
+
+
+def test_cells_find_nearly_all(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(i % 7, 2.0) for _ in range(16)]) for i in range(2000)]
+    vecs = spark.createDataFrame(rows, "label int, vec array<double>")
+    asked = vecs.where("label % 50 = 0").select(F.col("label").alias("query_id"), F.col("vec").alias("qvec"))
+    found = lambda df: {(r.query_id, r.label) for r in df.collect()}
+    exact, near = found(vectors.top_k(asked, vecs, 10)), found(vectors.top_k_in_cells(asked, vecs, 10))
+    assert len(exact & near) / len(exact) >= 0.9
+    assert vectors.dimension(vecs) == 16 and vectors.dimension(vecs.limit(0)) == 0
+
+
+def test_graph_documents(spark, tmp_path):
+    edges = kg.normalise(views.kg_raw(spark))
+    kg.write_file(edges, str(tmp_path / "one"), version="2")
+    import json as j
+    whole = j.loads("".join(open(p).read() for p in sorted((tmp_path / "one").glob("part-*"))))
+    assert whole["version"] == "2" and whole["total_relationships"] == edges.count() == len(whole["causal_relationships"])
+    key = lambda df: sorted(map(str, df.drop("ord").collect()))
+    assert key(kg.read(spark, str(tmp_path / "one"))) == key(edges)
+    assert kg.validate(spark, str(tmp_path / "one"))[0]
+    for name, text, said in (("bad", "{", "not JSON"), ("none", "{}", "no relationships"), ("empty", '{"causal_relationships": []}', "no relationships")):
+        (tmp_path / name).write_text(text)
+        assert kg.validate(spark, str(tmp_path / name)) == (False, {"error": said})
+    assert kg.validate(spark, str(tmp_path / "absent"))[0] is False
+    (tmp_path / "odd").write_text(j.dumps({"causal_relationships": [{"source": "a", "relation": "r", "target": "b", "psp_type": "Odd", "confidence": 2}, {"source": "a"}]}))
+    assert kg.validate(spark, str(tmp_path / "odd")) == (False, {"relationships": 2, "errors": 3, "warnings": 2})
+    n = kg.merge_files(spark, str(tmp_path / "one"), str(tmp_path / "one"), str(tmp_path / "merged"))
+    assert n == edges.dropDuplicates(["src", "relation", "dst", "material"]).count() and kg.read(spark, str(tmp_path / "merged")).count() == edges.count()
+    (tmp_path / "old").write_text(j.dumps([dict(zip(views._NAMES, r)) for r in views.ROWS]))
+    found = kg.migrate_file(spark, str(tmp_path / "old"), str(tmp_path / "full"), str(tmp_path / "tiny"))
+    assert kg.read(spark, str(tmp_path / "full")).count() == edges.count() and 0 < kg.read(spark, str(tmp_path / "tiny")).count() <= 10
+    assert sum(r.n for r in found["psp_type"].collect()) == edges.count()
+    assert kg.resolve(None, "d") == "d" and kg.resolve("x", "d") == "x"
