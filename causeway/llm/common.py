@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Spark's limit on what one Arrow batch holds; without it a batch is 10,000 rows, however long these are.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +95,15 @@ def free(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def slices(batch: pa.RecordBatch, slice_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes; a bound that is set already stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), str((1 << 63) - 1)):
+        conf.set(BATCH_BYTES, str(SLICE_BYTES))
+    return df
+
+
+def slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``slice_bytes``, one row at least."""
     step = max(1, int(batch.num_rows * min(1.0, slice_bytes / max(1, batch.nbytes))))
     for start in range(0, batch.num_rows, step):
@@ -100,10 +111,11 @@ def slices(batch: pa.RecordBatch, slice_bytes: int = 8 << 20) -> Iterator[pa.Rec
 
 
 def map_batches(
-    df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], slice_bytes: int = 8 << 20
+    df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """``function`` over the Arrow batches of ``df``, cut so that a slice holds about ``slice_bytes`` (one row at
     least): the memory of a task is then bounded by the longest row, not by the rows of a batch."""
+    bounded(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +151,7 @@ def annotate(
     keep: list[str],
     extra: str,
     compute: Callable[[list[bytes | None]], list[pa.Array]],
-    slice_bytes: int = 8 << 20,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The columns ``keep`` of ``df`` as c0, c1, ... and the columns ``extra`` (a DDL string) that ``compute`` makes
     of the UTF-8 texts of a slice. Numbered names cannot clash with whatever ``df`` calls its columns."""

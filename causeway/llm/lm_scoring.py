@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import for_workers, mix, new_folder, open_store, quoted, slices, written
+from causeway.llm.common import bounded, for_workers, mix, new_folder, open_store, quoted, slices, written
 
 SCORES = "n_tokens long, in_target boolean, target_loss double, background_loss double, score double"
 
@@ -95,7 +95,7 @@ def _write_chunks(docs: DataFrame, keep: list[str], id_col: str, text_col: str,
 
     numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]
     wide = docs.select(*numbered, quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text"))
-    return written(wide.mapInArrow(run, "file string, chunk long, pos int, id long, n long"), "lm-rows")
+    return written(bounded(wide).mapInArrow(run, "file string, chunk long, pos int, id long, n long"), "lm-rows")
 
 
 def pack(rows: np.ndarray) -> bytes:

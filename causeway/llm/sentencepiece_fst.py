@@ -44,10 +44,10 @@ UNKNOWN_PENALTY = 10.0
 ENCODED = "n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean"
 #: Parts that are kept from batch to batch; parts up to this length go through the tables; most cells of a table,
 #: and most pairs of neighbours that are kept.
-CACHE = 150_000
+CACHE = 100_000
 SHORT = 48
 MOST_CELLS = 1 << 25
-MOST_PAIRS = 1 << 19
+MOST_PAIRS = 1 << 18
 #: Text whose parts a task holds at once.
 SLICE = 2 << 20
 
@@ -255,7 +255,7 @@ class Transducer:
             own = [self.pieces[p] for p in (last, piece) if p >= 0]  # a character without piece joins nothing
             found = self.pairs[key] = self.merged("".join(own)) == own
             if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
+                self.pairs = {key: found}
         return found
 
     def follow(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -271,8 +271,8 @@ class Transducer:
         return out
 
     def keep_pairs(self) -> None:
-        """Brings the table of pairs up to date, once it lacks a tenth of them."""
-        if len(self.pairs) > 1.1 * len(self.known_pairs[0]):
+        """Brings the table of pairs up to date, once it differs from them by a tenth."""
+        if not 0.5 < len(self.pairs) / len(self.known_pairs[0]) < 1.1:
             keys, said = np.fromiter(self.pairs, np.int64, len(self.pairs)), np.fromiter(self.pairs.values(), bool, len(self.pairs))
             order = np.argsort(keys)
             self.known_pairs = keys[order], said[order]

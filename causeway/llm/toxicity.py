@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import annotate, free, quoted, restored, written
+from causeway.llm.common import annotate, bounded, free, quoted, restored, written
 
 #: ASCII letters in lower case, digits, apostrophes and bytes of non-ASCII characters make words.
 WORD_BYTES = bytes(
@@ -213,7 +213,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         if any(held.values()):
             yield flush()
 
-    made = rows.select("text", "y", "fold").mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    made = bounded(rows).select("text", "y", "fold").mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
     return made.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
@@ -323,7 +323,7 @@ def fit(
                 texts, ys, folds = (batch.column(i).to_pylist() for i in range(3))
                 yield pa.RecordBatch.from_arrays([batch.column(1), *unseen(texts, folds, ys)], names=["y", "n", "found", "bins"])
 
-    seen = rows.mapInArrow(of_batches, "y int, n long, found array<double>, bins array<long>").toPandas()  # numbers of the sampled documents only
+    seen = bounded(rows).mapInArrow(of_batches, "y int, n long, found array<double>, bins array<long>").toPandas()  # numbers of the sampled documents only
     free(counts, rows)
     sent.destroy()
     model, clean = learnt(None), seen["y"] == 0

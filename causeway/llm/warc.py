@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import for_workers, new_folder, open_store, quoted, slices, written
+from causeway.llm.common import bounded, for_workers, new_folder, open_store, quoted, slices, written
 
 INDEX = "file string, offset long, length long, url string, payload_digest string, record_id string, page_id long, record_type string, refers_to long"
 RECORD = (
@@ -140,7 +140,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
             if out is not None:
                 out.close()
 
-    index = prepared.select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, INDEX)
+    index = bounded(prepared).select("page_id", "url", "payload", "refers_to", "revisit").mapInArrow(run, INDEX)
     return written(index.withColumn("file", F.concat(F.lit(folder + "/"), "file")), "warc-index")
 
 
