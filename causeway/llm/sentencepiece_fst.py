@@ -47,7 +47,7 @@ ENCODED = "n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean
 CACHE = 100_000
 SHORT = 48
 MOST_CELLS = 1 << 25
-MOST_PAIRS = 1 << 18
+MOST_PAIRS = 1 << 19
 #: Text whose parts a task holds at once.
 SLICE = 2 << 20
 
@@ -272,7 +272,7 @@ class Transducer:
 
     def keep_pairs(self) -> None:
         """Brings the table of pairs up to date, once it differs from them by a tenth."""
-        if not 0.5 < len(self.pairs) / len(self.known_pairs[0]) < 1.1:
+        if self.pairs and not 0.5 < len(self.pairs) / len(self.known_pairs[0]) < 1.1:
             keys, said = np.fromiter(self.pairs, np.int64, len(self.pairs)), np.fromiter(self.pairs.values(), bool, len(self.pairs))
             order = np.argsort(keys)
             self.known_pairs = keys[order], said[order]
