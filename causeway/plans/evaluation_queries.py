@@ -146,7 +146,7 @@ def type_counts(spark, sf):
 
 @register("top_materials", v.with_sql(v.KG, "SELECT material, count(*) AS n FROM kg WHERE material IS NOT NULL GROUP BY material ORDER BY n DESC, material LIMIT 3"))
 def top_materials(spark, sf):
-    return kg.counts(v.kg_raw(spark).where("material is not null"), "material", 3)
+    return kg.counts(v.kg_rows(spark, sf).where("material is not null"), "material", 3)
 
 
 @register("type_rollup", v.with_sql(v.PSP, "SELECT psp_type, material, count(*) AS n FROM psp GROUP BY ROLLUP (psp_type, material)"))
@@ -236,37 +236,40 @@ def lit_search(spark, sf):
     return records.LiteratureSource.from_table(v.papers(spark, sf), asked).select("query", "ord", "citations", "rank")
 
 
-_METHODS = [("Base", "llm", 0.34, 980.0), ("Naive", "kg", 0.32, 1240.0), ("Core", "kg", 0.41, 1410.0), ("Full", "full", 0.51, None), ("Search", "full", None, 1500.0)]
-_M = "mt(method, category, score, latency) AS (VALUES " + ", ".join("(" + ", ".join(v._literal(x) for x in r) + ")" for r in _METHODS) + ")"
+_M = v.METHODS
 
 
-def _methods(spark):
-    return spark.createDataFrame(_METHODS, "method string, category string, score double, latency double")
+def _methods(spark, sf):
+    return v.methods(spark, sf)
 
 
 @register("leaderboard", v.with_sql(_M, "SELECT method, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, method) AS INTEGER) AS rank, 'down' AS side FROM mt UNION ALL SELECT method, CAST(row_number() OVER (ORDER BY latency ASC NULLS LAST, method) AS INTEGER), 'up' FROM mt WHERE category IN ('kg', 'full')"))
 def leaderboard(spark, sf):
-    down = evaluation.leaderboard(_methods(spark), "score").select("method", "rank", F.lit("down").alias("side"))
-    return down.union(evaluation.leaderboard(_methods(spark), "latency", False, ["kg", "full"]).select("method", "rank", F.lit("up")))
+    down = evaluation.leaderboard(_methods(spark, sf), "score").select("method", "rank", F.lit("down").alias("side"))
+    return down.union(evaluation.leaderboard(_methods(spark, sf), "latency", False, ["kg", "full"]).select("method", "rank", F.lit("up")))
 
 
 @register("best_in_column", v.with_sql(_M, "SELECT CAST(max(score) AS DOUBLE) AS score, CAST(min(latency) AS DOUBLE) AS latency FROM mt"))
 def best_in_column(spark, sf):
-    return evaluation.best_in_column(_methods(spark), {"score": False, "latency": True})
+    return evaluation.best_in_column(_methods(spark, sf), {"score": False, "latency": True})
 
 
-_POINTS = [(0.0, 0.5), (10.0, 0.48), (50.0, 0.4), (90.0, 0.1)]
+_POINTS = "pt AS (SELECT n_nationkey * 10.0::DOUBLE AS px, (n_regionkey * 3 + n_nationkey % 4) / 7.0::DOUBLE AS py FROM nation), seg AS (SELECT px, py, lead(px) OVER (ORDER BY px) AS qx, lead(py) OVER (ORDER BY px) AS qy, row_number() OVER (ORDER BY px) AS n FROM pt)"
 
 
-@register("interpolate", "SELECT * FROM (VALUES (CAST(-5 AS DOUBLE), CAST(0.5 AS DOUBLE)), (0, 0.5), (5, 0.49), (10, 0.48), (30, 0.44), (89.5, 0.10375), (90, 0.1), (99, 0.1)) AS t(x, y)")
+@register("interpolate", v.with_sql(
+    _POINTS, "asked AS (SELECT DISTINCT p_partkey % 530 / 2.0::DOUBLE - 9 AS x FROM part)",
+    "SELECT x, round(CASE WHEN x >= px AND x < qx THEN py + (qy - py) * (x - px) / (qx - px) ELSE py END, 6) AS y FROM asked JOIN seg ON (x >= px AND x < qx) OR (n = 1 AND x < px) OR (qx IS NULL AND x >= px)"))
 def interpolate(spark, sf):
-    asked = spark.createDataFrame([(x,) for x in (-5.0, 0.0, 5.0, 10.0, 30.0, 89.5, 90.0, 99.0)], "x double")
-    return evaluation.interpolate(spark.createDataFrame(_POINTS, "px double, py double"), asked).select("x", F.round("y", 6).alias("y"))
+    """Values between the nations' points, and beyond both ends."""
+    points = v.table(spark, sf, "nation").select((F.col("n_nationkey") * 10.0).alias("px"), ((F.col("n_regionkey") * 3 + F.col("n_nationkey") % 4) / 7.0).alias("py"))
+    asked = v.table(spark, sf, "part").select((F.col("p_partkey") % 530 / 2.0 - 9).alias("x")).distinct()
+    return evaluation.interpolate(points, asked).select("x", F.round("y", 6).alias("y"))
 
 
-@register("scaled_cells", v.with_sql(_M, "SELECT method, round(greatest(0.0, least(100.0, (CAST(score AS DOUBLE) - 0.3) / (0.5 - 0.3) * 100)), 6) AS percent FROM mt WHERE score IS NOT NULL"))
+@register("scaled_cells", v.with_sql(_M, "SELECT method, round(greatest(0.0, least(100.0, (CAST(score AS DOUBLE) - 3000) / (6000 - 3000) * 100)), 6) AS percent FROM mt WHERE score IS NOT NULL"))
 def scaled_cells(spark, sf):
-    return _methods(spark).where("score is not null").select("method", F.round(tx.scaled(F.col("score"), 0.3, 0.5), 6).alias("percent"))
+    return _methods(spark, sf).where("score is not null").select("method", F.round(tx.scaled(F.col("score"), 3000.0, 6000.0), 6).alias("percent"))
 
 
 @register("task_grid", "SELECT r_name AS task, m AS model, d AS mode FROM region, (SELECT unnest(['a', 'b']) AS m), (SELECT unnest(['core', 'full']) AS d)")
@@ -320,4 +323,4 @@ def composite_metrics(spark, sf):
 
 @register("result_json", v.with_sql(_M, "SELECT to_json({'method': method, 'category': category}) AS value FROM mt"))
 def result_json(spark, sf):
-    return records.to_json(_methods(spark).select("method", "category"))
+    return records.to_json(_methods(spark, sf).select("method", "category"))

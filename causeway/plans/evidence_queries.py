@@ -111,11 +111,13 @@ _QUESTIONS = [
     (0, "How does CVD temperature change carrier mobility?"), (1, "Predict the optical property"), (2, "grain structure of a layer"), (3, "synthesis and growth"), (4, "Which phase, and why"),
     (5, "nothing in particular"), (6, ""), (7, "time in sentiment"), (8, "grow crystal by process"), (9, "doping"),
 ]
-_Q = "q(query_id, question) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in _QUESTIONS) + ")"
+_Q = v.KG + ",\nq(query_id, question) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in _QUESTIONS) + " UNION ALL SELECT ord, 'How does ' || cause_parameter || ' bear on ' || effect_on_doping || '?' FROM kg WHERE ord >= 1000)"
 
 
-def _questions(spark):
-    return spark.createDataFrame(_QUESTIONS, "query_id int, question string")
+def _questions(spark, sf):
+    """Some by hand, and one of each relationship."""
+    made = v.kg_rows(spark, sf).where("ord >= 1000").select("ord", F.concat(F.lit("How does "), "cause_parameter", F.lit(" bear on "), "effect_on_doping", F.lit("?")))
+    return spark.createDataFrame(_QUESTIONS, "query_id long, question string").union(made)
 
 
 _FOUND = "list_filter([" + ", ".join(f"CASE WHEN {any_sql('question', lx.QUESTION_SIGNALS[x])} THEN '{x}' END" for x in lx.LAYERS) + "], lambda x: x IS NOT NULL)"
@@ -126,7 +128,7 @@ _FULL = quoted(lx.LAYERS)
     _Q, f"f AS (SELECT query_id, {_FOUND} AS f FROM q)",
     f"SELECT query_id, array_to_string(list_filter({_FULL}, lambda x: list_contains(CASE WHEN len(f) = 0 THEN {_FULL} WHEN len(f) = 1 THEN list_append(f, 'Structure') ELSE f END, x)), ',') AS layers FROM f"))
 def required_layers(spark, sf):
-    return _questions(spark).select("query_id", F.array_join(tx.required_layers(F.col("question")), ",").alias("layers"))
+    return _questions(spark, sf).select("query_id", F.array_join(tx.required_layers(F.col("question")), ",").alias("layers"))
 
 
 _WORDS = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(question, '(?i)\\b({'|'.join(ws)})\\b') THEN {quoted(ls)} ELSE [] END" for ws, ls in lx.QUESTION_WORDS) + ")"
@@ -135,7 +137,7 @@ _WORDS = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(question, '(?i)\\
 @register("required_layers_regex", v.with_sql(
     _Q, f"f AS (SELECT query_id, {_WORDS} AS f FROM q)", f"SELECT query_id, array_to_string(list_filter({_FULL}, lambda x: len(f) = 0 OR list_contains(f, x)), ',') AS layers FROM f"))
 def required_layers_regex(spark, sf):
-    return _questions(spark).select("query_id", F.array_join(tx.required_layers_by_words(F.col("question")), ",").alias("layers"))
+    return _questions(spark, sf).select("query_id", F.array_join(tx.required_layers_by_words(F.col("question")), ",").alias("layers"))
 
 
 _ASKED = [(0, "nation_1", "brand", "Processing,Structure,Property"), (1, "nation_1", "urgent", "Processing,Property"), (2, "brand#1", "high", "Structure,Property"), (3, "zzz", "high", "Processing,Structure")]
@@ -206,22 +208,22 @@ def layer_of_sql(text, lexicon, order, none):
 
 @register("infer_relation", v.with_sql(v.KG, f"SELECT ord, {relation_sql('mechanism_quote')} AS relation FROM kg"))
 def infer_relation(spark, sf):
-    return v.kg_raw(spark).select("ord", tx.infer_relation(F.col("mechanism_quote")).alias("relation"))
+    return v.kg_rows(spark, sf).select("ord", tx.infer_relation(F.col("mechanism_quote")).alias("relation"))
 
 
 @register("infer_psp_type", v.with_sql(v.KG, f"SELECT ord, {type_sql('cause_parameter', 'effect_on_doping')} AS psp_type FROM kg"))
 def infer_psp_type(spark, sf):
-    return v.kg_raw(spark).select("ord", tx.infer_psp_type(F.col("cause_parameter"), F.col("effect_on_doping")).alias("psp_type"))
+    return v.kg_rows(spark, sf).select("ord", tx.infer_psp_type(F.col("cause_parameter"), F.col("effect_on_doping")).alias("psp_type"))
 
 
 @register("infer_material", v.with_sql(v.KG, f"SELECT ord, {material_sql('source_file')} AS material, {more_material_sql('source_file')} AS extended FROM kg"))
 def infer_material(spark, sf):
-    return v.kg_raw(spark).select("ord", tx.infer_material(F.col("source_file")).alias("material"), tx.infer_material_extended(F.col("source_file")).alias("extended"))
+    return v.kg_rows(spark, sf).select("ord", tx.infer_material(F.col("source_file")).alias("material"), tx.infer_material_extended(F.col("source_file")).alias("extended"))
 
 
 @register("parse_confidence", v.with_sql(v.KG, f"SELECT ord, {confidence_sql('coalesce(confidence_level, chr(32))')} AS confidence FROM kg"))
 def parse_confidence(spark, sf):
-    return v.kg_raw(spark).select("ord", tx.parse_confidence(F.col("confidence_level")).alias("confidence"))
+    return v.kg_rows(spark, sf).select("ord", tx.parse_confidence(F.col("confidence_level")).alias("confidence"))
 
 
 _LABELS = "labels_(label) AS (SELECT trim(cause_parameter) FROM kg UNION SELECT trim(effect_on_doping) FROM kg)"
@@ -229,16 +231,16 @@ _LABELS = "labels_(label) AS (SELECT trim(cause_parameter) FROM kg UNION SELECT
 
 @register("node_layer", v.with_sql(v.KG, _LABELS, f"SELECT label, {layer_of_sql('label', lx.NODE_KEYWORDS, lx.LAYERS, 'NULL')} AS layer FROM labels_"))
 def node_layer(spark, sf):
-    return _labels(spark).select("label", tx.node_layer(F.col("label")).alias("layer"))
+    return _labels(spark, sf).select("label", tx.node_layer(F.col("label")).alias("layer"))
 
 
 @register("node_layer_alt", v.with_sql(v.KG, _LABELS, f"SELECT label, {layer_of_sql('label', lx.NAME_KEYWORDS, lx.LAYERS[::-1], chr(39) + 'Processing' + chr(39))} AS layer FROM labels_"))
 def node_layer_alt(spark, sf):
-    return _labels(spark).select("label", tx.name_layer(F.col("label")).alias("layer"))
+    return _labels(spark, sf).select("label", tx.name_layer(F.col("label")).alias("layer"))
 
 
-def _labels(spark):
-    raw = v.kg_raw(spark)
+def _labels(spark, sf):
+    raw = v.kg_rows(spark, sf)
     return raw.select(F.trim("cause_parameter").alias("label")).union(raw.select(F.trim("effect_on_doping"))).distinct()
 
 
@@ -266,12 +268,12 @@ _EDGE = ["src", "dst", "psp_type", "relation", "material", "mechanism", "affecte
 
 @register("load_edges", _load(False))
 def load_edges(spark, sf):
-    return kg.normalise(v.kg_raw(spark)).select(*_EDGE)
+    return kg.normalise(v.kg_rows(spark, sf)).select(*_EDGE)
 
 
 @register("from_legacy", _load(True))
 def from_legacy(spark, sf):
-    return kg.normalise(v.kg_raw(spark), legacy=True).select(*_EDGE)
+    return kg.normalise(v.kg_rows(spark, sf), legacy=True).select(*_EDGE)
 
 
 _REQUIRED = ", ".join(f"CASE WHEN trim(coalesce({c}, '')) = '' THEN '{n}' END" for c, n in (("cause_parameter", "source"), ("relation", "relation"), ("effect_on_doping", "target"), ("psp_type", "psp_type")))
@@ -281,28 +283,28 @@ _REQUIRED = ", ".join(f"CASE WHEN trim(coalesce({c}, '')) = '' THEN '{n}' END" f
     v.KG, f"m AS (SELECT *, list_filter([{_REQUIRED}], lambda x: x IS NOT NULL) AS missing_ FROM kg)",
     f"SELECT ord, array_to_string(missing_, ',') AS missing, CAST(len(missing_) AS INTEGER) AS n_errors, coalesce(psp_type NOT IN ({', '.join(repr(t) for t in lx.VALID_EDGE_TYPES)}), false) AS bad_type, coalesce(confidence NOT BETWEEN 0 AND 1, false) AS bad_confidence FROM m"))
 def validate_edges(spark, sf):
-    return kg.problems(v.kg_raw(spark).withColumnsRenamed({"cause_parameter": "source", "effect_on_doping": "target"}))
+    return kg.problems(v.kg_rows(spark, sf).withColumnsRenamed({"cause_parameter": "source", "effect_on_doping": "target"}))
 
 
 @register("merge_edges", v.with_sql(
-    v.KG, "parts AS (SELECT 0 AS part, * FROM kg WHERE ord < 12 UNION ALL SELECT 1, * FROM kg WHERE ord >= 6)",
+    v.KG, "parts AS (SELECT 0 AS part, * FROM kg WHERE ord % 3 < 2 UNION ALL SELECT 1, * FROM kg WHERE ord % 3 > 0)",
     "SELECT ord, part, cause_parameter FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(cause_parameter, ''), coalesce(relation, ''), coalesce(effect_on_doping, ''), coalesce(material, '') ORDER BY part, ord) AS rn FROM parts) WHERE rn = 1"))
 def merge_edges(spark, sf):
-    raw = v.kg_raw(spark)
-    return kg.merge(raw.where("ord < 12"), raw.where("ord >= 6"), keys=("cause_parameter", "relation", "effect_on_doping", "material")).select("ord", "part", "cause_parameter")
+    raw = v.kg_rows(spark, sf)
+    return kg.merge(raw.where("ord % 3 < 2"), raw.where("ord % 3 > 0"), keys=("cause_parameter", "relation", "effect_on_doping", "material")).select("ord", "part", "cause_parameter")
 
 
 @register("migrate_edges", v.with_sql(
     v.KG, f"SELECT ord, 'migrated_' || ord AS relationship_id, cause_parameter AS legacy_cause_parameter FROM kg WHERE NOT {_PLACEHOLDER.format('cause_parameter')} AND NOT {_PLACEHOLDER.format('effect_on_doping')}"))
 def migrate_edges(spark, sf):
-    return kg.migrate(v.kg_raw(spark)).select("ord", "relationship_id", "legacy_cause_parameter")
+    return kg.migrate(v.kg_rows(spark, sf)).select("ord", "relationship_id", "legacy_cause_parameter")
 
 
 @register("pick_relaxed", v.with_sql(
     v.KG, f"fine AS (SELECT * FROM kg WHERE NOT {_PLACEHOLDER.format('cause_parameter')} AND NOT {_PLACEHOLDER.format('effect_on_doping')})",
     "SELECT ord FROM (SELECT ord, row_number() OVER (ORDER BY CASE WHEN material = 'WTe2' AND contains(lower(cause_parameter), 'grain') AND length(trim(mechanism_quote)) > 0 THEN 0 WHEN material = 'WTe2' AND contains(lower(cause_parameter), 'grain') THEN 1 WHEN contains(lower(cause_parameter), 'grain') THEN 2 ELSE 3 END, ord) AS rn FROM fine) WHERE rn = 1"))
 def pick_relaxed(spark, sf):
-    return kg.pick(kg.normalise(v.kg_raw(spark), unique=False), "WTe2", "grain", True).select("ord")
+    return kg.pick(kg.normalise(v.kg_rows(spark, sf), unique=False), "WTe2", "grain", True).select("ord")
 
 
 @register("edge_driven_layer", v.with_sql(
@@ -321,7 +323,8 @@ def edge_driven_layer(spark, sf):
 
 
 _UNITS = [(0, 373.15, "K", "atm", "h"), (1, 212.0, " f ", "kpa", "MIN"), (2, 20.0, "Celsius", "KPA", "us"), (3, 1.5, "degC", "TORR", "hours"), (4, 2.0, "x", "mmhg", "fortnight"), (5, None, "K", "Pa", "s")]
-_U = "u(id, x, t, p, s) AS (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else x}, '{t}', '{p}', '{s}')" for i, x, t, p, s in _UNITS) + ")"
+_T, _P, _S = ["C", "kelvin", "F ", "degC", "R", None, "fahrenheit"], [*lx.PRESSURE_UNITS, "PASCAL", "inHg", None], [*lx.TIME_UNITS, "Hours", "week"]
+_U = "u(id, x, t, p, s) AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else f'{x}::DOUBLE'}, '{t}', '{p}', '{s}')" for i, x, t, p, s in _UNITS) + f") UNION ALL SELECT 100 + p_partkey, p_retailprice, {v.picked_sql(_T, 'p_partkey')}, {v.picked_sql(_P, 'p_partkey')}, {v.picked_sql(_S, 'p_partkey')} FROM part)"
 _PA = "CASE " + " ".join(f"WHEN trim(p) = '{k}' THEN {f}" for k, f in lx.PRESSURE_UNITS.items()) + " " + " ".join(f"WHEN lower(trim(p)) = '{k.lower()}' THEN {f}" for k, f in lx.PRESSURE_UNITS.items()) + " END"
 _SEC = "CASE " + " ".join(f"WHEN lower(trim(s)) = '{k}' THEN {f}" for k, f in lx.TIME_UNITS.items()) + " END"
 
@@ -330,7 +333,9 @@ _SEC = "CASE " + " ".join(f"WHEN lower(trim(s)) = '{k}' THEN {f}" for k, f in lx
     _U, f"""SELECT id, round(CASE WHEN upper(trim(t)) IN ('C', 'CELSIUS', 'DEGC') THEN CAST(x AS DOUBLE) WHEN upper(trim(t)) IN ('K', 'KELVIN') THEN CAST(x AS DOUBLE) - 273.15 WHEN upper(trim(t)) IN ('F', 'FAHRENHEIT') THEN (CAST(x AS DOUBLE) - 32) * 5 / 9 END, 6) AS celsius,
   round(CAST(x AS DOUBLE) * {_PA}, 6) AS pascal, round(CAST(x AS DOUBLE) * {_SEC}, 9) AS seconds FROM u"""))
 def normalize_units(spark, sf):
-    rows = spark.createDataFrame(_UNITS, "id int, x double, t string, p string, s string")
+    key = F.col("p_partkey")
+    made = v.table(spark, sf, "part").select(key + 100, "p_retailprice", v.picked(_T, key), v.picked(_P, key), v.picked(_S, key))
+    rows = spark.createDataFrame(_UNITS, "id long, x double, t string, p string, s string").union(made)
     return rows.select("id", F.round(rules.celsius(F.col("x"), F.col("t")), 6).alias("celsius"), F.round(rules.pascal(F.col("x"), F.col("p")), 6).alias("pascal"), F.round(rules.seconds(F.col("x"), F.col("s")), 9).alias("seconds"))
 
 
@@ -338,7 +343,22 @@ _CONDITIONS = [
     (0, "MoS2", 750.0, "SiO2", "Ar", "Nb", "MoO3"), (1, "MoS2", 100.0, "glass", "N2", "Nb", "MoCl5"), (2, "other", 2000.0, "glass", "N2", "N", "MoO3"), (3, "graphene", 1500.0, "sapphire", "H2", "Zz", "WCl6"),
     (4, "hBN", None, "", "", "", ""), (5, "BP", 400.0, None, None, None, "S"), (6, "WS2", 900.0, "glass", "vacuum", "Fe", "Xx"), (7, "WTe2", 851.0, "mica", "H2/Ar", "Ta", "S"),
 ]
-_C = "c(id, material, temperature_c, substrate, atmosphere, dopant, precursor) AS (VALUES " + ", ".join("(" + ", ".join(v._literal(x) for x in r) + ")" for r in _CONDITIONS) + ")"
+_LISTS = {
+    "material": [*lx.MATERIAL_RANGES, "other", None], "substrate": [*lx.SUBSTRATE_LIMITS, "", None, "steel"], "atmosphere": [*lx.ATMOSPHERE_DOPANTS, None], "dopant": ["Nb", "Re", "Fe", "N", "Zz", None, "W"],
+    "precursor": [*lx.PRECURSOR_SUBSTRATES, "Xx", None],
+}
+_C = "c(id, material, temperature_c, substrate, atmosphere, dopant, precursor) AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"{x}::DOUBLE" if isinstance(x, float) else v._literal(x) for x in r) + ")" for r in _CONDITIONS) + ") UNION ALL SELECT 100 + p_partkey, " + ", ".join(
+    ("CASE WHEN p_size % 9 > 0 THEN p_retailprice - 700 END, " if k == "substrate" else "") + v.picked_sql(own, f"p_partkey * {i + 1} + p_size") for i, (k, own) in enumerate(_LISTS.items())) + " FROM part)"
+
+
+def _conditions(spark, sf):
+    """Some by hand, and one of each part."""
+    key, n = F.col("p_partkey"), F.col("p_size")
+    of = {k: v.picked(own, key * (i + 1) + n) for i, (k, own) in enumerate(_LISTS.items())}
+    made = v.table(spark, sf, "part").select(key + 100, of["material"], F.when(n % 9 > 0, F.col("p_retailprice") - 700), of["substrate"], of["atmosphere"], of["dopant"], of["precursor"])
+    return spark.createDataFrame(_CONDITIONS, "id long, material string, temperature_c double, substrate string, atmosphere string, dopant string, precursor string").union(made)
+
+
 _RANGE = "CASE " + " ".join(f"WHEN material = '{k}' THEN t BETWEEN {a} AND {b}" for k, (a, b) in lx.MATERIAL_RANGES.items()) + " ELSE true END"
 _LIMIT = "CASE " + " ".join(f"WHEN substrate = '{k}' THEN t <= {x}" for k, x in lx.SUBSTRATE_LIMITS.items()) + " ELSE true END"
 _DOPANT = "CASE " + " ".join(f"WHEN atmosphere = '{a}' AND dopant = '{d}' THEN {str(ok).lower()}" for a, own in lx.ATMOSPHERE_DOPANTS.items() for d, ok in own.items()) + " ELSE true END"
@@ -349,30 +369,49 @@ _PRECURSOR = "CASE WHEN coalesce(substrate, '') = '' THEN true " + " ".join(f"WH
     _C, f"k AS (SELECT id, a, b, d, p FROM (SELECT id, {_RANGE} AS a, {_LIMIT} AS b, {_DOPANT} AS d, {_PRECURSOR} AS p FROM (SELECT *, coalesce(temperature_c, 0) AS t FROM c)))",
     "SELECT id, a AS temperature_in_range, b AS substrate_temperature_ok, d AS atmosphere_dopant_compatible, p AS precursor_substrate_compatible, a AND b AND d AND p AS overall_valid FROM k"))
 def constraints(spark, sf):
-    rows = spark.createDataFrame(_CONDITIONS, "id int, material string, temperature_c double, substrate string, atmosphere string, dopant string, precursor string")
+    rows = _conditions(spark, sf)
     return rules.validate_conditions(rows).select("id", "temperature_in_range", "substrate_temperature_ok", "atmosphere_dopant_compatible", "precursor_substrate_compatible", "overall_valid")
 
 
 @register("thermal_stability", v.with_sql(_C, f"SELECT id, {_RANGE.replace(' t ', ' coalesce(temperature_c, 0) ')} AS stable, CASE " + " ".join(f"WHEN precursor = '{k}' THEN coalesce(substrate IN ({', '.join(repr(s) for s in own)}), true)" for k, own in lx.PRECURSOR_SUBSTRATES.items()) + " ELSE true END AS compatible FROM c"))
 def thermal_stability(spark, sf):
-    rows = spark.createDataFrame(_CONDITIONS, "id int, material string, temperature_c double, substrate string, atmosphere string, dopant string, precursor string")
+    rows = _conditions(spark, sf)
     return rows.select("id", rules.thermally_stable(F.col("material"), F.coalesce("temperature_c", F.lit(0.0))).alias("stable"), rules.composition_compatible(F.col("precursor"), F.col("substrate")).alias("compatible"))
 
 
-_ANSWERS = [
-    (0, 'Sure: ```json\n{"a": 1}\n``` done'), (1, 'text ``` {"b": [2]} ``` more'), (2, 'plain {"c": {"d": 3}} tail'), (3, "nothing here"), (4, "```json\n{broken\n```"), (5, ""),
-]
+_FENCE = "chr(96) || chr(96) || chr(96)"
+_SAYS = f"""x AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'Sure: ' || {_FENCE} || 'json' || chr(10) || props || chr(10) || {_FENCE} || ' done' WHEN 1 THEN 'text ' || {_FENCE} || ' ' || props || ' ' || {_FENCE} || ' more'
+  WHEN 2 THEN 'plain ' || props || ' tail' WHEN 3 THEN 'nothing here' WHEN 4 THEN {_FENCE} || 'json' || chr(10) || '{{broken' || chr(10) || {_FENCE} WHEN 5 THEN {_FENCE} || 'json {{x' || {_FENCE} || ' but ' || props END AS t FROM events)"""
+
 
+def _first_json(*found):
+    return "coalesce(" + ", ".join(f"CASE WHEN {f} <> '' AND json_valid({f}) THEN {f} END" for f in found) + ")"
 
-@register("extract_json", "WITH x(id, found) AS (VALUES (0, '{\"a\": 1}'), (1, '{\"b\": [2]}'), (2, '{\"c\": {\"d\": 3}}'), (3, NULL), (4, NULL), (5, NULL)) SELECT id, found FROM x")
+
+@register("extract_json", v.with_sql(_SAYS, "SELECT id, " + _first_json(*[f"regexp_extract(t, '{p}', 1)" for p in (r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```", r"(?s)(\{.*\})")]) + " AS found FROM x"))
 def extract_json(spark, sf):
-    return spark.createDataFrame(_ANSWERS, "id int, t string").select("id", tx.extract_json(F.col("t")).alias("found"))
+    """The JSON of answers of six shapes made of the events' properties."""
+    events, fence = v.table(spark, sf, "events").where("event_id is not null"), F.lit("`" * 3)
+    shape, props, nl = F.col("event_id") % 6, F.col("props"), F.lit("\n")
+    text = (
+        F.when(shape == 0, F.concat(F.lit("Sure: "), fence, F.lit("json\n"), props, nl, fence, F.lit(" done"))).when(shape == 1, F.concat(F.lit("text "), fence, F.lit(" "), props, F.lit(" "), fence, F.lit(" more")))
+        .when(shape == 2, F.concat(F.lit("plain "), props, F.lit(" tail"))).when(shape == 3, F.lit("nothing here")).when(shape == 4, F.concat(fence, F.lit("json\n{broken\n"), fence))
+        .otherwise(F.concat(fence, F.lit("json {x"), fence, F.lit(" but "), props))
+    )
+    return events.select(F.col("event_id").alias("id"), tx.extract_json(text).alias("found"))
+
 
+_PARAMS = "['brand=' || p_brand, ' type = ' || p_type || ' ', 'size=', 'brand = a=b', CASE WHEN p_size % 2 = 0 THEN 'x=y=' || p_size ELSE 'type=last' END]"
 
-@register("kv_pairs", "SELECT * FROM (VALUES (0, 'a', '1'), (0, 'b', 'x=y'), (1, 'k', 'last'), (2, 'e', '')) AS t(id, key, value)")
+
+@register("kv_pairs", f"""WITH p AS (SELECT p_partkey AS id, unnest({_PARAMS}) AS p, unnest(range(5)) AS n FROM part), k AS (SELECT id, n, trim(split_part(p, '=', 1)) AS key, trim(substr(p, strpos(p, '=') + 1)) AS value FROM p)
+SELECT id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY n DESC) AS rn FROM k) WHERE rn = 1""")
 def kv_pairs(spark, sf):
-    rows = spark.createDataFrame([(0, ["a=1", " b = x=y"]), (1, ["k=first", "k = last "]), (2, ["e="]), (3, [])], "id int, p array<string>")
-    return rows.select("id", F.explode(tx.parse_pairs(F.col("p"))).alias("key", "value"))
+    """Parameters of each part; of repeated keys the last counts."""
+    pairs = F.array(
+        F.concat(F.lit("brand="), "p_brand"), F.concat(F.lit(" type = "), "p_type", F.lit(" ")), F.lit("size="), F.lit("brand = a=b"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x=y="), F.col("p_size").cast("string"))).otherwise("type=last")
+    )
+    return v.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(tx.parse_pairs(pairs)).alias("key", "value"))
 
 
 _WORDLIST = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> ''))"
@@ -398,12 +437,16 @@ def key_terms(spark, sf):
     return v.papers(spark, sf).select("ord", F.array_join(tx.key_terms(F.col("abstract")), ",").alias("terms"))
 
 
-_STEPSAID = [(0, "high heat causes growth and growth leads to grains"), (1, "no verb here"), (2, "x enables y, z produces w")]
+_STEP = f"split_part(p_name, ' ', 1) || ' ' || {v.picked_sql([*lx.CAUSAL_VERBS, 'meets'], 'p_partkey')} || '  ' || split_part(p_name, ' ', 2) || ', and ' || p_type || ' ' || {v.picked_sql([*lx.CAUSAL_VERBS, 'leaves'], 'p_size')} || ' ' || p_brand"
+_EDGE_PATTERN = r"(\w+)\s+(" + "|".join(lx.CAUSAL_VERBS) + r")\s+(\w+)"
 
 
-@register("causal_edges", "SELECT * FROM (VALUES (0, 'heat', 'causes', 'growth'), (0, 'growth', 'leads to', 'grains'), (2, 'x', 'enables', 'y'), (2, 'z', 'produces', 'w')) AS t(id, source, verb, target)")
+@register("causal_edges", f"WITH s AS (SELECT p_partkey AS id, {_STEP} AS s FROM part) SELECT id, " + ", ".join(f"unnest(regexp_extract_all(s, '{_EDGE_PATTERN}', {i})) AS {n}" for i, n in enumerate(("source", "verb", "target"), 1)) + " FROM s")
 def causal_edges(spark, sf):
-    return spark.createDataFrame(_STEPSAID, "id int, s string").select("id", F.inline(tx.causal_edges(F.col("s"))))
+    """The edges of a step made of each part's words."""
+    key, n, word = F.col("p_partkey"), F.col("p_size"), lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    step = F.concat(word(1), F.lit(" "), v.picked([*lx.CAUSAL_VERBS, "meets"], key), F.lit("  "), word(2), F.lit(", and "), "p_type", F.lit(" "), v.picked([*lx.CAUSAL_VERBS, "leaves"], n), F.lit(" "), "p_brand")
+    return v.table(spark, sf, "part").select(key.alias("id"), F.inline(tx.causal_edges(step)))
 
 
 @register("search_queries", v.with_sql(

@@ -118,9 +118,64 @@ def _literal(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
 
+def picked(values: list, key: Column) -> Column:
+    """One of ``values`` by a number."""
+    kind = "double" if any(isinstance(v, float) for v in values) else "string"
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (key % len(values) + 1).cast("int"))
+
+
+def picked_sql(values: list, key: str) -> str:
+    return "[" + ", ".join(_literal(v) for v in values) + f"][CAST(({key}) % {len(values)} + 1 AS BIGINT)]"
+
+
+CAUSES = [
+    "CVD temperature", "growth pressure", "annealing time", "doping concentration", "grain boundary", "crystal phase", "layer strain", "vacancy defect", "substrate choice", "Unknown", "laser power", "  N/A ", "carrier gas", "rate of flow",
+]
+EFFECTS = ["grain size", "carrier mobility", "defect density", "band_gap shift", "hall voltage", "layer thickness", "thermal drift", "n/a", "optical absorption", "phase stability", "on/off ratio", "surface", "crystal orientation"]
+MECHANISMS = ["heat increases order", "reduces traps", "", "  ", "leads to switching", "prevents drift", "no verb", "improves and lowers", None, "blocks diffusion", "raises emission"]
+FILES = ["run_MoS2_{}.pdf", "WS2-{}.pdf", "graphene {}.txt", "boron_nitride_{}.pdf", "cri3_{}.pdf", "other_{}.pdf", "lithium_{}", "wte2-mote2-{}"]
+LEVELS = ["high", "moderate", "low", "experimentally verified", "predicted", "weak but proven", "strong", None, "medium-high"]
+TYPES = ["Processing_to_Structure", "Structure_to_Property", "Bad_type", None, "Processing_to_Property", "", "Processing_to_Processing"]
+RELATIONS = ["increases", None, "affects", " ", "inhibits"]
+NAMED = ["MoS2", None, "", "hBN", "WS2", None]
+CONFIDENCES = [0.9, None, 0.55, 1.2, -0.1, 0.7, None]
+
+
+def kg_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw relationships: the hand-made rows, and one of each part and each of several keys of it."""
+    key, n = F.col("p_partkey"), F.col("p_size")
+    of = lambda values, k: picked(values, k)
+    name = lambda c: F.when(c.rlike("(?i)unknown|n/a"), c).otherwise(F.concat(c, F.lit(" "), F.col("p_brand")))
+    made = table(spark, sf_dir, "part").select(
+        (F.lit(1000) + key).cast("long").alias("ord"), name(of(CAUSES, key)).alias("cause_parameter"), name(of(EFFECTS, key * 7 + n)).alias("effect_on_doping"), of([*EFFECTS, None], key * 3 + n).alias("affected_property"),
+        of(MECHANISMS, key + n).alias("mechanism_quote"), F.replace(of(FILES, key * 5 + n), F.lit("{}"), F.col("p_type")).alias("source_file"), of(LEVELS, key).alias("confidence_level"), of(CONFIDENCES, key + n).alias("confidence"),
+        of(TYPES, key * 2 + n).alias("psp_type"), of(RELATIONS, key).alias("relation"), of(NAMED, key + n).alias("material"),
+    )
+    return kg_raw(spark).union(made)
+
+
+def _named_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '(?i)unknown|n/a') THEN {c} ELSE {c} || ' ' || p_brand END"
+
+
+_MADE = (
+    f"SELECT 1000 + p_partkey, {_named_sql(picked_sql(CAUSES, 'p_partkey'))}, {_named_sql(picked_sql(EFFECTS, 'p_partkey * 7 + p_size'))}, {picked_sql([*EFFECTS, None], 'p_partkey * 3 + p_size')}, {picked_sql(MECHANISMS, 'p_partkey + p_size')}, "
+    f"replace({picked_sql(FILES, 'p_partkey * 5 + p_size')}, '{{}}', p_type), {picked_sql(LEVELS, 'p_partkey')}, CAST({picked_sql(CONFIDENCES, 'p_partkey + p_size')} AS DOUBLE), {picked_sql(TYPES, 'p_partkey * 2 + p_size')}, "
+    f"{picked_sql(RELATIONS, 'p_partkey')}, {picked_sql(NAMED, 'p_partkey + p_size')} FROM part"
+)
 KG = "kg(" + ", ".join(_NAMES) + ") AS (SELECT CAST(c0 AS BIGINT), c1, c2, c3, c4, c5, c6, CAST(c7 AS DOUBLE), c8, c9, c10 FROM (VALUES " + ", ".join(
     "(" + ", ".join(_literal(v) for v in row) + ")" for row in ROWS
-) + ") AS t(c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10))"
+) + f") AS t(c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10) UNION ALL {_MADE})"
+
+
+def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as methods of a comparison: category, a score and a latency that a fifth lacks."""
+    supplied = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.round(F.avg("s_acctbal"), 3).alias("score"), F.max("s_acctbal").alias("top"))
+    rows = table(spark, sf_dir, "nation").join(supplied, "n_nationkey", "left")
+    return rows.select(F.col("n_name").alias("method"), picked(["llm", "kg", "full"], F.col("n_regionkey")).alias("category"), "score", F.when(F.col("n_nationkey") % 5 != 0, F.col("top")).alias("latency"))
+
+
+METHODS = f"mt AS (SELECT n_name AS method, {picked_sql(['llm', 'kg', 'full'], 'n_regionkey')} AS category, score, CASE WHEN n_nationkey % 5 <> 0 THEN top END AS latency FROM nation LEFT JOIN (SELECT s_nationkey AS n_nationkey, round(avg(s_acctbal), 3) AS score, max(s_acctbal) AS top FROM supplier GROUP BY s_nationkey) USING (n_nationkey))"
 
 
 def vec_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
