@@ -278,40 +278,91 @@ def task_grid(spark, sf):
     return evaluation.task_grid(v.table(spark, sf, "region").select(F.col("r_name").alias("task")), models, modes)
 
 
-_ANSWERS = [
-    (0, True, True, True, "the mechanism is electron doping that changes mobility", "a different path instead of this one", ["processing sets structure and causes order", "structure leads to mobility and concentration", "order enables mobility"],
-     {"shift": "5 cm"}, {"mobility": "high"}, ["processing sets structure and order", "structure leads to mobility"], 2, 1, 4, 3, 0, 0.5, 0.6, 0.9, 0.4, 12, [0.7, 0.2, 0.1]),
-    (1, True, False, True, "short", "", ["not one of these"], {}, {"band": "x"}, [], 0, 0, 0, 0, 0, None, 0.2, None, None, 0, [0.9]),
-    (2, False, False, False, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None, None),
+_PRIMARY = ["the mechanism is electron doping that changes mobility", "grain growth", "", None, "Mechanism of phonon band_gap"]
+_OTHER = ["a different path instead of this one", "short", "another long text without such words", None]
+_SAID = [
+    "processing sets structure and causes order", "structure leads to mobility and concentration", "order enables mobility", "not one of these", "despite heat the grain results in strain", "Structure produces conductivity",
+    "temperature causes growth", "phase order and size", "however, thickness sets order",
 ]
-_ANSWER_SCHEMA = (
-    "answer_id int, has_processing boolean, has_structure boolean, has_properties boolean, primary_mechanism string, alternatives string, steps array<string>, quantities map<string,string>, predictions map<string,string>, "
-    "evidence array<string>, n_claims int, n_verified int, n_edges int, n_edges_verified int, n_grounded_steps int, alt_cosine double, prediction_cosine double, entailment double, source_diversity double, n_papers int, step_cosines array<double>"
-)
-#: Worked out by hand from the definitions of the sub-scores.
-_EXPECTED = {
-    0: dict(intervention_consistency=0.75, counterfactual_reasoning=1.0, mechanistic_modularity=1.0, psp_chain_validity=1.0, kg_verification=0.5, literature_entailment=0.86, multihop_grounding=2 / 3, source_diversity=0.4,
-            sufficiency=1.0, comprehensiveness=1.0, logical_consistency=1.0, mechanistic_precision=1.0, forward_simulation=1.0, psp_consistency_score=1.0),
-    1: dict(intervention_consistency=0.0, counterfactual_reasoning=0.0, mechanistic_modularity=0.0, psp_chain_validity=0.0, kg_verification=0.0, literature_entailment=0.0, multihop_grounding=0.0, source_diversity=0.0,
-            sufficiency=0.0, comprehensiveness=0.0, logical_consistency=0.7, mechanistic_precision=0.0, forward_simulation=0.0, psp_consistency_score=0.2),
-    2: dict(intervention_consistency=0.0, counterfactual_reasoning=0.0, mechanistic_modularity=0.0, psp_chain_validity=0.0, kg_verification=0.0, literature_entailment=0.0, multihop_grounding=0.0, source_diversity=0.0,
-            sufficiency=0.0, comprehensiveness=0.0, logical_consistency=1.0, mechanistic_precision=0.0, forward_simulation=0.0, psp_consistency_score=0.0),
-}
-
-
-def _expected_sql():
-    rows = []
-    for i, own in _EXPECTED.items():
-        parts = [sum(w * own[k] for k, w in weights.items()) for weights in (lx.COHERENCE_WEIGHTS, lx.GROUNDING_WEIGHTS, lx.VALIDITY_WEIGHTS)]
-        whole = {**own, "causal_coherence_score": parts[0], "source_grounding_score": parts[1], "internal_validity_score": parts[2]}
-        whole["overall_score"] = (sum(parts) + own["psp_consistency_score"]) / 4
-        rows.append(f"SELECT {i} AS answer_id, " + ", ".join(f"round(CAST({x!r} AS DOUBLE), 6) AS {k}" for k, x in whole.items()))
-    return "\nUNION ALL ".join(rows)
-
-
-@register("answer_metrics", _expected_sql())
+_BACKING = ["processing sets structure and order", "structure leads to mobility", "order enables heat", "temperature growth"]
+_QUANTITIES, _PREDICTIONS = [{"shift": "5 cm"}, {}, {"count": "7"}], [{"mobility": "high"}, {"band_gap": "low", "zz": ""}, {}, None]
+
+
+def _map(values, key):
+    return F.element_at(F.array(*[F.lit(None).cast("map<string,string>") if v is None else F.create_map(*[F.lit(x) for kv in v.items() for x in kv]).cast("map<string,string>") for v in values]), (key % len(values) + 1).cast("int"))
+
+
+def _lists(values, part, key):
+    """Keys or values of the maps, as SQL lists."""
+    own = ", ".join("NULL" if x is None else "[" + ", ".join(f"'{y}'" for y in getattr(x, part)()) + "]::VARCHAR[]" for x in values)
+    return f"coalesce([{own}][CAST(({key}) % {len(values)} + 1 AS BIGINT)], []::VARCHAR[])"
+
+
+def _answers(spark, sf):
+    """One answer of each part, with every kind of gap."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    four = F.array(v.picked(_SAID, k), v.picked(_SAID, k * 3 + n), v.picked(_SAID, n), v.picked(_SAID, k + 5))
+    backing = F.array(v.picked(_BACKING, k), v.picked(_BACKING, n), v.picked(_BACKING, k + n))
+    part_of = lambda x, m: (x % m).cast("double") / m
+    return v.table(spark, sf, "part").select(
+        k.alias("answer_id"), (k % 3 > 0).alias("has_processing"), F.when(k % 13 > 0, k % 4 > 0).alias("has_structure"), (n % 2 == 0).alias("has_properties"), v.picked(_PRIMARY, k).alias("primary_mechanism"), v.picked(_OTHER, n).alias("alternatives"),
+        F.when(k % 11 > 0, F.slice(four, F.lit(1), (k % 5).cast("int"))).alias("steps"), _map(_QUANTITIES, k).alias("quantities"), _map(_PREDICTIONS, k + n).alias("predictions"), F.slice(backing, F.lit(1), (n % 4).cast("int")).alias("evidence"),
+        (k % 4).cast("int").alias("n_claims"), (k % 3).cast("int").alias("n_verified"), (n % 3).cast("int").alias("n_edges"), (n % 2).cast("int").alias("n_edges_verified"), (k % 3).cast("int").alias("n_grounded_steps"), part_of(k, 10).alias("alt_cosine"),
+        part_of(n, 10).alias("prediction_cosine"), part_of(k, 7).alias("entailment"), part_of(n, 5).alias("source_diversity"), (k % 15).cast("int").alias("n_papers"), F.array(*[part_of(k + i, 10) for i in range(4)]).alias("step_cosines"),
+    )
+
+
+def _any_of(text, words):
+    return f"(len(list_filter([{', '.join(repr(w.lower()) for w in words)}], lambda w: contains(lower({text}), w))) > 0)"
+
+
+def _metrics_sql():
+    pick = v.picked_sql
+    said = lambda k: pick(_SAID, k)
+    a = f"""a AS (SELECT p_partkey AS answer_id, p_partkey % 3 > 0 AS hp, CASE WHEN p_partkey % 13 > 0 THEN p_partkey % 4 > 0 END AS hs, p_size % 2 = 0 AS hr, coalesce({pick(_PRIMARY, 'p_partkey')}, '') AS m, coalesce({pick(_OTHER, 'p_size')}, '') AS o,
+  CASE WHEN p_partkey % 11 > 0 THEN list_slice([{said('p_partkey')}, {said('p_partkey * 3 + p_size')}, {said('p_size')}, {said('p_partkey + 5')}], 1, p_partkey % 5) ELSE []::VARCHAR[] END AS s,
+  {_lists(_QUANTITIES, 'values', 'p_partkey')} AS q, {_lists(_PREDICTIONS, 'keys', 'p_partkey + p_size')} AS pk,
+  list_slice([{pick(_BACKING, 'p_partkey')}, {pick(_BACKING, 'p_size')}, {pick(_BACKING, 'p_partkey + p_size')}], 1, p_size % 4) AS e,
+  p_partkey % 4 AS nc, p_partkey % 3 AS nv, p_size % 3 AS ne, p_size % 2 AS nev, p_partkey % 3 AS ng, (p_partkey % 10) / 10.0::DOUBLE AS ac, (p_size % 10) / 10.0::DOUBLE AS pc, (p_partkey % 7) / 7.0::DOUBLE AS en, (p_size % 5) / 5.0::DOUBLE AS sd, p_partkey % 15 AS np,
+  [((p_partkey + 0) % 10) / 10.0::DOUBLE, ((p_partkey + 1) % 10) / 10.0::DOUBLE, ((p_partkey + 2) % 10) / 10.0::DOUBLE, ((p_partkey + 3) % 10) / 10.0::DOUBLE] AS sc FROM part)"""
+    words = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
+    terms = f"list_filter(list_distinct(regexp_extract_all(lower({{0}}), '[a-z][a-z0-9_-]{{{{2,}}}}')), lambda w: NOT list_contains([{', '.join(repr(w) for w in tx.STOPWORDS)}], w))"
+    n = "len(s)"
+    all3 = "coalesce(hp AND hs AND hr, false)"
+    ps = "(len(list_filter(s, lambda x: contains(lower(x), 'processing') AND contains(lower(x), 'structure'))) > 0)"
+    sp = f"(len(list_filter(s, lambda x: contains(lower(x), 'structure') AND {_any_of('x', lx.PROPERTY_WORDS)})) > 0)"
+    bit = lambda c, x: f"(CASE WHEN {c} THEN {x}::DOUBLE ELSE 0.0 END)"
+    share = lambda x, y: f"(CASE WHEN {y} = 0 THEN 0.0 ELSE {x}::DOUBLE / {y} END)"
+    backed = f"len(list_filter(s, lambda x: len(list_filter(e[1:5], lambda y: len(list_intersect({words.format('x')}, {words.format('y')}))::DOUBLE / greatest(len({words.format('x')}), 1) > 0.4)) > 0))"
+    joined = f"len(list_filter(range(1, len(s)), lambda i: list_has_any({terms.format('s[i]')}, {terms.format('s[i + 1]')})))"
+    contrary = f"len(list_filter(range(1, len(s) + 1), lambda i: {_any_of('s[i]', lx.NEGATIONS)} AND sc[i] > 0.6))"
+    middle = f"len(list_filter(s[2:len(s) - 1], lambda x: {_any_of('x', lx.TESTABLE_WORDS)}))::DOUBLE"
+    parts = {
+        "intervention_consistency": share("nev", "ne"),
+        "counterfactual_reasoning": f"CASE WHEN length(o) > 20 AND ac > 0.3 AND ac < 0.7 THEN CASE WHEN {_any_of('o', ['different', 'instead'])} THEN 1.0 ELSE 0.8 END ELSE 0.0 END",
+        "mechanistic_modularity": f"CASE WHEN {n} > 0 THEN least(1.0, {bit(f'len(list_filter(s, lambda x: {_any_of(chr(120), lx.CAUSAL_MARKERS)})) = {n}', 0.5)} + {bit('len(q) > 0', 0.3)} + {bit(_any_of('m', ['mechanism']), 0.2)}) ELSE 0.0 END",
+        "psp_chain_validity": f"CASE WHEN {all3} THEN 0.4 + {bit(ps, 0.3)} + {bit(sp, 0.3)} ELSE 0.0 END",
+        "kg_verification": share("nv", "nc"),
+        "literature_entailment": "CASE WHEN np > 0 AND len(e) > 0 THEN greatest(0.0, en - CASE WHEN np > 10 THEN least(0.2, (np - 10) * 0.02::DOUBLE) ELSE 0.0 END) ELSE 0.0 END",
+        "multihop_grounding": f"CASE WHEN {n} >= 2 THEN greatest({backed}, ng)::DOUBLE / {n} ELSE 0.0 END",
+        "source_diversity": "CASE WHEN len(e) > 1 THEN sd ELSE 0.0 END",
+        "sufficiency": f"CASE WHEN m <> '' AND len(pk) > 0 THEN least(1.0, {bit('pc > 0.5', 0.7)} + {bit('len(list_filter(pk, lambda x: contains(lower(m), x))) > 0', 0.3)}) ELSE 0.0 END",
+        "comprehensiveness": f"CASE WHEN {n} >= 2 THEN {joined}::DOUBLE / ({n} - 1) ELSE 0.0 END",
+        "logical_consistency": f"greatest(0.0, 1 - {contrary} * 0.3::DOUBLE)",
+        "mechanistic_precision": f"least(1.0, {bit('len(q) > 0', 0.4)} + {bit(f'len(list_filter(q, lambda x: {_any_of(chr(120), lx.UNIT_MARKS)})) > 0', 0.3)} + {bit(_any_of('m', lx.MECHANISM_TERMS), 0.3)})",
+        "forward_simulation": f"CASE WHEN {n} >= 3 THEN {middle} / ({n} - 2) ELSE 0.0 END",
+        "psp_consistency_score": f"least(1.0, CASE WHEN {all3} THEN 0.4::DOUBLE WHEN hp AND hr THEN 0.2 ELSE 0.0 END + {bit(ps, 0.3)} + {bit(sp, 0.3)})",
+    }
+    b = "b AS (SELECT answer_id, " + ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in parts.items()) + " FROM a)"
+    mixed = {name: "greatest(0.0, least(1.0, " + " + ".join(f"{w}::DOUBLE * {k}" for k, w in weights.items()) + "))" for name, weights in (("causal_coherence_score", lx.COHERENCE_WEIGHTS), ("source_grounding_score", lx.GROUNDING_WEIGHTS), ("internal_validity_score", lx.VALIDITY_WEIGHTS))}
+    c = "c AS (SELECT *, " + ", ".join(f"{x} AS {k}" for k, x in mixed.items()) + " FROM b)"
+    columns = ", ".join(f"round({k}, 6) AS {k}" for k in [*parts, *mixed])
+    return v.with_sql(a, b, c, f"SELECT answer_id, {columns}, round(({' + '.join(mixed)} + psp_consistency_score) / 4, 6) AS overall_score FROM c")
+
+
+@register("answer_metrics", _metrics_sql())
 def answer_metrics(spark, sf):
-    out = evaluation.answer_metrics(spark.createDataFrame(_ANSWERS, _ANSWER_SCHEMA))
+    out = evaluation.answer_metrics(_answers(spark, sf))
     return out.select("answer_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "answer_id"])
 
 
