@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.functions import lexicons as lx
 from causeway.functions import text as tx
 from causeway.functions import vectors
-from causeway.operators import diagnostics, evaluation, graph
+from causeway.operators import benchmark, diagnostics, evaluation, graph, judge
 from causeway.plans import views as v
 from causeway.sources import kg, records
 
@@ -375,3 +377,52 @@ def composite_metrics(spark, sf):
 @register("result_json", v.with_sql(_M, "SELECT to_json({'method': method, 'category': category}) AS value FROM mt"))
 def result_json(spark, sf):
     return records.to_json(_methods(spark, sf).select("method", "category"))
+
+
+class Rater:
+    """A judge that takes an answer's number less five as its score, and has nothing to say to others."""
+
+    def __call__(self, prompts):
+        said = [p.split("\nAnswer: ")[1].split("\n")[0] for p in prompts]
+        return [json.dumps({"score": int(x) - 5, "strengths": ["s"] * (int(x) % 3)}) if x.isdigit() else "no opinion" for x in said]
+
+
+_CASES = "cases_ AS (SELECT CAST(c_custkey AS VARCHAR) AS case_id, c_mktsegment AS query, CASE WHEN c_custkey % 7 = 0 THEN 'none' ELSE CAST(c_custkey % 60 AS VARCHAR) END AS prediction, coalesce(CAST(q AS VARCHAR), '') AS truth FROM customer LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) ON doc_id = c_custkey)"
+_JUDGED = f"judged AS (SELECT case_id, metric, most, CASE WHEN prediction = 'none' THEN 0.0::DOUBLE ELSE greatest(0.0, least(most, CAST(prediction AS INTEGER) - 5))::DOUBLE END AS score, prediction = 'none' AS error, CAST(CASE WHEN prediction = 'none' THEN 0 ELSE CAST(prediction AS INTEGER) % 3 END AS INTEGER) AS n_strengths FROM cases_, (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {x})' for k, x in lx.RUBRIC.items())}) AS r(metric, most))"
+
+
+def _cases(spark, sf):
+    """Customers as results to judge, labels as the truth of some."""
+    key = F.col("c_custkey")
+    results = v.table(spark, sf, "customer").select(key.alias("task_id"), F.col("c_mktsegment").alias("query"), F.when(key % 7 == 0, "none").otherwise((key % 60).cast("string")).alias("prediction"))
+    labels = v.table(spark, sf, "labels").select(F.col("doc_id").alias("task_id"), F.col("quality").alias("truth"), F.col("quality").alias("ord"))
+    return judge.cases(results, labels)
+
+
+@register("judge_cases", v.with_sql(_CASES, "SELECT * FROM cases_"))
+def judge_cases(spark, sf):
+    return _cases(spark, sf)
+
+
+@register("judge_records", v.with_sql(_CASES, _JUDGED, "SELECT case_id, metric, score, error, n_strengths FROM judged"))
+def judge_records(spark, sf):
+    return judge.judge(_cases(spark, sf), Rater(), attempts=1).select("case_id", "metric", "score", "error", F.size("strengths").alias("n_strengths"))
+
+
+@register("judge_case_totals", v.with_sql(_CASES, _JUDGED, "SELECT case_id, sum(score) AS overall, round(sum(score) / sum(most) * 100, 6) AS percent, count(*) FILTER (error) AS n_errors FROM judged GROUP BY case_id"))
+def judge_case_totals(spark, sf):
+    out = judge.totals(judge.judge(_cases(spark, sf), Rater(), attempts=1))
+    return out.withColumn("percent", F.round("percent", 6))
+
+
+@register("counts_by_name", "SELECT n AS task, count(*) FILTER (contains(p_name, n)) AS n FROM part, (SELECT unnest(['red', 'o', 'zzz']) AS n) GROUP BY n")
+def counts_by_name(spark, sf):
+    return records.counts_by_name(v.table(spark, sf, "part"), ["red", "o", "zzz"], "p_name")
+
+
+@register("benchmark_run")
+def benchmark_run(spark, sf):
+    """Every nation as a task, with two modes: answers of the offline responder and their scores."""
+    tasks = v.table(spark, sf, "nation").select(F.col("n_name").alias("task_id"), F.lit("forward").alias("direction"), F.create_map(F.lit("place"), F.col("n_name")).alias("params"))
+    out = benchmark.run(tasks, v.psp_edges(spark, sf), {"echo": None}, ["baseline", "naive"])
+    return out.select("task_id", "model", "mode", "tier", "confidence", "reasoning_type", "kg_paths_used", F.round("overall_score", 6).alias("overall_score"))
