@@ -156,7 +156,7 @@ def test_stream_gives_the_batch_table(spark, tmp_path):
         query = streaming.merge_into(streaming.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "cp"))
         query.processAllAvailable()
         query.stop()
-    got = spark.read.parquet(str(tmp_path / "table" / "v1"))
+    got = streaming.latest(spark, str(tmp_path / "table"))
     assert sorted(map(str, got.collect())) == sorted(map(str, kg.normalise(raw).select(*got.columns).collect()))
 
 
@@ -281,3 +281,29 @@ def test_graph_documents(spark, tmp_path):
     assert kg.read(spark, str(tmp_path / "full")).count() == edges.count() and 0 < kg.read(spark, str(tmp_path / "tiny")).count() <= 10
     assert sum(r.n for r in found["psp_type"].collect()) == edges.count()
     assert kg.resolve(None, "d") == "d" and kg.resolve("x", "d") == "x"
+
+
+def test_stream_goes_on_with_another_checkpoint(spark, tmp_path):
+    raw = views.kg_raw(spark)
+    for i in range(4):
+        raw.where(F.col("ord") % 4 == i).coalesce(1).write.json(str(tmp_path / f"in{i}"))
+        query = streaming.merge_into(streaming.read_stream(spark, str(tmp_path / f"in{i}")), str(tmp_path / "table"), str(tmp_path / f"cp{i // 2 + i}"))
+        query.processAllAvailable()
+        query.stop()
+    assert len(list((tmp_path / "table").glob("v*"))) == 2  # older versions are gone
+    got = streaming.latest(spark, str(tmp_path / "table"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, kg.normalise(raw).select(*got.columns).collect()))
+    assert streaming.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_events_are_counted_by_window(spark, tmp_path):
+    rows = [("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:04:00", "a", 2.0), ("2024-01-01 00:06:00", "b", 5.0), ("2024-01-01 02:00:00", "a", 1.0)]
+    late = [("2024-01-01 00:02:00", "a", 9.0), ("2024-01-01 04:00:00", "a", 0.0)]
+    for i, part in enumerate((rows, late, [("2024-01-01 06:00:00", "a", 0.0)])):
+        spark.createDataFrame(part, "ts string, event_type string, value double").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts string, event_type string, value double").json(str(tmp_path / "in"))
+        query = streaming.event_counts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+        query.processAllAvailable()
+        query.stop()
+    got = sorted((str(r.window.start), r.event_type, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got[:2] == [("2024-01-01 00:00:00", "a", 2, 3.0), ("2024-01-01 00:05:00", "b", 1, 5.0)]  # the late row is dropped
