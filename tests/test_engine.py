@@ -37,6 +37,12 @@ def test_command_line(spark, tmp_path):
     assert "nodes: " in cli.main(["diagnose", "--kg", str(path)])[0]["report"]
     with pytest.raises(ValueError):
         cli.parameters(["novalue"])
+    assert cli.main(["validate", "--kg", str(path)])[0]["valid"] is False  # the hand-made rows lack fields
+    assert cli.main(["predict", "--mode", "baseline", "--param", "a=b"])[0]["tier"] == 3
+    assert {r["kind"] for r in cli.main(["explain", "--kg", str(path), "--param", "p=carrier mobility", "--direction", "inverse"])} == {"node", "edge"}
+    assert "error" in cli.tool(["predict", "--param", "a=b"]) and "rows" in cli.tool(["predict", "--mode", "baseline", "--param", "a=b"])
+    text = cli.readable({"tier": 1, "paths": [["a", "b"]], "response": '{"x": 1}', "confidence": 0.5, "none": None, "steps": [{"n": 1}]})
+    assert text == 'tier: 1\npaths:\n  1. a -> b\nanswer:\n  {\n    "x": 1\n  }\nconfidence: 0.500\nsteps:\n  - {"n": 1}'
 
 
 def edges_of(spark):
