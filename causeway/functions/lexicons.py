@@ -175,3 +175,20 @@ CAUSAL_VERBS = ["causes", "leads to", "results in", "enables", "produces", "indu
 
 #: Largest score of each metric of the rubric.
 RUBRIC = {"processing_feasibility": 40, "structure_emergence": 30, "property_consistency": 20, "causal_psp_reasoning": 10}
+
+#: Words that the mode without tiers looks for.
+NAIVE_PROPERTIES = ["mobility", "conductivity", "carrier", "band gap", "property"]
+NAIVE_CONDITIONS = ["temperature", "pressure", "time", "atmosphere", "method", "CVD", "MBE"]
+
+#: Literature queries: before and after a path's text, and before and after a question's terms, by direction.
+PATH_QUERIES = [("experimental validation ", ""), ("mechanism ", " materials science")]
+TERM_QUERIES = {
+    "forward": [("quantitative data ", " experimental"), ("recent advances ", "")],
+    "inverse": [("synthesis methods ", ""), ("achieving ", " materials")],
+}
+
+#: Patterns by which a node's name tells its layer where its edges do not.
+LAYER_PATTERNS = [
+    (r"\btemp\b|\bheat\b|\bcvd\b|\bsynth|\bgrowth|\bdeposit|\bsputter|\bann(eal)", "Processing"),
+    (r"\bhardness|\bstiff|\bmodul|\bconduct|\bfrict|\bwear|\byoung|\bstrain|\bstress|\bcof\b|\bthick", "Property"),
+]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -127,21 +126,14 @@ def psp_chain(processing: Column, structure: Column, prop: Column) -> Column:
     return F.array(edge(processing, structure, "Processing_to_Structure"), edge(structure, prop, "Structure_to_Property"))
 
 
-def map_keywords(params: Column) -> Column:
-    """The non-null values of a parameter map."""
-    return F.filter(F.map_values(params), lambda v: v.isNotNull())
-
-
 def search_queries(terms: Column, paths: Column, direction: Column) -> Column:
     """At most twelve literature queries: two for each of the first three paths, two for the terms."""
     plain = lambda p: F.replace(F.replace(p, F.lit(" -> "), F.lit(" ")), F.lit("_"), F.lit(" "))
-    of_paths = F.flatten(
-        F.transform(F.slice(paths, 1, 3), lambda p: F.array(F.concat(F.lit("experimental validation "), plain(p)), F.concat(F.lit("mechanism "), plain(p), F.lit(" materials science"))))
-    )
+    around = lambda text, phrases: F.array(*[F.concat(F.lit(before), text, F.lit(after)) for before, after in phrases])
+    of_paths = F.flatten(F.transform(F.slice(paths, 1, 3), lambda p: around(plain(p), lx.PATH_QUERIES)))
     key = F.array_join(F.slice(F.filter(terms, lambda t: t.isNotNull() & (t != "")), 1, 3), " ")
-    forward = F.array(F.concat(F.lit("quantitative data "), key, F.lit(" experimental")), F.concat(F.lit("recent advances "), key))
-    inverse = F.array(F.concat(F.lit("synthesis methods "), key), F.concat(F.lit("achieving "), key, F.lit(" materials")))
-    return F.slice(F.concat(of_paths, F.when(direction == "forward", forward).otherwise(inverse)), 1, 12)
+    of_terms = F.when(direction == "forward", around(key, lx.TERM_QUERIES["forward"])).otherwise(around(key, lx.TERM_QUERIES["inverse"]))
+    return F.slice(F.concat(of_paths, of_terms), 1, 12)
 
 
 def shortened(text: Column, most: int = 300) -> Column:
@@ -227,8 +219,7 @@ def edge_driven_layer(as_p: Column, as_s: Column, as_prop: Column, label: Column
             (as_s, "Structure"),
             (as_p, "Processing"),
             (as_prop, "Property"),
-            (low.rlike(r"\btemp\b|\bheat\b|\bcvd\b|\bsynth|\bgrowth|\bdeposit|\bsputter|\bann(eal)"), "Processing"),
-            (low.rlike(r"\bhardness|\bstiff|\bmodul|\bconduct|\bfrict|\bwear|\byoung|\bstrain|\bstress|\bcof\b|\bthick"), "Property"),
+            *[(low.rlike(pattern), layer) for pattern, layer in lx.LAYER_PATTERNS],
         ],
         "Structure",
     )
@@ -237,7 +228,3 @@ def edge_driven_layer(as_p: Column, as_s: Column, as_prop: Column, label: Column
 def scaled(value: Column, low: float, high: float) -> Column:
     """Position between two ends in per cent, cut to 0 and 100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - low) / (high - low) * 100))
-
-
-def pattern_of(words_: Sequence[str]) -> str:
-    return "|".join(re.escape(w) for w in words_)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import lexicons as lx
-from causeway.functions.text import contains_any, key_terms, literals, overlap_entails
+from causeway.functions.text import contains_any, key_terms, overlap_entails
 
 
 def task_grid(tasks: DataFrame, models: DataFrame, modes: DataFrame) -> DataFrame:
@@ -174,11 +174,3 @@ def literature_context(papers: DataFrame, most: int = 10, length: int = 300) ->
 
 def paper_confidence(citations: Column) -> Column:
     return F.least(F.lit(1.0), 0.5 + citations / 1000)
-
-
-def similarity_band(cosine: Column) -> Column:
-    return F.when((cosine > 0.3) & (cosine < 0.7), 0.8).otherwise(0.0)
-
-
-def as_array(values: list[str]) -> Column:
-    return literals(values)

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions import lexicons as lx
 from causeway.functions import vectors
 from causeway.operators import evidence, graph
 
@@ -224,18 +225,13 @@ def results(answered: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-#: The words that the mode without tiers looks for.
-NAIVE_PROPERTIES = ["mobility", "conductivity", "carrier", "band gap", "property"]
-NAIVE_CONDITIONS = ["temperature", "pressure", "time", "atmosphere", "method", "CVD", "MBE"]
-
-
 def naive_paths(questions: DataFrame, edges: DataFrame, direction: str = "forward", properties: list[str] | None = None, conditions: list[str] | None = None) -> DataFrame:
     """(query_id, path, part) without tiers, all of them: from the questions' words to property words; inverse from the
     words to condition words, and from condition words to the words (part 1). Paths found both ways stay twice."""
     labels = graph.nodes(edges)
     words = graph.keyword_match_join(labels, question_words(questions))
     fixed = lambda own: graph.keyword_match(labels, own)
-    properties, conditions = properties or NAIVE_PROPERTIES, conditions or NAIVE_CONDITIONS
+    properties, conditions = properties or lx.NAIVE_PROPERTIES, conditions or lx.NAIVE_CONDITIONS
     if direction == "forward":
         return graph.simple_paths(edges, words, fixed(properties), keys=["query_id"]).withColumn("part", F.lit(0))
     out = graph.simple_paths(edges, words, fixed(conditions), keys=["query_id"]).withColumn("part", F.lit(0))

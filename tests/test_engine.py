@@ -216,3 +216,24 @@ def test_benchmark_runs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/combined/json")).count() == 12
     assert spark.read.option("header", True).csv(str(tmp_path / "out/by_task/csv/task_name=f")).count() == 8
     assert {r.task: r.n for r in records.counts_by_name(got, ["f", "i1", "none"]).collect()} == {"f": 8, "i1": 4, "none": 0}
+
+
+def test_pictures(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from causeway.operators import evaluation
+    from causeway.sources import pictures
+
+    edges = edges_of(spark)
+    for layout in ("columns", "shell", "spring"):
+        pictures.plot_graph(edges, str(tmp_path / "g.svg"), layout, most=12)
+        root = ElementTree.parse(tmp_path / "g.svg").getroot()
+        count = lambda tag: len(root.findall(f".//{{http://www.w3.org/2000/svg}}{tag}"))
+        assert count("circle") == 12 and count("line") > 0
+        assert all(0 <= float(c.get("cx")) <= pictures.WIDTH and 0 <= float(c.get("cy")) <= pictures.HEIGHT for c in root.iter("{http://www.w3.org/2000/svg}circle"))
+    pictures.plot_trace(["a & b", "c" * 40], str(tmp_path / "t.svg"))
+    assert "a &amp; b" in (tmp_path / "t.svg").read_text() and pictures.short("c" * 40).endswith("…")
+    tiers = spark.createDataFrame([("forward", 1), ("forward", 3), ("forward", 3), ("inverse", 2)], "direction string, tier int")
+    pictures.plot_tiers(evaluation.tier_distribution(tiers), str(tmp_path / "b.svg"))
+    assert (tmp_path / "b.svg").read_text().count("<rect") == 3
+    assert pictures.spring([], []) == {} and set(pictures.MODE_NAMES) == set(MODES)

@@ -14,6 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables ar
 SOME = [
     "keyword_match", "degree_stats", "paths_forward", "cycles", "rank_paths", "mechanisms", "completeness", "load_edges", "from_legacy", "validate_edges", "merge_edges", "node_layer", "node_layer_alt", "required_layers",
     "normalize_units", "constraints", "extract_json", "kv_pairs", "route_forward", "cosine_topk", "diversity", "gaps", "compare", "eval_join", "judge_summary", "lit_dedupe", "leaderboard", "interpolate", "answer_metrics", "task_grid",
+    "prompts", "responses", "naive_inverse", "scc_members", "pair_extremes", "nearest_node", "source_diversity", "judge_cases", "judge_records", "causal_edges", "entailment_overlap", "key_terms", "lit_search", "edge_driven_layer", "search_queries", "node_samples",
 ]
 
 
