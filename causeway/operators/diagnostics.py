@@ -34,9 +34,10 @@ def questions(spark: SparkSession, rows: list[tuple[str, list[str], list[str]]]
 
 
 def coverage(edges: DataFrame, asked: DataFrame, max_hops: int = 4) -> DataFrame:
-    """(query_id, type, n_paths, has_match) per question; questions without paths stay, with 0."""
+    """(query_id, type, n_paths, has_match) per question; questions without paths stay, with 0; an empty word matches
+    every node."""
     labels = graph.nodes(edges)
-    match = lambda c: graph.keyword_match_join(labels, asked.select("query_id", F.explode(c).alias("word")))
+    match = lambda c: graph.keyword_match_join(labels, asked.select("query_id", F.explode(c).alias("word")), empty_matches=True)
     paths = graph.simple_paths(edges, match("keywords"), match("target"), max_hops, ["query_id"])
     counts = paths.groupBy("query_id").agg(F.count("*").alias("n"))
     out = asked.select("query_id", "type").join(counts, "query_id", "left").withColumn("n_paths", F.coalesce("n", F.lit(0)))

@@ -64,9 +64,9 @@ def keyword_match(labels: DataFrame, words: list[str], skip_empty: bool = False)
 MOST_SHORT = 10_000
 
 
-def keyword_match_join(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(query_id, label) for ``words(query_id, word)``: the batch form of ``keyword_match``. Null and empty words match
-    nothing.
+def keyword_match_join(labels: DataFrame, words: DataFrame, empty_matches: bool = False) -> DataFrame:
+    """(query_id, label) for ``words(query_id, word)``: the batch form of ``keyword_match``. Null words match
+    nothing, and nor do empty ones, unless ``empty_matches``: then they match all labels.
 
     Words meet labels through an index of three-letter pieces: a word is looked up under that piece of it which the
     fewest labels hold, and the match is then verified, so no word meets all labels. Words of one or two letters, which
@@ -84,7 +84,11 @@ def keyword_match_join(labels: DataFrame, words: DataFrame) -> DataFrame:
     few = short.limit(MOST_SHORT + 1).count()
     if few:
         met = met.union(low.join(F.broadcast(short) if few <= MOST_SHORT else short, F.contains("low", "word")).select("word", "label"))
-    return asked.join(met, "word").select("query_id", "label").distinct()
+    found = asked.join(met, "word").select("query_id", "label")
+    if empty_matches:
+        every = words.where("word = ''").select("query_id").distinct()
+        found = found.union(every.crossJoin(labels.select("label")))  # that product is what is asked for
+    return found.distinct()
 
 
 def roots(edges: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def first_properties(spark, sf):
     return diagnostics.first_properties(v.psp_edges(spark, sf))
 
 
-_COVER = [("forward", ["nation_1", "nation_2"], ["urgent", "high"]), ("forward", ["brand#2"], ["low"]), ("inverse", ["urgent"], ["nation"]), ("inverse", ["zzz"], ["brand"])]
+_COVER = [("forward", ["nation_1", "nation_2"], ["urgent", "high"]), ("forward", ["brand#2"], ["low"]), ("inverse", ["urgent"], ["nation"]), ("inverse", ["zzz"], ["brand"]), ("forward", [""], ["medium"])]
 _COVER_SQL = "cq(query_id, type, s, t) AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', [{', '.join(repr(x) for x in a)}], [{', '.join(repr(x) for x in b)}])" for i, (k, a, b) in enumerate(_COVER)) + "))"
 _COVERED = "cov AS (SELECT query_id, type, (SELECT count(*) FROM w WHERE len(list_filter(s, lambda x: contains(lower(path[1]), x))) > 0 AND len(list_filter(t, lambda x: contains(lower(last), x))) > 0) AS n_paths FROM cq)"
 

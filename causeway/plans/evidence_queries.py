@@ -9,7 +9,7 @@ from causeway.functions import rules
 from causeway.functions import text as tx
 from causeway.operators import evidence, graph, routing
 from causeway.plans import views as v
-from causeway.sources import kg
+from causeway.sources import kg, records
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -276,6 +276,22 @@ def from_legacy(spark, sf):
     return kg.normalise(v.kg_rows(spark, sf), legacy=True).select(*_EDGE)
 
 
+@register("graph_file", _load(False).replace("confidence, ord FROM fine", "confidence FROM fine"))
+def graph_file(spark, sf):
+    """Edges written as one document and read again."""
+    path = v.scratch(spark, "graph")
+    kg.write_file(kg.normalise(v.kg_rows(spark, sf)), path, version="1")
+    return kg.read(spark, path).select(*[c for c in _EDGE if c != "ord"])
+
+
+@register("graph_records", _load(False))
+def graph_records(spark, sf):
+    """Edges written as lines and read again in parallel."""
+    path = v.scratch(spark, "graph-records")
+    kg.write(kg.normalise(v.kg_rows(spark, sf)), path)
+    return kg.read_records(spark, path).select(*_EDGE)
+
+
 _REQUIRED = ", ".join(f"CASE WHEN trim(coalesce({c}, '')) = '' THEN '{n}' END" for c, n in (("cause_parameter", "source"), ("relation", "relation"), ("effect_on_doping", "target"), ("psp_type", "psp_type")))
 
 
@@ -597,3 +613,36 @@ def responses(spark, sf):
     prompted = routing.prompts(questions, decided, routing.mechanisms_of(decided, edges))
     out = routing.results(routing.respond(prompted, Fussy(), 2, routing.at_once), decided)
     return out.drop("latency_ms").withColumn("paths", routing.paths_text("paths", "; "))
+
+
+@register("task_file", """WITH t AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part)
+SELECT coalesce(CASE WHEN p_partkey % 5 > 0 THEN 'part-' || p_partkey END, 'task_' || (line + 1)) AS id, CASE WHEN p_size % 2 = 0 THEN 'forward' ELSE 'inverse' END AS task, p_type AS target_property FROM t WHERE p_partkey % 7 > 1""")
+def task_file(spark, sf):
+    """Parts as a file of tasks with blank and broken lines, read again."""
+    key, path = F.col("p_partkey"), v.scratch(spark, "tasks")
+    line = F.to_json(F.struct(F.when(key % 5 > 0, F.concat(F.lit("part-"), key.cast("string"))).alias("id"), F.when(F.col("p_size") % 2 == 0, "forward").otherwise("inverse").alias("task"), F.col("p_type").alias("target_property")))
+    lines = v.table(spark, sf, "part").select(key.alias("k"), F.when(key % 7 == 0, "").when(key % 7 == 1, '{"id": broken').otherwise(line).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return records.read_tasks(spark, path).select("id", "task", "target_property")
+
+
+@register("result_file", v.with_sql(v.METHODS, "SELECT method, score FROM mt"))
+def result_file(spark, sf):
+    """Results as one document with a list in it, read again."""
+    path = v.scratch(spark, "results")
+    rows = v.methods(spark, sf).agg(F.to_json(F.struct(F.collect_list(F.struct("method", "score")).alias("results"))).alias("value"))  # one row a nation
+    rows.write.text(path)
+    return records.read_results(spark, path, "method string, score double").select("method", "score")
+
+
+@register("confidence_counts", v.with_sql(v.KG, "SELECT confidence, count(*) AS n FROM kg GROUP BY confidence"))
+def confidence_counts(spark, sf):
+    return kg.counts(v.kg_rows(spark, sf), "confidence")
+
+
+@register("pick_each_type", v.with_sql(
+    v.KG, f"fine AS (SELECT *, row_number() OVER (PARTITION BY coalesce(CASE WHEN psp_type IN ({_VALID}) THEN psp_type END, {type_sql('trim(cause_parameter)', _ABOUT)}) ORDER BY CASE WHEN length(trim(coalesce(mechanism_quote, ''))) > 0 THEN 0 ELSE 1 END, ord) AS rn FROM kg WHERE NOT {_PLACEHOLDER.format('cause_parameter')} AND NOT {_PLACEHOLDER.format('effect_on_doping')})",
+    "SELECT ord FROM fine WHERE rn <= 2"))
+def pick_each_type(spark, sf):
+    """The first two rows of each type, those with evidence before others."""
+    return kg.pick_each_type(kg.normalise(v.kg_rows(spark, sf), unique=False)).select("ord")
