@@ -25,36 +25,32 @@ ANSWER = (
 NONE = "cast(array() as array<string>)"
 
 
-def _pairs_of(words: Column) -> Column:
-    """Pairs (first, second) of the different items of an array, each pair once and both ways round."""
-    return F.flatten(F.transform(words, lambda a: F.transform(F.filter(words, lambda b: b != a), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-
-
 def evidence_counts(answers: DataFrame, edges: DataFrame | None) -> DataFrame:
     """``answers(answer_id, primary_mechanism, steps)`` with n_edges, n_edges_verified, n_claims, n_verified and
     n_grounded_steps.
 
     A causal edge of a step is verified if the graph leads from a node that holds its source to one that holds its target.
-    A claim of the mechanism, or a step, is verified if two of its key terms (``key_terms``, in place of named entities)
-    are so connected, either way round. Without a graph nothing is. Equal claims of all answers are looked up once."""
+    A claim of the mechanism, or a step, is verified if one of its key terms (``key_terms``, in place of named entities)
+    so leads to another. Without a graph nothing is. Equal claims of all answers are looked up once."""
     steps, primary = F.coalesce("steps", F.expr(NONE)), F.coalesce("primary_mechanism", F.lit(""))
+    unit = lambda kind, text, ends: F.struct(F.lit(kind).alias("kind"), text.alias("unit"), ends.alias("ends"))
     said = answers.select(
         "answer_id",
         F.explode(F.concat(
-            F.flatten(F.transform(steps, lambda s: F.transform(tx.causal_edges(s), lambda e: F.struct(F.lit("edge").alias("kind"), F.concat_ws("|", e["source"], e["target"]).alias("unit"), F.array(F.struct(e["source"].alias("source"), e["target"].alias("target"))).alias("pairs"))))),
-            F.transform(tx.atomic_claims(primary), lambda c: F.struct(F.lit("claim").alias("kind"), c.alias("unit"), _pairs_of(tx.key_terms(c)).alias("pairs"))),
-            F.transform(steps, lambda s: F.struct(F.lit("step").alias("kind"), s.alias("unit"), _pairs_of(tx.key_terms(s)).alias("pairs"))),
+            F.flatten(F.transform(steps, lambda s: F.transform(tx.causal_edges(s), lambda e: unit("edge", F.concat_ws("|", e["source"], e["target"]), F.array(e["source"], e["target"]))))),
+            F.transform(tx.atomic_claims(primary), lambda c: unit("claim", c, tx.key_terms(c))),
+            F.transform(steps, lambda s: unit("step", s, tx.key_terms(s))),
         )).alias("u"),
-    ).select("answer_id", "u.*").withColumn("row", F.monotonically_increasing_id())
+    ).select("answer_id", "u.*").withColumn("unit_id", F.xxhash64(F.col("kind") == "edge", "unit"))
     said = graph.kept(said)
-    links = said.select("row", F.inline_outer("pairs"))
+    distinct = said.select("unit_id", "kind", "ends").dropDuplicates(["unit_id"])
     if edges is None:
-        fine = said.select("row").limit(0)
+        fine = distinct.select("unit_id").limit(0)
     else:
-        distinct = graph.kept(links.where("source is not null").select("source", "target").distinct().withColumn("claim_id", F.xxhash64("source", "target")))
-        true = graph.reachable_pairs(edges, distinct).where("verified").select("source", "target")
-        fine = links.join(true, ["source", "target"]).select("row").distinct()
-    marked = said.join(fine.withColumn("ok", F.lit(1)), "row", "left").withColumn("ok", F.coalesce("ok", F.lit(0)))
+        claims = distinct.where("kind = 'edge'").select(F.col("unit_id").alias("claim_id"), F.col("ends")[0].alias("source"), F.col("ends")[1].alias("target"))
+        led = graph.reachable_pairs(edges, claims).where("verified").select(F.col("claim_id").alias("unit_id"))
+        fine = led.union(graph.connected(edges, distinct.where("kind <> 'edge'").select("unit_id", F.explode("ends").alias("term"))))
+    marked = said.join(fine.withColumn("ok", F.lit(1)), "unit_id", "left").withColumn("ok", F.coalesce("ok", F.lit(0)))
     of = lambda kind: F.count_if(F.col("kind") == kind).cast("int")
     ok = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("ok"))), F.lit(0)).cast("int")
     counts = marked.groupBy("answer_id").agg(of("edge").alias("n_edges"), ok("edge").alias("n_edges_verified"), of("claim").alias("n_claims"), ok("claim").alias("n_verified"), ok("step").alias("n_grounded_steps"))

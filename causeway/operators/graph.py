@@ -390,6 +390,28 @@ def reachable_pairs(edges: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.join(flags, "claim_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 
+def connected(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """(unit_id) of the units among ``terms(unit_id, term)`` of which one term leads to another: a node that holds the one
+    reaches a node that holds the other, or is it. No pair of terms is made: each unit walks from its terms' nodes until
+    it meets a node of another term."""
+    distinct = kept(terms.where("term is not null and term <> ''").select("unit_id", "term").distinct())
+    met = keyword_match_join(nodes(edges), distinct.select(F.col("term").alias("query_id"), F.col("term").alias("word"))).withColumnRenamed("query_id", "term")
+    steps, at = kept(pairs(edges)), kept(distinct.join(met, "term").select("unit_id", "term", "label"))
+    ends = at.withColumnRenamed("term", "other")
+    hit = lambda front: front.join(ends, ["unit_id", "label"]).where("term <> other").select("unit_id").distinct()
+    seen = front = at
+    found = kept(hit(front))
+    front = front.join(found, "unit_id", "left_anti")
+    while not front.isEmpty():
+        onward = front.withColumnRenamed("label", "src").join(steps, "src").select("unit_id", "term", F.col("dst").alias("label")).distinct()
+        front = kept(onward.join(seen, ["unit_id", "term", "label"], "left_anti"))
+        seen = seen.union(front)
+        new = kept(hit(front))
+        found = found.union(new)
+        front = front.join(new, "unit_id", "left_anti")
+    return found.distinct()
+
+
 def stats(edges: DataFrame) -> DataFrame:
     """One row of counts, degrees, density, components and acyclicity."""
     peeled = kept(peel(edges))

@@ -307,3 +307,10 @@ def test_events_are_counted_by_window(spark, tmp_path):
         query.stop()
     got = sorted((str(r.window.start), r.event_type, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got[:2] == [("2024-01-01 00:00:00", "a", 2, 3.0), ("2024-01-01 00:05:00", "b", 1, 5.0)]  # the late row is dropped
+
+
+def test_terms_that_lead_to_each_other(spark):
+    df = frame(spark, [("heat", "grain size"), ("grain size", "mobility"), ("x", "y")])
+    units = {0: ["mobility", "heat"], 1: ["heat", "x"], 2: ["grain", "size"], 3: ["heat"], 4: ["y", "x", "zzz"], 5: [None, "", "heat"], 6: ["zzz", "q"]}
+    terms = spark.createDataFrame([(i, t) for i, own in units.items() for t in own], "unit_id int, term string")
+    assert {r.unit_id for r in graph.connected(df, terms).collect()} == {0, 2, 4}
