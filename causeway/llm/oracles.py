@@ -177,4 +177,80 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN o USING (r)
 """.replace("@LENGTHS@", IBAN_LENGTHS)
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY, "op3_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op8_pii": PII}
+#: White space of a line's ends, less the line end itself.
+_ENDS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+k AS (SELECT key, min(doc_id) AS least FROM l WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+o AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
+  FROM (SELECT l.*, coalesce(l.doc_id > k.least, false) AS gone FROM l LEFT JOIN k USING (key)) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN o USING (r)
+"""
+
+
+def _lloyd(rounds: int = 6, parts: int = 8, entries: int = 16, scale: int = 4096) -> str:
+    """The rounds one after the other, each entry's distance to each part worked out."""
+    near = """n{0} AS MATERIALIZED (
+  SELECT r, part, entry, err FROM (
+    SELECT r, x.part, entry, sum((x.v - b.c) * (x.v - b.c)) AS err, row_number() OVER (PARTITION BY r, x.part ORDER BY sum((x.v - b.c) * (x.v - b.c)), entry) AS place
+    FROM x JOIN b{0} b ON b.part = x.part AND b.pos = x.pos GROUP BY r, x.part, entry) WHERE place = 1)"""
+    book = """b{1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce((s - ((s % m) + m) % m) // m, b.c) AS c
+  FROM b{0} b LEFT JOIN (SELECT x.part, n.entry, x.pos, sum(x.v) AS s, count(*) AS m FROM x JOIN n{0} n USING (r, part) GROUP BY ALL) t USING (part, entry, pos))"""
+    steps = [near.format(0)]
+    for i in range(rounds):
+        steps += [book.format(i, i + 1), near.format(i + 1)]
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, CAST((i - 1) // (len(e) // {parts}) AS INTEGER) AS part, CAST((i - 1) % (len(e) // {parts}) AS INTEGER) AS pos, CAST(floor({scale} * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT r, e, unnest(range(1, len(e) + 1)) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT part, CAST(r AS INTEGER) AS entry, pos, CAST(v AS HUGEINT) AS c FROM x WHERE r < {entries}),
+{(","+chr(10)).join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(err) AS BIGINT) AS error FROM n{rounds} GROUP BY r),
+said AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), said
+"""
+
+
+VECTORS = _lloyd()
+
+#: Every order and step, each worked out from the masks of its part.
+AUDIT = r"""
+WITH f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+g AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+lab AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * n_distinct < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > g.least THEN 16 ELSE 0 END AS mask
+  FROM d JOIN g USING (t) LEFT JOIN u ON u.r = d.r LEFT JOIN lab ON lab.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (
+  SELECT filter_order, step, bit, letter, coalesce((SELECT sum(q.bit) FROM f q WHERE contains(substr(filter_order, 1, step - 1), q.letter)), 0)::INTEGER AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o) JOIN f ON letter = substr(filter_order, step, 1)),
+a AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM a
+"""
+
+ORACLE_SQL = {"op11_line_dedup": LINES, "op12_vector_codes": VECTORS, "op13_filter_audit": AUDIT, "op2_quality_rules": QUALITY, "op3_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op8_pii": PII}

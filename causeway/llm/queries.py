@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontaminate, langid, lm_scoring, pii, quality_rules, sentencepiece_fst, simhash, token_counts, toxicity, warc
+from causeway.llm import decontaminate, filter_audit, langid, line_dedup, lm_scoring, pii, quality_rules, sentencepiece_fst, simhash, token_counts, toxicity, vector_codes, warc
 from causeway.llm.common import remainder_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,8 +95,32 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, wanted, ["doc_id"]).select(F.col("c0").alias("doc_id"), "n_tokens", "in_target", "target_loss", "background_loss", "score")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after those that a document with a smaller id holds too are dropped. Null and
+    empty texts are one empty line; rows of one id are one document and each give a row; rows without an id lose what
+    any other holds; empty tables give no rows; other columns are not read."""
+    found = line_dedup.dedupe(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(F.col("c0").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector of finite numbers, and the codebooks' digest. Null and empty vectors and those of
+    another length are left out; repeated rows and ids each count and give a row; null ids come last among those that
+    the codebooks start from; null labels are one label; empty tables give no rows."""
+    coded = vector_codes.with_label_errors(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by language. Null texts are empty, null languages the empty
+    string; repeated rows each count; rows without an id are no copies and have no label; of several labels of an id one
+    is enough; empty tables give no rows."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.run(table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_warc, op4_language_id, op5_toxicity, op6_sentencepiece, op7_decontaminate, op8_pii, op9_simhash, op10_lm_scoring)
+    for f in (op1_token_counts, op2_quality_rules, op3_warc, op4_language_id, op5_toxicity, op6_sentencepiece, op7_decontaminate, op8_pii, op9_simhash, op10_lm_scoring, op11_line_dedup, op12_vector_codes, op13_filter_audit)
 }
 
