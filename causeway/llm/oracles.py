@@ -226,16 +226,15 @@ VECTORS = _lloyd()
 AUDIT = r"""
 WITH f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
 d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
 lab AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 m AS (
   SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
-    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * n_distinct < 80 * len(w) THEN 2 ELSE 0 END
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
     + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
     + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > g.least THEN 16 ELSE 0 END AS mask
-  FROM d JOIN g USING (t) LEFT JOIN u ON u.r = d.r LEFT JOIN lab ON lab.doc_id = d.doc_id),
+  FROM d JOIN g USING (t) LEFT JOIN lab ON lab.doc_id = d.doc_id),
 c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
 o AS (
   SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
