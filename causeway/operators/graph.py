@@ -7,8 +7,6 @@ semi-join.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -17,21 +15,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import lexicons as lx
 from causeway.functions.text import contains_any, node_layer
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names. Only a local session that names none gets one of its
-    own: on a cluster that would be a folder of the driver alone."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from causeway.operators.storage import free, kept
 
 
 def last_wins(edges: DataFrame, order: str = "ord") -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.operators.graph import kept
+from causeway.operators.storage import kept, scratch  # noqa: F401 - scratch is for the queries
 
 #: Words by which the layers of the derived graphs are told.
 LEXICON = {"Processing": ["nation"], "Structure": ["brand"], "Property": ["urgent", "high", "medium", "low", "specified"]}
@@ -17,12 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    kept(spark.range(0))  # the folder is set, or refused
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def psp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supply graph: nation to brand to order priority, and nation to priority as a shortcut. Confidence is the share
     of returned lines.
