@@ -25,7 +25,7 @@ from causeway.operators.storage import free, kept
 
 
 def ends_of(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("label")).union(edges.select(F.col("dst").alias("label"))).distinct()
+    return edges.select(F.col("src").alias("label")).unionByName(edges.select(F.col("dst").alias("label"))).distinct()
 
 
 def in_and_out(edges: DataFrame) -> DataFrame:
@@ -47,11 +47,11 @@ def weak_components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        both = now.union(now.select("v", "u"))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower)
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         older, now = now, kept(small.distinct(), "star")
         free(older)
     out = kept(everyone.join(now.select(F.col("u").alias("label"), "v"), "label", "left").select("label", F.coalesce("v", "label").alias("component")), "weak")
@@ -106,7 +106,7 @@ class Steps:
         """(label, component): of each node, the smallest label of its component."""
         known: list[DataFrame] = []  # (label, root); a label that none of them has is its own root
         for kind, table in reversed(self.done):
-            root = lambda c, name: reduce(DataFrame.union, known).select(F.col("label").alias(c), F.col("root").alias(name))
+            root = lambda c, name: reduce(DataFrame.unionByName, known).select(F.col("label").alias(c), F.col("root").alias(name))
             if kind == "merged":
                 out = table.join(root("into", "of"), "into", "left").select("label", F.coalesce("of", "into").alias("root")) if known else table.toDF("label", "root")
             else:
@@ -116,7 +116,7 @@ class Steps:
             known.append(kept(out, "roots"))
         if not known:
             return self.everyone.select("label", F.col("label").alias("component"))
-        rooted = self.everyone.join(reduce(DataFrame.union, known), "label", "left").select("label", F.coalesce("root", "label").alias("root"))
+        rooted = self.everyone.join(reduce(DataFrame.unionByName, known), "label", "left").select("label", F.coalesce("root", "label").alias("root"))
         rooted = kept(rooted, "rooted")
         names = rooted.groupBy("root").agg(F.min("label").alias("component"))
         out = kept(rooted.join(names, "root").select("label", "component"), "components")
@@ -139,15 +139,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if not n:
             free(degrees, left)
             break
-        after = left
+        after, ends = left, None
         if n_inner:
-            after = _without_runs(after, degrees, steps)
+            after, ends = _without_runs(after, degrees, steps)
         if n_off:
             stay = degrees.where("n_in > 0 and n_out > 0").select("label")
             after = after.join(stay.select(F.col("label").alias("src")), "src", "left_semi").join(stay.select(F.col("label").alias("dst")), "dst", "left_semi")
         if after is not left:
             after = kept(after.distinct(), "left")
-        free(degrees)
+        free(degrees, ends)
         mutual = kept(after.join(after.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").where("src < dst"), "mutual")
         if not mutual.isEmpty():
             groups = kept(weak_components(mutual).where("label <> component").select("label", F.col("component").alias("into")), "merged")
@@ -170,8 +170,9 @@ def _renamed(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("src", "dst").distinct()
 
 
-def _without_runs(left: DataFrame, degrees: DataFrame, steps: Steps) -> DataFrame:
-    """``left`` with an edge in place of each run of nodes with one way in and one way out; rings of such are gone."""
+def _without_runs(left: DataFrame, degrees: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """``left`` with an edge in place of each run of nodes with one way in and one way out, and the table that holds these
+    edges; rings of such nodes are gone."""
     inner = degrees.where("n_in = 1 and n_out = 1").select("label")
     links = left.join(inner.select(F.col("label").alias("src")), "src", "left_semi").select(F.col("src").alias("label"), F.col("dst").alias("next"))
     into = left.join(inner.select(F.col("label").alias("dst")), "dst", "left_semi").join(inner.select(F.col("label").alias("src")), "src", "left_anti").select(F.col("src").alias("a"), F.col("dst").alias("label"))
@@ -182,7 +183,7 @@ def _without_runs(left: DataFrame, degrees: DataFrame, steps: Steps) -> DataFram
     steps.merged(kept(ended.where("not over and label <> least").select("label", F.col("least").alias("into")), "rings"))
     free(ended)
     outer = left.join(inner.select(F.col("label").alias("src")), "src", "left_anti").join(inner.select(F.col("label").alias("dst")), "dst", "left_anti")
-    return outer.union(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return outer.unionByName(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))), ends
 
 
 def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +206,7 @@ def _coloured(left: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = kept(colours.where("label = colour").select("label", "colour"), "back")
     n, before = seen.count(), None
     while n != before:
-        back = lambda now: now.union(inside.join(now.withColumnRenamed("label", "dst"), "dst").select(F.col("src").alias("label"), "colour")).distinct()
+        back = lambda now: now.unionByName(inside.join(now.withColumnRenamed("label", "dst"), "dst").select(F.col("src").alias("label"), "colour")).distinct()
         older, seen, before = seen, kept(back(back(seen)), "back"), n
         n = seen.count()
         free(older)
@@ -241,7 +242,7 @@ def levels(edges: DataFrame) -> DataFrame:
         done.append(("levels", kept(roots, "levels")))
         gains.append(outer.join(roots.withColumnRenamed("label", "src"), "src").select(F.col("dst").alias("label"), (F.col("level") + F.col("w")).alias("floor")))
         gains.append(degrees.where("n_in <> 1 or n_out <> 1").select("label", "floor"))
-        raised = kept(reduce(DataFrame.union, gains).groupBy("label").agg(F.max("floor").alias("floor")), "floors")
+        raised = kept(reduce(DataFrame.unionByName, gains).groupBy("label").agg(F.max("floor").alias("floor")), "floors")
         rest = outer.join(roots.select(F.col("label").alias("src")), "src", "left_anti")
         ways = rest.join(sinks.withColumnRenamed("label", "dst"), "dst", "left_semi").select(F.col("dst").alias("label"), "src", "w")
         done.append(("sinks", kept(raised.join(sinks, "label", "left_semi").join(ways, "label", "left").select("label", "floor", "src", "w"), "sinks")))
@@ -275,7 +276,7 @@ def _without_weighted_runs(left: DataFrame, degrees: DataFrame, done: list[tuple
     out = left.join(named("src"), "src", "left_semi").join(named("dst"), "dst", "left_anti").select(F.col("src").alias("label"), F.col("dst").alias("b"), F.col("w").alias("last_w"))
     ends = runs.join(out, "label")
     outer = left.join(named("src"), "src", "left_anti").join(named("dst"), "dst", "left_anti")
-    joined = outer.union(ends.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("w") + F.col("last_w")).alias("w")))
+    joined = outer.unionByName(ends.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("w") + F.col("last_w")).alias("w")))
     return joined, ends.select(F.col("b").alias("label"), (F.col("floor") + F.col("last_w")).alias("floor"))
 
 
@@ -283,7 +284,7 @@ def _levelled(edges: DataFrame, done: list[tuple[str, DataFrame]]) -> DataFrame:
     none = ends_of(edges).where("false").select("label", F.lit(0).cast("long").alias("level"))
     known: list[DataFrame] = []
     for kind, table in reversed(done):
-        found = reduce(DataFrame.union, known, none) if len(known) != 1 else known[0]
+        found = reduce(DataFrame.unionByName, known, none) if len(known) != 1 else known[0]
         if kind == "levels":
             known.append(table)
         elif kind == "runs":
@@ -291,6 +292,6 @@ def _levelled(edges: DataFrame, done: list[tuple[str, DataFrame]]) -> DataFrame:
         else:  # a sink behind a node without a level has none
             of = table.join(found.withColumnRenamed("label", "src"), "src", "left").groupBy("label").agg(F.max("floor").alias("floor"), F.max(F.col("level") + F.col("w")).alias("level"), F.count_if(F.expr("src is not null and level is null")).alias("n"))
             known.append(kept(of.where("n = 0").select("label", F.greatest("floor", F.coalesce("level", F.lit(0))).alias("level")), "levels"))
-    out = kept(reduce(DataFrame.union, known, none), "levels")
+    out = kept(reduce(DataFrame.unionByName, known, none), "levels")
     free(*(t for _, t in done), *known)
     return out

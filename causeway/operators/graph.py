@@ -1,13 +1,13 @@
 """Graph operators over an edge table ``edges(src, dst, ...)``.
 
-Paths are expanded one hop at a time as joins over (src, dst) only; whatever else an edge carries is fetched once
-the paths are known. Before each hop, nodes from which no end can be reached in the hops left are pruned by a
-semi-join.
+Paths (``paths``) and components (``components``) are joins over (src, dst) only; whatever else an edge carries is fetched
+once they are known.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions import lexicons as lx
 from causeway.functions.text import contains_any, node_layer
+from causeway.operators.components import levels, strong_components, weak_components
+from causeway.operators.paths import best_paths, pairs, simple_paths
 from causeway.operators.storage import free, kept
 
 
@@ -28,11 +30,6 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("label")).union(edges.select(F.col("dst").alias("label"))).distinct()
 
 
-def pairs(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst) without self-loops."""
-    return edges.select("src", "dst").where("src <> dst").distinct()
-
-
 def reverse(edges: DataFrame) -> DataFrame:
     others = [c for c in edges.columns if c not in ("src", "dst")]
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others)
@@ -94,42 +91,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("label").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"), F.count("*").alias("degree"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_hops: int = 4, keys: list[str] | None = None, enough: int | None = None) -> DataFrame:
-    """(keys, path) of all simple paths of one to ``max_hops`` edges from a start to another end.
-
-    ``starts`` hold ``label`` and the ``keys`` (say a query id); a path belongs to one key. ``ends`` hold ``label`` and
-    the keys, or ``label`` alone where all keys share them. An end may also lie inside a path to another end. Where only
-    the shortest paths of each key are wanted, keys that have ``enough`` after a hop are not walked further."""
-    keys = keys or []
-    shared = [k for k in keys if k in ends.columns]
-    steps = pairs(edges)
-    # each set and each frontier is read by several later steps, so each is kept, not computed again by each of them
-    targets, steps = kept(ends.select(*shared, F.col("label").alias("last")).distinct()), kept(steps)
-    # alive[h]: (keys, node) from which an end is at most h hops away
-    alive = [targets.select(*shared, F.col("last").alias("node"))]
-    for _ in range(max_hops - 1):
-        back = alive[-1].join(steps, F.col("node") == F.col("dst")).select(*shared, F.col("src").alias("node"))
-        alive.append(kept(alive[-1].union(back).distinct()))
-    now = starts.select(*keys, F.array("label").alias("path"), F.col("label").alias("last")).distinct()
-    found = []
-    for hop in range(max_hops):
-        near = alive[max_hops - 1 - hop].withColumnRenamed("node", "dst")
-        now = kept(
-            now.join(steps, F.col("last") == F.col("src"))
-            .where(~F.array_contains("path", F.col("dst")))
-            .join(near, [*shared, "dst"], "left_semi")
-            .select(*keys, F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"))
-        )
-        found.append(now.join(targets, [*shared, "last"], "left_semi").select(*keys, "path"))
-        if enough is not None and hop + 1 < max_hops:
-            counts = reduce(DataFrame.union, found).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= enough)
-            if keys:
-                now = now.join(counts.select(*keys), keys, "left_anti")
-            elif not counts.isEmpty():
-                break
-    return reduce(DataFrame.union, found)
-
-
 def paths_recursive(edges: DataFrame, max_hops: int = 4) -> DataFrame:
     """All simple paths by a recursive query: the SQL form, for deep hops on small graphs (Spark bounds the rows of a
     recursion by ``spark.sql.cteRecursionRowLimit``, and fails beyond)."""
@@ -147,16 +108,17 @@ def paths_recursive(edges: DataFrame, max_hops: int = 4) -> DataFrame:
     return out
 
 
-def find_psp_paths(edges: DataFrame, start_words: list[str], end_words: list[str], max_hops: int = 4, reversed_: bool = False, enough: int | None = None) -> DataFrame:
-    """Simple paths between nodes that match start and end words; on the reversed edges if asked; ``enough`` as in
-    ``simple_paths``."""
+def find_psp_paths(edges: DataFrame, start_words: list[str], end_words: list[str], max_hops: int = 4, reversed_: bool = False, most: int | None = None) -> DataFrame:
+    """Simple paths between nodes that match start and end words; on the reversed edges if asked. With ``most`` only the
+    first ones, as ``best_paths`` orders them."""
     graph = reverse(edges) if reversed_ else edges
     labels = nodes(graph)
-    return simple_paths(graph, keyword_match(labels, start_words), keyword_match(labels, end_words), max_hops, enough=enough)
+    starts, ends = keyword_match(labels, start_words), keyword_match(labels, end_words)
+    return simple_paths(graph, starts, ends, max_hops) if most is None else best_paths(graph, starts, ends, most, max_hops)
 
 
 def first_paths(paths: DataFrame, most: int = 10, keys: list[str] | None = None) -> DataFrame:
-    """The ``most`` shortest paths (per key), ties by their text: a fixed choice where any would do."""
+    """The ``most`` shortest of some ``paths`` (per key), ties by their text: a fixed choice where any would do."""
     text = F.array_join("path", " -> ")
     if not keys:
         return paths.orderBy(F.size("path"), text).limit(most)
@@ -182,89 +144,20 @@ def paths_for_query(edges: DataFrame, words: list[str], direction: str = "forwar
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(src, dst) for every dst that can be reached from src by one or more edges; from ``starts(label)`` only if
     given. A frontier loop: each round joins only the pairs found in the last one."""
-    steps = edges.select("src", "dst").distinct()
-    first = steps if starts is None else steps.join(starts.select(F.col("label").alias("src")), "src", "left_semi")
-    known = frontier = kept(first)
+    steps = kept(edges.select("src", "dst").distinct())
+    known = frontier = kept(steps if starts is None else steps.join(starts.select(F.col("label").alias("src")).distinct(), "src", "left_semi"))
     while not frontier.isEmpty():
         onward = frontier.select("src", F.col("dst").alias("via")).join(steps.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
         frontier = kept(onward.join(known, ["src", "dst"], "left_anti"))
-        known = known.union(frontier)
+        known = known.unionByName(frontier)
+    free(steps)
     return known
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(label, component): the smallest label that is connected to each, whatever the edges' direction."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    now = kept(nodes(edges).select("label", F.col("label").alias("component")))
-    while True:
-        near = both.join(now.withColumnRenamed("label", "src"), "src").groupBy("dst").agg(F.min("component").alias("near"))
-        step = now.join(near, now.label == near.dst, "left").select("label", F.least("component", F.coalesce("near", "component")).alias("component"))
-        # jump: the component of one's component
-        jumped = step.join(step.select(F.col("label").alias("component"), F.col("component").alias("far")), "component", "left")
-        after = kept(jumped.select("label", F.least("component", F.coalesce("far", "component")).alias("component")))
-        if after.join(now, ["label", "component"], "left_anti").isEmpty():
-            return after
-        now = after
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(label, component): the smallest label among those that reach a node and are reached from it.
-
-    By colours: nodes without a way in or out are components of their own and are trimmed; each other node takes the
-    smallest label that reaches it; the nodes of a colour that reach its owner are the owner's component. These go, and
-    what is left starts again. Every step is a join on the edges that are left; no pair of nodes is made."""
-    everyone = nodes(edges)
-    left = kept(pairs(edges))
-    done: list[DataFrame] = []  # (label, component)
-    while not left.isEmpty():
-        while True:
-            inner = left.select(F.col("dst").alias("label")).intersect(left.select(F.col("src").alias("label")))
-            after = kept(left.join(inner.withColumnRenamed("label", "src"), "src", "left_semi").join(inner.withColumnRenamed("label", "dst"), "dst", "left_semi"))
-            if after.count() == left.count():
-                break
-            left = after
-        if left.isEmpty():
-            break
-        colours = kept(nodes(left).select("label", F.col("label").alias("colour")))
-        while True:
-            near = left.join(colours, left.src == colours.label).groupBy("dst").agg(F.min("colour").alias("near"))
-            after = kept(colours.join(near, colours.label == near.dst, "left").select("label", F.least("colour", F.coalesce("near", "colour")).alias("colour")))
-            if after.join(colours, ["label", "colour"], "left_anti").isEmpty():
-                break
-            colours = after
-        ends = colours.withColumnRenamed("label", "dst").withColumnRenamed("colour", "to")
-        inside = kept(left.join(colours.withColumnRenamed("label", "src"), "src").join(ends, "dst").where(F.col("colour") == F.col("to")).select("src", "dst", "colour"))
-        back = front = kept(colours.where(F.col("label") == F.col("colour")).select("label", "colour"))
-        while not front.isEmpty():
-            onward = inside.join(front.select(F.col("label").alias("dst")), "dst").select(F.col("src").alias("label"), "colour").distinct()
-            front = kept(onward.join(back, ["label", "colour"], "left_anti"))
-            back = back.union(front)
-        back = kept(back)
-        done.append(back.select("label", F.col("colour").alias("component")))
-        gone = back.select("label")
-        left = kept(left.join(gone.withColumnRenamed("label", "src"), "src", "left_anti").join(gone.withColumnRenamed("label", "dst"), "dst", "left_anti"))
-    if not done:
-        return everyone.select("label", F.col("label").alias("component"))
-    return everyone.join(reduce(DataFrame.union, done), "label", "left").select("label", F.coalesce("component", "label").alias("component"))
-
-
 def peel(edges: DataFrame) -> DataFrame:
     """(label, level) of the nodes that Kahn's peeling removes: the longest path to a node from a root, in edges.
     Nodes on or behind a cycle stay out."""
-    left = kept(edges.select("src", "dst").distinct())
-    everyone = nodes(edges)
-    level = 0
-    layer = everyone.join(left.select(F.col("dst").alias("label")), "label", "left_anti")
-    done = kept(layer.withColumn("level", F.lit(0)))
-    front = done.select("label")
-    while not front.isEmpty():
-        level += 1
-        after = kept(left.join(front.withColumnRenamed("label", "src"), "src", "left_anti"))
-        freed = left.join(front.withColumnRenamed("label", "src"), "src", "left_semi").select(F.col("dst").alias("label")).distinct()
-        front = kept(freed.join(after.select(F.col("dst").alias("label")), "label", "left_anti"))
-        done = done.union(front.withColumn("level", F.lit(level)))
-        left = after
-    return done
+    return levels(edges)
 
 
 def is_dag(edges: DataFrame, peeled: DataFrame | None = None) -> DataFrame:
@@ -358,20 +251,8 @@ def reachable_pairs(edges: DataFrame, claims: DataFrame) -> DataFrame:
     The walk starts from the claims' nodes and goes on for a claim until it is verified or has nowhere to go."""
     labels = nodes(edges)
     match = lambda c: keyword_match_join(labels, claims.select(F.col("claim_id").alias("query_id"), F.col(c).alias("word"))).withColumnRenamed("query_id", "claim_id")
-    steps = kept(pairs(edges))
-    ends = kept(match("target"))
-    seen = front = kept(match("source"))
-    verified = kept(front.join(ends, ["claim_id", "label"], "left_semi").select("claim_id").distinct())
-    front = front.join(verified, "claim_id", "left_anti")
-    while not front.isEmpty():
-        onward = front.select("claim_id", F.col("label").alias("src")).join(steps, "src").select("claim_id", F.col("dst").alias("label")).distinct()
-        front = kept(onward.join(seen, ["claim_id", "label"], "left_anti"))
-        seen = seen.union(front)
-        new = kept(front.join(ends, ["claim_id", "label"], "left_semi").select("claim_id").distinct())
-        verified = verified.union(new)
-        front = front.join(new, "claim_id", "left_anti")
-    flags = verified.distinct().withColumn("verified", F.lit(True))
-    return claims.join(flags, "claim_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+    verified = _met(edges, kept(match("source")), kept(match("target")), "claim_id", lambda front, ends: front.join(ends, ["claim_id", "label"], "left_semi"))
+    return claims.join(verified.withColumn("verified", F.lit(True)), "claim_id", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 
 def connected(edges: DataFrame, terms: DataFrame) -> DataFrame:
@@ -380,26 +261,33 @@ def connected(edges: DataFrame, terms: DataFrame) -> DataFrame:
     it meets a node of another term."""
     distinct = kept(terms.where("term is not null and term <> ''").select("unit_id", "term").distinct())
     met = keyword_match_join(nodes(edges), distinct.select(F.col("term").alias("query_id"), F.col("term").alias("word"))).withColumnRenamed("query_id", "term")
-    steps, at = kept(pairs(edges)), kept(distinct.join(met, "term").select("unit_id", "term", "label"))
-    ends = at.withColumnRenamed("term", "other")
-    hit = lambda front: front.join(ends, ["unit_id", "label"]).where("term <> other").select("unit_id").distinct()
-    seen = front = at
-    found = kept(hit(front))
-    front = front.join(found, "unit_id", "left_anti")
-    while not front.isEmpty():
-        onward = front.withColumnRenamed("label", "src").join(steps, "src").select("unit_id", "term", F.col("dst").alias("label")).distinct()
-        front = kept(onward.join(seen, ["unit_id", "term", "label"], "left_anti"))
-        seen = seen.union(front)
-        new = kept(hit(front))
-        found = found.union(new)
-        front = front.join(new, "unit_id", "left_anti")
-    return found.distinct()
+    at = kept(distinct.join(met, "term").select("unit_id", "term", "label"))
+    free(distinct)
+    return _met(edges, at, at, "unit_id", lambda front, ends: front.join(ends.withColumnRenamed("term", "other"), ["unit_id", "label"]).where("term <> other"))
+
+
+def _met(edges: DataFrame, front: DataFrame, ends: DataFrame, key: str, meet: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The distinct ``key`` of which a walk along the edges from ``front`` (the key, label, and what else tells walks
+    apart) meets ``ends``. A key that has met walks no further; each round is two tables."""
+    steps, own = kept(pairs(edges)), [c for c in front.columns if c != "label"]
+    seen, rounds, found = front, [front], []
+    while True:
+        new = kept(meet(front, ends).select(key).distinct())
+        found.append(new)
+        onward = front.join(new, key, "left_anti").withColumnRenamed("label", "src").join(steps, "src").select(*own, F.col("dst").alias("label")).distinct()
+        front = kept(onward.join(seen, [*own, "label"], "left_anti"))
+        if front.isEmpty():
+            break
+        rounds.append(front)
+        seen = seen.unionByName(front)
+    out = kept(reduce(DataFrame.unionByName, found).distinct())
+    free(front, steps, ends, *rounds, *found)
+    return out
 
 
 def stats(edges: DataFrame) -> DataFrame:
     """One row of counts, degrees, density, components and acyclicity."""
-    peeled = kept(peel(edges))
-    d = degrees(edges)
+    peeled, d = peel(edges), kept(degrees(edges))
     base = d.agg(
         F.count("*").alias("n_nodes"), F.round(F.avg("degree"), 9).alias("avg_degree"), F.max("n_in").alias("max_in"), F.max("n_out").alias("max_out"),
         F.sum(F.when((F.col("n_in") == 0), 1).otherwise(0)).alias("n_roots"), F.sum(F.when(F.col("n_out") == 0, 1).otherwise(0)).alias("n_leaves"),
@@ -407,7 +295,7 @@ def stats(edges: DataFrame) -> DataFrame:
     )
     count_of = lambda c, name: c.agg(F.count_distinct("component").alias(name))
     acyclic = peeled.count() == d.count()  # then each node is a strong component of its own
-    strong = nodes(edges).select(F.col("label").alias("component")) if acyclic else strong_components(edges)
+    strong = d.select(F.col("label").alias("component")) if acyclic else strong_components(edges)
     return base.join(density(edges).drop("n_nodes")).join(is_dag(edges, peeled)).join(count_of(weak_components(edges), "n_weak")).join(count_of(strong, "n_strong")).join(longest_path(edges, peeled))
 
 

@@ -49,7 +49,7 @@ def route(questions: DataFrame, edges: DataFrame, vectors_of: DataFrame | None =
     labels = graph.nodes(edges)
     ends = graph.kept(_ends(edges, direction))
     starts = graph.keyword_match_join(labels, question_words(questions))
-    direct = graph.kept(graph.first_paths(graph.simple_paths(walked, starts, ends, max_hops, ["query_id"], enough=max_paths), max_paths, ["query_id"]))
+    direct = graph.best_paths(walked, starts, ends, max_paths, max_hops, ["query_id"])
     open_ = questions.join(direct.select("query_id").distinct(), "query_id", "left_anti")
 
     near_side = graph.roots(edges) if direction == "forward" else graph.leaves(edges)
@@ -60,9 +60,7 @@ def route(questions: DataFrame, edges: DataFrame, vectors_of: DataFrame | None =
     candidates = vectors_of.join(near_side, "label", "left_semi")
     nearest = vectors.top_k(question_vectors.join(open_.select("query_id"), "query_id", "left_semi"), candidates, 1).where(F.col("score") > threshold)
     similar = graph.kept(nearest.select("query_id", F.col("label").alias("similar_node"), F.col("score").alias("similarity")))
-    analogous = graph.first_paths(
-        graph.simple_paths(walked, similar.select("query_id", F.col("similar_node").alias("label")), ends, max_hops, ["query_id"], enough=max_paths), max_paths, ["query_id"]
-    )
+    analogous = graph.best_paths(walked, similar.select("query_id", F.col("similar_node").alias("label")), ends, max_paths, max_hops, ["query_id"])
     gather = lambda p, tier: p.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("path").alias("p")))).alias("ps")).select("query_id", F.lit(tier).alias("tier"), F.transform("ps", lambda x: x["p"]).alias("paths"))
     two = gather(analogous, 2).join(similar, "query_id", "left")
     one = gather(direct, 1).select("query_id", "tier", "paths", F.lit(None).cast("string").alias("similar_node"), F.lit(None).cast("double").alias("similarity"))

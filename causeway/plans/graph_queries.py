@@ -78,7 +78,7 @@ def paths_reverse(spark, sf):
 
 @register("paths_limited", v.with_sql(v.PSP, _WALK, f"SELECT {_TEXT} FROM w WHERE {_ENDS} ORDER BY hops, array_to_string(path, ' -> ') LIMIT 10"))
 def paths_limited(spark, sf):
-    return graph.first_paths(graph.find_psp_paths(v.psp_edges(spark, sf), ["nation_1"], ["urgent"], enough=10), 10).select(text_of().alias("path"))
+    return graph.find_psp_paths(v.psp_edges(spark, sf), ["nation_1"], ["urgent"], most=10).select(text_of().alias("path"))
 
 
 @register("paths_cyclic", v.with_sql(v.EVENTS, v.walks_sql("ev", 3), f"SELECT {_TEXT} FROM w"))

@@ -171,16 +171,6 @@ def test_words_meet_labels_through_the_index(spark):
     assert got == {(i % 20, n) for i, w in enumerate(words) if w for n in names if w.lower() in n.lower()}
 
 
-def test_first_paths_stop_early(spark):
-    edges = [(f"a{i}", f"b{j}") for i in range(3) for j in range(4)] + [(f"b{j}", f"c{k}") for j in range(4) for k in range(4)] + [(f"c{k}", "end") for k in range(4)] + [("a0", "end"), ("b1", "end")]
-    df = frame(spark, edges)
-    starts = spark.createDataFrame([(0, "a0"), (1, "a1"), (2, "c0")], "query_id int, label string")
-    ends = spark.createDataFrame([("end",), ("c3",)], "label string")
-    for most in (1, 2, 5, 100):
-        whole, short = (graph.first_paths(graph.simple_paths(df, starts, ends, 4, ["query_id"], enough=e), most, ["query_id"]) for e in (None, most))
-        assert sorted(map(str, whole.collect())) == sorted(map(str, short.collect()))
-
-
 def test_components_of_a_larger_graph(spark):
     """Against Tarjan's algorithm: cycles of many sizes, bridges, tails, self-loops."""
     import random
