@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.operators import graph
+from causeway.operators import components, graph, reach
 from causeway.operators.evidence import text_of
 from causeway.plans import views as v
 
@@ -264,3 +264,48 @@ _CLAIMS_SQL = "claims(claim_id, source, target) AS (VALUES " + ", ".join(f"({i},
     "SELECT claim_id, source, target, EXISTS (SELECT 1 FROM nodes a, nodes b WHERE contains(lower(a.label), source) AND contains(lower(b.label), target) AND (a.label = b.label OR EXISTS (SELECT 1 FROM reach WHERE src = a.label AND dst = b.label))) AS verified FROM claims"))
 def claim_reachability(spark, sf):
     return graph.reachable_pairs(v.psp_edges(spark, sf), spark.createDataFrame(_CLAIMS, "claim_id int, source string, target string"))
+
+
+@register("session_levels", v.with_sql(v.SESSIONS, "SELECT 'e' || event_id AS label, n - 1 AS level FROM se_at WHERE many > 1"))
+def session_levels(spark, sf):
+    """How many events of its user come before each: the levels of deep chains."""
+    return components.levels(v.session_edges(spark, sf))
+
+
+@register("session_components", v.with_sql(v.SESSIONS, "SELECT 'e' || event_id AS label, min('e' || event_id) OVER (PARTITION BY user_id) AS component FROM se_at WHERE many > 1"))
+def session_components(spark, sf):
+    return components.weak_components(v.session_edges(spark, sf))
+
+
+#: Back along a chain, where the last edge of each closes a ring: one strong component a user.
+@register("session_rings", v.with_sql(v.SESSIONS, "SELECT 'e' || event_id AS label, min('e' || event_id) OVER (PARTITION BY user_id) AS component FROM se_at WHERE many > 1"))
+def session_rings(spark, sf):
+    """Sessions whose last event leads to the first again: rings as long as a user has events."""
+    edges = v.session_edges(spark, sf)
+    user = components.weak_components(edges)
+    ends = graph.leaves(edges).join(user, "label").select(F.col("label").alias("src"), "component")
+    firsts = graph.roots(edges).join(user, "label").select(F.col("label").alias("dst"), "component")
+    return components.strong_components(edges.unionByName(ends.join(firsts, "component").select("src", "dst")))
+
+
+@register("session_reach", v.with_sql(
+    v.SESSIONS, "asked AS (SELECT a.event_id AS a, b.event_id AS b FROM se_at a JOIN se_at b ON a.user_id = b.user_id AND b.n = a.n + 3 UNION SELECT b.event_id, a.event_id FROM se_at a JOIN se_at b ON a.user_id = b.user_id AND b.n = a.n + 3 UNION SELECT event_id, event_id + 7 FROM events)",
+    "SELECT 'e' || a AS a, 'e' || b AS b, coalesce(x.user_id = y.user_id AND x.n < y.n, false) AS reaches FROM asked JOIN se_at x ON x.event_id = a LEFT JOIN se_at y ON y.event_id = b"))
+def session_reach(spark, sf):
+    """Whether an event comes before another: three pairs an event, forth, back and to a neighbour in the table."""
+    by_user = F.lead("event_id", 3).over(v.Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    name = lambda c: F.concat(F.lit("e"), F.col(c).cast("string"))
+    third = v.table(spark, sf, "events").select(F.col("event_id").alias("a"), by_user.alias("b")).where("b is not null")
+    asked = third.union(third.select("b", "a")).union(v.table(spark, sf, "events").select("event_id", F.col("event_id") + 7))
+    return reach.ReachIndex(v.session_edges(spark, sf)).reaches(asked.select(name("a").alias("a"), name("b").alias("b"))).select("a", "b", "reaches")
+
+
+@register("trade_paths", v.with_sql(
+    v.TRADE, "found AS (SELECT p, p || ' -> ' || s || ' -> ' || c AS path FROM tr_ps JOIN tr_sc USING (s) WHERE c IN (SELECT 'customer ' || c_custkey FROM customer WHERE c_nationkey = 0))",
+    "SELECT p AS part, CAST(rank AS INTEGER) AS rank, path FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY path) AS rank FROM found) WHERE rank <= 3"))
+def trade_paths(spark, sf):
+    """The first three ways of each part, over its suppliers, to a customer of one nation: a question a part."""
+    edges, name = v.trade_edges(spark, sf), lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    starts = v.table(spark, sf, "part").select(name("part ", "p_partkey").alias("label")).withColumn("part", F.col("label"))
+    ends = v.table(spark, sf, "customer").where("c_nationkey = 0").select(name("customer ", "c_custkey").alias("label"))
+    return graph.best_paths(edges, starts, ends, 3, 3, ["part"]).select("part", "rank", text_of().alias("path"))

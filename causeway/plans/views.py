@@ -69,6 +69,34 @@ ev AS (SELECT src, dst, count(*) AS n FROM ev_moves WHERE dst IS NOT NULL AND sr
 """
 
 
+def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event to its user's next one: a chain a user, as deep as a user has events, and as large as the table."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    moves = table(spark, sf_dir, "events").select(name(F.col("event_id")).alias("src"), name(F.lead("event_id").over(by_user)).alias("dst"))
+    return kept(moves.where("dst is not null"))
+
+
+SESSIONS = """
+se_at AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS many FROM events),
+se AS (SELECT 'e' || a.event_id AS src, 'e' || b.event_id AS dst FROM se_at a JOIN se_at b ON a.user_id = b.user_id AND b.n = a.n + 1)
+"""
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part to supplier to customer, by the lines of orders: hubs in the middle, and as large as the tables."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    ends = F.array(F.struct(name("part ", "l_partkey").alias("src"), name("supplier ", "l_suppkey").alias("dst")), F.struct(name("supplier ", "l_suppkey").alias("src"), name("customer ", "o_custkey").alias("dst")))
+    return kept(lines.select(F.inline(ends)).distinct())
+
+
+TRADE = """
+tr_lines AS (SELECT DISTINCT 'part ' || l_partkey AS p, 'supplier ' || l_suppkey AS s, 'customer ' || o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+tr_ps AS (SELECT DISTINCT p, s FROM tr_lines), tr_sc AS (SELECT DISTINCT s, c FROM tr_lines)
+"""
+
+
 def cooccur_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide and shallow: part type to brand to the first word of the part's name."""
     parts = table(spark, sf_dir, "part").select("p_type", "p_brand", F.substring_index("p_name", " ", 1).alias("word"))
