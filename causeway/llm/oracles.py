@@ -115,12 +115,21 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"(list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS}), CAST(i + 1 AS BIGINT), 1)::INTEGER ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + substr(reverse({_DIGITS}), CAST(i + 1 AS BIGINT), 1)::INTEGER] END)) % 10 = 0)"
 _KEYS = (
     "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}"
-    "|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    "|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]+(?:-{1,4}[^-]+){0,200}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    "|\\b(?:[spr]k_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{30,}|npm_[A-Za-z0-9]{36,})"
 )
+_AUTH = "(?i)\\b(?:authorization[\"'']?[\\x20\\t]{0,4}[:=][\\x20\\t]{0,4}[\"'']?(?:bearer|basic|token|digest)[\\x20\\t]{1,4}[A-Za-z0-9._~+/=-]{6,}|bearer[\\x20\\t]{1,4}[A-Za-z0-9._~+/=-]{20,})"
 _SECRET = (
-    "(?i)\\b(?:[A-Za-z0-9]{1,20}[_-]){0,3}(?:password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret|token)[\"'']?[\\x20\\t]{0,4}(?:=>|:=|[=:])[\\x20\\t]{0,4}"
-    "(?:\"[^\"\\n]{6,}\"|''[^''\\n]{6,}''|[^\\x20\\x09-\\x0D]{6,})"
+    "(?i)\\b(?:[A-Za-z0-9]{1,20}[_-]){0,3}(?:(?:password|passwd|pwd|passphrase)[\"'']?(?:=>|:=|=)(?:\"[^\"\\n]{3,}\"|''[^''\\n]{3,}''|[^\\x20\\x09-\\x0D\"''=][^\\x20\\x09-\\x0D\"'']{2,})"
+    "|(?:password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret|token)[\"'']?[\\x20\\t]{0,4}(?:=>|:=|[=:])[\\x20\\t]{0,4}"
+    "(?:\"[^\"\\n]{6,}\"|''[^''\\n]{6,}''|[^\\x20\\x09-\\x0D]{6,}))"
 )
+_SECRET_VALID = (
+    r"(regexp_matches(m, '^[^=:]*(?:=>|:=|[=:])(?:[^\x20\t>=]|[\x20\t]+[\"'']|[\x20\t]+.*[0-9]|[\x20\t]+[^\x20\x09-\x0D]{20})')"
+    r" OR regexp_matches(m, '^[^=:]*(?:=>|:=|[=:])[\x20\t]+[^\x20\x09-\x0D]{12}') AND regexp_matches(m, '^[^=:]*(?:=>|:=|[=:])[\x20\t]+.*[a-z][A-Z]'))"
+)
+
+
 def _near(words: str) -> str:
     return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{words})(?:$|[^\p{{L}}\p{{N}}_])"
 
@@ -137,8 +146,9 @@ _KINDS = [
     # a run of digits and hyphens that is an id as a whole
     ("national_id", r"[0-9-]+", r"regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND right(m, 4) <> '0000'", 0.4,
      _near("ssn|social|security|national id|ausweis|identit[ée]"), 0.4, _NUMBERS, 0.3, 0.5),
-    ("secret", _SECRET, r"regexp_matches(m, '^[^=:]*(?:=>|:=|[=:])(?:[^\x20\t>=]|[\x20\t]+[\"'']|[\x20\t]+.*[0-9])')", 0.6, _near("login|user|key|access|auth"), 0.2, "^$", 0.0, 0.5),
+    ("secret", _SECRET, _SECRET_VALID, 0.6, _near("login|user|key|access|auth"), 0.2, "^$", 0.0, 0.5),
     ("key", _KEYS, "true", 0.9, "^$", 0.0, "^$", 0.0, 0.5),
+    ("auth", _AUTH, "true", 0.8, "^$", 0.0, "^$", 0.0, 0.5),
 ]
 #: Matches and the pieces between them alternate, so sums of their lengths are the positions.
 _MATCHES = "\nUNION ALL ".join(

@@ -84,16 +84,27 @@ BASE = (
 )
 #: Names of settings that hold a secret, and what may stand between a name and its value.
 SECRET_NAMES = "password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret|token"
+#: A short value counts only where it stands right behind the name of a password.
+PASSWORD = r"(?:password|passwd|pwd|passphrase)[\"']?(?:=>|:=|=)(?:\"[^\"\n]{3,}+\"|'[^'\n]{3,}+'|[^\x20\x09-\x0D\"'=][^\x20\x09-\x0D\"']{2,}+)"
 SECRET = (
-    rf"(?i)(?<![A-Za-z0-9_])(?:[A-Za-z0-9]{{1,20}}[_-]){{0,3}}(?:{SECRET_NAMES})[\"']?[\x20\t]{{0,4}}(?:=>|:=|[=:])[\x20\t]{{0,4}}"
-    r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\x20\x09-\x0D]{6,}+)"
+    rf"(?i)(?<![A-Za-z0-9_])(?:[A-Za-z0-9]{{1,20}}[_-]){{0,3}}(?:{PASSWORD}|(?:{SECRET_NAMES})[\"']?[\x20\t]{{0,4}}(?:=>|:=|[=:])[\x20\t]{{0,4}}"
+    r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\x20\x09-\x0D]{6,}+))"
+)
+#: A value set off by spaces and without quotes may be prose: it must hold a digit, be longer than words are, or be of some
+#: length with a capital behind a small letter.
+SECRET_VALID = (
+    r"""m rlike '^[^=:]*(=>|:=|[=:])([^\\x20\\t>=]|[\\x20\\t]+["\\x27]|[\\x20\\t]+.*[0-9]|[\\x20\\t]+[^\\x20\\x09-\\x0D]{20})' """
+    r"""or (m rlike '^[^=:]*(=>|:=|[=:])[\\x20\\t]+[^\\x20\\x09-\\x0D]{12}' and m rlike '^[^=:]*(=>|:=|[=:])[\\x20\\t]+.*[a-z][A-Z]')"""
 )
-#: A value set off by spaces and without quotes may be prose: it must hold a digit.
-SECRET_VALID = r"""m rlike '^[^=:]*(=>|:=|[=:])([^\\x20\\t>=]|[\\x20\\t]+["\\x27]|[\\x20\\t]+.*[0-9])'"""
 #: The public formats of keys that need no name beside them.
 KEY = (
     r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]++(?:-{1,4}+[^-]++){0,200}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9_])(?:[spr]k_(?:live|test)_[A-Za-z0-9]{10,}+|sk-[A-Za-z0-9_-]{20,}+|glpat-[A-Za-z0-9_-]{20,}+|hf_[A-Za-z0-9]{30,}+|npm_[A-Za-z0-9]{36,}+)"
+)
+#: What a request is signed with.
+AUTH = (
+    r"(?i)(?<![A-Za-z0-9_])(?:authorization[\"']?[\x20\t]{0,4}[:=][\x20\t]{0,4}[\"']?(?:bearer|basic|token|digest)[\x20\t]{1,4}[A-Za-z0-9._~+/=-]{6,}+|bearer[\x20\t]{1,4}[A-Za-z0-9._~+/=-]{20,}+)"
 )
 ADDED = (
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?s:.)))", "true", 0.7, _words("iban|bank|account|konto|compte|cuenta"), 0.2, ends=IBAN_END),
@@ -102,7 +113,8 @@ ADDED = (
         0.4, _words("ssn|social|security|national id|ausweis|identit[ée]"), 0.4, NUMBERS, 0.3,
     ),
     Kind("secret", SECRET, SECRET_VALID, 0.6, _words("login|user|key|access|auth"), 0.2, hint=r"""t rlike '(?i)(pass|pwd|key|secret|token)[a-z]{0,6}["\\x27]?[\\x20\\t]{0,4}[=:]'"""),
-    Kind("key", KEY, "true", 0.9, hint="t rlike 'AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|PRIVATE KEY'"),
+    Kind("key", KEY, "true", 0.9, hint="t rlike 'AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|PRIVATE KEY|[spr]k_(live|test)_|sk-|glpat-|hf_|npm_'"),
+    Kind("auth", AUTH, "true", 0.8, hint="t rlike '(?i)authorization|bearer'"),
 )
 KINDS = BASE + ADDED
 
