@@ -16,25 +16,33 @@ root of E[exp(lambda s)] = 1 over the tokens; K is the number of such segments a
 segment is a passage if its expected number by chance is below ``expected``; a document's evidence adds up the
 passages' lambda S - ln(K n), and a logistic curve, fitted on the same unseen documents, turns it into a score.
 
-Fitting reads at most ``toxic_docs`` and ``clean_docs`` labelled documents, those with the smallest id hashes, and
-uses all their words; the scan reads every text whole.
+``drift``, ``tau2``, ``least`` and ``expected`` are chosen by cross-fitting within the documents to learn from: of all
+choices in ``DRIFTS``, ``TAU2``, ``LEASTS`` and ``EXPECTED`` the one with the least log loss of a logistic curve that is
+fitted on two folds' evidence and tried on the third's. Labels that are held out are never read.
+
+Fitting reads at most ``toxic_docs`` and ``clean_docs`` labelled documents, those with the smallest id hashes, and uses
+all their words and prefixes. Their counts are a table in the shared folder, by the words' 64-bit hashes, that workers
+read; the driver sees numbers of the sampled documents and of fixed bins only. The scan reads every text whole.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
+import pyarrow.dataset as pads
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import annotate, bounded, free, quoted, restored, written
+from causeway.llm.common import annotate, bounded, for_workers, free, open_store, quoted, restored, written
 
 #: ASCII letters in lower case, digits, apostrophes and bytes of non-ASCII characters make words.
 WORD_BYTES = bytes(
@@ -42,13 +50,17 @@ WORD_BYTES = bytes(
 )
 PASSAGES = "evidence double, passages array<struct<first:int,last:int,score:double>>"
 FLUSH = 1 << 19
-PREFIXES = (4, 6, 8)
+#: Bytes of a word's prefixes; one that ends within a character is a feature like any other.
+PREFIXES = (4, 5, 6, 7, 8)
 FOLDS = 3
-#: A feature counts where it keeps this much of its own estimate, or where what it keeps is no noise by itself.
-FIRM_WEIGHT = 0.5
 CACHE = 100_000
-#: Bins of token scores, a twentieth wide, from -20 on.
-BINS = 801
+#: Bins of token scores, a twentieth wide, from -20 on, and of segment scores, from 0 on.
+BINS, FOUND_BINS = 801, 8001
+#: What ``fit`` chooses from.
+DRIFTS, TAU2, LEASTS, EXPECTED = (0.5, 1.0, 1.5, 2.0), (1.0, 3.0, 10.0), (0.0, 0.5), (0.01, 0.05, 0.25)
+
+SIDES = [(fold, y) for fold in range(FOLDS) for y in (0, 1)]
+COUNTS = [f"n{fold}{y}" for fold, y in SIDES]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -60,12 +72,35 @@ def family(word: bytes) -> list[bytes]:
     return [*(word[:n] for n in PREFIXES if len(word) > n), word]
 
 
+class Table:
+    """The counts of a sample's words and prefixes, by their hashes, in order."""
+
+    held: dict[str, Table] = {}
+
+    def __init__(self, uri: str):
+        files, path = open_store(uri)
+        rows = pads.dataset(path, filesystem=files, format="parquet").to_table(columns=["h", *COUNTS])
+        hashes = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], np.stack([rows.column(c).to_numpy().astype(np.int32)[order] for c in COUNTS], 1)
+
+    @classmethod
+    def of(cls, uri: str) -> Table:
+        """The table as this worker keeps it; an older one goes."""
+        if uri not in cls.held:
+            cls.held.clear()
+            cls.held[uri] = cls(uri)
+        return cls.held[uri]
+
+
 @dataclass
 class Model:
-    #: places of words and prefixes in the two arrays; models of one fit share the places, and a weight of 0 means none
-    places: dict[bytes, int] = field(default_factory=dict)
-    deltas: array = field(default_factory=lambda: array("d"))
-    weights: array = field(default_factory=lambda: array("d"))
+    uri: str | None = None
+    #: texts of each of SIDES, and the fold whose counts are left out
+    sizes: tuple[int, ...] = ()
+    without: int | None = None
+    prior: float = 0.2
+    tau2: float = 3.0
     drift: float = 1.5
     least: float = 0.5
     rate: float = 1.0  # lambda
@@ -74,31 +109,42 @@ class Model:
     intercept: float = -20.0
     slope: float = 0.0
 
-    def log_odds(self, word: bytes) -> float:
-        found = 0.0
-        for name in family(word):
-            at = self.places.get(name)
-            if at is not None:
-                found += self.weights[at] * (self.deltas[at] - found)
-        return found if abs(found) >= self.least else 0.0
-
-    def token_scores(self, texts: list[bytes | None], cache: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all texts' tokens, one text after the other, and where each text starts. ``cache`` holds words'
-        log-odds from call to call."""
-        own = [tokens(t) for t in texts]
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in set().union(*own).difference(cache):
-            cache[w] = self.log_odds(w)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-        scores = np.fromiter((s for x in own for s in map(cache.__getitem__, x)), np.float64, int(first[-1]))
-        for d, words in enumerate(own):
-            a, b = first[d], first[d + 1]
+    def estimates(self, features: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each feature its log-odds and how much of it to keep, which is nothing where the sample lacks it."""
+        delta, weight = np.zeros(len(features)), np.zeros(len(features))
+        use = [fold != self.without for fold, _ in SIDES]
+        n1, n0 = (sum(n for n, on, (_, y) in zip(self.sizes, use, SIDES) if on and y == own) for own in (1, 0))
+        if not (self.uri and features and n1 and n0):
+            return delta, weight
+        table = Table.of(self.uri)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, features), np.uint64, len(features))
+        at = np.minimum(np.searchsorted(table.hashes, hashes), max(0, len(table.hashes) - 1))
+        there = np.flatnonzero(table.hashes[at] == hashes) if len(table.hashes) else np.zeros(0, np.int64)
+        rows = table.counts[at[there]]
+        y1, y0 = (rows[:, [i for i, (on, (_, y)) in enumerate(zip(use, SIDES)) if on and y == own]].sum(1) for own in (1, 0))
+        live = (y1 + y0) > 0
+        delta[there[live]], weight[there[live]] = estimates(y1[live], y0[live], n1, n0, self.prior, self.tau2)
+        return delta, weight
+
+    def log_odds(self, words: list[bytes]) -> np.ndarray:
+        """Of each word, each prefix's estimate shrunken towards that of the shorter one, and its own towards those."""
+        found = np.zeros(len(words))
+        for n in (*PREFIXES, None):
+            own = [i for i, w in enumerate(words) if n is None or len(w) > n]
+            delta, weight = self.estimates([words[i][:n] for i in own])
+            found[own] += weight * (delta - found[own])
+        return np.where(np.abs(found) >= self.least, found, 0.0)
+
+    def token_scores(self, odds: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores of the tokens of some texts, one text after the other: ``places`` are the tokens' words among those of
+        ``odds``, and texts start at ``first``."""
+        scores = odds[places]
+        for a, b in zip(first, first[1:]):
             times: Counter = Counter()
-            for p in np.flatnonzero(scores[a:b] > self.drift).tolist():
-                times[words[p]] += 1
-                scores[a + p] /= math.sqrt(times[words[p]])
-        return scores - self.drift, first
+            for p in (a + np.flatnonzero(scores[a:b] > self.drift)).tolist():
+                times[places[p]] += 1
+                scores[p] /= math.sqrt(times[places[p]])
+        return scores - self.drift
 
     def passages(self, found: list[tuple[int, int, float]], n: int) -> tuple[float, list[dict]]:
         """Evidence and passages of a text of n tokens with these maximal segments; without any there is no evidence, and
@@ -110,11 +156,25 @@ class Model:
         return evidence, [{"first": a, "last": b, "score": s} for a, b, s in sorted(x[1:] for x in passed)]
 
     def scan(self, texts: list[bytes | None], cache: dict[bytes, float]) -> list[tuple[float, list[dict]]]:
-        """Evidence and passages of each text."""
-        scores, first = self.token_scores(texts, cache)
+        """Evidence and passages of each text. ``cache`` holds words' log-odds from call to call."""
+        words, places, first = indexed(texts)
+        if len(cache) > CACHE:
+            cache.clear()
+        new = [w for w in words if w not in cache]
+        cache.update(zip(new, self.log_odds(new).tolist()))
+        scores = self.token_scores(np.array([cache[w] for w in words]), places, first)
         return [self.passages(segments(scores[a:b]), int(b - a)) for a, b in zip(first, first[1:])]
 
 
+def indexed(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the place of each token's word among them, and where each text's tokens start."""
+    own = [tokens(t) for t in texts]
+    place: dict[bytes, int] = {}
+    first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    places = np.fromiter((place.setdefault(w, len(place)) for x in own for w in x), np.int64, int(first[-1]))
+    return list(place), places, first
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a sequence of token scores. Linear: running totals stand for
     the tokens between positive ones.
@@ -188,22 +248,19 @@ def squashed(evidence: float | np.ndarray) -> float | np.ndarray:
     return np.sign(evidence) * np.log1p(np.abs(evidence))
 
 
-SIDES = [(fold, y) for fold in range(FOLDS) for y in (0, 1)]
-COUNTS = [f"n{fold}{y}" for fold, y in SIDES]
-
-
 def _counts(rows: DataFrame) -> DataFrame:
-    """(word, COUNTS) over ``rows(text, y, fold)``: the texts of each fold and label that hold a word or a prefix."""
+    """(h, COUNTS) over ``rows(text, y, fold)``: the texts of each fold and label that hold a word or a prefix, by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {side: Counter() for side in SIDES}
 
         def flush() -> pa.RecordBatch:
             words = list(set().union(*held.values()))
-            columns = [pa.array(words, pa.binary()), *(pa.array([held[side][w] for w in words], pa.int64()) for side in SIDES)]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            columns = [pa.array(hashes), *(pa.array([held[side][w] for w in words], pa.int64()) for side in SIDES)]
             for c in held.values():
                 c.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", *COUNTS])
+            return pa.RecordBatch.from_arrays(columns, names=["h", *COUNTS])
 
         for batch in batches:
             for text, y, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -213,8 +270,8 @@ def _counts(rows: DataFrame) -> DataFrame:
         if any(held.values()):
             yield flush()
 
-    made = bounded(rows).select("text", "y", "fold").mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
-    return made.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    made = bounded(rows).select("text", "y", "fold").mapInArrow(run, "h long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return made.groupBy("h").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def estimates(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, prior: float, tau2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -225,20 +282,22 @@ def estimates(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, prior: float, ta
     return delta, tau2 / (tau2 + 1 / (y1 + share) + 1 / (y0 + share))
 
 
-def tail(found: np.ndarray, n_tokens: int, bins: np.ndarray) -> tuple[float, float]:
-    """lambda and K of clean texts' maximal segments ``found``; ``bins`` counts their tokens by score. Without any segment
-    lambda is 1, that of plain log-odds, and K is one segment in all of the text."""
-    if not len(found):
+def tail(found: np.ndarray, n_tokens: int, bins: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float]:
+    """lambda and K of clean texts' maximal segments ``found``, each ``times`` over; ``bins`` counts their tokens by score.
+    Without any segment lambda is 1, that of plain log-odds, and K is one segment in all of the text."""
+    times = np.ones(len(found), np.int64) if times is None else times
+    if not times.sum():
         return 1.0, 1 / max(1, n_tokens)
     levels, live = (np.arange(BINS) / 20 - 20), bins > 0
     shares = list(zip(levels[live].tolist(), (bins[live] / bins.sum()).tolist()))
     rate = _root(shares) if shares and sum(s * p for s, p in shares) < 0 else 1.0
-    ordered = np.sort(found)[::-1]
-    least = float(ordered[min(len(ordered) - 1, max(10, len(ordered) // 200))])
-    beyond = ordered[ordered >= least]
-    over = float((beyond - least).mean())
+    order = np.argsort(found)[::-1]
+    ordered, upto = found[order], np.cumsum(times[order])
+    least = float(ordered[np.searchsorted(upto, min(upto[-1], max(10, upto[-1] // 200) + 1))])
+    beyond, weight = found[found >= least], times[found >= least]
+    over = float(((beyond - least) * weight).sum() / weight.sum())
     rate = min(rate, 1 / over) if over > 0 else rate
-    return rate, len(beyond) / n_tokens * math.exp(min(700.0, rate * least))
+    return rate, int(weight.sum()) / n_tokens * math.exp(min(700.0, rate * least))
 
 
 _CACHES: dict[str, dict] = {}
@@ -253,87 +312,105 @@ def _cache(key: str) -> dict[bytes, float]:
     return _CACHES[key]
 
 
+def log_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, folds: np.ndarray) -> float:
+    """Weighted log loss of each fold under the logistic curve of the others; folds that lack a class are not tried."""
+    total = 0.0
+    for k in range(FOLDS):
+        own, rest = folds == k, folds != k
+        if own.any() and len(set(y[rest].tolist())) == 2:
+            a, b = _logistic(x[rest], y[rest], w[rest])
+            total += float((w[own] * np.logaddexp(0, np.where(y[own] > 0, -1, 1) * (a + b * x[own]))).sum())
+    return total
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    toxic_docs: int = 4_000,
-    clean_docs: int = 8_000,
+    toxic_docs: int = 10_000,
+    clean_docs: int = 20_000,
     prior: float = 0.2,
-    tau2: float = 3.0,
-    least: float = 0.5,
-    drift: float = 1.5,
-    expected: float = 0.05,
+    drifts: tuple[float, ...] = DRIFTS,
+    tau2: tuple[float, ...] = TAU2,
+    leasts: tuple[float, ...] = LEASTS,
+    expected: tuple[float, ...] = EXPECTED,
 ) -> Model:
     """The model of ``labels`` (rows to learn from only). Without toxic or without clean labelled texts nothing can
     be learnt: all scores are then 0. Null ids and labels do not count, and of several labels of an id the largest does;
-    null and empty texts have no words; repeated texts count once a label; other columns are not read."""
+    null and empty texts have no words; repeated texts count once a label; documents with equal hashes of their ids are
+    taken by id; other columns are not read. Of several choices with the same loss the first counts."""
     known = one_label(labels, id_col, label_col)
     picked = _sample(known, toxic_docs, clean_docs)  # bounded by toxic_docs + clean_docs rows of 12 bytes
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "id")
     rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])  # copies would make their rare words look typical
     rows = written(rows.select("text", (F.col("y") == 1).cast("int").alias("y"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
     sizes = {(r.fold, r.y): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
-    n = np.array([sizes.get(side, 0) for side in SIDES], np.int64)
-    toxic = np.array([y for _, y in SIDES], bool)
-    if not n[toxic].sum() or not n[~toxic].sum():
-        return Model(drift=drift, least=least, expected=expected)
-
-    counts = written(_counts(rows), "toxicity-counts")
-    n1, n0, mass = int(n[toxic].sum()), int(n[~toxic].sum()), prior * int(n[toxic].sum())
-    y1, y0 = (sum((F.col(c) for c, (_, y) in zip(COUNTS, SIDES) if y == own), F.lit(0)) for own in (1, 0))
-    share = (y1 + y0) * (mass / (n1 + n0))
-    weight = tau2 / (tau2 + 1 / (y1 + share) + 1 / (y0 + share))
-    delta = F.log((y1 + share) / (n1 + mass)) - F.log((y0 + share) / (n0 + mass))
-    table = counts.where((weight >= FIRM_WEIGHT) | (weight * F.abs(delta) >= least)).toArrow()  # of the sampled documents
-    names = table.column("word").to_pylist()
-    places = {w: i for i, w in enumerate(names)}
-    held = np.stack([table.column(c).to_numpy() for c in COUNTS], 1) if names else np.zeros((0, len(SIDES)), np.int64)
-
-    def learnt(without: int | None) -> Model:
-        use = np.array([fold != without for fold, _ in SIDES])
-        a, b = int(n[use & toxic].sum()), int(n[use & ~toxic].sum())
-        delta, weight = np.zeros(len(names)), np.zeros(len(names))
-        if a and b:
-            y1, y0 = held[:, use & toxic].sum(1), held[:, use & ~toxic].sum(1)
-            live = np.flatnonzero(y1 + y0)
-            delta[live], weight[live] = estimates(y1[live], y0[live], a, b, prior, tau2)
-        return Model(places, array("d", delta), array("d", weight), drift, least, expected=expected)
-
-    del table
-    sent = docs.sparkSession.sparkContext.broadcast([learnt(k) for k in range(FOLDS)])
-    key = uuid.uuid4().hex
+    n = tuple(sizes.get(side, 0) for side in SIDES)
+    if not all(sum(m for m, (_, y) in zip(n, SIDES) if y == own) for own in (0, 1)):
+        free(rows)
+        return Model()
 
-    def unseen(batch: list[bytes | None], folds: list[int], ys: list[int]) -> list[pa.Array]:
-        n_tokens, found, bins = [0] * len(batch), [[] for _ in batch], np.zeros(BINS, np.int64)
-        for k in range(FOLDS):
-            own = [i for i, f in enumerate(folds) if f == k]
-            scores, first = sent.value[k].token_scores([batch[i] for i in own], _cache(f"{key}{k}"))
-            for i, a, b in zip(own, first, first[1:]):
-                n_tokens[i], found[i] = int(b - a), [s for *_, s in segments(scores[a:b])]
-                if not ys[i]:
-                    bins += np.bincount(np.clip(np.round((scores[a:b] + 20) * 20), 0, BINS - 1).astype(np.int64), minlength=BINS)
-        return [pa.array(n_tokens, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array([bins.tolist()] + [None] * (len(batch) - 1), pa.list_(pa.int64()))]
+    counts = written(_counts(rows), "toxicity-counts")  # the model's own: it stays
+    base = Model(for_workers(docs.sparkSession, counts._folder), n, prior=prior)
+    choices = [replace(base, drift=d, tau2=t, least=c) for t, c, d in product(tau2, leasts, drifts)]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's tokens and the segments that each choice finds, by the counts of the other folds; of clean
+        documents (choice, kind, bin, times) of the tokens' and segments' scores."""
         for batch in batches:
-            if batch.num_rows:
-                texts, ys, folds = (batch.column(i).to_pylist() for i in range(3))
-                yield pa.RecordBatch.from_arrays([batch.column(1), *unseen(texts, folds, ys)], names=["y", "n", "found", "bins"])
-
-    seen = bounded(rows).mapInArrow(of_batches, "y int, n long, found array<double>, bins array<long>").toPandas()  # numbers of the sampled documents only
-    free(counts, rows)
-    sent.destroy()
-    model, clean = learnt(None), seen["y"] == 0
-    bins = np.sum([b for b in seen["bins"] if b is not None], axis=0)
-    model.rate, model.k = tail(np.array([s for x in seen["found"][clean] for s in x]), int(seen["n"][clean].sum()), np.asarray(bins))
-    evidence = np.array([model.passages([(0, 0, s) for s in x], m)[0] for x, m in zip(seen["found"], seen["n"])])
+            for k in range(FOLDS):
+                part = batch.filter(pa.compute.equal(batch.column(2), k))
+                if not part.num_rows:
+                    continue
+                words, places, first = indexed(part.column(0).to_pylist())
+                clean = part.column(1).to_numpy() == 0
+                of_clean = np.repeat(clean, np.diff(first))
+                found: list[list[list[float]]] = [[] for _ in range(part.num_rows)]
+                bins: list[list[list[int]]] = [[] for _ in range(part.num_rows)]
+                odds: dict = {}
+                for c, choice in enumerate(choices):
+                    unseen = replace(choice, without=k)
+                    if (choice.tau2, choice.least) not in odds:
+                        odds = {(choice.tau2, choice.least): unseen.log_odds(words)}
+                    scores = unseen.token_scores(odds[choice.tau2, choice.least], places, first)
+                    for i, (a, b) in enumerate(zip(first, first[1:])):
+                        found[i].append([s for *_, s in segments(scores[a:b])])
+                    at = np.clip(np.round((scores[of_clean] + 20) * 20), 0, BINS - 1).astype(np.int64)
+                    over = np.array([s for x, own in zip(found, clean) if own for s in x[c]])
+                    over = np.clip(np.round(over * 20), 0, FOUND_BINS - 1).astype(np.int64)
+                    for kind, values in ((0, at), (1, over)):
+                        level, times = np.unique(values, return_counts=True)
+                        bins[0] += [[c, kind, x, m] for x, m in zip(level.tolist(), times.tolist())]
+                made = [pa.array(np.diff(first), pa.int64()), pa.array(found, pa.list_(pa.list_(pa.float64()))), pa.array(bins, pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *made], names=["y", "fold", "n", "found", "bins"])
+
+    seen = written(bounded(rows).mapInArrow(of_batches, "y int, fold int, n long, found array<array<double>>, bins array<array<long>>"), "toxicity-found")
+    binned = seen.select(F.explode("bins").alias("b")).groupBy(*[F.col("b")[i].alias(c) for i, c in enumerate(("choice", "kind", "bin"))]).agg(F.sum(F.col("b")[3]).alias("times")).toPandas()
+    n_clean = seen.where("y = 0").agg(F.sum("n")).first()[0]
+    for c, choice in enumerate(choices):
+        held = [np.zeros(size, np.int64) for size in (BINS, FOUND_BINS)]
+        for kind, own in binned[binned["choice"] == c].groupby("kind"):
+            held[kind][own["bin"]] = own["times"]
+        choice.rate, choice.k = tail(np.flatnonzero(held[1]) / 20, n_clean, held[0], held[1][held[1] > 0])
+    every = [(c, replace(choice, expected=x)) for c, choice in enumerate(choices) for x in expected]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence = [[m.passages([(0, 0, s) for s in found[c]], n)[0] for c, m in every] for n, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(evidence, pa.list_(pa.float64()))], names=["y", "fold", "evidence"])
+
+    table = bounded(seen).select("y", "fold", "n", "found").mapInArrow(judged, "y int, fold int, evidence array<double>").toPandas()  # numbers of the sampled documents only
+    free(rows, seen)
     totals = {r.y: r.n for r in known.groupBy((F.col("y") == 1).alias("y")).agg(F.count("*").alias("n")).collect()}
-    y = (~clean).to_numpy()
-    weight = np.where(y, totals.get(True, 0) / max(1, y.sum()), totals.get(False, 0) / max(1, (~y).sum()))
-    model.intercept, model.slope = _logistic(squashed(evidence), y.astype(float), weight / weight.mean())
+    y, folds = table["y"].to_numpy(), table["fold"].to_numpy()
+    weight = np.where(y == 1, totals.get(True, 0) / max(1, (y == 1).sum()), totals.get(False, 0) / max(1, (y == 0).sum()))
+    weight, y = weight / weight.mean(), y.astype(float)
+    x = squashed(np.stack(table["evidence"].to_list()))
+    best = min(range(len(every)), key=lambda i: round(log_loss(x[:, i], y, weight, folds), 9))
+    model = every[best][1]
+    model.intercept, model.slope = _logistic(x[:, best], y, weight)
     return model
 
 
@@ -342,10 +419,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     Null and empty texts have no tokens and score as texts without evidence; repeated rows are each scored; an empty
     table gives an empty result; columns of ``docs`` may have any names."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    key = uuid.uuid4().hex
 
     def compute(texts):
-        found = sent.value.scan(texts, _cache(key))
+        found = model.scan(texts, _cache(key))
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
         return [pa.array([e for e, _ in found], pa.float64()), pa.array([p for _, p in found], kind)]
 

@@ -311,16 +311,15 @@ def test_toxicity_scores_by_hand(spark):
         scores = []
         for i, w in enumerate(words):
             own = 0.0
-            for f in [w[:n] for n in (4, 6, 8) if n < len(w)] + [w]:
-                if f in model.places:
-                    delta, weight = model.deltas[model.places[f]], model.weights[model.places[f]]
-                    own = (1 - weight) * own + weight * delta
-            own = 0.0 if abs(own) < 0.5 else own
-            scores.append((own / math.sqrt(1 + words[:i].count(w)) if own > 1.5 else own) - 1.5)
+            for f in [w[:n] for n in (4, 5, 6, 7, 8) if n < len(w)] + [w]:
+                (delta,), (weight,) = model.estimates([f])
+                own = (1 - weight) * own + weight * delta
+            own = 0.0 if abs(own) < model.least else own
+            scores.append((own / math.sqrt(1 + words[:i].count(w)) if own > model.drift else own) - model.drift)
         rated = sorted((model.rate * s - math.log(model.k * len(words)) for *_, s in all_segments(scores)), reverse=True)
-        evidence = rated[0] + sum(e for e in rated[1:] if math.exp(-e) < 0.05) if rated else min(0.0, -math.log(model.k * max(1, len(words))))
+        evidence = rated[0] + sum(e for e in rated[1:] if math.exp(-e) < model.expected) if rated else min(0.0, -math.log(model.k * max(1, len(words))))
         bent = math.copysign(math.log1p(abs(evidence)), evidence)
-        return evidence, 1 / (1 + math.exp(-model.intercept - model.slope * bent)), sum(math.exp(-e) < 0.05 for e in rated)
+        return evidence, 1 / (1 + math.exp(-model.intercept - model.slope * bent)), sum(math.exp(-e) < model.expected for e in rated)
 
     got = {(r.c0, r.c1): r for r in toxicity.score(docs, model, ["doc_id", "text"]).collect()}
     for i, t in rows:
@@ -337,20 +336,33 @@ def test_toxicity_estimates_by_hand(spark):
     y = dict(labels)
     texts = {(t, y[i]) for i, t in rows}
     n1, n0 = (sum(own == k for _, own in texts) for k in (1, 0))
-    has = lambda t: {f for w in toxicity.tokens(t.encode()) for f in [w, *(w[:n] for n in (4, 6, 8) if n < len(w))]}
+    has = lambda t: {f for w in toxicity.tokens(t.encode()) for f in [w, *(w[:n] for n in (4, 5, 6, 7, 8) if n < len(w))]}
     features = [(has(t), own) for t, own in texts]
     seen = 0
     for f in set().union(*(h for h, _ in features)):
         a, b = (sum(f in h for h, own in features if own == k) for k in (1, 0))
         share = (a + b) * 0.2 * n1 / (n1 + n0)
         variance = 1 / (a + share) + 1 / (b + share)
-        weight = 3 / (3 + variance)
+        weight = model.tau2 / (model.tau2 + variance)
         delta = math.log((a + share) / (1.2 * n1)) - math.log((b + share) / (n0 + 0.2 * n1))
-        assert (f in model.places) == (weight >= 0.5 or weight * abs(delta) >= 0.5) or abs(weight - 0.5) < 1e-9
-        if f in model.places:
-            assert np.allclose((model.deltas[model.places[f]], model.weights[model.places[f]]), (delta, weight))
-            seen += 1
+        assert np.allclose(model.estimates([f]), ([delta], [weight]))
+        seen += 1
     assert seen > 200
+    assert np.allclose(model.estimates([b"a word that nobody wrote"]), 0)
+
+
+def test_toxicity_choices_are_by_unseen_folds(spark):
+    """The choice with the least loss of the folds, from each choice's model without the fold; held-out labels move nothing."""
+    rows, labels = toxic_case(160)
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert model.drift in toxicity.DRIFTS and model.tau2 in toxicity.TAU2 and model.least in toxicity.LEASTS and model.expected in toxicity.EXPECTED
+    one = toxicity.fit(docs, marks, drifts=(model.drift,), tau2=(model.tau2,), leasts=(model.least,), expected=(model.expected,))
+    assert np.allclose((one.rate, one.k, one.intercept, one.slope), (model.rate, model.k, model.intercept, model.slope))
+    other = toxicity.fit(docs, marks.where("doc_id % 5 <> 0"))
+    flipped = marks.withColumn("toxic", F.expr("if(doc_id % 5 = 0, 1 - toxic, toxic)")).where("doc_id % 5 <> 0")
+    again = toxicity.fit(docs, flipped)
+    assert (again.drift, again.tau2, again.rate, again.slope) == (other.drift, other.tau2, other.rate, other.slope)
 
 
 def test_extreme_value_constants():
