@@ -87,8 +87,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def free(*tables: DataFrame) -> None:
-    """Removes ``written`` tables that nothing reads any more."""
+class Folder:
+    """Files of workers in the shared folder, for ``free``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.sparkSession, self._folder = spark, path
+
+
+def free(*tables: DataFrame | Folder) -> None:
+    """Removes ``written`` tables and folders that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)

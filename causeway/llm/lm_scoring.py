@@ -10,11 +10,13 @@ documents, scaled to the target's size so that smoothing weighs the same in both
 A document never scores itself: what it has put into either model is taken out again before it is scored, so a wanted
 document is measured by the other wanted ones, like one that was never named. Copies of it do count.
 
-Documents are written in chunks of about ``chunk_bytes``. Counts are summed within a chunk before they are shuffled: a
-chunk sorts the keys of its words and of its pairs of neighbours, cuts them at the edges of as many ranges as there are
-chunks, and hands over one packed row for each range that it has keys of. Keys are spread evenly by their hash and a common one comes at most
-once from each chunk, so a range is about the size of a chunk. Each range adds up its chunks' counts and answers each
-chunk with the totals of the keys it sent, in their order; there the documents are scored. Nothing is broadcast.
+Documents are written in chunks of about ``chunk_bytes``. Counts are summed within a chunk, then over blocks of chunks,
+then over blocks of blocks: a chunk sorts the keys of its words and of its pairs of neighbours and cuts them by their
+upper bits into at most ``FAN`` packed rows; a block of about as many chunks adds up the rows of each cut, and what comes
+of a cut is cut again by the next bits for the next block, until one block is left. A node so takes about as many rows as
+it hands on and is about the size of a chunk, and a key that every chunk has is one entry of each. Rows grow with the
+chunks, times the levels, of which a corpus of 64 TB has three. The totals go back the way the counts came, each node
+answering those below it in the order of their keys, and in the chunks the documents are scored. Nothing is broadcast.
 
 Keys are 64-bit hashes of words and of pairs, one bit of which tells the two apart. Among 10^9 distinct keys 0.1 pairs
 are expected to be equal by chance.
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import bounded, for_workers, mix, new_folder, open_store, quoted, slices, written
+from causeway.llm.common import Folder, bounded, for_workers, free, mix, new_folder, open_store, quoted, slices, written
 
 SCORES = "n_tokens long, in_target boolean, target_loss double, background_loss double, score double"
 
@@ -44,7 +46,12 @@ ODD = np.uint64(0xD6E8FEB86659FD93)
 ONE = np.uint64(1)
 CHUNKS_PER_TASK = 4
 CODEC = pa.Codec("zstd", 1)
-PACKED = "range int, chunk long, size int, data binary"
+#: Bits of a key by which a level cuts, and so into how many rows at most.
+BITS = 8
+FAN = 1 << BITS
+#: To the node (block, prefix) from the one below it, or from a chunk, which has the prefix 0.
+PACKED = "block long, prefix long, from_block long, from_prefix long, size int, data binary"
+ANSWER = "from_block long, from_prefix long, prefix long, size int, data binary, words long"
 COUNTS = 4  # of a key: in all documents, in the target, and how often it ends a text of either
 
 
@@ -62,7 +69,8 @@ def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _write_chunks(docs: DataFrame, keep: list[str], id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     """(file, chunk, pos, id, n) per row of ``docs``; the files hold the columns ``keep`` as c0, c1, ... and the text."""
-    folder = for_workers(docs.sparkSession, new_folder(docs.sparkSession, "lm-chunks"))
+    place = new_folder(docs.sparkSession, "lm-chunks")
+    folder = for_workers(docs.sparkSession, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = open_store(folder)
@@ -95,7 +103,9 @@ def _write_chunks(docs: DataFrame, keep: list[str], id_col: str, text_col: str,
 
     numbered = [quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]
     wide = docs.select(*numbered, quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text"))
-    return written(bounded(wide).mapInArrow(run, "file string, chunk long, pos int, id long, n long"), "lm-rows")
+    out = written(bounded(wide).mapInArrow(run, "file string, chunk long, pos int, id long, n long"), "lm-rows")
+    out.files = Folder(docs.sparkSession, place)
+    return out
 
 
 def pack(rows: np.ndarray) -> bytes:
@@ -167,7 +177,7 @@ class Chunk:
 
 
 def score(
-    docs: DataFrame, wanted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", beta: float = 0.1, kappa: float = 20.0, chunk_bytes: int = 4 << 20
+    docs: DataFrame, wanted: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", beta: float = 0.1, kappa: float = 20.0, chunk_bytes: int = 4 << 20, bits: int = BITS
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` as c0, c1, ... with SCORES. ``wanted(id)`` names the target documents; null and
     repeated ids there do not matter, and a document without an id is never one of them. Null texts and texts without a
@@ -188,8 +198,8 @@ def score(
     chunks = written(chunks, "lm-index")
     sizes = chunks.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "target_tokens", "starts", "target_starts")]).first()
     n_chunks, tokens, target_tokens, starts, target_starts = sizes
-    totals = written(_totals(chunks, n_chunks), "lm-totals")
-    vocabulary = totals.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    free(rows)
+    totals, vocabulary = _totals(chunks, n_chunks, bits)
 
     wide = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)])
     kept = [f.name for f in wide.schema.fields]
@@ -198,7 +208,7 @@ def score(
     def compute(left: pa.Table, right: pa.Table) -> pa.Table:
         (file,), (places,) = left.column("file").to_pylist(), left.column("wanted").to_pylist()
         chunk = Chunk(file, places)
-        answers = sorted(zip(*(right.column(c).to_pylist() for c in ("range", "size", "data"))))
+        answers = sorted(zip(*(right.column(c).to_pylist() for c in ("prefix", "size", "data"))))
         chunk.put(np.concatenate([np.empty((COUNTS, 0), np.int64), *[unpack(data, COUNTS, size) for _, size, data in answers]], axis=1))
         n, none, own = chunk.lengths, chunk.lengths == 0, chunk.own_counts()
         mine, everyone = chunk.wanted.astype(np.int64), np.ones(len(chunk.lengths), np.int64)
@@ -211,43 +221,86 @@ def score(
         names = [x.split()[0] for x in SCORES.split(", ")]
         return pa.Table.from_arrays([*[chunk.table.column(c) for c in kept], *made], names=[*kept, *names])
 
-    return chunks.select("chunk", "file", "wanted").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(compute, schema)
+    out = written(chunks.select("chunk", "file", "wanted").groupBy("chunk").cogroup(totals.withColumnRenamed("from_block", "chunk").groupBy("chunk")).applyInArrow(compute, schema), "lm-scores")
+    free(chunks, totals, rows.files)
+    return out
 
 
-def _totals(chunks: DataFrame, n_chunks: int) -> DataFrame:
-    """PACKED counts of all chunks for the keys of each chunk and range, and ``words``: how many distinct words the
-    range holds, on one row of each range."""
-    names = [x.split()[0] for x in PACKED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+def packed_rows(keys: np.ndarray, counts: np.ndarray, shift: int) -> list[tuple[int, int, bytes]]:
+    """(prefix, size, data) of sorted keys cut by their bits from ``shift`` on, no more rows than keys."""
+    at = keys >> np.uint64(shift) if shift < 64 else np.zeros(len(keys), np.uint64)
+    cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+    return [(int(at[a]), b - a, pack(np.concatenate([np.diff(keys[a:b], prepend=np.uint64(0)).view(np.int64)[None], counts[:, a:b]]))) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of a node's rows, their summed counts, and where each row's keys are among them."""
+    parts = [unpack(data, 1 + COUNTS, size) for data, size in zip(group.column("data").to_pylist(), group.column("size").to_pylist())]
+    keys = [np.cumsum(p[0].view(np.uint64)) for p in parts]
+    distinct = np.unique(np.concatenate(keys))
+    totals, places = np.zeros((COUNTS, len(distinct)), np.int64), []
+    for p, own in zip(parts, keys):
+        places.append(np.searchsorted(distinct, own))
+        totals[:, places[-1]] += p[1:]  # a row names a key once
+    return distinct, totals, places
+
+
+def _frame(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def _totals(chunks: DataFrame, n_chunks: int, bits: int) -> tuple[DataFrame, int]:
+    """ANSWER rows for each chunk (as ``from_block``): the counts of all chunks for its keys; and how many distinct words
+    there are."""
+    blocks = [max(1, -(-n_chunks >> bits))]
+    while blocks[-1] > 1:
+        blocks.append(max(1, -(-blocks[-1] >> bits)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, file, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "file", "wanted"))):
                 chunk = Chunk(file, places)
-                if not len(chunk.keys):
-                    continue
-                counts = chunk.counts
-                at = (chunk.keys >> np.uint64(32)) * np.uint64(n_chunks) >> np.uint64(32)  # of each key its range, in order
-                cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-                rows = []
-                for a, b in zip(cuts, cuts[1:]):  # the ranges that the chunk has keys of, no more than it has keys
-                    gaps = np.diff(chunk.keys[a:b], prepend=np.uint64(0)).view(np.int64)
-                    rows.append((int(at[a]), number, b - a, pack(np.concatenate([gaps[None], counts[:, a:b]]))))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    def add(group: pa.Table) -> pa.Table:
-        numbers, sizes = group.column("chunk").to_pylist(), group.column("size").to_pylist()
-        parts = [unpack(data, 1 + COUNTS, size) for data, size in zip(group.column("data").to_pylist(), sizes)]
-        keys = np.concatenate([np.cumsum(p[0].view(np.uint64)) for p in parts])
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        totals = np.zeros((COUNTS, len(distinct)), np.int64)
-        for p, a in zip(parts, np.cumsum([0, *sizes])):
-            totals[:, inverse[a : a + p.shape[1]]] += p[1:]  # a chunk names a key once
-        answers = [pack(totals[:, inverse[a : a + n]]) for a, n in zip(np.cumsum([0, *sizes]), sizes)]
-        words = [int((distinct & ONE).sum()), *[0] * (len(sizes) - 1)]
-        columns = [group.column("range"), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), pa.array(answers, pa.binary()), pa.array(words, pa.int64())]
-        return pa.Table.from_arrays(columns, names=[*names, "words"])
+                block = xxhash.xxh64_intdigest(str(number)) % blocks[0]
+                rows = [(block, prefix, number, 0, size, data) for prefix, size, data in packed_rows(chunk.keys, chunk.counts, 64 - bits)]
+                yield from _frame(rows, PACKED).to_batches()
+
+    def up(level: int):
+        def add(group: pa.Table) -> pa.Table:
+            block, prefix = group.column("block")[0].as_py(), group.column("prefix")[0].as_py()
+            keys, counts, _ = merged(group)
+            return _frame([(block % blocks[level + 1], p, block, prefix, size, data) for p, size, data in packed_rows(keys, counts, 64 - bits * (level + 2))], PACKED)
+
+        return add
+
+    def answers(group: pa.Table, totals: np.ndarray, places: list[np.ndarray], words: int) -> pa.Table:
+        prefix = group.column("prefix")[0].as_py()
+        rows = [(b, p, prefix, len(at), pack(totals[:, at]), words if i == 0 else 0) for i, (b, p, at) in enumerate(zip(group.column("from_block").to_pylist(), group.column("from_prefix").to_pylist(), places))]
+        return _frame(rows, ANSWER)
+
+    def top(group: pa.Table) -> pa.Table:
+        keys, counts, places = merged(group)
+        return answers(group, counts, places, int((keys & ONE).sum()))
+
+    def down(group: pa.Table, above: pa.Table) -> pa.Table:
+        told = sorted(zip(*(above.column(c).to_pylist() for c in ("above", "size", "data"))))
+        totals = np.concatenate([unpack(data, COUNTS, size) for _, size, data in told], axis=1)
+        return answers(group, totals, merged(group)[2], 0)
 
     sent = chunks.select("chunk", "file", "wanted").repartition(max(1, -(-n_chunks // CHUNKS_PER_TASK))).mapInArrow(send, PACKED)
-    return sent.groupBy("range").applyInArrow(add, PACKED + ", words long")
+    if len(blocks) == 1:
+        told = written(sent.groupBy("block", "prefix").applyInArrow(top, ANSWER), "lm-totals")
+        return told, told.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    levels = [written(sent, "lm-up")]
+    for level in range(len(blocks) - 1):
+        levels.append(written(levels[-1].groupBy("block", "prefix").applyInArrow(up(level), PACKED), "lm-up"))
+    told = written(levels[-1].groupBy("block", "prefix").applyInArrow(top, ANSWER), "lm-totals")
+    vocabulary = told.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    free(levels.pop())
+    while levels:
+        below, above = levels.pop(), told
+        from_above = above.select(F.col("from_block").alias("block"), F.col("from_prefix").alias("prefix"), F.col("prefix").alias("above"), "size", "data")
+        told = written(below.groupBy("block", "prefix").cogroup(from_above.groupBy("block", "prefix")).applyInArrow(down, ANSWER), "lm-totals")
+        free(below, above)
+    return told, vocabulary

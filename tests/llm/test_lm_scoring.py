@@ -100,3 +100,44 @@ def test_copies_do_count(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score(empty, spark.createDataFrame([], "id long"), ["doc_id"]).count() == 0
+
+
+def test_rows_grow_with_the_chunks(spark, monkeypatch):
+    """By levels, with the scores of one level; no node is larger than a few chunks though one word is in all of them."""
+    made, largest = [], []
+    real, size_of = lm_scoring.written, lm_scoring.merged
+
+    def counting(df, name):
+        out = real(df, name)
+        if name in ("lm-up", "lm-totals"):
+            made.append((name, out.count(), 0 if name == "lm-totals" else out.groupBy("block", "prefix").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "written", counting)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["common", *(f"w{rng.randrange(5000)}" for _ in range(40))])) for i in range(240)]
+    found, totals = {}, {}
+    for n in (30, 240):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(2)
+        for bits in (2, 8):
+            made.clear()
+            got = lm_scoring.score(docs, spark.createDataFrame([(i,) for i in range(0, n, 3)], "id long"), ["doc_id"], chunk_bytes=1000, bits=bits).collect()
+            found[n, bits] = {r.c0: r.score for r in got}
+            totals[n, bits] = [m for name, m, _ in made if name == "lm-totals"]
+            largest += [x for name, _, x in made if name == "lm-up"]
+        assert all(abs(found[n, 2][i] - found[n, 8][i]) < 1e-12 for i in found[n, 8])
+    assert len(totals[30, 2]) >= 2 and len(totals[240, 2]) > len(totals[30, 2])
+    assert max(totals[240, 2]) <= 8 * 2 * max(totals[30, 2]) and max(totals[240, 8]) <= 8.5 * max(totals[30, 8])
+    assert max(largest) <= 4 * 4 + 12  # about as many as a level cuts into, whatever the corpus
+
+
+def test_only_the_scores_stay(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from causeway.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    rows = [(i, f"some words of {i}") for i in range(30)]
+    for bits in (1, 8):
+        lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "id long"), ["doc_id"], chunk_bytes=50, bits=bits).count()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in Path(tmp_path, "causeway").iterdir()) == ["lm-scores", "lm-scores"]
