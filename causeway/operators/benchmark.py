@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from causeway.engine import Engine
 from causeway.functions import text as tx
 from causeway.functions import vectors
-from causeway.operators import evaluation, graph
+from causeway.operators import diagnostics, evaluation, graph
 from causeway.operators.routing import Responder, backoff
 
 ANSWER = (
@@ -65,6 +65,17 @@ def literature_entailment(answers: DataFrame, entails: Callable[[Column, Column]
     return answers.withColumn("entailment", F.when(F.size(first) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(first)).otherwise(0.0))
 
 
+def overlap_entailment(evidence: Column, mechanism: Column) -> Column:
+    """The offline default: 1 where the evidence holds enough of the mechanism's words, else 0."""
+    return F.when(tx.overlap_entails(mechanism, evidence), 1.0).otherwise(0.0)
+
+
+def evidence_diversity(answers: DataFrame, embed: Callable[[Column], Column], most: int = 5) -> DataFrame:
+    """``answers(answer_id, evidence, ...)`` with ``source_diversity`` of the first pieces of evidence; 0 with fewer than two."""
+    first = answers.select("answer_id", F.explode(F.slice("evidence", 1, most)).alias("e")).select("answer_id", embed(F.col("e")).alias("vec"))
+    return answers.join(diagnostics.source_diversity(first, ["answer_id"]), "answer_id", "left").withColumn("source_diversity", F.coalesce("source_diversity", F.lit(0.0)))
+
+
 def parsed(results: DataFrame, embed: Callable[[Column], Column] = vectors.hashed_embedding) -> DataFrame:
     """Answers as ``evaluation.answer_metrics`` takes them, but for the counts of evidence, from ``results(answer_id,
     response, kg_paths_used, literature)``."""
@@ -82,20 +93,20 @@ def parsed(results: DataFrame, embed: Callable[[Column], Column] = vectors.hashe
         "answer_id", there("p.processing").alias("has_processing"), there("p.structure").alias("has_structure"),
         (there("p.properties") | F.coalesce(F.size("predictions") > 0, F.lit(False))).alias("has_properties"), "primary_mechanism", "alternatives", "steps", F.col("p.quantities").alias("quantities"), "predictions", "evidence",
         near(F.col("primary_mechanism"), F.col("alternatives")).alias("alt_cosine"), near(F.col("primary_mechanism"), named).alias("prediction_cosine"),
-        F.transform("steps", lambda s: F.coalesce(near(s, F.col("primary_mechanism")), F.lit(0.0))).alias("step_cosines"), F.lit(0.0).alias("source_diversity"), F.size("evidence").alias("n_papers"), "kg_paths_used",
+        F.transform("steps", lambda s: F.coalesce(near(s, F.col("primary_mechanism")), F.lit(0.0))).alias("step_cosines"), F.size("evidence").alias("n_papers"), "kg_paths_used",
     )
 
 
-def metrics(results: DataFrame, edges: DataFrame | None, embed: Callable[[Column], Column] = vectors.hashed_embedding, entails: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def metrics(results: DataFrame, edges: DataFrame | None, embed: Callable[[Column], Column] = vectors.hashed_embedding, entails: Callable[[Column, Column], Column] | None = overlap_entailment) -> DataFrame:
     """All sub-scores of ``results(answer_id, response, kg_paths_used, literature)``. Claims count only for answers that
-    used paths; entailment is 0 without a function for it."""
-    answers = parsed(results, embed)
+    used paths; ``entails`` says how far a piece of evidence bears a mechanism out, and without it entailment is 0."""
+    answers = evidence_diversity(graph.kept(parsed(results, embed)), embed)
     answers = literature_entailment(answers, entails) if entails else answers.withColumn("entailment", F.lit(0.0))
     counted = evidence_counts(answers, edges).withColumn("n_verified", F.when(F.col("kg_paths_used") > 0, F.col("n_verified")).otherwise(0))
-    return evaluation.answer_metrics(counted)
+    return evaluation.answer_metrics(graph.kept(counted))  # the scores name their inputs many times over
 
 
-def run(tasks: DataFrame, edges: DataFrame | None, models: dict[str, Responder | None], modes: list[str], papers: DataFrame | None = None, threshold: float = 0.5, pause: Callable[[int], None] = backoff) -> DataFrame:
+def run(tasks: DataFrame, edges: DataFrame | None, models: dict[str, Responder | None], modes: list[str], papers: DataFrame | None = None, threshold: float = 0.5, pause: Callable[[int], None] = backoff, embed: Callable[[Column], Column] = vectors.hashed_embedding, entails: Callable[[Column, Column], Column] | None = overlap_entailment) -> DataFrame:
     """One row for each of ``tasks(task_id, direction, params)``, model and mode: tier, confidence, latency and metrics.
 
     ``models`` and ``modes`` are stated, short lists; the tasks of a model and mode are answered together."""
@@ -111,5 +122,5 @@ def run(tasks: DataFrame, edges: DataFrame | None, models: dict[str, Responder |
                 lit = F.transform("literature", lambda x: F.struct(x["title"].alias("title"))) if "literature" in out.columns else F.expr("cast(array() as array<struct<title:string>>)")
                 parts.append(out.select(F.col("query_id").alias("task_id"), F.lit(model).alias("model"), F.lit(mode).alias("mode"), "tier", "confidence", "reasoning_type", "demoted", "latency_ms", "kg_paths_used", "response", lit.alias("literature")))
     every = graph.kept(reduce(DataFrame.union, parts).withColumn("answer_id", F.concat_ws("|", "task_id", "model", "mode")))
-    scores = metrics(every.select("answer_id", "response", "kg_paths_used", "literature"), edges)
+    scores = metrics(every.select("answer_id", "response", "kg_paths_used", "literature"), edges, embed, entails)
     return every.drop("response", "literature").join(scores, "answer_id").drop("answer_id")
