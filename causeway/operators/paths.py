@@ -84,7 +84,10 @@ def best_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int =
     own = keys or ["__one"]
     shared = [k for k in own if k in ends.columns and k in (keys or [])]
     origins = (starts if keys else starts.withColumn("__one", F.lit(0))).select(*own, "label").distinct()
-    steps, origins = kept(pairs(edges), "steps"), kept(origins, "origins")
+    origins = kept(origins, "origins")
+    if origins.isEmpty():  # as where all questions have been answered before
+        return origins.select(*(keys or []), F.array("label").alias("path"), F.lit(1).alias("rank"))
+    steps = kept(pairs(edges), "steps")
     exact = [kept(ends.select(*shared, "label").distinct(), "exact")]  # [r]: from which an end is exactly r steps away
     for _ in range(max_hops - 1):
         exact.append(kept(steps.join(exact[-1].withColumnRenamed("label", "dst"), "dst").select(*shared, F.col("src").alias("label")).distinct(), "exact"))

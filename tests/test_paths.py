@@ -112,3 +112,10 @@ def test_halves_are_smaller_than_walks(spark, monkeypatch):
     got = graph.simple_paths(frame(spark, edges), question(spark, starts, "label string"), question(spark, ends, "label string"), 4)
     assert got.count() == 8**5
     assert max(n for name, n in made if name in ("fore", "back", "near")) <= 8**3
+
+
+def test_no_starts(spark):
+    edges, none = frame(spark, {("a", "b")}), spark.createDataFrame([], "query_id int, label string")
+    ends = question(spark, [("b",)], "label string")
+    got = graph.best_paths(edges, none, ends, 3, 4, ["query_id"])
+    assert got.columns == ["query_id", "path", "rank"] and got.count() == 0 and graph.simple_paths(edges, none, ends, 4, ["query_id"]).count() == 0
