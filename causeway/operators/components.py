@@ -7,6 +7,7 @@ A walk along a chain takes a round a node. Here each round first makes a graph s
 * nodes without a way in, or out, are taken off;
 * nodes that lead to each other directly become one.
 
+Runs are looked for within stretches of edges first (``runs``), which takes no round where a chain's edges lie together.
 What was contracted is written down with its round, and answers are carried back through the rounds in reverse. Trees,
 chains, rings and what is made of them so take a logarithmic number of rounds. What is left, where every node has
 several ways in or out, is coloured; colours take a round a hop.
@@ -21,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.runs import contracted, near_roots
 from causeway.operators.storage import free, kept
 
 
@@ -37,10 +39,13 @@ def in_and_out(edges: DataFrame) -> DataFrame:
 def weak_components(edges: DataFrame) -> DataFrame:
     """(label, component): the smallest label that is connected to each, whatever the edges' direction.
 
-    By stars: a node's larger neighbours are hung under its smallest one, then its smaller neighbours and itself, in
-    turns, until each component is a star. A long chain halves with each turn. Self-loops only name their node."""
-    everyone = ends_of(edges)
-    now = kept(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "star")
+    First within stretches of edges; only nodes that several stretches have are joined further, by stars: a node's larger
+    neighbours are hung under its smallest one, then its smaller neighbours and itself, in turns, until each component is
+    a star. A long chain halves with each turn. Self-loops only name their node."""
+    near = kept(near_roots(edges), "near")
+    names = kept(near.groupBy("label").agg(F.min("root").alias("root"), F.max("root").alias("other")), "names")
+    links = near.join(names.where("root <> other").select("label"), "label", "left_semi").where("label <> root")
+    now = kept(links.select(F.col("label").alias("u"), F.col("root").alias("v")).distinct(), "star")
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -54,8 +59,8 @@ def weak_components(edges: DataFrame) -> DataFrame:
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         older, now = now, kept(small.distinct(), "star")
         free(older)
-    out = kept(everyone.join(now.select(F.col("u").alias("label"), "v"), "label", "left").select("label", F.coalesce("v", "label").alias("component")), "weak")
-    free(now)
+    out = kept(names.join(now.select(F.col("u").alias("root"), "v"), "root", "left").select("label", F.coalesce("v", "root").alias("component")), "weak")
+    free(now, near, names)
     return out
 
 
@@ -102,8 +107,8 @@ class Steps:
         """(label, a, b): the label was inside an edge from a to b."""
         self.done.append(("run", table))
 
-    def components(self) -> DataFrame:
-        """(label, component): of each node, the smallest label of its component."""
+    def roots(self) -> DataFrame:
+        """(label, root): the same root for the nodes of a component."""
         known: list[DataFrame] = []  # (label, root); a label that none of them has is its own root
         for kind, table in reversed(self.done):
             root = lambda c, name: reduce(DataFrame.unionByName, known).select(F.col("label").alias(c), F.col("root").alias(name))
@@ -115,13 +120,11 @@ class Steps:
                 out = both.where(a == b).select("label", a.alias("root"))
             known.append(kept(out, "roots"))
         if not known:
-            return self.everyone.select("label", F.col("label").alias("component"))
+            return kept(self.everyone.select("label", F.col("label").alias("root")), "rooted")
         rooted = self.everyone.join(reduce(DataFrame.unionByName, known), "label", "left").select("label", F.coalesce("root", "label").alias("root"))
         rooted = kept(rooted, "rooted")
-        names = rooted.groupBy("root").agg(F.min("label").alias("component"))
-        out = kept(rooted.join(names, "root").select("label", "component"), "components")
-        free(rooted, *known, *(t for _, t in self.done))
-        return out
+        free(*known, *(t for _, t in self.done))
+        return rooted
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -130,8 +133,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Each round contracts runs, takes nodes without a way in or out off, and makes one of nodes that lead to each other
     directly. Where nothing of this is left to do the rest is coloured: each node takes the smallest label that reaches
     it, the nodes of a colour that reach its owner are the owner's component, and these go. Self-loops do not matter."""
-    everyone = ends_of(edges)
-    left = kept(edges.where("src <> dst").select("src", "dst").distinct(), "left")
+    inside, rest, found = contracted(edges)
+    everyone = kept(ends_of(rest), "everyone")
+    left = kept(rest.where("src <> dst").select("src", "dst").distinct(), "left")
     steps = Steps(everyone)
     while True:
         degrees = kept(in_and_out(left), "degrees")
@@ -159,7 +163,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
             steps.merged(coloured)
         free(mutual, left)
         left = after
-    return steps.components()
+    rooted = steps.roots()
+    of = lambda c: rooted.select(F.col("label").alias(c), F.col("root").alias(f"of_{c}"))
+    inside = inside.join(of("a"), "a", "left").join(of("b"), "b", "left").select("label", F.when(F.col("of_a") == F.col("of_b"), F.col("of_a")).otherwise(F.col("label")).alias("root"))
+    inside = kept(inside, "inside")  # a node inside is the root of none but itself
+    many = rooted.unionByName(inside.where("label <> root"))
+    names = many.groupBy("root").agg(F.min("label").alias("component"))
+    alone = inside.where("label = root").select("label", F.col("root").alias("component"))
+    out = kept(alone.unionByName(many.join(names, "root").select("label", "component")), "components")
+    free(rooted, inside, found, everyone)
+    return out
 
 
 def _renamed(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -224,9 +237,10 @@ def levels(edges: DataFrame) -> DataFrame:
     Each round makes one edge of each run of nodes with one way in and out, levels the nodes without a way in, and puts
     the nodes without a way out off until their sources are levelled. An edge has a length; what a node is known to have
     at least, from sources that are gone, is its floor."""
-    left = kept(edges.select("src", "dst", F.lit(1).cast("long").alias("w")).distinct(), "left")
+    inside, rest, stretches = contracted(edges)
+    left = kept(rest.groupBy("src", "dst").agg(F.max("w").alias("w")), "left")
     floors = kept(left.select(F.col("src").alias("label"), F.col("w").alias("floor")).where("false"), "floors")
-    done: list[tuple[str, DataFrame]] = []
+    done: list[tuple[str, DataFrame]] = [("runs", inside.select("label", "a", F.lit(0).cast("long").alias("floor"), "w"))]
     while True:
         degrees = kept(in_and_out(left).join(floors, "label", "left").select("label", "n_in", "n_out", F.coalesce("floor", F.lit(0)).alias("floor")), "degrees")
         n_roots, n_inner = degrees.agg(F.count_if(F.expr("n_in = 0")), F.count_if(F.expr("n_in = 1 and n_out = 1"))).first()
@@ -252,7 +266,9 @@ def levels(edges: DataFrame) -> DataFrame:
         done.append(("levels", kept(raised.join(bare, "label", "left_semi").select("label", F.col("floor").alias("level")), "levels")))
         free(outer, left, degrees, floors)
         left, floors = after, raised
-    return _levelled(edges, done)
+    out = _levelled(rest, done)
+    free(stretches)
+    return out
 
 
 def _without_weighted_runs(left: DataFrame, degrees: DataFrame, done: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +304,8 @@ def _levelled(edges: DataFrame, done: list[tuple[str, DataFrame]]) -> DataFrame:
         if kind == "levels":
             known.append(table)
         elif kind == "runs":
-            known.append(kept(table.join(found.withColumnRenamed("label", "a"), "a").select("label", F.greatest("floor", F.col("level") + F.col("w")).alias("level")), "levels"))
+            run = table.join(found.withColumnRenamed("label", "a"), "a").select("label", F.greatest("floor", F.col("level") + F.col("w")).alias("level"))
+            known.append(run if table is done[0][1] else kept(run, "levels"))  # the first runs are read once
         else:  # a sink behind a node without a level has none
             of = table.join(found.withColumnRenamed("label", "src"), "src", "left").groupBy("label").agg(F.max("floor").alias("floor"), F.max(F.col("level") + F.col("w")).alias("level"), F.count_if(F.expr("src is not null and level is null")).alias("n"))
             known.append(kept(of.where("n = 0").select("label", F.greatest("floor", F.coalesce("level", F.lit(0))).alias("level")), "levels"))
