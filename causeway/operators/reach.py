@@ -5,6 +5,9 @@ hash among the components that it leads to, and among those that lead to it, its
 everything that b leads to is led to by a, so a's first number is at most b's, and b's second at most a's, by every hash;
 and a's level is below b's. One number that says otherwise settles a pair. The other pairs are searched, along components
 only that the same numbers allow.
+
+Nodes inside a run that lies together (``runs``) are not indexed: what they lead to is the rest of their run and what its
+end leads to. Pairs within a run are told by their places, others asked of the runs' ends.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.operators.components import doubled, ends_of, in_and_out, levels, strong_components
+from causeway.operators.runs import contracted
 from causeway.operators.storage import free, kept
 
 
@@ -86,14 +90,16 @@ def _values_of_runs(left: DataFrame, degrees: DataFrame, own: DataFrame, columns
 
 
 class ReachIndex:
-    """``members(label, component, many)``, and of each component its level and ``hashes`` pairs of numbers."""
+    """``inside(label, a, b, run, w)`` of the nodes inside runs; ``nodes(label, component, many, ...)`` of all others, with
+    their component's level and ``hashes`` pairs of numbers, which ``labels`` has by component."""
 
     def __init__(self, edges: DataFrame, hashes: int = 3):
         self.ahead, self.behind = [f"f{i}" for i in range(hashes)], [f"g{i}" for i in range(hashes)]
+        self.inside, edges, self.table = contracted(edges)
         found = strong_components(edges)
         sizes = found.groupBy("component").agg(F.count("*").alias("n"))
         loops = edges.where("src = dst").select(F.col("src").alias("label"), F.lit(True).alias("loop")).distinct()
-        self.members = kept(found.join(sizes, "component").join(loops, "label", "left").select("label", "component", ((F.col("n") > 1) | F.coalesce("loop", F.lit(False))).alias("many")), "members")
+        members = found.join(sizes, "component").join(loops, "label", "left").select("label", "component", ((F.col("n") > 1) | F.coalesce("loop", F.lit(False))).alias("many"))
         of = lambda c: found.select(F.col("label").alias(c), F.col("component").alias(f"{c}_of"))
         self.steps = kept(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_of <> dst_of").select(F.col("src_of").alias("src"), F.col("dst_of").alias("dst")).distinct(), "steps")
         names = found.select(F.col("component").alias("label")).distinct()
@@ -102,6 +108,7 @@ class ReachIndex:
         behind = least_ahead(self.steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), hashed(self.behind), self.behind)
         level = levels(self.steps)
         self.labels = kept(names.join(ahead, "label").join(behind, "label").join(level, "label", "left").withColumn("level", F.coalesce("level", F.lit(0))), "labels")
+        self.nodes = kept(members.join(self.labels.withColumnRenamed("label", "component"), "component"), "nodes")
         free(found, ahead, behind, level)
 
     def _of(self, at: str, mark: str) -> DataFrame:
@@ -114,13 +121,30 @@ class ReachIndex:
 
     def reaches(self, asked: DataFrame) -> DataFrame:
         """(a, b, reaches, by) per distinct row of ``asked(a, b)``: whether one or more edges lead from a to b, and what told:
-        ``component`` (one component, or a node that is not in the graph), ``labels`` or ``search``."""
-        of = lambda c: self.members.select(F.col("label").alias(c), F.col("component").alias(f"{c}_of"), F.col("many").alias(f"{c}_many"))
-        rows = asked.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-        rows = rows.join(self._of("a_of", "a_"), "a_of", "left").join(self._of("b_of", "b_"), "b_of", "left")
+        ``run`` (their places in a run), ``component`` (one component, or a node that is not in the graph), ``labels`` or
+        ``search``; where ends of runs were asked, what told of these."""
+        of = lambda c, port: self.inside.select(F.col("label").alias(c), F.col(port).alias(f"{c}_port"), F.col("run").alias(f"{c}_run"), F.col("w").alias(f"{c}_w"))
+        rows = asked.select("a", "b").distinct().join(of("a", "b"), "a", "left").join(of("b", "a"), "b", "left")
+        inside = F.col("a_run").isNotNull() | F.col("b_run").isNotNull()
+        ports = [F.coalesce("a_port", "a").alias("from"), F.coalesce("b_port", "b").alias("to")]
+        on = F.when((F.col("a_run") == F.col("b_run")) & (F.col("a_w") < F.col("b_w")), True).when(inside & (ports[0] == ports[1]), True)
+        rows = kept(rows.select("a", "b", *ports, on.alias("on")), "asked")
+        told, tables = self._told(rows.where("on is null").select(F.col("from").alias("a"), F.col("to").alias("b")).distinct())
+        told = told.select(F.col("a").alias("c"), F.col("b").alias("d"), "reaches", "by")
+        same = F.col("from").eqNullSafe(F.col("c")) & F.col("to").eqNullSafe(F.col("d"))
+        open_ = rows.where("on is null").join(told, same).select("a", "b", "reaches", "by")
+        out = kept(rows.where("on").select("a", "b", F.col("on").alias("reaches"), F.lit("run").alias("by")).unionByName(open_), "reaches")
+        free(rows, *tables)
+        return out
+
+    def _told(self, asked: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+        """``reaches`` for nodes that are inside no run, or not in the graph, and the tables that it reads."""
+        numbers = [*self.ahead, *self.behind, "level"]
+        of = lambda c: self.nodes.select(F.col("label").alias(c), F.col("component").alias(f"{c}_of"), F.col("many").alias(f"{c}_many"), *[F.col(n).alias(f"{c}_{n}") for n in numbers])
+        rows = asked.join(of("a"), "a", "left").join(of("b"), "b", "left")
         alike = F.col("a_of") == F.col("b_of")
         told = F.when(F.col("a_of").isNull() | F.col("b_of").isNull(), F.lit(False)).when(alike, F.col("a_many")).when(~self._may("a_", "b_"), F.lit(False))
-        rows = kept(rows.select("a", "b", "a_of", "b_of", told.alias("reaches"), F.coalesce(alike, F.lit(True)).alias("alike")), "asked")
+        rows = kept(rows.select("a", "b", "a_of", "b_of", told.alias("reaches"), F.coalesce(alike, F.lit(True)).alias("alike")), "told")
         open_ = rows.where("reaches is null").select(F.col("a_of").alias("from"), F.col("b_of").alias("to")).distinct()
         front = kept(open_.select("from", "to", F.col("from").alias("at")), "front")
         seen, found = [front], []
@@ -134,11 +158,9 @@ class ReachIndex:
         none = open_.where("false").select("from", "to")
         met = kept(reduce(DataFrame.unionByName, found, none).select(F.col("from").alias("a_of"), F.col("to").alias("b_of"), F.lit(True).alias("met")), "met")
         free(*seen, *found)
-        out = rows.join(met, ["a_of", "b_of"], "left")
         by = F.when(F.col("reaches").isNull(), "search").when(F.col("alike"), "component").otherwise("labels")
-        result = kept(out.select("a", "b", F.coalesce("reaches", "met", F.lit(False)).alias("reaches"), by.alias("by")), "reaches")
-        free(rows, met)
-        return result
+        out = rows.join(met, ["a_of", "b_of"], "left").select("a", "b", F.coalesce("reaches", "met", F.lit(False)).alias("reaches"), by.alias("by"))
+        return out, (rows, met)
 
     def free(self) -> None:
-        free(self.members, self.steps, self.labels)
+        free(self.table, self.steps, self.labels, self.nodes)
