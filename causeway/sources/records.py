@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators.storage import kept
+
 TASK = (
     "id string, task string, input struct<material:string,processing_conditions:map<string,string>>, query map<string,string>, target_property string, target_material string, "
     "constraints map<string,string>, expected_outcome string, expected_synthesis string, accepted_ranges map<string,string>, domain string"
@@ -95,8 +97,14 @@ class LiteratureSource:
         from pyspark.sql import Window
 
         words = queries.select("query", F.explode(F.split(F.lower("query"), r"\s+")).alias("word")).where(F.length("word") > 2).distinct()
-        tokens = papers.select("ord", "title", "citations", F.explode(F.array_distinct(F.split(F.lower("abstract"), r"\s+"))).alias("word"))
-        met = tokens.join(words, "word").select("query", "ord", "title", "citations").distinct()
+        words = kept(words, "words")
+        papers = papers.select("ord", "title", "citations", "abstract").withColumn("key", F.xxhash64("ord", "title", "citations", "abstract"))
+        tokens = papers.select("key", "citations", F.explode(F.array_distinct(F.split(F.lower("abstract"), r"\s+"))).alias("word"))
+        # those that the most cited can be among, told without titles and texts; a task keeps few of them
+        likely = F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("citations")))
+        met = tokens.join(words, "word").select("query", "key", "citations").withColumn("place", likely).where(F.col("place") <= most).select("query", "key").distinct()
+        met = kept(met, "likely")  # its size is then known, so that papers need not move
         by = Window.partitionBy("query").orderBy(F.desc("citations"), "title", "ord")
-        top = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
-        return top.join(papers.select("ord", "abstract"), "ord").select("query", "rank", "ord", "title", "citations", "abstract")
+        found = papers.join(met, "key").drop("key").dropDuplicates(["query", "ord", "title", "citations"])
+        top = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+        return top.select("query", "rank", "ord", "title", "citations", "abstract")
