@@ -119,3 +119,52 @@ def test_no_starts(spark):
     ends = question(spark, [("b",)], "label string")
     got = graph.best_paths(edges, none, ends, 3, 4, ["query_id"])
     assert got.columns == ["query_id", "path", "rank"] and got.count() == 0 and graph.simple_paths(edges, none, ends, 4, ["query_id"]).count() == 0
+
+
+def test_prefixes_that_are_not_needed_are_not_walked(spark, monkeypatch):
+    """Twenty middle nodes that all lead to ten ends: the first alone gives the paths that are asked for."""
+    made = []
+    real = paths.kept
+
+    def counting(df, name="kept"):
+        out = real(df, name)
+        if name == "beam":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "kept", counting)
+    edges = {(f"s{i}", f"m{j:02}") for i in range(5) for j in range(20)} | {(f"m{j:02}", f"e{k}") for j in range(20) for k in range(10)}
+    asked, ends = question(spark, [(i, f"s{i}") for i in range(5)], "query_id int, label string"), question(spark, [(f"e{k}",) for k in range(10)], "label string")
+    got = sorted((r.query_id, r["rank"], tuple(r.path)) for r in graph.best_paths(frame(spark, edges), asked, ends, 3, 3, ["query_id"]).collect())
+    assert got == [(i, k + 1, (f"s{i}", "m00", f"e{k}")) for i in range(5) for k in range(3)]
+    assert made[0] == 5
+
+
+def test_prefixes_are_needed_where_ways_lead_back(spark):
+    """Ways to nodes that are on the path already count for nothing."""
+    edges = {("s", f"m{i}") for i in range(6)} | {(f"m{i}", "s") for i in range(6)} | {(f"m{i}", f"m{j}") for i in range(6) for j in range(6) if i != j} | {("m5", "end"), ("m4", "other"), ("s", "end")}
+    asked, ends = question(spark, [("s",)], "label string"), question(spark, [("end",), ("other",), ("s",), ("m0",), ("m1",)], "label string")
+    for most, width in ((2, 2), (5, None), (40, 40)):
+        got = [tuple(r.path) for r in graph.best_paths(frame(spark, edges), asked, ends, most, 4, width=width).orderBy("rank").collect()]
+        assert got == first(walks(edges, ["s"], {"end", "other", "s", "m0", "m1"}, 4), most), most
+
+
+def test_labels_that_hold_an_arrow(spark):
+    """A longer label's texts may come before those of the label that it begins with."""
+    edges = {("s", "a"), ("s", "a -> b"), ("a -> b", "end")} | {("a", f"z{i}") for i in range(9)}
+    asked, ends = question(spark, [("s",)], "label string"), question(spark, [("end",), *[(f"z{i}",) for i in range(9)]], "label string")
+    got = [tuple(r.path) for r in graph.best_paths(frame(spark, edges), asked, ends, 3, 4).orderBy("rank").collect()]
+    assert got == [("s", "a -> b", "end"), ("s", "a", "z0"), ("s", "a", "z1")]
+
+
+def test_hubs_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(paths, "TASK_ROWS", 64)
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(12)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(50)} | {("n1", f"x{i:03}") for i in range(400)} | {(f"x{i:03}", rng.choice(names)) for i in range(400)}
+    df = frame(spark, edges)
+    assert paths._hubs(paths.pairs(df), len(edges)) == ["n1"]
+    starts, ends = [(k, f"n{k}") for k in range(4)], {"n2", "n5", "x399", "x007"}
+    asked, shared = question(spark, starts, "query_id int, label string"), question(spark, [(e,) for e in ends], "label string")
+    got = sorted((r.query_id, r["rank"], tuple(r.path)) for r in graph.best_paths(df.union(df), asked, shared, 5, 3, ["query_id"]).collect())
+    assert got == [(k, i + 1, p) for k in range(4) for i, p in enumerate(first(walks(edges, [f"n{k}"], ends, 3), 5))]
